@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from . import dedup
+from . import classifier, dedup, jaccard, mixing, packing, quality, token_files
 
 QUERIES = {
+    "op1_quality_rules": quality.op1_quality_rules,
+    "op2_subword_classifier": classifier.op2_subword_classifier,
     "op4_substring_dedup": dedup.op4_substring_dedup,
     "op5_suffix_array_dedup": dedup.op5_suffix_array_dedup,
+    "op7_hierarchical_mix": mixing.op7_hierarchical_mix,
+    "op8_multi_length_packing": packing.op8_multi_length_packing,
+    "op9_jaccard_join": jaccard.op9_jaccard_join,
+    "op10_token_files": token_files.op10_token_files,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op7_hierarchical_mix": mixing.SQL}
