@@ -77,8 +77,13 @@ def _bounds(rows: DataFrame, n: int) -> list[int]:
     return sorted(set(found["q"] or []))
 
 
-def blocks(docs: DataFrame, id_col: str, text_col: str, carry: bool = False, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """(pid, docs) with one row per block, and the number of blocks.
+def blocks(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> tuple[DataFrame, int]:
+    """(pid, docs) with one row per block, and the number of blocks."""
+    return deal(docs, id_col, text_col, carry)[:2]
+
+
+def deal(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> tuple[DataFrame, int, np.ndarray, int]:
+    """Blocks, their number, the largest id of each but the last, and the bytes of all text.
 
     carry keeps the other columns of each row beside its text, as a struct `rest`.
     """
@@ -88,7 +93,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, carry: bool = False, blo
     rest = F.struct(*[F.col(f"`{c}`") for c in other]) if carry and other else F.lit(None).cast("string")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("z"), rest.alias("rest"))
     total = rows.agg(F.sum(F.octet_length("z")).alias("b")).head()["b"] or 0
-    n = int(min(MAX_BLOCKS, total // block_bytes + 1))
+    n = int(min(MAX_BLOCKS, total // BLOCK_BYTES + 1))
     limits = np.array(_bounds(rows, n), np.int64)
     schema = T.StructType([T.StructField("pid", T.IntegerType()), *rows.schema.fields])
 
@@ -100,7 +105,19 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, carry: bool = False, blo
             yield pa.RecordBatch.from_arrays([pa.array(pid), ids, z, b.column(2)], schema.names)
 
     dealt = rows.mapInArrow(pack, schema).repartition(n, "pid")
-    return dealt.groupBy("pid").agg(F.collect_list(F.struct("id", "z", "rest")).alias("docs")).checkpoint(), n
+    made = dealt.groupBy("pid").agg(F.collect_list(F.struct("id", "z", "rest")).alias("docs"))
+    return _laid_out(made), n, limits, total
+
+
+def _laid_out(made: DataFrame) -> DataFrame:
+    """A checkpoint that still says how its rows are dealt; an adaptive plan doesn't, and each later join would move all text."""
+    conf, name = made.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return made.checkpoint()
+    finally:
+        conf.set(name, before)
 
 
 def _blocks_of(batch: pa.RecordBatch) -> Iterator[tuple[int, Block, pa.StructArray, dict]]:
@@ -134,6 +151,24 @@ def visit(t0: DataFrame, answers: DataFrame | None, schema: T.StructType | str,
     return _with(t0, answers).mapInArrow(run, schema)
 
 
+def restored_schema(t0: DataFrame) -> T.StructType:
+    return t0.schema["docs"].dataType.elementType
+
+
+def restored(block: Block, inner: pa.StructArray, which: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of a block made with carry, text as it was."""
+    for at in range(0, len(which), 500):
+        some = which[at : at + 500]
+        ids, texts = [block.raw_ids[i] for i in some], [None if block.packed[i] is None else expand(block.packed[i]) for i in some]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.binary()), inner.field("rest").take(pa.array([block.order[i] for i in some], pa.int64()))], names)
+
+
+def as_before(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of (id, z, rest) under the names, types and order of the columns of docs."""
+    at = {id_col: F.col("id"), text_col: F.decode("z", F.lit("utf-8"))}
+    return rows.select(*[(at[f.name] if f.name in at else F.col(f"rest.`{f.name}`")).cast(f.dataType).alias(f.name) for f in docs.schema.fields])
+
+
 def ask(t0: DataFrame, answers: DataFrame | None, n: int, kind: str, dtype, entries: Callable, answer: Callable) -> DataFrame:
     """One round; returns the answers so far and the new ones.
 

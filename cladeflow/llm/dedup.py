@@ -30,7 +30,7 @@ def _strip(docs: DataFrame, id_col: str, text_col: str, plan: R.Plan, resolver,
                 lo, hi = np.searchsorted(text, [i, i + 1])
                 units, gone, spans, kept, changed = keep(t, start[lo:hi], end[lo:hi])
                 null = block.packed[i] is None
-                out.append((block.raw_ids[i], units, gone, spans, (None if null else kept) if carry else None, changed, hashlib.sha256(kept).hexdigest()))
+                out.append((block.raw_ids[i], units, gone, spans, (None if null else kept if changed else t) if carry else None, changed, hashlib.sha256(kept).hexdigest()))
             cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.string()), strict=True)]
             yield pa.RecordBatch.from_arrays([*cols, inner.field("rest").take(pa.array(block.order[begin : begin + len(texts)]))], schema.names)
 
@@ -59,7 +59,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words are split at ASCII white space and taken unchanged. Returns doc_id, n_units (words), n_removed,
     n_spans (removed stretches), changed, kept_sha256 (of the kept words joined by a space) and, if carry,
-    kept (those bytes; null for a null text) and rest (the other columns). A null or blank text has no
+    kept (those bytes; the text as it was where nothing went) and rest (the other columns). A null or blank text has no
     words; a document shorter than the window loses nothing; rows that share an id don't affect each
     other; a row without an id neither loses nor takes text; an empty table gives no rows. Working memory
     follows the block size and the longest single text.
@@ -68,12 +68,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _strip(docs, id_col, text_col, plan, R.SuffixTrees(plan, (max(1, window // 5), max(1, window // 2))), _keep_words, carry)
 
 
-def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, carry: bool = False) -> DataFrame:
+def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, carry: bool = False, hot: int = R.HOT_VARIANTS) -> DataFrame:
     """Remove each byte that a `window`-byte string covers which also starts in a document with a smaller id.
 
-    As `substring_dedup`, over UTF-8 bytes; a null text is empty. kept may split a multi-byte character.
+    As `substring_dedup`, over UTF-8 bytes; a null text is empty. kept may split a multi-byte character. Anchors in
+    more than `hot` surroundings are compared by hash (see `repeats.PreviousFactors`).
     """
-    plan = R.Plan("byte", window, max(1, window // 3))
+    plan = R.Plan("byte", window, max(1, window // 3), hot)
     return _strip(docs, id_col, text_col, plan, R.PreviousFactors(plan), _keep_bytes, carry)
 
 

@@ -130,7 +130,8 @@ def window_runs(roll: Rolling, first: np.ndarray, window: int, gram: int) -> tup
     text = np.searchsorted(first, start, "right") - 1
     ok = start + window <= first[text + 1]
     text, start, length = text[ok], start[ok], length[ok]
-    return text, start, length, grams[anchor[start]], roll.stretches(start, start + length + window - 1)
+    # Anchors are small hashes by choice; mixed again they are even over hash space.
+    return text, start, length, mix(grams[anchor[start]] + np.uint64(1)), roll.stretches(start, start + length + window - 1)
 
 
 def covered(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -20,12 +20,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import blocks as B
 from . import kernels as K
 
-LATER, ALONE, OPEN = 0, 1, 2  # a run: stands in an earlier block; first and the only one of its anchor; first, its windows are to be compared
+# A run stands in an earlier block; or it is the first and the only one of its anchor; or the first, and its
+# windows are to be compared: with few others, or with more than HOT_VARIANTS.
+LATER, ALONE, OPEN, HOT = 0, 1, 2, 3
+HOT_VARIANTS = 50_000
 RUN = np.dtype([("anchor", "<u4"), ("hash", "<u8")])
 
 
@@ -58,27 +62,14 @@ class Runs:
         return (self.id > self.first_id[self.kind]) | (status[self.kind] == LATER)
 
     def unsettled(self, status: np.ndarray) -> np.ndarray:
-        return ~self.later(status) & (status[self.kind] == OPEN)
-
-
-def settle_runs(held: list) -> list[np.ndarray]:
-    keys, rank = B.stacked(held)
-    order = np.lexsort((rank, keys["hash"], keys["anchor"]))
-    a, h, r = keys["anchor"][order], keys["hash"][order], rank[order]
-    new = B.first_of_runs(a, h)
-    group = np.cumsum(B.first_of_runs(a)) - 1
-    variants = np.bincount(group, new)[group]
-    first = r[np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))]
-    status = np.empty(len(r), np.uint8)
-    status[order] = np.where(r > first, LATER, np.where(variants > 1, OPEN, ALONE))
-    return B.unstack(status, held)
+        return ~self.later(status) & (status[self.kind] >= OPEN)
 
 
 class Plan:
     """Units, window and anchor length of one operator."""
 
-    def __init__(self, unit: str, window: int, gram: int):
-        self.unit, self.window, self.gram = unit, window, gram
+    def __init__(self, unit: str, window: int, gram: int, hot: int = HOT_VARIANTS):
+        self.unit, self.window, self.gram, self.hot = unit, window, gram, hot
 
     def codes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return K.word_codes(texts) if self.unit == "word" else K.byte_codes(texts)
@@ -88,6 +79,18 @@ class Plan:
             codes, first = self.codes(texts)
             yield begin, K.Rolling(codes), first
 
+    def settle_runs(self, held: list) -> list[np.ndarray]:
+        keys, rank = B.stacked(held)
+        order = np.lexsort((rank, keys["hash"], keys["anchor"]))
+        a, h, r = keys["anchor"][order], keys["hash"][order], rank[order]
+        new = B.first_of_runs(a, h)
+        group = np.cumsum(B.first_of_runs(a)) - 1
+        variants = np.bincount(group, new)[group]
+        first = r[np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))]
+        status = np.empty(len(r), np.uint8)
+        status[order] = np.where(r > first, LATER, np.where(variants > self.hot, HOT, np.where(variants > 1, OPEN, ALONE)))
+        return B.unstack(status, held)
+
     def windows(self, block: B.Block, runs: Runs, which: np.ndarray, depths: tuple[int, ...]) -> tuple[np.ndarray, ...]:
         """Run and position of each window of the chosen runs, and the hashes of its first units at each depth."""
         chosen = np.flatnonzero(which)
@@ -104,52 +107,124 @@ class Plan:
 
 
 class PreviousFactors:
-    """Longest-previous-factor arrays over the open windows of one part.
+    """Longest-previous-factor arrays over the bytes of open runs, part by part.
 
-    The suffixes that start at the windows, cut at the window's length, are put in suffix order (by
-    hash: only that equal ones are neighbours matters at this depth). For each, the nearest
-    suffixes on either side that come from an earlier block are its previous and next smaller
-    positions; its longest previous factor reaches the window's length if either of them equals it.
+    A part holds the anchors of one range of hash space, and of each open run the bytes it covers. The
+    suffixes that start at its windows are put in suffix order. For each, the nearest suffixes on
+    either side that come from an earlier document are its previous and next smaller positions, and its
+    longest previous factor reaches the window's length if either of them shares that many bytes with it.
+    Equal windows have equal anchors, so no earlier match is in another part.
+
+    Runs of an anchor with more than HOT_VARIANTS surroundings go another way, so that no part holds them
+    all: their windows are dealt out by their own hash, each once a block, and compared by hash.
     """
 
     def __init__(self, plan: Plan):
-        self.plan, self.dtype = plan, np.dtype([("hash", "<u8"), ("anchor", "<u4")])
+        self.plan, self.most = plan, plan.window - plan.gram + 1
+        self.width = plan.window + self.most - 1
+        self.content = np.dtype([("doc", "<u4"), ("windows", "u1"), ("bytes", "u1", (self.width,))])
+        self.hashed = np.dtype([("hash", "<u8"), ("anchor", "<u4")])
+        if self.most > 63:
+            raise ValueError("a run's windows must fit a mask of 63 bits")
+
+    def contents(self, block: B.Block, runs: Runs, status: np.ndarray, got: dict, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of each distinct open run, as its first document has it."""
+        heads = runs.heads[status == OPEN]
+        keys = np.zeros(len(heads), self.content)
+        keys["doc"] = np.unique(runs.id[heads], return_inverse=True)[1]
+        keys["windows"] = runs.length[heads]
+        by_text = heads[np.argsort(runs.text[heads], kind="stable")]
+        place = np.argsort(np.argsort(runs.text[heads], kind="stable"), kind="stable")
+        data = np.zeros((len(heads), self.width), np.uint8)
+        for begin, texts in block.chunks() if len(heads) else ():
+            flat = np.frombuffer(b"".join(texts), np.uint8)
+            first = np.r_[0, np.cumsum([len(t) for t in texts])]
+            lo, hi = np.searchsorted(runs.text[by_text], [begin, begin + len(texts)])
+            some = by_text[lo:hi]
+            size = runs.length[some] + self.plan.window - 1
+            row = np.repeat(np.arange(lo, hi), size)
+            data[row, K.ranges(np.zeros(len(some), np.int64), size)] = flat[K.ranges(first[runs.text[some] - begin] + runs.start[some], size)]
+        keys["bytes"] = data[place]
+        return B.part_of(runs.anchor[heads], n), keys
+
+    def factors(self, held: list) -> list[np.ndarray]:
+        """For each run, which of its windows have an earlier match, as a mask."""
+        keys, rank = B.stacked(held)
+        windows = keys["windows"].astype(np.int64)
+        run, at = np.repeat(np.arange(len(keys)), windows), K.ranges(np.zeros(len(keys), np.int64), windows)
+        out = np.zeros(len(keys), np.uint64)
+        if len(run):
+            w = self.plan.window
+            suffixes = np.zeros((len(run), -(-w // 8) * 8), np.uint8)
+            for i in range(w):
+                suffixes[:, i] = keys["bytes"][run, at + i]
+            columns = suffixes.view(">u8").astype(np.uint64)
+            earlier = (rank[run].astype(np.int64) << 32) | keys["doc"][run]
+            order = np.lexsort((earlier, *columns.T[::-1]))  # suffix order
+            same = np.cumsum(B.first_of_runs(*columns[order].T))
+            hit = reaches(same, earlier[order])
+            np.bitwise_or.at(out, run[order][hit], np.uint64(1) << at[order][hit].astype(np.uint64))
+        return B.unstack(out, held)
 
-    def open(self, block: B.Block, runs: Runs, status: np.ndarray, got: dict) -> tuple[np.ndarray, ...]:
-        """Distinct windows (part key, packed keys, first id), and run, position and kind of every open window."""
-        run, at, full = self.plan.windows(block, runs, runs.unsettled(status), (self.plan.window,))
+    def hot(self, block: B.Block, runs: Runs, status: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Distinct windows of hot runs, packed, with the first id of each; run, position and kind of every such window."""
+        run, at, full = self.plan.windows(block, runs, ~runs.later(status) & (status[runs.kind] == HOT), (self.plan.window,))
         anchor = runs.anchor[run].astype(np.uint32)
         order = np.lexsort((runs.id[run], anchor, full))
         new = B.first_of_runs(full[order], anchor[order])
         kind = np.empty(len(order), np.int64)
         kind[order] = np.cumsum(new) - 1
         heads = order[new]
-        keys = np.empty(len(heads), self.dtype)
+        keys = np.empty(len(heads), self.hashed)
         keys["hash"], keys["anchor"] = full[heads], anchor[heads]
-        return full[heads], keys, runs.id[run[heads]], run, at, kind
+        return keys, runs.id[run[heads]], run, at, kind
 
     @staticmethod
-    def answer(held: list) -> list[np.ndarray]:
+    def hashed_factors(held: list) -> list[np.ndarray]:
         keys, rank = B.stacked(held)
-        order = np.lexsort((rank, keys["anchor"], keys["hash"]))  # suffix order
-        r = rank[order]
-        factor = np.cumsum(B.first_of_runs(keys["hash"][order], keys["anchor"][order]))
-        previous, following = smaller(r), len(r) - 1 - smaller(r[::-1])[::-1]
-        reaches = np.zeros(len(r), bool)
-        for near in (previous, following):
-            there = (near >= 0) & (near < len(r))
-            reaches[there] |= factor[near[there]] == factor[there]
-        out = np.empty(len(r), np.uint8)
-        out[order] = reaches
+        order = np.lexsort((rank, keys["anchor"], keys["hash"]))
+        out = np.empty(len(order), np.uint8)
+        out[order] = reaches(np.cumsum(B.first_of_runs(keys["hash"][order], keys["anchor"][order])), rank[order])
         return B.unstack(out, held)
 
     def rounds(self, t0: DataFrame, answers: DataFrame, n: int) -> DataFrame:
         def entries(block, got, n):
-            runs = Runs(block, self.plan)
-            key, keys, *_ = self.open(block, runs, np.frombuffer(got.get("runs", b""), np.uint8), got)
-            return B.part_of(key, n), keys
-
-        return B.ask(t0, answers, n, "windows", self.dtype, entries, self.answer)
+            return self.contents(block, Runs(block, self.plan), np.frombuffer(got.get("runs", b""), np.uint8), got, n)
+
+        def hot_entries(block, got, n):
+            keys, *_ = self.hot(block, Runs(block, self.plan), np.frombuffer(got.get("runs", b""), np.uint8))
+            return B.part_of(keys["hash"], n), keys
+
+        def any_hot(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([any(HOT in B.expand(a.as_py()) for a in b.column(0))])], ["hot"])
+
+        is_hot = answers.select("ans").mapInArrow(any_hot, "hot boolean").filter("hot").limit(1).count()
+        answers = B.ask(t0, answers, n, "factors", self.content, entries, self.factors)
+        return B.ask(t0, answers, n, "windows", self.hashed, hot_entries, self.hashed_factors) if is_hot else answers
+
+    def gone(self, block: B.Block, runs: Runs, status: np.ndarray, got: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Run and position of the windows of unsettled runs that go."""
+        mask = np.zeros(len(status), np.uint64)
+        mask[status == OPEN] = np.frombuffer(got.get("factors", b""), np.uint64)
+        some = np.flatnonzero(~runs.later(status) & (mask[runs.kind] > 0))
+        run, by = np.repeat(some, runs.length[some]), K.ranges(np.zeros(len(some), np.int64), runs.length[some])
+        hit = (mask[runs.kind[run]] >> by.astype(np.uint64)) & np.uint64(1) == 1
+        run, at = run[hit], runs.start[run[hit]] + by[hit]
+        if "windows" in got:
+            _, first_id, more, more_at, kind = self.hot(block, runs, status)
+            hit = (np.frombuffer(got["windows"], np.uint8)[kind] == 1) | (runs.id[more] > first_id[kind])
+            run, at = np.r_[run, more[hit]], np.r_[at, more_at[hit]]
+        return run, at
+
+
+def reaches(same: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """In suffix order: whether the previous or the next smaller position is of the same whole window."""
+    near, out = smaller(rank), np.zeros(len(rank), bool)
+    for at in (near, len(rank) - 1 - smaller(rank[::-1])[::-1]):
+        there = np.flatnonzero((at >= 0) & (at < len(rank)))
+        out[there] |= same[at[there]] == same[there]
+    return out
 
 
 def smaller(x: np.ndarray) -> np.ndarray:
@@ -206,6 +281,12 @@ class SuffixTrees:
         place[order] = np.arange(len(order))
         return prefix[order], keys[order], runs.id[run[heads[order]]], run, at, place[kind]
 
+    def gone(self, block: B.Block, runs: Runs, status: np.ndarray, got: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Run and position of the windows of unsettled runs that go."""
+        _, _, first_id, run, at, kind = self.open(block, runs, status, got)
+        hit = (np.frombuffer(got.get("windows", b""), np.uint8)[kind] == 1) | (runs.id[run] > first_id[kind])
+        return run[hit], at[hit]
+
     def count(self, held: list) -> list[np.ndarray]:
         keys, _ = B.stacked(held)
         _, inverse = np.unique(keys["prefix"], return_inverse=True)
@@ -247,7 +328,7 @@ def find(t0: DataFrame, n: int, plan: Plan, resolver) -> DataFrame:
     def entries(block, got, n):
         return Runs(block, plan).keys(n)
 
-    return resolver.rounds(t0, B.ask(t0, None, n, "runs", RUN, entries, settle_runs), n)
+    return resolver.rounds(t0, B.ask(t0, None, n, "runs", RUN, entries, plan.settle_runs), n)
 
 
 def removed(block: B.Block, plan: Plan, resolver, got: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -255,10 +336,9 @@ def removed(block: B.Block, plan: Plan, resolver, got: dict) -> tuple[np.ndarray
     runs = Runs(block, plan)
     status = np.frombuffer(got.get("runs", b""), np.uint8)
     whole = np.flatnonzero(runs.later(status))
-    _, _, first_id, run, at, kind = resolver.open(block, runs, status, got)
-    gone = (np.frombuffer(got.get("windows", b""), np.uint8)[kind] == 1) | (runs.id[run] > first_id[kind])
-    text = np.r_[runs.text[whole], runs.text[run[gone]]]
-    start = np.r_[runs.start[whole], at[gone]]
-    end = np.r_[runs.start[whole] + runs.length[whole] - 1, at[gone]] + plan.window
+    run, at = resolver.gone(block, runs, status, got)
+    text = np.r_[runs.text[whole], runs.text[run]]
+    start = np.r_[runs.start[whole], at]
+    end = np.r_[runs.start[whole] + runs.length[whole] - 1, at] + plan.window
     order = np.argsort(text, kind="stable")
     return text[order], start[order], end[order]
