@@ -13,7 +13,7 @@ from .graph import components
 
 COUNT = np.dtype([("hash", "<u4"), ("count", "u1")])
 RANGES = 16  # of hash space, for the suffix filter
-ROW = "id long, n long, f1 long, f2 long, tokens array<long>, places array<int>, spread array<int>, shingles binary"
+ROW = "pid int, id long, n long, f1 long, f2 long, tokens array<long>, places array<int>, spread array<int>, shingles binary"
 
 
 def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,9 +81,9 @@ def _prefixes(k: int, percent: int):
                     if len(use) and (sign := (int(f1[i]), int(f2[i]))) not in seen:
                         seen.add(sign)
                         kept = h[lo:hi].tobytes()
-                out.append((block.raw_ids[begin + i], int(size[i]), int(f1[i : i + 1].view(np.int64)[0]), int(f2[i : i + 1].view(np.int64)[0]), tokens, places, spread[i], kept))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["id", "n", "f1", "f2", "tokens", "places", "spread", "shingles"])
+                out.append((block.pid, block.raw_ids[begin + i], int(size[i]), int(f1[i : i + 1].view(np.int64)[0]), int(f2[i : i + 1].view(np.int64)[0]), tokens, places, spread[i], kept))
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["pid", "id", "n", "f1", "f2", "tokens", "places", "spread", "shingles"])
 
     return rows
 
@@ -128,7 +128,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the shingle earliest; then pairs that are not yet in one component are paired exhaustively, so
     that groups of copies cost their number, not its square, and no link between components is missed.
     """
-    t0, n = B.blocks(docs, id_col, text_col)
+    return _joined(*B.blocks(docs, id_col, text_col), k, percent).drop("pid")
+
+
+def _joined(t0: DataFrame, n: int, k: int, percent: int) -> DataFrame:
     entries, answer = _frequencies(k)
     answers = B.ask(t0, None, n, "frequency", COUNT, entries, answer)
     rows = B.visit(t0, answers, ROW, _prefixes(k, percent)).checkpoint()
@@ -153,11 +156,34 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     same_id = known.groupBy("id").agg(F.count("*").alias("c")).filter("c > 1").join(known.filter("n > 0"), "id").join(classes, ["f1", "f2"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
     label = components(linked.unionByName(more).unionByName(same_id)).withColumnRenamed("node", "rep")
     return (
-        rows.select("id", "n", "f1", "f2").join(classes, ["f1", "f2"], "left").withColumn("rep", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")))
-        .join(label, "rep", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
+        rows.select("pid", "id", "n", "f1", "f2").join(classes, ["f1", "f2"], "left").withColumn("rep", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")))
+        .join(label, "rep", "left").select("pid", F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
     )
 
 
+def near_duplicates_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """Of each group that links reach, the document with the smallest id, with all its columns as they were.
+
+    As `jaccard_join`. Rows without an id stay; of rows that share an id, which are one document, one
+    stays, that of the smallest text. The text is moved once, into its block.
+    """
+    t0, n = B.blocks(docs, id_col, text_col, carry=True)
+    less = _joined(t0, n, k, percent).filter("doc_id <> component_id").groupBy("pid").agg(F.collect_set("doc_id").alias("ids"))
+
+    def packed(batches):
+        for b in batches:
+            raw = [B.squeeze(np.sort(np.asarray(x.values)).astype("<i8").tobytes()) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(["less"] * b.num_rows), pa.array([0] * b.num_rows, pa.int32()), pa.array(raw, pa.binary())], ["pid", "kind", "part", "ans"])
+
+    def rows(block, inner, got):
+        keep = ~np.isin(block.ids, np.frombuffer(got.get("less", b""), "<i8")) & B.first_of_runs(block.ids)
+        keep = np.r_[keep, np.ones(len(block.order) - block.known, bool)]
+        yield from B.restored(block, inner, np.flatnonzero(keep), ["id", "z", "rest"])
+
+    found = B.visit(t0, less.mapInArrow(packed, "pid int, kind string, part int, ans binary"), B.restored_schema(t0), rows)
+    return B.as_before(found, docs, id_col, text_col)
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return jaccard_join(docs, k=3, percent=90)

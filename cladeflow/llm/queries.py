@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import classifier, dedup, jaccard, mixing, packing, quality, token_files
+from . import classifier, dedup, jaccard, lm_score, mixing, packing, quality, token_files, topk
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_subword_classifier": classifier.op2_subword_classifier,
+    "op3_pivot_top_k": topk.op3_pivot_top_k,
     "op4_substring_dedup": dedup.op4_substring_dedup,
     "op5_suffix_array_dedup": dedup.op5_suffix_array_dedup,
+    "op6_cross_entropy_difference": lm_score.op6_cross_entropy_difference,
     "op7_hierarchical_mix": mixing.op7_hierarchical_mix,
     "op8_multi_length_packing": packing.op8_multi_length_packing,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_token_files": token_files.op10_token_files,
 }
 
-SQL: dict[str, str] = {"op7_hierarchical_mix": mixing.SQL}
+SQL: dict[str, str] = {"op3_pivot_top_k": topk.SQL, "op7_hierarchical_mix": mixing.SQL}
