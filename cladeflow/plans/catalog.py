@@ -1,6 +1,400 @@
-"""All registered queries and the SQL that checks them."""
+"""All registered queries of the library proper, each beside the SQL that checks it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cladeflow import schemas
+from cladeflow.functions import columns as X
+from cladeflow.operators import folds, verbs
+from cladeflow.plans import classify, fixtures, scoring, stages, tools
+from cladeflow.sources import fasta, sinks, tables
+from cladeflow.streaming import predict
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+T = fixtures.table
+VIRUS = lambda c: X.virus_name(c, fixtures.PATTERN)
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def domain(select: str) -> str:
+    return f"WITH {fixtures.SQL}\n{select}"
+
+
+def aggregated(spark: SparkSession, sf: str) -> DataFrame:
+    return scoring.aggregate_hits(fixtures.hits(spark, sf), fixtures.proteins(spark, sf), fixtures.TIES, virus=VIRUS)
+
+
+# Classification
+
+
+MEMBERSHIP = domain("""SELECT virus_name, class_name, round(class_score / total, 6) AS membership_ratio, round(round(total, 6), 3) AS virus_hit_score, round(confidence, 9) AS confidence_score
+FROM totals JOIN ranks ON x = round(total, 6)""")
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select("virus_name", "class_name", F.round("membership_ratio", 6).alias("membership_ratio"), F.round("virus_hit_score", 3).alias("virus_hit_score"), F.round("confidence_score", 9).alias("confidence_score"))
+
+
+@query(MEMBERSHIP)
+def classify_flagship(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(classify.classify_hits(fixtures.hits(spark, sf), fixtures.proteins(spark, sf), fixtures.classes(spark, sf), fixtures.samples(spark, sf), fixtures.TIES, virus=VIRUS))
+
+
+@query("SELECT doc_id, length(regexp_replace(text, '[^\\p{L}]|X', '', 'g')) / 1000::DOUBLE AS k_base_size FROM documents")
+def protein_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return T(spark, sf, "documents").select("doc_id", X.k_base_size(F.col("text")).alias("k_base_size"))
+
+
+@query(domain("SELECT virus_name, target_name, query_name, sequence_score FROM named"))
+def name_hits(spark: SparkSession, sf: str) -> DataFrame:
+    return scoring.name_hits(fixtures.hits(spark, sf), virus=VIRUS)
+
+
+@query(domain("SELECT virus_name, target_name, query_name, sequence_score FROM best"))
+def best_hit_per_protein(spark: SparkSession, sf: str) -> DataFrame:
+    named = scoring.name_hits(fixtures.hits(spark, sf), virus=VIRUS, extra=fixtures.TIES)
+    return scoring.best_hits(named, (*fixtures.TIES, "query_name")).select("virus_name", "target_name", "query_name", "sequence_score")
+
+
+@query(domain("SELECT virus_name, model_name, round(protein_hit_score, 3) AS protein_hit_score FROM aggregated"))
+def aggregate_hits(spark: SparkSession, sf: str) -> DataFrame:
+    return aggregated(spark, sf).withColumn("protein_hit_score", F.round("protein_hit_score", 3))
+
+
+@query(domain("SELECT virus_name, class_name, round(class_score, 3) AS class_score FROM scored"))
+def class_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return scoring.class_scores(aggregated(spark, sf), fixtures.classes(spark, sf)).withColumn("class_score", F.round("class_score", 3))
+
+
+def _levels(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Two levels: part types, and size bands of one percent share each."""
+    c, s = fixtures.classes(spark, sf), fixtures.samples(spark, sf)
+    upper = c.withColumn("class_name", F.substring("class_name", 1, 1)).groupBy("model_name", "class_name").agg(F.sum("class_percent").alias("class_percent"), F.min("class_cat").alias("class_cat"))
+    both = lambda a, b: verbs.union_all([a.select(F.lit("type").alias("class_key"), "*"), b.select(F.lit("letter").alias("class_key"), "*")])
+    return both(c, upper), both(s, s.select((F.col("virus_hit_score") / 2).alias("virus_hit_score")))
+
+
+@query(domain("""SELECT * FROM (SELECT 'type' AS class_key, virus_name, class_name, round(class_score / total, 6) AS membership_ratio FROM totals
+UNION ALL SELECT 'letter', virus_name, c, round(s / sum(s) OVER (PARTITION BY virus_name), 6) FROM (SELECT virus_name, u.c, sum(protein_hit_score * u.p / 100 * ((5 - u.k) / 4::DOUBLE)) AS s
+  FROM aggregated JOIN (SELECT model_name, class_name[1] AS c, sum(class_percent) AS p, min(class_cat) AS k FROM classes GROUP BY ALL) u USING (model_name) GROUP BY ALL))"""))
+def membership_of_levels(spark: SparkSession, sf: str) -> DataFrame:
+    found = scoring.predict_membership(aggregated(spark, sf), *_levels(spark, sf))
+    return found.select("class_key", "virus_name", "class_name", F.round("membership_ratio", 6).alias("membership_ratio"))
+
+
+@query("""SELECT c_custkey, score, round(((SELECT count(*) FROM orders WHERE o_totalprice < score) + 0.5::DOUBLE * (SELECT count(*) FROM orders WHERE o_totalprice = score)) / (SELECT count(*) FROM orders), 9) AS confidence_score
+FROM (SELECT c_custkey, c_acctbal * 40 AS score FROM customer)""")
+def percentile_rank(spark: SparkSession, sf: str) -> DataFrame:
+    scores = T(spark, sf, "customer").select("c_custkey", (F.col("c_acctbal") * 40).alias("score"))
+    ranked = scoring.percentile_rank(scores, T(spark, sf, "orders").select(F.col("o_totalprice").alias("virus_hit_score")), "score")
+    return ranked.withColumn("confidence_score", F.round("confidence_score", 9))
+
+
+@query("SELECT o_orderkey, regexp_extract('contig_' || o_custkey || '_' || o_orderkey, '^(.*)_[0-9]', 1) AS virus_name FROM orders")
+def virus_name(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.concat(F.lit("  contig_"), F.col("o_custkey").cast("string"), F.lit("_"), F.col("o_orderkey").cast("string"), F.lit("\t # a comment # another"))
+    return T(spark, sf, "orders").select("o_orderkey", X.virus_name(X.strip_name_comments(name)).alias("virus_name"))
+
+
+@query("SELECT p_partkey, p_size / 10.0::DOUBLE AS size_ratio, CASE WHEN p_size % 10 = 0 THEN 'Infinity' ELSE round(p_size / (p_size % 10)::DOUBLE, 9)::VARCHAR END AS by_digit FROM part")
+def ieee_division(spark: SparkSession, sf: str) -> DataFrame:
+    q = X.ieee_div(F.col("p_size"), F.col("p_size") % 10)
+    return T(spark, sf, "part").select("p_partkey", X.ieee_div(F.col("p_size"), F.lit(10)).alias("size_ratio"), F.round(q, 9).cast("string").alias("by_digit"))
+
+
+# Columns and rows
+
+
+@query("SELECT p_retailprice * 2 AS twice, upper(p_brand) AS loud, * FROM part")
+def mutate_front(spark: SparkSession, sf: str) -> DataFrame:
+    return verbs.mutate(T(spark, sf, "part"), twice=F.col("p_retailprice") * 2, loud=F.upper("p_brand"))
+
+
+@query("SELECT p_partkey, p_name, p_brand, p_type, 'size ' || p_size AS p_size, p_retailprice FROM part")
+def replace_column(spark: SparkSession, sf: str) -> DataFrame:
+    return verbs.map_column(T(spark, sf, "part"), "p_size", lambda c: F.concat(F.lit("size "), c.cast("string")))
+
+
+@query("SELECT p_partkey, p_name, p_brand || ' ' || p_type AS label, p_size, p_retailprice FROM part")
+def replace_columns(spark: SparkSession, sf: str) -> DataFrame:
+    return verbs.replace_columns(T(spark, sf, "part"), ["p_brand", "p_type"], {"label": F.concat_ws(" ", "p_brand", "p_type")})
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def select_drop(spark: SparkSession, sf: str) -> DataFrame:
+    return T(spark, sf, "orders").drop("o_orderpriority").select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("SELECT o_orderpriority AS priority, o_orderkey AS id FROM orders")
+def rename_reorder(spark: SparkSession, sf: str) -> DataFrame:
+    renamed = verbs.rename(T(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), o_orderkey="id", o_orderpriority="priority")
+    return verbs.reorder(renamed, ["priority", "id"])
+
+
+@query("SELECT p_size + p_partkey AS key_size, p_name, p_brand, p_type, p_retailprice FROM part")
+def subset_front(spark: SparkSession, sf: str) -> DataFrame:
+    return verbs.subset_front(T(spark, sf, "part"), ["p_partkey", "p_size"], lambda d: {"key_size": d["p_size"] + d["p_partkey"]})
+
+
+@query("SELECT event_id, value * 2 + 1 AS doubled FROM events")
+def map_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return verbs.map_rows(T(spark, sf, "events").select("event_id", "value"), lambda b: pd.DataFrame({"event_id": b["event_id"], "doubled": b["value"] * 2 + 1}), "event_id long, doubled double")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_discount FROM lineitem WHERE l_discount / 50 <= 0.001")
+def filter_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return T(spark, sf, "lineitem").filter(F.col("l_discount") / 50 <= 0.001).select("l_orderkey", "l_linenumber", "l_discount")
+
+
+@query("SELECT doc_id, lang, quality FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NOT NULL")
+def drop_nothings(spark: SparkSession, sf: str) -> DataFrame:
+    return verbs.drop_nothings(T(spark, sf, "documents").select("doc_id", "lang").join(T(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left"), "quality")
+
+
+@query("SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents")
+def unnest(spark: SparkSession, sf: str) -> DataFrame:
+    return verbs.unnest(T(spark, sf, "documents").select("doc_id", F.split("text", "\n").alias("line")), "line")
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders")
+def unnest_frame(spark: SparkSession, sf: str) -> DataFrame:
+    nested = T(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_list(F.struct("o_orderkey", "o_totalprice")).alias("orders"))
+    return verbs.unnest_frame(nested, "orders")
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events")
+def zip_unzip(spark: SparkSession, sf: str) -> DataFrame:
+    zipped = verbs.zip_columns(T(spark, sf, "events").select("event_id", "user_id", "event_type", "value"), ["user_id", "event_type"], "who")
+    return verbs.unzip_column(zipped, "who")
+
+
+@query(domain("SELECT model_name, count(*)::INTEGER AS n_classes FROM classes GROUP BY ALL"))
+def nest_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return verbs.nest_classes(fixtures.classes(spark, sf)).select("model_name", F.size("classes").alias("n_classes"))
+
+
+@query(domain("SELECT model_name, class_name, CASE WHEN count(*) OVER (PARTITION BY model_name) = 1 THEN 100 ELSE round(class_percent, 9) END AS class_percent, class_cat FROM classes"))
+def class_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    return verbs.unnest_classes(verbs.nest_classes(fixtures.classes(spark, sf))).withColumn("class_percent", F.round("class_percent", 9))
+
+
+# Joins, groups, order
+
+
+@query("SELECT c_custkey, c_name, c_acctbal, o_orderkey, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey")
+def inner_join(spark: SparkSession, sf: str) -> DataFrame:
+    orders = T(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"), "o_totalprice")
+    return verbs.inner_join(orders, T(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal"), ["c_custkey"])
+
+
+@query("SELECT o_custkey, c_name || ':' || o_orderkey AS pair FROM orders JOIN customer ON o_custkey = c_custkey")
+def inner_join_with(spark: SparkSession, sf: str) -> DataFrame:
+    customers = T(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    return verbs.inner_join_with(T(spark, sf, "orders").select("o_custkey", "o_orderkey"), customers, ["o_custkey"], lambda a, b: {"pair": F.concat_ws(":", b["c_name"], a["o_orderkey"].cast("string"))})
+
+
+@query("SELECT n_name || '/' || r_name AS pair FROM nation, region")
+def product_join(spark: SparkSession, sf: str) -> DataFrame:
+    return verbs.product_with(T(spark, sf, "nation"), T(spark, sf, "region"), lambda a, b: {"pair": F.concat_ws("/", a["n_name"], b["r_name"])})
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS quantity, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem GROUP BY ALL")
+def summarize(spark: SparkSession, sf: str) -> DataFrame:
+    return verbs.summarizing(T(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], n=F.count("*"), quantity=F.sum("l_quantity"), revenue=F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2))
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice - min(o_totalprice) OVER (PARTITION BY o_custkey) AS above FROM orders")
+def fixed_groups(spark: SparkSession, sf: str) -> DataFrame:
+    above = lambda g: pd.DataFrame({"o_orderkey": g["o_orderkey"], "above": g["o_totalprice"] - g["o_totalprice"].min()})
+    return verbs.fixed_groups(T(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], above, "o_orderkey long, above double")
+
+
+@query("SELECT max(o_orderkey) AS last, count(*) AS n FROM orders GROUP BY o_custkey")
+def grouped(spark: SparkSession, sf: str) -> DataFrame:
+    one = lambda g: pd.DataFrame({"last": [g["o_orderkey"].max()], "n": [len(g)]})
+    return verbs.grouped(T(spark, sf, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], one, "last long, n long")
+
+
+@query("SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS keys FROM orders GROUP BY ALL")
+def split_groups(spark: SparkSession, sf: str) -> DataFrame:
+    groups = verbs.split_groups(T(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], ["o_orderkey"])
+    return groups.select("o_custkey", F.array_join(F.transform("rows", lambda r: r["o_orderkey"].cast("string")), ",").alias("keys"))
+
+
+@query("SELECT count(*) AS n, sum(l_quantity) AS total, max(l_quantity) AS most FROM lineitem")
+def monoid_fold(spark: SparkSession, sf: str) -> DataFrame:
+    one = lambda b: pd.DataFrame({"n": [len(b)], "total": [b["l_quantity"].sum()], "most": [b["l_quantity"].max()]})
+    both = lambda p: pd.DataFrame({"n": [p["n"].sum()], "total": [p["total"].sum()], "most": [p["most"].max()]})
+    return folds.fold(T(spark, sf, "lineitem").select("l_quantity"), one, both, "n long, total double, most double")
+
+
+@query("SELECT year(o_orderdate) AS year, o_orderkey, o_totalprice FROM orders")
+def reindex(spark: SparkSession, sf: str) -> DataFrame:
+    return verbs.reindex_by(T(spark, sf, "orders"), year=F.year("o_orderdate")).select("year", "o_orderkey", "o_totalprice")
+
+
+@query("SELECT o_orderpriority, o_orderkey, o_custkey FROM orders")
+def reset_index(spark: SparkSession, sf: str) -> DataFrame:
+    return verbs.reset_index(T(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), ["o_orderpriority"])
+
+
+@query("SELECT o_custkey FROM orders")
+def drop_index(spark: SparkSession, sf: str) -> DataFrame:
+    return verbs.drop_index(T(spark, sf, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"])
+
+
+@query("SELECT o_orderkey, o_custkey + 1000 AS customer, round(o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_custkey), 9) AS share FROM orders")
+def reindexed(spark: SparkSession, sf: str) -> DataFrame:
+    share = lambda d: verbs.map_index(verbs.group_total(d, ["o_custkey"], "o_totalprice", "t").withColumn("share", F.round(F.col("o_totalprice") / F.col("t"), 9)).drop("t", "o_totalprice"), "o_custkey", lambda k: k + 1000).withColumnRenamed("o_custkey", "customer")
+    return verbs.reindexed(T(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), ["o_custkey"], share, {"o_custkey": "customer"})
+
+
+@query("SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey")
+def arrange(spark: SparkSession, sf: str) -> DataFrame:
+    return verbs.arrange(T(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority"), [F.asc("o_orderpriority"), F.desc("o_totalprice")], ["o_orderkey"])
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+def top_n(spark: SparkSession, sf: str) -> DataFrame:
+    return verbs.top(T(spark, sf, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice")], 25, ["o_orderkey"])
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 3")
+def top_n_per_group(spark: SparkSession, sf: str) -> DataFrame:
+    return verbs.top_n_per_group(T(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], [F.desc("o_totalprice")], 3, ["o_orderkey"])
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, sum(l_quantity) OVER (PARTITION BY l_orderkey) AS order_quantity FROM lineitem")
+def group_total(spark: SparkSession, sf: str) -> DataFrame:
+    return verbs.group_total(T(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"), ["l_orderkey"], "l_quantity", "order_quantity").drop("l_quantity")
+
+
+@query("""SELECT out_pos, o_orderkey FROM (SELECT o_orderkey AS out_pos, o_custkey AS pos FROM orders) JOIN (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, o_orderkey FROM orders) USING (pos)""")
+def take_rows(spark: SparkSession, sf: str) -> DataFrame:
+    orders = T(spark, sf, "orders")
+    return verbs.take_rows(orders.select("o_orderkey"), orders.select(F.col("o_orderkey").alias("out_pos"), F.col("o_custkey").alias("pos")), ["o_orderkey"]).select("out_pos", "o_orderkey")
+
+
+@query("SELECT c_name AS name, c_acctbal AS balance FROM customer UNION ALL SELECT s_name, s_acctbal FROM supplier")
+def union_all(spark: SparkSession, sf: str) -> DataFrame:
+    return verbs.union_all([T(spark, sf, "customer").select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance")), T(spark, sf, "supplier").select(F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))])
+
+
+# Sources, sinks, stages
+
+
+@query("SELECT doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 5 AS chunk_id, source FROM documents")
+def chunk_sequences(spark: SparkSession, sf: str) -> DataFrame:
+    return tools.chunk_sequences(T(spark, sf, "documents").select("doc_id", "source"), 5, ["doc_id"], ["source"])
+
+
+@query("SELECT source, chunk_id, count(*) AS n FROM (SELECT source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 5 AS chunk_id FROM documents) GROUP BY ALL")
+def chunk_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return tools.chunk_keys(chunk_sequences(spark, sf), ["source", "chunk_id"], ["doc_id"]).drop("chunk_key")
+
+
+@query("SELECT p_partkey || chr(9) || p_name || chr(9) || p_size AS line FROM part")
+def dsv_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return sinks.dsv_lines(T(spark, sf, "part").select("p_partkey", "p_name", "p_size"))
+
+
+@query(domain("SELECT model_name, class_name, class_percent, class_cat FROM classes"))
+def dsv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    path = stages.scratch_folder(spark)
+    sinks.write_dsv(fixtures.classes(spark, sf), path)
+    return tables.read_classification(spark, path)
+
+
+@query("SELECT p_name AS row_text FROM part WHERE p_size % 7 = 0")
+def dsv_bad_rows(spark: SparkSession, sf: str) -> DataFrame:
+    path = stages.scratch_folder(spark)
+    size = F.when(F.col("p_size") % 7 == 0, "many").otherwise(F.col("p_size").cast("string"))
+    sinks.write_dsv(T(spark, sf, "part").select("p_name", "p_brand", F.lit(1.0), size), path)
+    _, bad = tables.read_dsv_either(spark, path, schemas.MODEL_CLASSES)
+    return bad.select(F.split_part("row", F.lit("\t"), F.lit(1)).alias("row_text"))
+
+
+@query("SELECT 'doc' || doc_id AS name, length(regexp_replace(text, '[^\\p{L}]|X', '', 'g')) / 1000::DOUBLE AS k_base_size FROM documents WHERE length(replace(text, chr(10), '')) > 0")
+def fasta_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    path = stages.scratch_folder(spark)
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, "^>+", "")), lambda x: x != "")
+    fasta.write_fasta(T(spark, sf, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(" # from documents")).alias("name"), lines.alias("seq_lines")).filter(F.size("seq_lines") > 0), path)
+    return scoring.protein_sizes(fasta.read_fasta(spark, path)).withColumnRenamed("protein_name", "name")
+
+
+@query(domain("SELECT target_name, NULL::VARCHAR AS target_accession, query_name, sequence_e_value, round(sequence_score, 6) AS sequence_score, l_partkey::INTEGER AS reg_estimation, 'a' AS description FROM hits"))
+def tblout_parse(spark: SparkSession, sf: str) -> DataFrame:
+    path = stages.scratch_folder(spark)
+    numbers = [F.lit("0.5")] * 5
+    line = F.concat_ws("  ", "target_name", F.lit("-"), "query_name", F.lit("PF1"), F.col("sequence_e_value").cast("string"), F.format_string("%.6f", "sequence_score"), *numbers, F.col("l_partkey").cast("string"), *[F.lit("1")] * 6, F.lit("a description"))
+    verbs.union_all([fixtures.hits(spark, sf).select(line.alias("value")), spark.range(2).select(F.lit("# comment").alias("value"))]).write.text(path)
+    good, _ = tables.read_tblout(spark, path)
+    return good.select("target_name", "target_accession", "query_name", "sequence_e_value", "sequence_score", "reg_estimation", "description")
+
+
+@query(domain("SELECT class_key, virus_name, class_name, round(class_score / total, 6) AS membership_ratio FROM totals, (SELECT unnest(['a', 'b']) AS class_key)"))
+def levels_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Class and sample files of two levels, named by a data index, read, predicted with, written and read again."""
+    path = stages.scratch_folder(spark)
+    for key in ("a", "b"):
+        sinks.write_dsv(fixtures.classes(spark, sf), f"{path}/{key}-classes")
+        sinks.write_dsv(fixtures.samples(spark, sf), f"{path}/{key}-samples", header=False)
+    text = "classificationFiles:\n" + "".join(f"  {k}:\n    modelClassesFile: {k}-classes\n    scoreSamplesFile: {k}-samples\n" for k in ("a", "b")) + "vpfsFile: models\n"
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{path}/index")
+    levels, _ = tables.load_index(spark, f"{path}/index")
+    levels = [(k, c.replace("/index/", "/"), s.replace("/index/", "/")) for k, c, s in levels]
+    sinks.write_levels(scoring.predict_membership(aggregated(spark, sf), *tables.read_levels(spark, levels)).drop("rank_in_virus"), f"{path}/out", ["a", "b"])
+    read = [tables.read_dsv(spark, f"{path}/out/{k}.tsv", schemas.PREDICTIONS).select(F.lit(k).alias("class_key"), "virus_name", "class_name", F.round("membership_ratio", 6).alias("membership_ratio")) for k in ("a", "b")]
+    return verbs.union_all(read)
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def stage_resume(spark: SparkSession, sf: str) -> DataFrame:
+    """A stage that is built once; the second time it is read, though what would build it fails."""
+    orders = T(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    work, key = stages.scratch_folder(spark), stages.content_key(orders)
+    stages.stage(spark, work, key, "processed", lambda: orders)
+    return stages.stage(spark, work, key, "processed", lambda: orders.select(F.raise_error(F.lit("built twice"))))
+
+
+@query("SELECT source, chunk_id, count(*) AS n FROM (SELECT source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 50 AS chunk_id FROM documents) GROUP BY ALL")
+def pipe_tool(spark: SparkSession, sf: str) -> DataFrame:
+    """Each chunk's sequences through an external command (cp) and back."""
+    docs = T(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("name"), F.array(F.regexp_replace("text", r"[^\p{L}]", "A")).alias("seq_lines"), "source", "doc_id")
+    chunks = tools.chunk_sequences(docs, 50, ["doc_id"], ["source"]).drop("doc_id")
+    cp = tools.find_tool("cp")
+    back = tools.pipe_tool(chunks, lambda source, out: [cp, source, out], tools.parse_fasta, schemas.FASTA, ["source", "chunk_id"])
+    return back.groupBy("source", "chunk_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT source, count(*) AS n FROM documents GROUP BY ALL")
+def run_on_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """A shipped function over partitions of chunks: entries counted by source."""
+    counted = lambda batches: (b.groupby("source").size().reset_index(name="n") for b in batches)
+    return tools.run_on_chunks(chunk_sequences(spark, sf), counted, "source string, n long").groupBy("source").agg(F.sum("n").alias("n"))
+
+
+@query(MEMBERSHIP)
+def stream_predict(spark: SparkSession, sf: str) -> DataFrame:
+    path = stages.scratch_folder(spark)
+    sinks.write_dsv(aggregated(spark, sf).coalesce(1), f"{path}/arriving")
+    predict.stream_predictions(spark, f"{path}/arriving", f"{path}/out", f"{path}/state", fixtures.classes(spark, sf), fixtures.samples(spark, sf)).awaitTermination()
+    return _rounded(spark.read.parquet(f"{path}/out"))
