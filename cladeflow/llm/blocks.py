@@ -165,7 +165,7 @@ def restored(block: Block, inner: pa.StructArray, which: np.ndarray, names: list
 
 def as_before(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows of (id, z, rest) under the names, types and order of the columns of docs."""
-    at = {id_col: F.col("id"), text_col: F.decode("z", F.lit("utf-8"))}
+    at = {id_col: F.col("id"), text_col: F.decode("z", "utf-8")}
     return rows.select(*[(at[f.name] if f.name in at else F.col(f"rest.`{f.name}`")).cast(f.dataType).alias(f.name) for f in docs.schema.fields])
 
 

@@ -38,11 +38,12 @@ class Words:
         self.doc = np.repeat(np.arange(len(self.size)), self.size)
 
     def counts(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct codes of documents with an id, packed with their counts, and each position's place among them (else -1)."""
-        use = self.known[self.doc]
-        key, inverse = np.unique(codes[use], return_inverse=True)
+        """Distinct codes, packed with their counts in documents with an id, and each position's place among them."""
+        key, inverse = np.unique(codes, return_inverse=True)
         out = np.empty(len(key), COUNTED)
-        out["key"], out["all"], out["target"] = key, np.bincount(inverse, minlength=len(key)), np.bincount(inverse, self.target[self.doc[use]], minlength=len(key))
+        out["key"] = key
+        for column, which in (("all", self.known), ("target", self.target)):
+            out[column] = np.bincount(inverse, which[self.doc], minlength=len(key))
         return key, out, inverse
 
     def in_vocabulary(self, got: dict, least: int) -> np.ndarray:
