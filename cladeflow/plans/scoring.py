@@ -28,7 +28,8 @@ def protein_sizes(fasta: DataFrame) -> DataFrame:
 def name_hits(hits: DataFrame, threshold: float = E_VALUE, virus: Callable[[Column], Column] = X.virus_name, extra: Sequence[str] = ()) -> DataFrame:
     """Hits up to the e-value, inclusive, with their virus; four columns and those in extra are kept."""
     kept = hits.filter(F.col("sequence_e_value") <= threshold)
-    return kept.select(virus(F.col("target_name")).alias("virus_name"), "target_name", "query_name", "sequence_score", *extra)
+    more = [c for c in dict.fromkeys(extra) if c not in ("virus_name", "target_name", "query_name", "sequence_score")]
+    return kept.select(virus(F.col("target_name")).alias("virus_name"), "target_name", "query_name", "sequence_score", *more)
 
 
 def best_hits(named: DataFrame, pos: Sequence[str], unit: Sequence[str] = ()) -> DataFrame:
