@@ -1,8 +1,11 @@
 """Encoding of texts by a public tokenizer file, each distinct word once per Python worker.
 
 Both vocabularies merge inside pre-tokens only, so a text may be cut at any place that is surely a
-pre-token boundary and the pieces encoded apart. What has been encoded is kept, up to a bound, for the
-worker's later tasks. Texts with white space beyond single spaces and line feeds are encoded whole.
+pre-token boundary and the pieces encoded apart: before a space or line feed between other characters,
+after such a line feed, and before a full stop or comma that ends a word after an ASCII letter or digit.
+Pieces are told apart by 64-bit hashes. What has been encoded is kept, up to a bound, for the worker's
+later tasks. Texts with white space beyond single spaces and line feeds are encoded whole where white
+space counts.
 """
 
 from __future__ import annotations
@@ -12,12 +15,16 @@ import re
 
 import numpy as np
 
-HELD = 400_000  # words kept in each of two generations
-TOGETHER = 2000  # new words encoded by one call
+from . import kernels as K
+
+HELD = 1_500_000  # pieces that a worker keeps
+TOGETHER = 2000  # new pieces encoded by one call
 
 _encoders: dict[tuple[str, str], Encoder] = {}
 _CLASS = bytes(120 if b < 32 and b != 10 or b == 127 else 32 if b in (10, 32) else 121 if b in (0xC2, 0xE1, 0xE2, 0xE3) else 97 for b in range(256))
 _WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+_ALNUM = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
+BARE, SPACED, NEW_LINE = 0, 1, 2  # what goes before a piece
 
 
 def encoder(path: str, kind: str) -> Encoder:
@@ -27,27 +34,28 @@ def encoder(path: str, kind: str) -> Encoder:
     return _encoders[path, kind]
 
 
-class Memory(dict):
-    """Words and their ids as little-endian bytes; the older of two generations goes when the newer is full."""
+class Memory:
+    """Ids of pieces, found by the piece's hash."""
 
     def __init__(self):
-        super().__init__()
-        self.old: dict = {}
-
-    def room(self) -> None:
-        if len(self) > HELD:
-            self.old = dict(self)
-            self.clear()
-
-    def new(self, words: set) -> list:
-        """The words not held yet; those of the older generation move up."""
-        out = []
-        for w in words.difference(self):
-            if (ids := self.old.get(w)) is None:
-                out.append(w)
-            else:
-                self[w] = ids
-        return out
+        self.keys, self.start, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, "<u4")
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's place, -1 where it isn't held."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, length: np.ndarray) -> None:
+        """New keys, ascending, and their ids one after the other."""
+        if len(self.keys) + len(keys) > HELD:
+            self.__init__()
+        at = np.searchsorted(self.keys, keys)
+        start = len(self.ids) + np.cumsum(length) - length
+        self.keys, self.start, self.length = (np.insert(a, at, b) for a, b in ((self.keys, keys), (self.start, start), (self.length, length)))
+        self.ids = np.concatenate([self.ids, ids])
 
 
 class Encoder:
@@ -58,48 +66,39 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = kind
-        self.mark = "\n" if kind == "bytes" else "\x01"
-        self.mark_id = self._ids(self.mark)[0]
-        self.bare, self.spaced = Memory(), Memory()
-
-    def _ids(self, text: str) -> list[int]:
-        return self.model.encode(text, add_special_tokens=False).ids
-
-    def whole(self, text: bytes) -> bytes:
-        return np.array(self._ids(text.decode("utf-8", "replace")), "<u4").tobytes()
-
-    def _learn(self, memory: Memory, words: set, lead: str) -> None:
-        """Hold the ids of all the words, each with the lead before it."""
-        memory.room()
-        new = memory.new(words)
-        # A full stop or comma after a letter or digit, at a word's end, is a pre-token of its own.
-        ends = [w for w in new if len(w) > 1 and w[-1] in b".," and w[-2:-1].isalnum()]
-        stems = {w[:-1] for w in ends}
-        folded = {} if self.kind == "bytes" else {w: w.lower() for w in set(new).union(stems) if w.isascii() and w != w.lower()}
-        need = memory.new(set(new).difference(ends).union(stems).difference(folded).union(folded.values()))
-        odd = [w for w in need if b"\x01" in w]
-        plain = [w for w in need if b"\x01" not in w]
-        for i in range(0, len(plain), TOGETHER):
-            part = plain[i : i + TOGETHER]
-            between = f"{self.mark}{lead}" if self.kind == "bytes" else f" {self.mark} "
-            ids = np.array(self._ids(lead + between.join(w.decode("utf-8", "replace") for w in part)), "<u4")
+        self.mark = b"\n" if kind == "bytes" else b"\x01"
+        self.mark_id = int(self._ids(self.mark)[0])
+        self.memory = Memory()
+
+    def _ids(self, text: bytes) -> np.ndarray:
+        return np.array(self.model.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4")
+
+    def _new(self, pieces: list[bytes], lead: bytes) -> list[np.ndarray]:
+        """Ids of each piece with the lead before it; marks between pieces tell where each ends."""
+        out: list[np.ndarray] = []
+        between = self.mark + lead if self.kind == "bytes" else b" " + self.mark + b" "
+        for i in range(0, len(pieces), TOGETHER):
+            part = pieces[i : i + TOGETHER]
+            if self.kind == "words" and any(self.mark in p for p in part):
+                out += [self._ids(p) for p in part]
+                continue
+            ids = self._ids(lead + between.join(part))
             cut = np.flatnonzero(ids == self.mark_id)
-            raw, begin = ids.tobytes(), np.r_[0, cut + 1] * 4
-            for w, a, b in zip(part, begin.tolist(), [*(cut * 4).tolist(), len(raw)], strict=True):
-                memory[w] = raw[a:b]
-        for w in odd:
-            memory[w] = self.whole(lead.encode() + w)
-        for w, low in folded.items():
-            memory[w] = memory[low]
-        for w in ends:
-            if w not in memory:
-                memory[w] = memory[w[:-1]] + self.point[w[-1:]]
-
-    @property
-    def point(self) -> dict:
-        if not hasattr(self, "_point"):
-            self._point = {p: self.whole(p) for p in (b".", b",")}
-        return self._point
+            begin, end = np.r_[0, cut + 1], np.r_[cut, len(ids)]
+            out += [ids[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+        return out
+
+    def _learn(self, keys: np.ndarray, flat: bytes, start: np.ndarray, end: np.ndarray, lead: np.ndarray) -> None:
+        """Hold the ids of new pieces."""
+        made: list = [None] * len(keys)
+        for spaced in (False, True):
+            which = np.flatnonzero((lead == SPACED) == spaced)
+            found = self._new([flat[a:b] for a, b in zip(start[which].tolist(), end[which].tolist(), strict=True)], b" " if spaced else b"")
+            for i, ids in zip(which.tolist(), found, strict=True):
+                made[i] = ids
+        for i in np.flatnonzero(lead == NEW_LINE).tolist():
+            made[i] = np.r_[np.uint32(self.mark_id), made[i]]
+        self.memory.add(keys, np.concatenate(made).astype("<u4"), np.array([len(m) for m in made], np.int64))
 
     def _plain(self, text: bytes) -> bool:
         """Only single spaces and line feeds, between other characters."""
@@ -109,16 +108,42 @@ class Encoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         if self.kind == "words":
-            parts = [t.split() for t in texts]
-            self._learn(self.bare, set().union(*parts), "")
-            return [b"".join(map(self.bare.__getitem__, p)) for p in parts]
-        lines = [[x.split(b" ") for x in t.split(b"\n")] if self._plain(t) else None for t in texts]
-        heads, tails = set(), set()
-        for doc in lines:
-            for x in doc or ():
-                heads.add(x[0])
-                tails.update(x[1:])
-        self._learn(self.bare, heads, "")
-        self._learn(self.spaced, tails, " ")
-        feed, bare, spaced = np.array([self.mark_id], "<u4").tobytes(), self.bare, self.spaced.__getitem__
-        return [self.whole(t) if doc is None else feed.join([bare[x[0]] + b"".join(map(spaced, x[1:])) for x in doc]) for t, doc in zip(texts, lines, strict=True)]
+            return self._pieces(texts)
+        plain = [self._plain(t) for t in texts]
+        found = iter(self._pieces([t for t, p in zip(texts, plain, strict=True) if p]))
+        return [next(found) if p else self._ids(t).tobytes() for t, p in zip(texts, plain, strict=True)]
+
+    def _pieces(self, texts: list[bytes]) -> list[bytes]:
+        if not texts:
+            return []
+        flat, begins = K.join_texts(texts, lower=self.kind == "words")
+        start, end, _ = K.words(flat, begins)
+        point = (end - start > 1) & ((flat[end - 1] == 46) | (flat[end - 1] == 44))
+        point[point] = _ALNUM[flat[end[point] - 2]]
+        at = np.flatnonzero(point) + 1
+        cut = end[point] - 1
+        end = end.copy()
+        end[point] = cut
+        start, end = np.insert(start, at, cut), np.insert(end, at, cut + 1)
+        lead = np.zeros(len(start), np.int64)
+        if self.kind == "bytes":
+            before = flat[start - 1]
+            lead = np.where(before == 32, SPACED, np.where(before == 10, NEW_LINE, BARE))
+            lead[np.searchsorted(start, begins[:-1])] = BARE
+        codes = K.Rolling(K.BYTE_CODE[flat]).stretches(start, end)
+        keys, first, inverse = np.unique(K.mix(codes + lead.astype(np.uint64)), return_index=True, return_inverse=True)
+        place = self.memory.find(keys)
+        if (place < 0).any():
+            raw = flat.tobytes()
+            new = np.flatnonzero(place < 0)
+            kept = len(self.memory.keys)
+            self._learn(keys[new], raw, start[first[new]], end[first[new]], lead[first[new]])
+            if len(self.memory.keys) != kept + len(new):  # it was emptied first
+                again = np.flatnonzero(self.memory.find(keys) < 0)
+                self._learn(keys[again], raw, start[first[again]], end[first[again]], lead[first[again]])
+            place = self.memory.find(keys)
+        m = self.memory
+        length = m.length[place][inverse]
+        ids = m.ids[K.ranges(m.start[place][inverse], length)]
+        upto = np.r_[0, np.cumsum(length)][np.searchsorted(start, begins)]
+        return [ids[a:b].tobytes() for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
