@@ -14,6 +14,7 @@ from .quality import _sampled, chunked
 ROWS = 3000  # training documents of each label, at most
 BUCKETS, SIZE = 1 << 17, 12
 GRAMS = (3, 4)  # characters
+AGAIN = np.uint64(0xA6A1)
 EPOCHS, RATE = 8, 0.4
 CUT = 0.7
 
@@ -23,10 +24,16 @@ def held_out(id_col: Column) -> Column:
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all words and character n-grams of the texts, kind by kind, and each one's text."""
+    """Buckets of all words and character n-grams of the texts, kind by kind, and each one's text.
+
+    A word that repeats the one before it gives one more feature, the same for all words, as a mean over
+    n-grams says nothing of their order.
+    """
     codes, first = K.word_codes(texts)
     n = len(texts)
-    found, owner = [codes], [np.repeat(np.arange(n), np.diff(first))]
+    text = np.repeat(np.arange(n), np.diff(first))
+    again = np.flatnonzero((codes[1:] == codes[:-1]) & (text[1:] == text[:-1]))
+    found, owner = [codes, np.full(len(again), AGAIN)], [text, text[again]]
     chars = [np.frombuffer(t.decode("utf-8", "replace").encode("utf-32-le"), np.uint32) for t in texts]
     size = np.array([len(c) for c in chars])
     flat = np.concatenate(chars) if chars else np.zeros(0, np.uint32)
@@ -68,11 +75,11 @@ class Model:
         self.gain = (self.vectors @ (self.layer[1] - self.layer[0])).astype(np.float64)
         self.base = float(self.bias[1] - self.bias[0])
 
-    def scores(self, bucket: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
-        """Probability of label 1. As the layer is linear, a document's margin is the mean of its features' margins."""
-        total = np.bincount(text, self.gain[bucket], minlength=n)
-        margin = total / np.maximum(np.bincount(text, minlength=n), 1) + self.base
-        return 1 / (1 + np.exp(-np.clip(margin, -50, 50)))
+
+def scores(gain: np.ndarray, base: float, bucket: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """Probability of label 1. As the layer is linear, a document's margin is the mean of its features' margins."""
+    margin = np.bincount(text, gain[bucket], minlength=n) / np.maximum(np.bincount(text, minlength=n), 1) + base
+    return 1 / (1 + np.exp(-np.clip(margin, -50, 50)))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = ROWS) -> Model | None:
@@ -107,13 +114,14 @@ def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     input column `quality` is replaced; an empty table gives no rows. One pass, nothing shuffled.
     """
     model = train(docs, labels, id_col, text_col, label_col)
+    gain, base = (model.gain, model.base) if model else (np.zeros(BUCKETS), 0.0)
     docs = docs.drop("quality")
     at, names = docs.columns.index(text_col), [*docs.columns, "_score"]
 
     def run(batches):
         for b in batches:
             for begin, texts in chunked(b, at):
-                score = model.scores(*features(texts), len(texts)) if model else np.full(len(texts), 0.5)
+                score = scores(gain, base, *features(texts), len(texts))
                 yield pa.RecordBatch.from_arrays([*b.slice(begin, len(texts)).columns, pa.array(score)], names)
 
     scored = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))

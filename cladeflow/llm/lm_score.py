@@ -105,7 +105,8 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
     answers = ids.groupBy("pid").agg(F.collect_set("id").alias("ids")).mapInArrow(packed, "pid int, kind string, part int, ans binary").checkpoint()
 
     def words(block, got, n):
-        key, out, _ = Words(block, got).counts(Words(block, got).code)
+        w = Words(block, got)
+        key, out, _ = w.counts(w.code)
         return B.part_of(key, n), out
 
     def bigrams(block, got, n):
