@@ -21,7 +21,7 @@ SYMBOLS = b"#*$%&|<>"
 _set = lambda chars: np.isin(np.arange(256), np.frombuffer(chars, np.uint8))
 _IS = {
     "symbol": _set(SYMBOLS), "upper": _set(bytes(range(65, 91))), "letter": _set(bytes([*range(65, 91), *range(97, 123)])) | (np.arange(256) >= 0xC0),
-    "digit": _set(b"0123456789"), "loud": _set(b"!?|~^_=+{}\\@/"), "char": (np.arange(256) & 0xC0) != 0x80, "space": _set(b" \t\n\x0b\x0c\r"),
+    "loud": _set(b"!?|~^_=+{}\\@/"), "char": (np.arange(256) & 0xC0) != 0x80, "space": _set(b" \t\n\x0b\x0c\r"),
 }
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -44,7 +44,8 @@ def statistics(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     lines = np.bincount(owner, minlength=n)
     dup_lines = lines - np.bincount(owner[order][B.first_of_runs(owner[order], hashes[order])], minlength=n)
 
-    codes = K.Rolling(roll.stretches(start, end))
+    code = roll.stretches(start, end)
+    codes = K.Rolling(code)
     at = K.ranges(first[:-1], np.maximum(words - 4, 0))
     owner = np.repeat(np.arange(n), np.maximum(words - 4, 0))
     five = codes.stretches(at, at + 5)
@@ -60,7 +61,11 @@ def statistics(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     symbols, letters = per_text("symbol"), per_text("letter")
     counts = np.stack([words, chars, symbols, dup_lines, repeat], 1)
     share = lambda a, b: a / np.maximum(b, 1)
-    shares = np.stack([share(symbols, chars), share(dup_lines, lines), share(repeat, words), share(chars, words), share(per_text("upper"), letters), share(per_text("digit"), chars), share(per_text("loud"), chars), share(letters, chars)], 1)
+    # Numbers, long words and a line said twice are no fault: clean texts hold telephone numbers, keys and refrains.
+    same = np.r_[False, code[1:] == code[:-1]] if len(code) else np.zeros(0, bool)
+    same[first[:-1][words > 0]] = False
+    again = np.diff(np.r_[0, np.cumsum(same)][first])
+    shares = np.stack([share(symbols, chars), share(again, words), share(per_text("upper"), letters), share(per_text("loud"), chars)], 1)
     return counts, shares
 
 
