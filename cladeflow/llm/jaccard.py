@@ -13,7 +13,7 @@ from .graph import components
 
 COUNT = np.dtype([("hash", "<u4"), ("count", "u1")])
 RANGES = 16  # of hash space, for the suffix filter
-ROW = "pid int, id long, n long, f1 long, f2 long, tokens array<long>, places array<int>, spread array<int>, shingles binary"
+ROW = "pid int, id long, n long, f1 long, f2 long, tokens array<long>, places array<int>, spread array<int>"
 
 
 def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,7 +56,6 @@ def _prefixes(k: int, percent: int):
         rarity = np.frombuffer(got.get("frequency", b""), np.uint8)
         sets = [(begin, len(t), *shingle_sets(t, k)) for begin, t in block.chunks(all_rows=True)]
         known = np.unique(np.concatenate([h for begin, _, _, h in sets if begin < block.known] or [np.zeros(0, np.uint64)]))
-        seen: set[tuple[int, int]] = set()
         for begin, count, text, h in sets:
             size = np.bincount(text, minlength=count)
             f1, f2 = (np.zeros(count, np.uint64) for _ in range(2))
@@ -74,20 +73,43 @@ def _prefixes(k: int, percent: int):
             out = []
             for i in range(count):
                 lo, hi = begin_of[i], ends[i]
-                tokens, places, kept = [], [], None
+                tokens, places = [], []
                 if begin < block.known and hi > lo:
                     use = np.flatnonzero(inside[lo:hi])
                     tokens, places = h[order[lo:hi][use]].view(np.int64), use.astype(np.int32)
-                    if len(use) and (sign := (int(f1[i]), int(f2[i]))) not in seen:
-                        seen.add(sign)
-                        kept = h[lo:hi].tobytes()
-                out.append((block.pid, block.raw_ids[begin + i], int(size[i]), int(f1[i : i + 1].view(np.int64)[0]), int(f2[i : i + 1].view(np.int64)[0]), tokens, places, spread[i], kept))
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["pid", "id", "n", "f1", "f2", "tokens", "places", "spread", "shingles"])
+                out.append((block.pid, block.raw_ids[begin + i], int(size[i]), int(f1[i : i + 1].view(np.int64)[0]), int(f2[i : i + 1].view(np.int64)[0]), tokens, places, spread[i]))
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["pid", "id", "n", "f1", "f2", "tokens", "places", "spread"])
 
     return rows
 
 
+def _id_lists(rows: DataFrame, kind: str) -> DataFrame:
+    """(pid, ids) as answers to the blocks: each block's ids, ascending."""
+
+    def packed(batches):
+        for b in batches:
+            raw = [B.squeeze(np.sort(np.asarray(x.values)).astype("<i8").tobytes()) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([kind] * b.num_rows), pa.array([0] * b.num_rows, pa.int32()), pa.array(raw, pa.binary())], ["pid", "kind", "part", "ans"])
+
+    return rows.mapInArrow(packed, "pid int, kind string, part int, ans binary")
+
+
+def _whole_sets(t0: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(rep, shingles): the whole sets of the documents (pid, rep) wanted."""
+
+    def rows(block, inner, got):
+        ids = np.frombuffer(got.get("wanted", b""), "<i8")
+        some = np.flatnonzero(np.isin(block.ids, ids))
+        for i in range(0, len(some), 200):
+            part = some[i : i + 200]
+            text, h = shingle_sets([B.expand(block.packed[j]) if block.packed[j] is not None else b"" for j in part], k)
+            cut = np.searchsorted(text, np.arange(1, len(part)))
+            yield pa.RecordBatch.from_arrays([pa.array(block.ids[part]), pa.array([x.tobytes() for x in np.split(h, cut)], pa.binary())], ["rep", "shingles"])
+
+    return B.visit(t0, _id_lists(wanted.groupBy("pid").agg(F.collect_set("rep").alias("ids")), "wanted"), "rep long, shingles binary", rows)
+
+
 def _possible(x: str, y: str, percent: int) -> Column:
     """Length, positional and suffix filters; each holds for every pair that is similar enough."""
     nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
@@ -137,11 +159,13 @@ def _joined(t0: DataFrame, n: int, k: int, percent: int) -> DataFrame:
     rows = B.visit(t0, answers, ROW, _prefixes(k, percent)).checkpoint()
     known = rows.filter("id is not null")
     classes = known.filter("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("rep"))
-    sets = known.filter("shingles is not null").join(classes, ["f1", "f2"]).filter("id = rep").select("rep", "n", "tokens", "places", "spread", "shingles").checkpoint()
-    listed = sets.select("rep", "n", "spread", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select(F.col("t.tokens").alias("token"), F.struct("rep", "n", F.col("t.places").alias("place"), "spread").alias("x"))
-    hubs = listed.groupBy("token").agg(F.min(F.struct("x.place", "x.n", "x.rep", "x.spread")).alias("y"), F.count("*").alias("c")).filter("c > 1")
+    reps = known.filter(F.size("tokens") > 0).join(classes, ["f1", "f2"]).filter("id = rep").select("pid", "rep", "n", "tokens", "places", "spread")
+    listed = reps.select("pid", "rep", "n", "spread", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select("pid", F.col("t.tokens").alias("token"), F.struct("rep", "n", F.col("t.places").alias("place"), "spread").alias("x"))
+    hubs = listed.groupBy("token").agg(F.min(F.struct("x.place", "x.n", "x.rep", "x.spread")).alias("y"), F.count("*").alias("c")).filter("c > 1").select("token", "y")
+    listed = listed.join(hubs, "token").checkpoint()
+    sets = _whole_sets(t0, listed.select("pid", "x.rep").distinct(), k).checkpoint()
     order = [F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")]
-    tried = listed.join(hubs, "token").filter(F.col("x.rep") != F.col("y.rep")).filter(_possible("x", "y", percent)).select(*order).distinct().checkpoint()
+    tried = listed.filter(F.col("x.rep") != F.col("y.rep")).filter(_possible("x", "y", percent)).select(*order).distinct().checkpoint()
     linked = _verified(tried, sets, percent).checkpoint()
 
     label = components(linked)
@@ -170,17 +194,12 @@ def near_duplicates_removed(docs: DataFrame, id_col: str = "doc_id", text_col: s
     t0, n = B.blocks(docs, id_col, text_col, carry=True)
     less = _joined(t0, n, k, percent).filter("doc_id <> component_id").groupBy("pid").agg(F.collect_set("doc_id").alias("ids"))
 
-    def packed(batches):
-        for b in batches:
-            raw = [B.squeeze(np.sort(np.asarray(x.values)).astype("<i8").tobytes()) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(["less"] * b.num_rows), pa.array([0] * b.num_rows, pa.int32()), pa.array(raw, pa.binary())], ["pid", "kind", "part", "ans"])
-
     def rows(block, inner, got):
         keep = ~np.isin(block.ids, np.frombuffer(got.get("less", b""), "<i8")) & B.first_of_runs(block.ids)
         keep = np.r_[keep, np.ones(len(block.order) - block.known, bool)]
         yield from B.restored(block, inner, np.flatnonzero(keep), ["id", "z", "rest"])
 
-    found = B.visit(t0, less.mapInArrow(packed, "pid int, kind string, part int, ans binary"), B.restored_schema(t0), rows)
+    found = B.visit(t0, _id_lists(less, "less"), B.restored_schema(t0), rows)
     return B.as_before(found, docs, id_col, text_col)
 
 
