@@ -68,7 +68,7 @@ def percentile_rank(scores: DataFrame, samples: DataFrame, score: str, keys: Seq
     """Mean percentile rank (below + equal / 2) / n of a column among samples (keys, virus_hit_score).
 
     A true rank, whatever order the samples stand in; without samples it is NaN. Distinct values of scores
-    and samples are counted together in ranges of the samples' own values, so that no task sorts
+    and samples are counted together in ranges of the samples' own values (keys are levels, few), so that no task sorts
     them all and a value that very many rows have is one row. Nulls rank as null.
     """
     keys = list(keys)
@@ -82,9 +82,9 @@ def percentile_rank(scores: DataFrame, samples: DataFrame, score: str, keys: Seq
     ranged = both.withColumn("range", F.size(F.array_distinct(F.filter(F.coalesce("cuts", F.array().cast("array<double>")), lambda c: c <= F.col("x"))))).drop("cuts")
     sums = ranged.groupBy(*keys, "range").agg(F.sum("n").alias("m"))
     sums = sums.withColumn("before", F.coalesce(F.sum("m").over(over().orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum("m").over(over())).drop("m")
-    side = F.broadcast(sums) if small_enough(sums, SMALL_CLASSES) else sums
+    # At most RANK_CUTS + 1 rows a level.
     below = F.col("before") + F.sum("n").over(over("range").orderBy("x")) - F.col("n")
-    ranks = ranged.join(side, [*keys, "range"]).select(*keys, F.col("x").alias(score), X.ieee_div(below + F.lit(0.5) * F.col("n"), F.col("all")).alias(into))
+    ranks = ranged.join(F.broadcast(sums), [*keys, "range"]).select(*keys, F.col("x").alias(score), X.ieee_div(below + F.lit(0.5) * F.col("n"), F.col("all")).alias(into))
     return scores.join(ranks, [*keys, score], "left").select(*scores.columns, into)
 
 
