@@ -13,6 +13,7 @@ blocks. Nothing is collected on the driver but one row of totals and the limits
 from __future__ import annotations
 
 import tempfile
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -69,6 +70,16 @@ class Block:
             yield begin, texts
 
 
+def block_count(spark: SparkSession, total: int) -> int:
+    """Blocks of about BLOCK_BYTES; smaller ones where a small corpus wouldn't fill the cores, larger ones past MAX_BLOCKS."""
+    return int(min(MAX_BLOCKS, max(total // BLOCK_BYTES + 1, min(spark.sparkContext.defaultParallelism, total // CHUNK_BYTES + 1))))
+
+
+def spread(text: bytes | None, n: int) -> int:
+    """A block for a row without an id."""
+    return zlib.crc32(text or b"") % n
+
+
 def _bounds(rows: DataFrame, n: int) -> list[int]:
     if n <= 1:
         return []
@@ -85,7 +96,8 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) ->
 def deal(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> tuple[DataFrame, int, np.ndarray, int]:
     """Blocks, their number, the largest id of each but the last, and the bytes of all text.
 
-    carry keeps the other columns of each row beside its text, as a struct `rest`.
+    carry keeps the other columns of each row beside its text, as a struct `rest`. The input is read three times (bytes,
+    limits, texts); write it first where it is dear. Rows that share an id share a block; rows without one are spread.
     """
     spark = docs.sparkSession
     shared_checkpoints(spark)
@@ -93,15 +105,17 @@ def deal(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> tu
     rest = F.struct(*[F.col(f"`{c}`") for c in other]) if carry and other else F.lit(None).cast("string")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("z"), rest.alias("rest"))
     total = rows.agg(F.sum(F.octet_length("z")).alias("b")).head()["b"] or 0
-    n = int(min(MAX_BLOCKS, total // BLOCK_BYTES + 1))
+    n = block_count(spark, total)
     limits = np.array(_bounds(rows, n), np.int64)
     schema = T.StructType([T.StructField("pid", T.IntegerType()), *rows.schema.fields])
 
     def pack(batches):
         for b in batches:
-            ids = b.column(0)
+            ids, texts = b.column(0), b.column(1).to_pylist()
             pid = np.searchsorted(limits, ids.fill_null(0).to_numpy(zero_copy_only=False), "left").astype(np.int32)
-            z = pa.array([None if t is None else squeeze(t) for t in b.column(1).to_pylist()], pa.binary())
+            for i in np.flatnonzero(np.asarray(ids.is_null())):
+                pid[i] = spread(texts[i], len(limits) + 1)
+            z = pa.array([None if t is None else squeeze(t) for t in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(pid), ids, z, b.column(2)], schema.names)
 
     dealt = rows.mapInArrow(pack, schema).repartition(n, "pid")

@@ -103,20 +103,21 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1
     """Encode every whole text, end it with end_id and write the file set `out`, in ascending order of id.
 
     A null or empty text has the end id alone. Rows that share an id are ordered by text; rows without
-    an id come last. An empty table gives an empty file set.
+    an id come last, in an order of their own. An empty table gives an empty file set.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")).alias("z"))
     total = rows.agg(F.sum(F.octet_length("z")).alias("b")).head()["b"] or 0
-    n = int(min(B.MAX_BLOCKS, total // B.BLOCK_BYTES + 1))
+    n = B.block_count(docs.sparkSession, total)
     limits = np.array(B._bounds(rows, n), np.int64)
     end = np.array([end_id], "<u4").tobytes()
 
     def deal(batches):
         for b in batches:
-            ids = b.column(0)
+            ids, texts = b.column(0), b.column(1).to_pylist()
             shard = np.searchsorted(limits, ids.fill_null(0).to_numpy(zero_copy_only=False), "left").astype(np.int32)
-            shard[np.array(ids.is_null())] = len(limits) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(shard), ids, pa.array([B.squeeze(t) for t in b.column(1).to_pylist()], pa.binary())], ["shard", "id", "z"])
+            for i in np.flatnonzero(np.asarray(ids.is_null())):
+                shard[i] = len(limits) + 1 + B.spread(texts[i], n)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), ids, pa.array([B.squeeze(t) for t in texts], pa.binary())], ["shard", "id", "z"])
 
     def row(shard: int, ids: list, packed: list):
         order = sorted(range(len(ids)), key=lambda i: (ids[i] or 0, B.expand(packed[i])))

@@ -295,10 +295,16 @@ def test_token_files(spark, docs, rows, small_blocks, tmp_path):
     got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.scan_token_files(spark, str(tmp_path / "files")).collect())
     at = 0
     for d, x in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, (r[1] or "").encode())):
+        if d is None:
+            break
         ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4")
         assert got.pop(0) == (at, d, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
-    assert not got
+    last = sorted((r[2], r[3]) for r in got)
+    want = [np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4") for d, x in rows if d is None]
+    assert last == sorted((len(w), zlib.crc32(w.tobytes())) for w in want)
+    assert [r[0] for r in got] == [at, at + got[0][2]]
+    assert {r[1] for r in got} == {None}
 
 
 def test_minimal_perfect_hash():
