@@ -48,10 +48,9 @@ class Words:
 
     def in_vocabulary(self, got: dict, least: int) -> np.ndarray:
         """Codes, with words that the corpus has too seldom as one."""
-        key, _, _ = self.counts(self.code)
-        common = key[np.frombuffer(got.get("words", b""), BOTH)["all"] >= least]
-        place = np.minimum(np.searchsorted(common, self.code), max(0, len(common) - 1))
-        return np.where(common[place] == self.code, self.code, OTHER) if len(common) else np.full(len(self.code), OTHER)
+        _, _, place = self.counts(self.code)
+        common = np.frombuffer(got.get("words", b""), BOTH)["all"] >= least
+        return np.where(common[place], self.code, OTHER)
 
     def bigrams(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The word before each, and the hash of both."""
@@ -127,25 +126,19 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
 
     def score(block, inner, got):
         w = Words(block, got)
-        words = w.in_vocabulary(got, least)
+        _, _, place = w.counts(w.code)
+        sums = np.frombuffer(got.get("words", b""), BOTH)
+        rare = (sums["all"] < least)[place]
+        words = np.where(rare, OTHER, w.code)
         before, both = w.bigrams(words)
-        single_key, _, _ = w.counts(w.code)
-        pair_key, _, _ = w.counts(both)
-
-        def look(key: np.ndarray, given: str, at: np.ndarray, column: str) -> np.ndarray:
-            found = np.frombuffer(got.get(given, b""), BOTH)[column].astype(np.float64)
-            if not len(key):
-                return np.zeros(len(at))
-            place = np.minimum(np.searchsorted(key, at), len(key) - 1)
-            return np.where(key[place] == at, found[place], 0.0)
-
+        _, _, pair = w.counts(both)
+        pair_sums = np.frombuffer(got.get("pairs", b""), BOTH)
         loss = []
         for m, column in enumerate(("all", "target")):
-            count = look(single_key, "words", words, column)
-            count[words == OTHER] = size[2 + m]
-            history = look(single_key, "words", before, column)
-            history[before == OTHER], history[before == BEGIN] = size[2 + m], size[4 + m]
-            p = PAIR * look(pair_key, "pairs", both, column) / np.maximum(history, 1) + SINGLE * count / max(size[m], 1) + FLOOR
+            count = np.where(rare, size[2 + m], sums[column][place]).astype(np.float64)
+            history = np.r_[0.0, count[:-1]] if len(count) else count
+            history[before == BEGIN] = size[4 + m]
+            p = PAIR * pair_sums[column][pair] / np.maximum(history, 1) + SINGLE * count / max(size[m], 1) + FLOOR
             loss.append(np.bincount(w.doc, -np.log(p), minlength=len(w.size)) / np.maximum(w.size, 1))
         out = [pa.array(block.raw_ids, pa.int64()), pa.array(w.size), pa.array(loss[1]), pa.array(loss[0]), pa.array(loss[1] - loss[0])]
         yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_tokens", "ce_target", "ce_background", "ce_difference"])
