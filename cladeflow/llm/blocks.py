@@ -12,6 +12,8 @@ blocks. Nothing is collected on the driver but one row of totals and the limits
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import zlib
 from collections.abc import Callable, Iterator
@@ -34,6 +36,13 @@ def shared_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
 
 
+def give_back() -> None:
+    """Hand freed memory back to the machine; a worker that serves many stages would keep its largest blocks of each."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def squeeze(raw: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(raw)
 
@@ -145,6 +154,7 @@ def _blocks_of(batch: pa.RecordBatch) -> Iterator[tuple[int, Block, pa.StructArr
                 answers.setdefault(a["kind"], {})[a["part"]] = a["ans"]
         block = Block(batch.column(0)[i].as_py(), ids, z, order)
         yield i, block, inner, {k: b"".join(expand(v[p]) for p in sorted(v)) for k, v in answers.items()}
+        give_back()
 
 
 def _with(t0: DataFrame, answers: DataFrame | None) -> DataFrame:
@@ -212,6 +222,7 @@ def ask(t0: DataFrame, answers: DataFrame | None, n: int, kind: str, dtype, entr
                 if p != part and held:
                     yield reply(part, held)
                     held = []
+                    give_back()
                 part = p
                 held.append((pid, keys))
         if held:

@@ -17,7 +17,7 @@ import numpy as np
 
 from . import kernels as K
 
-HELD = 1_500_000  # pieces that a worker keeps
+HELD = 1_000_000  # pieces that a worker keeps
 TOGETHER = 2000  # new pieces encoded by one call
 
 _encoders: dict[tuple[str, str], Encoder] = {}

@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import blocks as B
 from .encoding import encoder
+from .quality import chunked
 
+POOL_BYTES = 2 << 20  # text whose documents are packed together
 TIERS = (1024, 512, 256, 128)  # powers of two, so that a full window of any tier needs no padding
 
 
@@ -78,8 +79,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, tiers: tupl
 
     A document's whole windows of the longest tier are sequences of their own; what remains is routed to
     the shortest tier that holds it, and each tier is packed with gaps filled from shorter ones. Work is
-    done batch by batch within a task, so that memory is bounded and nothing is shuffled; the last
-    window of a batch is cut into powers of two.
+    done on POOL_BYTES of text at a time within a task, so that memory is bounded and nothing is shuffled;
+    the last window of each is cut into powers of two.
 
     Returns one row per piece: doc_id, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset, tier (the sequence's length), step (groups of
     sequences of one tier that together hold step_tokens). A null or empty text is the end id alone;
@@ -89,21 +90,12 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, tiers: tupl
     schema = T.StructType([T.StructField(n, k) for n, k in (("doc_id", T.LongType()), ("start", T.LongType()), ("length", T.LongType()), ("ids", T.BinaryType()), ("doc_tokens", T.LongType()), ("sequence_id", T.LongType()), ("offset", T.LongType()), ("tier", T.IntegerType()), ("step", T.LongType()))])
     end, longest = np.array([end_id], "<u4").tobytes(), tiers[0]
 
-    def encoded(texts: list) -> Iterator[bytes]:
-        code, some, size = encoder(tokenizer, kind), [], 0
-        for k, t in enumerate(texts, 1):
-            some.append(t.as_py())
-            size += len(some[-1])
-            if size >= B.CHUNK_BYTES or k == len(texts):
-                yield from (p + end for p in code.encode(some))
-                some, size = [], 0
-
     def run(batches):
         base, number, groups = TaskContext.get().partitionId() << 40, 0, {}
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ids, data, queue, out = b.column(0).to_pylist(), list(encoded(b.column(1))), Tiers(tiers), []
+        code = encoder(tokenizer, kind)
+        for begin, texts, b in ((i, t, b) for b in batches for i, t in chunked(b, 1, POOL_BYTES)):
+            ids, queue, out = b.column(0).slice(begin, len(texts)).to_pylist(), Tiers(tiers), []
+            data = [p + end for p in code.encode(texts)]
 
             def put(size, pieces, out=out, ids=ids, data=data):
                 nonlocal number

@@ -69,17 +69,18 @@ def statistics(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return counts, shares
 
 
-def chunked(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes]]]:
-    """First row, and texts (null: empty), of about blocks.CHUNK_BYTES together."""
+def chunked(batch: pa.RecordBatch, column: int, most: int = B.CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+    """First row, and texts (null: empty), of about `most` bytes together."""
     begin, texts, size = 0, [], 0
     for i, t in enumerate(batch.column(column).cast(pa.binary())):
         texts.append(t.as_py() or b"")
         size += len(texts[-1])
-        if size >= B.CHUNK_BYTES:
+        if size >= most:
             yield begin, texts
             begin, texts, size = i + 1, [], 0
     if texts:
         yield begin, texts
+    B.give_back()
 
 
 class IsolationForest:

@@ -143,6 +143,7 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1
                 if s != shard and ids:
                     yield made()
                     ids, packed = [], []
+                    B.give_back()
                 shard = s
                 ids.append(i)
                 packed.append(z)
