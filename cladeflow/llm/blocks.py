@@ -51,6 +51,22 @@ def expand(raw: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(raw)
 
 
+def by_planes(records: np.ndarray, ascending: str | None = None) -> bytes:
+    """Packed records, squeezed with the first bytes of all together, then the second ...; a field that ascends as its steps."""
+    if ascending:
+        records = records.copy()
+        records[ascending][1:] = np.diff(records[ascending])
+    return squeeze(np.ascontiguousarray(records.view(np.uint8).reshape(len(records), -1).T).tobytes())
+
+
+def from_planes(raw: bytes, dtype, ascending: str | None = None) -> np.ndarray:
+    planes = np.frombuffer(expand(raw), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    records = planes.T.copy().reshape(-1).view(dtype)
+    if ascending:
+        records[ascending] = np.cumsum(records[ascending], dtype=records[ascending].dtype)
+    return records
+
+
 class Block:
     """One block's documents in order of id (those without an id last), texts compressed until asked for."""
 
@@ -151,9 +167,10 @@ def _blocks_of(batch: pa.RecordBatch) -> Iterator[tuple[int, Block, pa.StructArr
         answers: dict[str, dict[int, bytes]] = {}
         if batch.num_columns > 2:
             for a in batch.column(2)[i].as_py() or []:
-                answers.setdefault(a["kind"], {})[a["part"]] = a["ans"]
+                kind, _, width = a["kind"].partition("/")  # with a width, records of so many bytes lie by planes
+                answers.setdefault(kind, {})[a["part"]] = from_planes(a["ans"], f"V{width}").tobytes() if width else expand(a["ans"])
         block = Block(batch.column(0)[i].as_py(), ids, z, order)
-        yield i, block, inner, {k: b"".join(expand(v[p]) for p in sorted(v)) for k, v in answers.items()}
+        yield i, block, inner, {k: b"".join(v[p] for p in sorted(v)) for k, v in answers.items()}
         give_back()
 
 
@@ -193,13 +210,15 @@ def as_before(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
     return rows.select(*[(at[f.name] if f.name in at else F.col(f"rest.`{f.name}`")).cast(f.dataType).alias(f.name) for f in docs.schema.fields])
 
 
-def ask(t0: DataFrame, answers: DataFrame | None, n: int, kind: str, dtype, entries: Callable, answer: Callable) -> DataFrame:
+def ask(t0: DataFrame, answers: DataFrame | None, n: int, kind: str, dtype, entries: Callable, answer: Callable, ascending: str | None = None) -> DataFrame:
     """One round; returns the answers so far and the new ones.
 
     entries(block, answers, n) gives (part of each key, packed keys of dtype): parts ascending, keys in an
     order that the block can make again. answer(keys of one part as [(pid, array)]) gives one array
-    for each block, as long as its keys.
+    for each block, as long as its keys. With ascending, a field in whose order the keys are, keys
+    and answers travel squeezed by planes.
     """
+    pack, unpack = (lambda k: by_planes(k, ascending), lambda k: from_planes(k, dtype, ascending)) if ascending else (lambda k: k.tobytes(), lambda k: np.frombuffer(k, dtype))
 
     def send(batches):
         for b in batches:
@@ -208,12 +227,12 @@ def ask(t0: DataFrame, answers: DataFrame | None, n: int, kind: str, dtype, entr
                 if not len(part):
                     continue
                 cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-                parts, blobs = part[cut].astype(np.int32), [k.tobytes() for k in np.split(keys, cut[1:])]
+                parts, blobs = part[cut].astype(np.int32), [pack(k) for k in np.split(keys, cut[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cut), block.pid, np.int32)), pa.array(parts), pa.array(blobs, pa.binary())], ["pid", "part", "keys"])
 
     def reply(part: int, held: list[tuple[int, bytes]]):
-        out = answer([(p, np.frombuffer(k, dtype)) for p, k in held])
-        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in held], pa.int32()), pa.array([kind] * len(held)), pa.array([part] * len(held), pa.int32()), pa.array([squeeze(a.tobytes()) for a in out], pa.binary())], ["pid", "kind", "part", "ans"])
+        out = answer([(p, unpack(k)) for p, k in held])
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in held], pa.int32()), pa.array([f"{kind}/{out[0].itemsize}" if ascending else kind] * len(held)), pa.array([part] * len(held), pa.int32()), pa.array([by_planes(a) if ascending else squeeze(a.tobytes()) for a in out], pa.binary())], ["pid", "kind", "part", "ans"])
 
     def receive(batches):
         part, held = None, []

@@ -11,7 +11,7 @@ from . import blocks as B
 from . import kernels as K
 
 PAIR, SINGLE, FLOOR = 0.7, 0.29, 0.01 / 2**20  # weights of bigram and unigram shares, and what any word gets
-VOCABULARY = 1_000_000  # words that could each make up this share of all words, so that the vocabulary is bounded
+LEAST = 2  # times that the corpus has a word of the vocabulary, whatever its size; the vocabulary grows with the corpus
 OTHER, BEGIN = np.uint64(0x0DDBA11), np.uint64(0x57A27)  # codes of words outside the vocabulary and of a text's begin
 COUNTED = np.dtype([("key", "<u8"), ("all", "<u4"), ("target", "<u4")])
 BOTH = np.dtype([("all", "<u8"), ("target", "<u8")])
@@ -46,10 +46,10 @@ class Words:
             out[column] = np.bincount(inverse, which[self.doc], minlength=len(key))
         return key, out, inverse
 
-    def in_vocabulary(self, got: dict, least: int) -> np.ndarray:
+    def in_vocabulary(self, got: dict) -> np.ndarray:
         """Codes, with words that the corpus has too seldom as one."""
         _, _, place = self.counts(self.code)
-        common = np.frombuffer(got.get("words", b""), BOTH)["all"] >= least
+        common = np.frombuffer(got.get("words", b""), BOTH)["all"] >= LEAST
         return np.where(common[place], self.code, OTHER)
 
     def bigrams(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,9 +73,9 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
     """Score every document by how much better a model of the target predicts its words than one of the whole corpus.
 
     Words are split at ASCII white space. Both models are bigram models interpolated with unigrams, on one
-    vocabulary: the words that the whole corpus has at least twice and at least once in VOCABULARY words (told
-    by its bytes); other words are one. The target is the documents whose id is in target_ids (one
-    column; nulls and repetitions don't count), the background all documents. Returns per document doc_id,
+    vocabulary: the words that the whole corpus has at least LEAST times, whatever its size; other
+    words are one. The target is the documents whose id is in target_ids (one column; nulls and repetitions
+    don't count), the background all documents. Returns per document doc_id,
     n_tokens, ce_target, ce_background (nats a word) and ce_difference (target less background: the lower, the closer to the
     target). A null or blank text has no words and scores 0; rows without an id are scored but train
     neither model; rows that share an id are all of the target or all not; with no target its model
@@ -84,8 +84,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
     Counts of all distinct words, then of all distinct word pairs, are summed over the corpus in parts
     of hash space; each block gets back the sums of its own (see `blocks`).
     """
-    t0, n, limits, total = B.deal(docs, id_col, text_col)
-    least = max(2, total // (6 * VOCABULARY))
+    t0, n, limits, _ = B.deal(docs, id_col, text_col)
     only = target_ids.columns[0]
 
     def flag(batches):
@@ -110,25 +109,25 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
 
     def bigrams(block, got, n):
         w = Words(block, got)
-        key, out, _ = w.counts(w.bigrams(w.in_vocabulary(got, least))[1])
+        key, out, _ = w.counts(w.bigrams(w.in_vocabulary(got))[1])
         return B.part_of(key, n), out
 
     def tally(block, inner, got):
         w = Words(block, got)
-        other, t, use = w.in_vocabulary(got, least) == OTHER, w.target[w.doc], w.known[w.doc]
+        other, t, use = w.in_vocabulary(got) == OTHER, w.target[w.doc], w.known[w.doc]
         sums = [use.sum(), t.sum(), (other & use).sum(), (other & t).sum(), (w.known & (w.size > 0)).sum(), (w.target & (w.size > 0)).sum()]
         yield pa.RecordBatch.from_arrays([pa.array([int(s)]) for s in sums], list("abcdef"))
 
-    answers = B.ask(t0, answers, n, "words", COUNTED, words, _sum)
-    answers = B.ask(t0, answers, n, "pairs", COUNTED, bigrams, _sum)
+    answers = B.ask(t0, answers, n, "words", COUNTED, words, _sum, ascending="key")
     sums = B.visit(t0, answers, ", ".join(f"{c} long" for c in "abcdef"), tally).agg(*(F.sum(c).alias(c) for c in "abcdef")).head()  # six numbers
     size = [(sums[c] or 0) for c in "abcdef"]
+    answers = B.ask(t0, answers, n, "pairs", COUNTED, bigrams, _sum, ascending="key")
 
     def score(block, inner, got):
         w = Words(block, got)
         _, _, place = w.counts(w.code)
         sums = np.frombuffer(got.get("words", b""), BOTH)
-        rare = (sums["all"] < least)[place]
+        rare = (sums["all"] < LEAST)[place]
         words = np.where(rare, OTHER, w.code)
         before, both = w.bigrams(words)
         _, _, pair = w.counts(both)

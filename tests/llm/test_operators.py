@@ -209,6 +209,35 @@ def test_cross_entropy(spark, docs, rows, small_blocks):
     assert np.allclose(np.array(got), np.array(sorted(want)), atol=1e-9)
 
 
+def test_cross_entropy_of_a_larger_corpus(spark):
+    """Words of three occurrences stay words of their own, and scores apart, however large the rest of the corpus is."""
+    rows = [(i, "alpha beta" if i < 3 else "gamma delta") for i in range(6)]
+    large = spark.range(10, 14).select(F_col("id").alias("doc_id"), F_expr("repeat('y', 7000000)").alias("text"))
+    target = spark.createDataFrame([(0,), (1,)], "doc_id long")
+    got = {r.doc_id: r for r in lm_score.cross_entropy_difference(spark.createDataFrame(rows, "doc_id long, text string").unionByName(large), target).collect()}
+    floor = 0.01 / 2**20
+    begun = [-math.log(0.7 * 3 / 10 + 0.29 * 3 / 16 + floor), -math.log(0.7 + 0.29 * 3 / 16 + floor)]
+    assert got[2].ce_background == pytest.approx(sum(begun) / 2)
+    assert got[2].ce_target == pytest.approx((-math.log(0.7 + 0.29 * 2 / 4 + floor)))
+    assert got[5].ce_target == pytest.approx(-math.log(floor))
+    assert got[2].ce_difference < 0 < got[5].ce_difference
+
+
+def F_expr(text):
+    from pyspark.sql import functions as F
+
+    return F.expr(text)
+
+
+def test_planes():
+    r = np.random.default_rng(5)
+    for n in (1, 2, 1000):
+        x = np.zeros(n, lm_score.COUNTED)
+        x["key"], x["all"], x["target"] = np.sort(r.integers(0, 2**64, n, dtype=np.uint64)), r.integers(0, 2**32, n), r.integers(0, 3, n)
+        assert (blocks.from_planes(blocks.by_planes(x, "key"), x.dtype, "key") == x).all()
+        assert (blocks.from_planes(blocks.by_planes(x), x.dtype) == x).all()
+
+
 @pytest.mark.parametrize("query", ["op3_pivot_top_k", "op7_hierarchical_mix"])
 def test_sql(spark, sf, query):
     assert not (found := same(queries.QUERIES[query](spark, sf).toPandas(), oracle(queries.SQL[query], sf))), found
