@@ -13,6 +13,7 @@ from .graph import components
 
 COUNT = np.dtype([("hash", "<u4"), ("count", "u1")])
 RANGES = 16  # of hash space, for the suffix filter
+CELL = 256  # sets of a shingle's list that a task pairs with as many others
 ROW = "pid int, id long, n long, f1 long, f2 long, tokens array<long>, places array<int>, spread array<int>"
 
 
@@ -119,6 +120,11 @@ def _possible(x: str, y: str, percent: int) -> Column:
     return (100 * nx >= percent * ny) & (100 * ny >= percent * nx) & ((100 + percent) * left >= least) & ((100 + percent) * within >= least)
 
 
+def _similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * common >= percent * (len(p) + len(q) - common)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose whole sets are similar enough."""
     both = pairs.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a")
@@ -128,8 +134,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             hit = []
             for x, y in zip(t.column(2), t.column(3), strict=True):
                 p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                hit.append(100 * common >= percent * (len(p) + len(q) - common))
+                hit.append(_similar(p, q, percent))
             yield t.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
@@ -153,7 +158,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return _joined(*B.blocks(docs, id_col, text_col), k, percent).drop("pid")
 
 
-def _joined(t0: DataFrame, n: int, k: int, percent: int) -> DataFrame:
+def _lists(t0: DataFrame, n: int, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All documents, the classes of equal sets, and each prefix shingle with the sets that have it."""
     entries, answer = _frequencies(k)
     answers = B.ask(t0, None, n, "frequency", COUNT, entries, answer)
     rows = B.visit(t0, answers, ROW, _prefixes(k, percent)).checkpoint()
@@ -161,6 +167,12 @@ def _joined(t0: DataFrame, n: int, k: int, percent: int) -> DataFrame:
     classes = known.filter("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("rep"))
     reps = known.filter(F.size("tokens") > 0).join(classes, ["f1", "f2"]).filter("id = rep").select("pid", "rep", "n", "tokens", "places", "spread")
     listed = reps.select("pid", "rep", "n", "spread", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select("pid", F.col("t.tokens").alias("token"), F.struct("rep", "n", F.col("t.places").alias("place"), "spread").alias("x"))
+    return rows, classes, listed
+
+
+def _joined(t0: DataFrame, n: int, k: int, percent: int) -> DataFrame:
+    rows, classes, listed = _lists(t0, n, k, percent)
+    known = rows.filter("id is not null")
     hubs = listed.groupBy("token").agg(F.min(F.struct("x.place", "x.n", "x.rep", "x.spread")).alias("y"), F.count("*").alias("c")).filter("c > 1").select("token", "y")
     listed = listed.join(hubs, "token").checkpoint()
     sets = _whole_sets(t0, listed.select("pid", "x.rep").distinct(), k).checkpoint()
@@ -185,6 +197,40 @@ def _joined(t0: DataFrame, n: int, k: int, percent: int) -> DataFrame:
     )
 
 
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """All links between classes, as (a, b) with a < b: both are a class_id of `jaccard_join`, and each pair is there once.
+
+    The whole join that `jaccard_join` needs no more of than its components: a group of m different near
+    copies gives up to m * (m - 1) / 2 links. Members of one class all link with each other and aren't listed. Texts
+    of one id are one document, which links with what any of them links with.
+
+    Lists are paired in cells of about CELL sets by CELL sets, so that a shingle of very many sets is
+    many tasks' work; a pair is verified once, in one of its cells, which gets each of its sets once.
+    """
+    t0, n = B.blocks(docs, id_col, text_col)
+    _, _, listed = _lists(t0, n, k, percent)
+    cells = F.ceil(F.col("c") / CELL).cast("int")
+    sizes = listed.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token", cells.alias("cells"))
+    listed = listed.join(sizes, "token").withColumn("own", F.pmod(F.xxhash64("x.rep"), "cells").cast("int")).checkpoint()
+    left = listed.select("token", F.col("own").alias("i"), F.explode(F.expr("sequence(own, cells - 1)")).alias("j"), "x")
+    right = listed.select("token", F.explode(F.expr("sequence(0, own)")).alias("i"), F.col("own").alias("j"), F.col("x").alias("y"))
+    tried = left.join(right, ["token", "i", "j"]).filter((F.col("i") < F.col("j")) | (F.col("x.rep") < F.col("y.rep"))).filter(F.col("x.rep") != F.col("y.rep")).filter(_possible("x", "y", percent))
+    pairs = tried.groupBy(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).agg(F.min(F.struct("token", "i", "j")).alias("cell")).checkpoint()
+    sets = _whole_sets(t0, listed.select("pid", "x.rep").distinct(), k).checkpoint()
+    needed = pairs.select(F.col("cell").alias("at"), F.explode(F.array("a", "b")).alias("rep")).distinct().join(sets, "rep")
+
+    def run(pairs, sets):
+        have = {}
+        for rep, x in zip(sets["rep"].to_pylist(), sets["shingles"].to_pylist(), strict=True):
+            have.setdefault(rep, []).append(np.frombuffer(x, np.uint64))
+        hit = []
+        for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True):
+            hit.append(any(_similar(p, q, percent) for p in have[a] for q in have[b]))
+        return pairs.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
+
+    return pairs.groupBy("cell").cogroup(needed.groupBy("at")).applyInArrow(run, "a long, b long")
+
+
 def near_duplicates_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """Of each group that links reach, the document with the smallest id, with all its columns as they were.
 
@@ -206,3 +252,8 @@ def near_duplicates_removed(docs: DataFrame, id_col: str = "doc_id", text_col: s
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return jaccard_join(docs, k=3, percent=90)
+
+
+def op9_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return jaccard_links(docs, k=3, percent=90)

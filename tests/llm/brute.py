@@ -69,3 +69,12 @@ def linked(rows: list, k: int, percent: int) -> dict:
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     return {d: find(d) for d in parent}
+
+
+def links(rows: list, k: int, percent: int) -> list:
+    """Pairs of similar sets, each by the smallest id that has it."""
+    first: dict = {}
+    for d, t in rows:
+        if d is not None and (s := shingles(t, k)):
+            first[s] = min(first.get(s, d), d)
+    return sorted({(min(a, b), max(a, b)) for s, a in first.items() for t, b in first.items() if a != b and 100 * len(s & t) >= percent * len(s | t)})

@@ -106,6 +106,15 @@ def test_jaccard_chain_and_hub(spark, small_blocks):
     assert {x.doc_id: x.component_id for x in got.collect()} == brute.linked(rows, 3, 80)
 
 
+@pytest.mark.parametrize(("k", "percent", "cell"), [(1, 50, 256), (2, 60, 2), (1, 70, 3)])
+def test_jaccard_links(spark, docs, rows, small_blocks, monkeypatch, k, percent, cell):
+    """All pairs, also those within a component, whatever the size of cells."""
+    monkeypatch.setattr(jaccard, "CELL", cell)
+    got = [(r.a, r.b) for r in jaccard.jaccard_links(docs, k=k, percent=percent).collect()]
+    assert got
+    assert sorted(got) == brute.links(rows, k, percent)
+
+
 def test_near_duplicates_removed(spark, docs, rows, small_blocks):
     got = jaccard.near_duplicates_removed(docs, k=2, percent=60)
     assert got.schema == docs.schema
