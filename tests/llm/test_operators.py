@@ -177,6 +177,17 @@ def test_classifier(spark, sf, docs):
     assert {r.score for r in plain} == {0.5}
 
 
+def test_classifier_on_unseen_documents(spark, sf):
+    """Rows that training never sees, told as the classifier's training tells them."""
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = classifier.classify_quality(d.select("doc_id", "text"), labels).join(labels.select("doc_id", F_quality()), "doc_id").select("doc_id", "quality.*", "y").collect()
+    unseen = [r for r in got if r.held_out]
+    assert {r.doc_id for r in unseen} == {r.doc_id for r in got if zlib.crc32(str(r.doc_id).encode()) % 4 == 2}
+    assert len({r.y for r in unseen}) == 2
+    assert np.mean([r.predicted == r.y for r in unseen]) > 0.95
+    assert all(np.mean([r.predicted == y for r in unseen if r.y == y]) > 0.9 for y in (0, 1))
+
+
 def F_quality():
     from pyspark.sql import functions as F
 
