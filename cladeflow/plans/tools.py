@@ -7,6 +7,7 @@ import shutil
 import subprocess
 import tempfile
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,13 +34,21 @@ def find_tool(name: str) -> str:
 def chunk_sequences(sequences: DataFrame, size: int, order: Sequence[str], within: Sequence[str] = ("file",)) -> DataFrame:
     """Number each file's sequences in order and give every `size` of them a chunk_id.
 
-    Files are taken apart, so that a file's sequences are what one task sorts; a file too large for that is
-    better split first.
+    Files are taken apart. No task sorts a whole file: rows are sorted over ranges of file and order, and each
+    range counts on from those before it. The order should leave no ties.
     """
     if size < 1:
         raise ValueError("a chunk has at least one sequence")
-    n = F.row_number().over(Window.partitionBy(*within).orderBy(*order)) - 1
-    return sequences.withColumn("chunk_id", F.floor(n / size).cast("long"))
+    ranged = sequences.repartitionByRange(*within, *order).sortWithinPartitions(*within, *order).withColumn("_range", F.spark_partition_id())
+    spark = sequences.sparkSession
+    # Ranges are drawn anew whenever they are run, so they are kept.
+    ranged = ranged.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() else ranged.localCheckpoint()
+    before = Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range and file
+    starts = ranged.groupBy(*within, "_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    starts = starts.select(F.col("_range").alias("_r"), "_before", *(F.col(c).alias(f"_in{i}") for i, c in enumerate(within)))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_in{i}")) for i, c in enumerate(within)), F.col("_range") == F.col("_r"))
+    n = F.col("_before") + F.row_number().over(Window.partitionBy("_range", *within).orderBy(*order)) - 1
+    return ranged.join(starts, same).withColumn("chunk_id", F.floor(n / size).cast("long")).select(*sequences.columns, "chunk_id")
 
 
 def chunk_keys(chunks: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

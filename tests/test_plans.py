@@ -174,3 +174,20 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in/b.tsv").write_text("virus_name\tmodel_name\tprotein_hit_score\nw\tm1\t0.5\n")
     start()
     assert sorted((r.virus_name, r.confidence_score) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("v", 1.0), ("w", 0.0)]
+
+
+def test_a_file_is_numbered_by_many_tasks(spark):
+    """One file with most of the sequences doesn't go to one task; chunks are those of its order."""
+    rows = [("hot" if i % 10 else None, f"n{i:05d}", i) for i in range(4000)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = tools.chunk_sequences(spark.createDataFrame(rows, "file string, name string, x int"), 7, ["name"]).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    want = {}
+    for file in ("hot", None):
+        for at, name in enumerate(sorted(n for f, n, _ in rows if f == file)):
+            want[name] = at // 7
+    assert {r["name"]: r["chunk_id"] for r in got} == want
+    assert len(got) == len(rows)
+    assert len({r["task"] for r in got if r["file"] == "hot"}) > 1
