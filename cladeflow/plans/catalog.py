@@ -395,6 +395,6 @@ def run_on_chunks(spark: SparkSession, sf: str) -> DataFrame:
 @query(MEMBERSHIP)
 def stream_predict(spark: SparkSession, sf: str) -> DataFrame:
     path = stages.scratch_folder(spark)
-    sinks.write_dsv(aggregated(spark, sf).coalesce(1), f"{path}/arriving")
+    sinks.write_dsv(aggregated(spark, sf), f"{path}/arriving")  # all files are one batch
     predict.stream_predictions(spark, f"{path}/arriving", f"{path}/out", f"{path}/state", fixtures.classes(spark, sf), fixtures.samples(spark, sf)).awaitTermination()
     return _rounded(spark.read.parquet(f"{path}/out"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cladeflow.functions import columns as X
 from cladeflow.operators import verbs
-from cladeflow.plans import classify, scoring, stages, tools
+from cladeflow.plans import catalog, classify, scoring, stages, tools
 from cladeflow.streaming import predict
 
 
@@ -191,3 +191,17 @@ def test_a_file_is_numbered_by_many_tasks(spark):
     assert {r["name"]: r["chunk_id"] for r in got} == want
     assert len(got) == len(rows)
     assert len({r["task"] for r in got if r["file"] == "hot"}) > 1
+
+
+def test_streamed_files_are_written_by_many_tasks(spark, sf, monkeypatch):
+    """The aggregated table isn't put through one task and one file before it is streamed."""
+    seen = []
+
+    def note(df, path):
+        seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+        raise InterruptedError
+
+    monkeypatch.setattr(catalog.sinks, "write_dsv", note)
+    with pytest.raises(InterruptedError):
+        catalog.stream_predict(spark, sf)
+    assert "Repartition 1," not in seen[0]
