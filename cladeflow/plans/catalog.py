@@ -216,6 +216,12 @@ def product_join(spark: SparkSession, sf: str) -> DataFrame:
     return verbs.product_with(T(spark, sf, "nation"), T(spark, sf, "region"), lambda a, b: {"pair": F.concat_ws("/", a["n_name"], b["r_name"])})
 
 
+@query("SELECT s_name || '/' || r_name AS pair FROM supplier, region")
+def product_join_suppliers(spark: SparkSession, sf: str) -> DataFrame:
+    """The product with a table that grows; region has five rows at every size, so it is broadcast."""
+    return verbs.product_with(T(spark, sf, "supplier"), F.broadcast(T(spark, sf, "region")), lambda a, b: {"pair": F.concat_ws("/", a["s_name"], b["r_name"])})
+
+
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS quantity, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem GROUP BY ALL")
 def summarize(spark: SparkSession, sf: str) -> DataFrame:
     return verbs.summarizing(T(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], n=F.count("*"), quantity=F.sum("l_quantity"), revenue=F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2))

@@ -205,3 +205,9 @@ def test_streamed_files_are_written_by_many_tasks(spark, sf, monkeypatch):
     with pytest.raises(InterruptedError):
         catalog.stream_predict(spark, sf)
     assert "Repartition 1," not in seen[0]
+
+
+def test_a_product_grows_with_the_input(spark, sf):
+    found = catalog.QUERIES["product_join_suppliers"](spark, sf)
+    assert found.count() == 5 * spark.read.parquet(f"{sf}/supplier.parquet").count()
+    assert "broadcast" in found._jdf.queryExecution().optimizedPlan().toString()
