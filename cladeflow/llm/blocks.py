@@ -1,19 +1,21 @@
 """Blocks of documents and questions that blocks put to each other.
 
-`blocks` deals a corpus into blocks of neighbouring ids, one row each, written once to the shared
+A `Corpus` deals documents once into blocks of neighbouring ids, one row each, written to the shared
 checkpoint folder and laid out by block number, so that later joins on that number move no text.
 
-`ask` is one round of "has any other block this too?": each block sends every part (a range of hash
-space) one packed array of its *distinct* keys, the part answers with one array of the same length
-and order, and the answers go back to the block. A key goes out once per block however often it
+`Corpus.ask` is one round of "has any other block this too?": each block sends every part (a range of hash
+space) one packed array of its *distinct* keys, the part answers with as many answers in the same
+order, and the answers are laid out beside the block, once. A key leaves a block once however often it
 occurs there, so that a key that a third of all rows hold makes no part larger than the number of
-blocks. Nothing is collected on the driver but one row of totals and the limits between blocks.
+blocks. There are as many parts as the keys fill, far fewer than blocks. Nothing is collected on the driver but
+one row of totals and the limits between blocks (8 bytes for BLOCK_BYTES of text).
 """
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import zlib
 from collections.abc import Callable, Iterator
@@ -25,15 +27,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK_BYTES = 8 << 20  # text in a block, until MAX_BLOCKS blocks are reached; then blocks grow
-MAX_BLOCKS = 100_000
-CHUNK_BYTES = 1 << 20  # text that a kernel takes at a time; a longer text is a chunk of its own
+from . import kernels as K
+
+BLOCK_BYTES = 8 << 20  # text in a block, at any size of the corpus
+PART_BYTES = 64 << 20  # text whose keys a part answers for
+MOST_TASKS = 20_000  # partitions that blocks are dealt to
+AT_ONCE = 10_000  # limits between blocks found by one aggregate
+ANSWER = "pid int, kind string, part int, ans binary, hits long"
+CHUNK_BYTES = 1 << 20  # text that a kernel takes at a time
+_GAP = re.compile(rb"[\x20\x09-\x0d]")
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Keep the cluster's shared checkpoint folder; choose one only where none is set (tests)."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    """Keep the cluster's shared checkpoint folder; choose one only where none is set and all runs on this machine (tests)."""
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that the input doesn't have."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = f"_{name}"
+    return name
 
 
 def give_back() -> None:
@@ -95,9 +113,34 @@ class Block:
             yield begin, texts
 
 
+def pieces(text: bytes, unit: str, overlap: int, most: int = CHUNK_BYTES) -> Iterator[tuple[int, bytes]]:
+    """A long text in pieces of about `most` bytes, each with its first unit's number and the last `overlap` units of the one before."""
+    at, done, size = 0, 0, most
+    while True:
+        if unit == "byte":
+            stop = min(len(text), at + size + overlap)
+            yield at, text[at:stop]
+            at = stop - overlap
+            if stop == len(text):
+                return
+            continue
+        gap = _GAP.search(text, at + size) if at + size < len(text) else None
+        stop = gap.start() if gap else len(text)
+        if stop == len(text):
+            yield done, text[at:]
+            return
+        start, _, _ = K.words(*K.join_texts([text[at:stop]]))
+        if len(start) <= overlap:  # of very long words
+            size *= 2
+            continue
+        yield done, text[at:stop]
+        done += len(start) - overlap
+        at += int(start[len(start) - overlap]) if overlap else stop - at
+
+
 def block_count(spark: SparkSession, total: int) -> int:
-    """Blocks of about BLOCK_BYTES; smaller ones where a small corpus wouldn't fill the cores, larger ones past MAX_BLOCKS."""
-    return int(min(MAX_BLOCKS, max(total // BLOCK_BYTES + 1, min(spark.sparkContext.defaultParallelism, total // CHUNK_BYTES + 1))))
+    """Blocks of about BLOCK_BYTES; smaller ones where a small corpus wouldn't fill the cores."""
+    return int(max(total // BLOCK_BYTES + 1, min(spark.sparkContext.defaultParallelism, total // CHUNK_BYTES + 1)))
 
 
 def spread(text: bytes | None, n: int) -> int:
@@ -105,47 +148,25 @@ def spread(text: bytes | None, n: int) -> int:
     return zlib.crc32(text or b"") % n
 
 
-def _bounds(rows: DataFrame, n: int) -> list[int]:
+def limits_between(rows: DataFrame, n: int) -> np.ndarray:
+    """The largest id of each of n ranges of about as many rows but the last; beyond AT_ONCE of ranges of ranges."""
+    quantiles = lambda k: F.expr(f"percentile_approx(id, array({', '.join(f'{i / k:.9f}D' for i in range(1, k))}), {max(10_000, 10 * k)})").alias("q")
     if n <= 1:
-        return []
-    cuts = ", ".join(f"{i / n:.9f}D" for i in range(1, n))
-    found = rows.agg(F.expr(f"percentile_approx(id, array({cuts}), {max(10_000, 10 * n)})").alias("q")).head()
-    return sorted(set(found["q"] or []))
-
-
-def blocks(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> tuple[DataFrame, int]:
-    """(pid, docs) with one row per block, and the number of blocks."""
-    return deal(docs, id_col, text_col, carry)[:2]
-
-
-def deal(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> tuple[DataFrame, int, np.ndarray, int]:
-    """Blocks, their number, the largest id of each but the last, and the bytes of all text.
-
-    carry keeps the other columns of each row beside its text, as a struct `rest`. The input is read three times (bytes,
-    limits, texts); write it first where it is dear. Rows that share an id share a block; rows without one are spread.
-    """
-    spark = docs.sparkSession
-    shared_checkpoints(spark)
-    other = [c for c in docs.columns if c not in (id_col, text_col)]
-    rest = F.struct(*[F.col(f"`{c}`") for c in other]) if carry and other else F.lit(None).cast("string")
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("z"), rest.alias("rest"))
-    total = rows.agg(F.sum(F.octet_length("z")).alias("b")).head()["b"] or 0
-    n = block_count(spark, total)
-    limits = np.array(_bounds(rows, n), np.int64)
-    schema = T.StructType([T.StructField("pid", T.IntegerType()), *rows.schema.fields])
-
-    def pack(batches):
+        return np.zeros(0, np.int64)
+    if n <= AT_ONCE:
+        return np.unique(np.array(rows.agg(quantiles(n)).head()["q"] or [], np.int64))
+    coarse = -(-n // AT_ONCE)
+    outer = limits_between(rows, coarse)
+
+    def place(batches):
         for b in batches:
-            ids, texts = b.column(0), b.column(1).to_pylist()
-            pid = np.searchsorted(limits, ids.fill_null(0).to_numpy(zero_copy_only=False), "left").astype(np.int32)
-            for i in np.flatnonzero(np.asarray(ids.is_null())):
-                pid[i] = spread(texts[i], len(limits) + 1)
-            z = pa.array([None if t is None else squeeze(t) for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(pid), ids, z, b.column(2)], schema.names)
+            ids = b.column(0).drop_null()
+            at = np.searchsorted(outer, ids.to_numpy(zero_copy_only=False), "left").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(at), ids], ["range", "id"])
 
-    dealt = rows.mapInArrow(pack, schema).repartition(n, "pid")
-    made = dealt.groupBy("pid").agg(F.collect_list(F.struct("id", "z", "rest")).alias("docs"))
-    return _laid_out(made), n, limits, total
+    # One row a range, each of at most AT_ONCE numbers.
+    inner = rows.select("id").mapInArrow(place, "range int, id long").groupBy("range").agg(quantiles(AT_ONCE)).toLocalIterator()
+    return np.unique(np.concatenate([outer, *(np.array(r["q"] or [], np.int64) for r in inner)]))
 
 
 def _laid_out(made: DataFrame) -> DataFrame:
@@ -159,41 +180,152 @@ def _laid_out(made: DataFrame) -> DataFrame:
         conf.set(name, before)
 
 
-def _blocks_of(batch: pa.RecordBatch) -> Iterator[tuple[int, Block, pa.StructArray, dict]]:
+def _blocks_of(batch: pa.RecordBatch) -> Iterator[tuple[Block, pa.StructArray, dict]]:
     for i in range(batch.num_rows):
         inner = batch.column(1)[i].values
         ids, z = inner.field("id").to_pylist(), inner.field("z").to_pylist()
         order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0, z[k] or b""))
         answers: dict[str, dict[int, bytes]] = {}
-        if batch.num_columns > 2:
-            for a in batch.column(2)[i].as_py() or []:
+        for column in batch.columns[2:]:
+            for a in column[i].as_py() or []:
                 kind, _, width = a["kind"].partition("/")  # with a width, records of so many bytes lie by planes
                 answers.setdefault(kind, {})[a["part"]] = from_planes(a["ans"], f"V{width}").tobytes() if width else expand(a["ans"])
         block = Block(batch.column(0)[i].as_py(), ids, z, order)
-        yield i, block, inner, {k: b"".join(v[p] for p in sorted(v)) for k, v in answers.items()}
+        yield block, inner, {k: b"".join(v[p] for p in sorted(v)) for k, v in answers.items()}
         give_back()
 
 
-def _with(t0: DataFrame, answers: DataFrame | None) -> DataFrame:
-    if answers is None:
-        return t0.select("pid", "docs")
-    got = answers.groupBy("pid").agg(F.collect_list(F.struct("kind", "part", "ans")).alias("answers"))
-    return t0.join(got.hint("shuffle_hash"), "pid", "left").select("pid", "docs", "answers")
-
-
-def visit(t0: DataFrame, answers: DataFrame | None, schema: T.StructType | str, rows: Callable) -> DataFrame:
-    """rows(block, inner, answers) yields record batches of the schema, for each block."""
+class Corpus:
+    """Documents in blocks, and the answers that each block has had so far."""
+
+    def __init__(self, table: DataFrame, tasks: int, limits: np.ndarray, total: int, answers: tuple[DataFrame, ...] = ()):
+        self.table, self.tasks, self.limits, self.total, self.answers = table, tasks, limits, total, answers
+
+    @classmethod
+    def deal(cls, docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> Corpus:
+        """Blocks of rows, in ranges of id.
+
+        carry keeps the other columns of each row beside its text, as a struct `rest`. The input is read three times (bytes,
+        limits, texts); write it first where it is dear. Rows that share an id share a block; rows without one are spread.
+        """
+        spark = docs.sparkSession
+        shared_checkpoints(spark)
+        other = [c for c in docs.columns if c not in (id_col, text_col)]
+        rest = F.struct(*[F.col(f"`{c}`") for c in other]) if carry and other else F.lit(None).cast("string")
+        rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("z"), rest.alias("rest"))
+        total = rows.agg(F.sum(F.octet_length("z")).alias("b")).head()["b"] or 0
+        n = block_count(spark, total)
+        limits = limits_between(rows, n)
+        schema = T.StructType([T.StructField("pid", T.IntegerType()), *rows.schema.fields])
+
+        def pack(batches):
+            for b in batches:
+                ids, texts = b.column(0), b.column(1).to_pylist()
+                pid = np.searchsorted(limits, ids.fill_null(0).to_numpy(zero_copy_only=False), "left").astype(np.int32)
+                for i in np.flatnonzero(np.asarray(ids.is_null())):
+                    pid[i] = spread(texts[i], len(limits) + 1)
+                z = pa.array([None if t is None else squeeze(t) for t in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(pid), ids, z, b.column(2)], schema.names)
+
+        tasks = min(n, MOST_TASKS)
+        dealt = rows.mapInArrow(pack, schema).repartition(tasks, "pid")
+        made = dealt.groupBy("pid").agg(F.collect_list(F.struct("id", "z", "rest")).alias("docs"))
+        return cls(_laid_out(made), tasks, limits, total)
+
+    def parts(self, text: int | None = None) -> int:
+        """Parts for the keys of so many bytes of text, by default of all."""
+        least = min(2 * self.table.sparkSession.sparkContext.defaultParallelism, self.tasks)
+        return int(max(least, (self.total if text is None else text) // PART_BYTES + 1))
+
+    def knowing(self, rows: DataFrame) -> Corpus:
+        """The corpus with more answers, rows of (pid, kind, part, ans, hits), beside its blocks."""
+        told = rows.repartition(self.tasks, "pid").groupBy("pid").agg(F.collect_list(F.struct("kind", "part", "ans", "hits")).alias(f"answers{len(self.answers)}"))
+        return Corpus(self.table, self.tasks, self.limits, self.total, (*self.answers, _laid_out(told)))
+
+    def knowing_ids(self, rows: DataFrame, kind: str) -> Corpus:
+        """The corpus with the ids of rows of (pid, ids) as an answer to each block, ascending."""
+
+        def packed(batches):
+            for b in batches:
+                raw = [squeeze(np.sort(np.asarray(x.values)).astype("<i8").tobytes()) for x in b.column(1)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([kind] * b.num_rows), pa.array([0] * b.num_rows, pa.int32()), pa.array(raw, pa.binary()), pa.array([0] * b.num_rows, pa.int64())], ["pid", "kind", "part", "ans", "hits"])
+
+        return self.knowing(rows.select("pid", "ids").mapInArrow(packed, ANSWER))
+
+    def hits(self) -> int:
+        """Keys that the last question found to be of use, with their weights."""
+        return self.answers[-1].select(F.explode(self.answers[-1].columns[1]).alias("a")).agg(F.sum("a.hits").alias("n")).head()["n"] or 0
+
+    def _rows(self) -> DataFrame:
+        out = self.table.select("pid", "docs")
+        for a in self.answers:
+            out = out.join(a.hint("shuffle_hash"), "pid", "left")
+        return out
+
+    def visit(self, schema: T.StructType | str, rows: Callable) -> DataFrame:
+        """rows(block, inner, answers) yields record batches of the schema, for each block."""
+
+        def run(batches):
+            for b in batches:
+                for block, inner, got in _blocks_of(b):
+                    yield from rows(block, inner, got)
+
+        return self._rows().mapInArrow(run, schema)
+
+    def ask(self, kind: str, parts: int, entries: Callable, answer: Callable) -> Corpus:
+        """One round; entries(block, answers, parts) yields (part, packed keys), answer([(pid, packed keys)]) of one part gives
+        for each block (width, packed answers, how many are of use), width 0 where they are squeezed and else that of records by planes."""
+
+        def send(batches):
+            for b in batches:
+                for block, _, got in _blocks_of(b):
+                    found = list(entries(block, got, parts))
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array([block.pid] * len(found), pa.int32()), pa.array([p for p, _ in found], pa.int32()), pa.array([k for _, k in found], pa.binary())], ["pid", "part", "keys"])
+
+        def reply(part: int, held: list[tuple[int, bytes]]):
+            out = answer(held)
+            give_back()
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in held], pa.int32()), pa.array([f"{kind}/{w}" if w else kind for w, _, _ in out]), pa.array([part] * len(held), pa.int32()), pa.array([a for _, a, _ in out], pa.binary()), pa.array([n for _, _, n in out], pa.int64())], ["pid", "kind", "part", "ans", "hits"])
+
+        def receive(batches):
+            part, held = None, []
+            for b in batches:
+                for pid, p, keys in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if p != part and held:
+                        yield reply(part, held)
+                        held = []
+                    part = p
+                    held.append((pid, keys))
+            if held:
+                yield reply(part, held)
+
+        sent = self._rows().mapInArrow(send, "pid int, part int, keys binary")
+        return self.knowing(sent.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "pid").mapInArrow(receive, ANSWER))
+
+    def ask_keys(self, kind: str, parts: int, dtype, entries: Callable, answer: Callable, planes: bool = False, weight: str | None = None) -> Corpus:
+        """A round of records: entries(block, answers, parts) gives (part of each, records of dtype whose field `key` ascends), answer([(pid, records)])
+        gives one array for each block, as long as its records; with planes, answers travel by planes of bytes. Keys with an answer above 0 are counted, by the field `weight` if given."""
+
+        def send(block, got, parts):
+            part, keys = entries(block, got, parts)
+            if len(part):
+                cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+                yield from zip(part[cut].tolist(), (by_planes(k, "key") for k in np.split(keys, cut[1:])), strict=True)
 
-    def run(batches):
-        for b in batches:
-            for _, block, inner, got in _blocks_of(b):
-                yield from rows(block, inner, got)
+        def reply(held):
+            keys = [(p, from_planes(k, dtype, "key")) for p, k in held]
+            found = []
+            for (_, k), a in zip(keys, answer(keys), strict=True):
+                n = 0 if planes else int(k[weight][a > 0].sum(dtype=np.int64)) if weight else int(np.count_nonzero(a))
+                found.append((a.itemsize, by_planes(a), n) if planes else (0, squeeze(a.tobytes()), n))
+            return found
 
-    return _with(t0, answers).mapInArrow(run, schema)
+        return self.ask(kind, parts, send, reply)
 
 
-def restored_schema(t0: DataFrame) -> T.StructType:
-    return t0.schema["docs"].dataType.elementType
+def restored_schema(corpus: Corpus) -> T.StructType:
+    return corpus.table.schema["docs"].dataType.elementType
 
 
 def restored(block: Block, inner: pa.StructArray, which: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -210,51 +342,9 @@ def as_before(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
     return rows.select(*[(at[f.name] if f.name in at else F.col(f"rest.`{f.name}`")).cast(f.dataType).alias(f.name) for f in docs.schema.fields])
 
 
-def ask(t0: DataFrame, answers: DataFrame | None, n: int, kind: str, dtype, entries: Callable, answer: Callable, ascending: str | None = None) -> DataFrame:
-    """One round; returns the answers so far and the new ones.
-
-    entries(block, answers, n) gives (part of each key, packed keys of dtype): parts ascending, keys in an
-    order that the block can make again. answer(keys of one part as [(pid, array)]) gives one array
-    for each block, as long as its keys. With ascending, a field in whose order the keys are, keys
-    and answers travel squeezed by planes.
-    """
-    pack, unpack = (lambda k: by_planes(k, ascending), lambda k: from_planes(k, dtype, ascending)) if ascending else (lambda k: k.tobytes(), lambda k: np.frombuffer(k, dtype))
-
-    def send(batches):
-        for b in batches:
-            for _, block, _, got in _blocks_of(b):
-                part, keys = entries(block, got, n)
-                if not len(part):
-                    continue
-                cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-                parts, blobs = part[cut].astype(np.int32), [pack(k) for k in np.split(keys, cut[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cut), block.pid, np.int32)), pa.array(parts), pa.array(blobs, pa.binary())], ["pid", "part", "keys"])
-
-    def reply(part: int, held: list[tuple[int, bytes]]):
-        out = answer([(p, unpack(k)) for p, k in held])
-        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in held], pa.int32()), pa.array([f"{kind}/{out[0].itemsize}" if ascending else kind] * len(held)), pa.array([part] * len(held), pa.int32()), pa.array([by_planes(a) if ascending else squeeze(a.tobytes()) for a in out], pa.binary())], ["pid", "kind", "part", "ans"])
-
-    def receive(batches):
-        part, held = None, []
-        for b in batches:
-            for pid, p, keys in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if p != part and held:
-                    yield reply(part, held)
-                    held = []
-                    give_back()
-                part = p
-                held.append((pid, keys))
-        if held:
-            yield reply(part, held)
-
-    sent = _with(t0, answers).mapInArrow(send, "pid int, part int, keys binary")
-    new = sent.repartition(n, "part").sortWithinPartitions("part", "pid").mapInArrow(receive, "pid int, kind string, part int, ans binary").checkpoint()
-    return new if answers is None else answers.unionByName(new)
-
-
 def part_of(key: np.ndarray, n: int) -> np.ndarray:
     """The part that answers for a 64-bit key; ascending in the key."""
-    return ((key >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+    return (((key >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int32)
 
 
 def stacked(held: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:

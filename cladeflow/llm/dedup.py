@@ -16,40 +16,45 @@ from . import repeats as R
 
 
 def _strip(docs: DataFrame, id_col: str, text_col: str, plan: R.Plan, resolver, keep, carry: bool) -> DataFrame:
-    """keep(text, removed mask over units or None) gives (units, removed, stretches, kept bytes, changed)."""
-    t0, n = B.blocks(docs, id_col, text_col, carry)
-    answers = R.find(t0, n, plan, resolver)
-    rest = t0.schema["docs"].dataType.elementType["rest"].dataType
+    """keep(text, first units of removed windows, window) gives (units, removed, stretches, kept bytes, changed)."""
+    corpus, parts = R.find(B.Corpus.deal(docs, id_col, text_col, carry), plan, resolver)
+    rest = B.restored_schema(corpus)["rest"].dataType
     schema = T.StructType([T.StructField("doc_id", T.LongType())] + [T.StructField(c, T.LongType()) for c in ("n_units", "n_removed", "n_spans")] + [T.StructField("kept", T.BinaryType()), T.StructField("changed", T.BooleanType()), T.StructField("kept_sha256", T.StringType()), T.StructField("rest", rest)])
 
     def rows(block, inner, got):
-        text, start, end = R.removed(block, plan, resolver, got)
+        copy, doc, start = resolver.gone(block, got, parts)
+        order = np.argsort(doc, kind="stable")
+        doc, start = doc[order], start[order]
         for begin, texts in block.chunks(all_rows=True):
             out = []
             for i, t in enumerate(texts, begin):
-                lo, hi = np.searchsorted(text, [i, i + 1])
-                units, gone, spans, kept, changed = keep(t, start[lo:hi], end[lo:hi])
+                lo, hi = np.searchsorted(doc, [i, i + 1])
+                units, gone, spans, kept, changed = keep(t, start[lo:hi], plan.window, i < block.known and bool(copy[i]))
                 null = block.packed[i] is None
                 out.append((block.raw_ids[i], units, gone, spans, (None if null else kept if changed else t) if carry else None, changed, hashlib.sha256(kept).hexdigest()))
             cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.string()), strict=True)]
             yield pa.RecordBatch.from_arrays([*cols, inner.field("rest").take(pa.array(block.order[begin : begin + len(texts)]))], schema.names)
 
-    return B.visit(t0, answers, schema, rows)
+    return corpus.visit(schema, rows)
 
 
-def _keep_words(text: bytes, start: np.ndarray, end: np.ndarray) -> tuple:
+def _keep_words(text: bytes, start: np.ndarray, window: int, copy: bool) -> tuple:
     found = text.split()
+    if copy and len(found) >= window:
+        return len(found), len(found), 1, b"", True
     if not len(start):
         return len(found), 0, 0, b" ".join(found), False
-    gone = K.covered(len(found), start, end)
+    gone = K.covered(len(found), start, start + window)
     spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + gone[0])
     return len(found), int(gone.sum()), spans, b" ".join([found[i] for i in np.flatnonzero(~gone)]), True
 
 
-def _keep_bytes(text: bytes, start: np.ndarray, end: np.ndarray) -> tuple:
+def _keep_bytes(text: bytes, start: np.ndarray, window: int, copy: bool) -> tuple:
+    if copy and len(text) >= window:
+        return len(text), len(text), 1, b"", True
     if not len(start):
         return len(text), 0, 0, text, False
-    gone = K.covered(len(text), start, end)
+    gone = K.covered(len(text), start, start + window)
     spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + gone[0])
     return len(text), int(gone.sum()), spans, np.frombuffer(text, np.uint8)[~gone].tobytes(), True
 
@@ -61,20 +66,21 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_spans (removed stretches), changed, kept_sha256 (of the kept words joined by a space) and, if carry,
     kept (those bytes; the text as it was where nothing went) and rest (the other columns). A null or blank text has no
     words; a document shorter than the window loses nothing; rows that share an id don't affect each
-    other; a row without an id neither loses nor takes text; an empty table gives no rows. Working memory
-    follows the block size and the longest single text.
+    other; a row without an id neither loses nor takes text; an empty table gives no rows; columns of the input may have any
+    names. A long text is taken in overlapping pieces of about blocks.CHUNK_BYTES, so working memory
+    follows the block size, and the longest single text only by that text itself.
     """
     plan = R.Plan("word", window, max(1, window // 6))
     return _strip(docs, id_col, text_col, plan, R.SuffixTrees(plan, (max(1, window // 5), max(1, window // 2))), _keep_words, carry)
 
 
-def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, carry: bool = False, hot: int = R.HOT_VARIANTS) -> DataFrame:
+def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, carry: bool = False, crowd: int = 50_000) -> DataFrame:
     """Remove each byte that a `window`-byte string covers which also starts in a document with a smaller id.
 
-    As `substring_dedup`, over UTF-8 bytes; a null text is empty. kept may split a multi-byte character. Anchors in
-    more than `hot` surroundings are compared by hash (see `repeats.PreviousFactors`).
+    As `substring_dedup`, over UTF-8 bytes; a null text is empty. kept may split a multi-byte character. Windows of anchors with
+    more than `crowd` runs are spread over parts singly (see `repeats.PreviousFactors`); results are the same.
     """
-    plan = R.Plan("byte", window, max(1, window // 3), hot)
+    plan = R.Plan("byte", window, max(1, window // 3), crowd)
     return _strip(docs, id_col, text_col, plan, R.PreviousFactors(plan), _keep_bytes, carry)
 
 

@@ -3,8 +3,8 @@
 Both vocabularies merge inside pre-tokens only, so a text may be cut at any place that is surely a
 pre-token boundary and the pieces encoded apart: before a space or line feed between other characters,
 after such a line feed, and before a full stop or comma that ends a word after an ASCII letter or digit.
-Pieces are told apart by 64-bit hashes. What has been encoded is kept, up to a bound, for the worker's
-later tasks. Texts with white space beyond single spaces and line feeds are encoded whole where white
+What has been encoded is kept, up to a bound, for the worker's later tasks, found by a 64-bit hash and compared byte by
+byte: a piece whose hash another one has is encoded by itself. Texts with white space beyond single spaces and line feeds are encoded whole where white
 space counts.
 """
 
@@ -18,6 +18,7 @@ import numpy as np
 from . import kernels as K
 
 HELD = 1_000_000  # pieces that a worker keeps
+HELD_BYTES = 64 << 20  # of their text
 TOGETHER = 2000  # new pieces encoded by one call
 
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -35,11 +36,12 @@ def encoder(path: str, kind: str) -> Encoder:
 
 
 class Memory:
-    """Ids of pieces, found by the piece's hash."""
+    """Ids and bytes of pieces, found by the piece's hash."""
 
     def __init__(self):
         self.keys, self.start, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, "<u4")
+        self.text, self.begin, self.size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Each key's place, -1 where it isn't held."""
@@ -48,14 +50,28 @@ class Memory:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, at, -1)
 
-    def add(self, keys: np.ndarray, ids: np.ndarray, length: np.ndarray) -> None:
-        """New keys, ascending, and their ids one after the other."""
-        if len(self.keys) + len(keys) > HELD:
+    def add(self, keys: np.ndarray, ids: np.ndarray, length: np.ndarray, text: np.ndarray, size: np.ndarray) -> None:
+        """New keys, ascending, their ids one after the other, and their bytes."""
+        if len(self.keys) + len(keys) > HELD or len(self.text) + len(text) > HELD_BYTES:
             self.__init__()
         at = np.searchsorted(self.keys, keys)
-        start = len(self.ids) + np.cumsum(length) - length
-        self.keys, self.start, self.length = (np.insert(a, at, b) for a, b in ((self.keys, keys), (self.start, start), (self.length, length)))
-        self.ids = np.concatenate([self.ids, ids])
+        start, begin = len(self.ids) + np.cumsum(length) - length, len(self.text) + np.cumsum(size) - size
+        mine = (self.keys, keys), (self.start, start), (self.length, length), (self.begin, begin), (self.size, size)
+        self.keys, self.start, self.length, self.begin, self.size = (np.insert(a, at, b) for a, b in mine)
+        self.ids, self.text = np.concatenate([self.ids, ids]), np.concatenate([self.text, text])
+
+    def same(self, place: np.ndarray, flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether the pieces at `start` have the bytes of those held in each place."""
+        out = self.size[place] == size
+        some = np.flatnonzero(out)
+        mine, theirs, at, left = K.lanes(self.text), K.lanes(flat), 0, size[some]
+        while len(some):
+            x = mine[self.begin[place[some]] + at] ^ theirs[start[some] + at]
+            equal = (x & K._KEEP[np.minimum(left, 8)]) == 0
+            out[some[~equal]] = False
+            on = equal & (left > 8)
+            some, left, at = some[on], left[on] - 8, at + 8
+        return out
 
 
 class Encoder:
@@ -98,7 +114,8 @@ class Encoder:
                 made[i] = ids
         for i in np.flatnonzero(lead == NEW_LINE).tolist():
             made[i] = np.r_[np.uint32(self.mark_id), made[i]]
-        self.memory.add(keys, np.concatenate(made).astype("<u4"), np.array([len(m) for m in made], np.int64))
+        text = np.frombuffer(flat, np.uint8)[K.ranges(start, end - start)]
+        self.memory.add(keys, np.concatenate(made).astype("<u4"), np.array([len(m) for m in made], np.int64), text, end - start)
 
     def _plain(self, text: bytes) -> bool:
         """Only single spaces and line feeds, between other characters."""
@@ -130,7 +147,7 @@ class Encoder:
             before = flat[start - 1]
             lead = np.where(before == 32, SPACED, np.where(before == 10, NEW_LINE, BARE))
             lead[np.searchsorted(start, begins[:-1])] = BARE
-        codes = K.Rolling(K.BYTE_CODE[flat]).stretches(start, end)
+        codes = K.stretches(flat, start, end)
         keys, first, inverse = np.unique(K.mix(codes + lead.astype(np.uint64)), return_index=True, return_inverse=True)
         place = self.memory.find(keys)
         if (place < 0).any():
@@ -142,8 +159,14 @@ class Encoder:
                 again = np.flatnonzero(self.memory.find(keys) < 0)
                 self._learn(keys[again], raw, start[first[again]], end[first[again]], lead[first[again]])
             place = self.memory.find(keys)
-        m = self.memory
-        length = m.length[place][inverse]
-        ids = m.ids[K.ranges(m.start[place][inverse], length)]
+        m, place = self.memory, place[inverse]
+        length, source, where = m.length[place], m.ids, m.start[place]
+        other = np.flatnonzero(~m.same(place, flat, start, end - start))
+        if len(other):  # pieces whose hash another one has
+            made = [np.r_[np.uint32(self.mark_id), self._ids(p)] if k == NEW_LINE else self._ids(b" " + p if k == SPACED else p) for k, p in zip(lead[other].tolist(), (flat[a:b].tobytes() for a, b in zip(start[other], end[other], strict=True)), strict=True)]
+            length[other] = [len(x) for x in made]
+            where[other] = len(source) + np.cumsum(length[other]) - length[other]
+            source = np.concatenate([source, *made])
+        ids = source[K.ranges(where, length)]
         upto = np.r_[0, np.cumsum(length)][np.searchsorted(start, begins)]
         return [ids[a:b].tobytes() for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]

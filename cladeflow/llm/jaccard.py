@@ -11,92 +11,112 @@ from . import blocks as B
 from . import kernels as K
 from .graph import components
 
-COUNT = np.dtype([("hash", "<u4"), ("count", "u1")])
+CLASS = np.dtype([("key", "<u8"), ("more", "<u8"), ("id", "<i8")])
+COUNT = np.dtype([("key", "<u8"), ("count", "u1")])
 RANGES = 16  # of hash space, for the suffix filter
 CELL = 256  # sets of a shingle's list that a task pairs with as many others
-ROW = "pid int, id long, n long, f1 long, f2 long, tokens array<long>, places array<int>, spread array<int>"
+ROW = "pid int, id long, n long, rep long, again boolean, tokens array<long>, places array<int>, spread array<int>"
 
 
 def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Text and hash of each distinct shingle, in that order; a text of fewer words is one shingle."""
+    """Text and code of each distinct shingle, in that order; a text of fewer words is one shingle."""
     codes, first = K.word_codes(texts, lower=True)
-    roll, size = K.Rolling(codes), np.diff(first)
-    at = K.ranges(first[:-1], np.maximum(size - k + 1, 0))
-    short = np.flatnonzero((size > 0) & (size < k))
-    text = np.r_[np.repeat(np.arange(len(size)), np.maximum(size - k + 1, 0)), short]
-    hashes = np.r_[roll.stretches(at, at + k), roll.stretches(first[short], first[short + 1])]
-    order = np.lexsort((hashes, text))
-    text, hashes = text[order], hashes[order]
-    new = B.first_of_runs(text, hashes)
-    return text[new], hashes[new]
-
-
-def _frequencies(k: int):
-    """What a block asks: each shingle's number of documents (of all with the same 32 bits in its part)."""
-
-    def entries(block, got, n):
-        found, count = np.unique(np.concatenate([shingle_sets(t, k)[1] for _, t in block.chunks()] or [np.zeros(0, np.uint64)]), return_counts=True)
-        keys = np.empty(len(found), COUNT)
-        keys["hash"], keys["count"] = found.astype(np.uint32), np.minimum(count, 255)
-        return B.part_of(found, n), keys
-
-    def answer(held):
-        keys, _ = B.stacked(held)
-        _, inverse = np.unique(keys["hash"], return_inverse=True)
-        total = np.bincount(inverse, keys["count"])
-        rarity = np.where(total <= 1, 0, np.minimum(255, 1 + np.floor(8 * np.log2(np.maximum(total, 2))))).astype(np.uint8)
-        return B.unstack(rarity[inverse], held)
-
-    return entries, answer
+    size = np.diff(first)
+    grams, at = K.grams(codes, k), K.ranges(first[:-1], np.maximum(size - k + 1, 0))
+    text, found = [np.repeat(np.arange(len(size)), np.maximum(size - k + 1, 0))], [grams[at]]
+    for m in range(1, k):
+        short = np.flatnonzero(size == m)
+        text.append(short)
+        found.append(K.grams(codes, m)[first[short]] + np.uint64(m))
+    text, found = np.concatenate(text), np.concatenate(found)
+    order = np.lexsort((found, text))
+    text, found = text[order], found[order]
+    new = B.first_of_runs(text, found)
+    return text[new], found[new]
+
+
+class Sets:
+    """The shingle sets of a block's documents, their fingerprints, and classes of equal sets."""
+
+    def __init__(self, block: B.Block, k: int, got: dict):
+        chunks = [(begin, len(t), *shingle_sets(t, k)) for begin, t in block.chunks(all_rows=True)]
+        self.doc = np.concatenate([text + begin for begin, _, text, _ in chunks] or [np.zeros(0, np.int64)])
+        self.code = np.concatenate([h for *_, h in chunks] or [np.zeros(0, np.uint64)])
+        self.size = np.bincount(self.doc, minlength=len(block.packed))
+        self.end = np.cumsum(self.size)
+        f1, f2 = (np.zeros(len(self.size), np.uint64) for _ in range(2))
+        np.add.at(f1, self.doc, K.mix(self.code))
+        np.add.at(f2, self.doc, K.mix(self.code ^ np.uint64(0x5DEECE66D)))
+        some = np.flatnonzero(self.size[: block.known] > 0)
+        order = some[np.lexsort((block.ids[some], f2[some], f1[some]))]
+        new = B.first_of_runs(f1[order], f2[order])
+        heads = order[new]
+        self.keys = np.empty(len(heads), CLASS)
+        self.keys["key"], self.keys["more"], self.keys["id"] = f1[heads], f2[heads], block.ids[heads]
+        self.rep = block.ids.copy()  # of documents without words themselves
+        least = np.frombuffer(got.get("classes", b""), "<i8")
+        if len(least):
+            self.rep[order] = least[np.cumsum(new) - 1]
+        self.is_rep = np.zeros(len(self.size), bool)
+        self.is_rep[heads] = self.rep[heads] == block.ids[heads]
+
+    def counted(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct shingles of the sets that stand for their classes, and in how many of those each is."""
+        return np.unique(self.code[self.is_rep[self.doc]], return_counts=True)
+
+
+def _first_ids(held: list) -> list[np.ndarray]:
+    keys, _ = B.stacked(held)
+    order = np.lexsort((keys["id"], keys["more"], keys["key"]))
+    new = B.first_of_runs(keys["key"][order], keys["more"][order])
+    out = np.empty(len(order), "<i8")
+    out[order] = keys["id"][order][new][np.cumsum(new) - 1]
+    return B.unstack(out, held)
+
+
+def _rarities(held: list) -> list[np.ndarray]:
+    keys, _ = B.stacked(held)
+    _, inverse = np.unique(keys["key"], return_inverse=True)
+    total = np.bincount(inverse, keys["count"])
+    rarity = np.where(total <= 1, 0, np.minimum(255, 1 + np.floor(8 * np.log2(np.maximum(total, 2))))).astype(np.uint8)
+    return B.unstack(rarity[inverse], held)
 
 
 def _prefixes(k: int, percent: int):
-    """Each document's set: size, fingerprint, and the shared shingles of its rare-first prefix."""
+    """Each document's class and size; of those that stand for a class, the shared shingles of the rare-first prefix."""
 
     def rows(block, inner, got):
-        rarity = np.frombuffer(got.get("frequency", b""), np.uint8)
-        sets = [(begin, len(t), *shingle_sets(t, k)) for begin, t in block.chunks(all_rows=True)]
-        known = np.unique(np.concatenate([h for begin, _, _, h in sets if begin < block.known] or [np.zeros(0, np.uint64)]))
-        for begin, count, text, h in sets:
-            size = np.bincount(text, minlength=count)
-            f1, f2 = (np.zeros(count, np.uint64) for _ in range(2))
-            np.add.at(f1, text, K.mix(h))
-            np.add.at(f2, text, K.mix(h ^ np.uint64(0x5DEECE66D)))
-            spread = np.bincount(text * RANGES + (h >> np.uint64(60)).astype(np.int64), minlength=count * RANGES).reshape(count, RANGES)
-            ends = np.cumsum(size)
-            begin_of = ends - size
-            if begin < block.known:
-                rare = rarity[np.searchsorted(known, h)]
-                order = np.lexsort((h, rare, text))
-                place = np.arange(len(h)) - np.repeat(begin_of, size)
-                prefix = size - (percent * size + 99) // 100 + 1
-                inside = (place < prefix[text]) & (rare[order] > 0)
-            out = []
-            for i in range(count):
-                lo, hi = begin_of[i], ends[i]
-                tokens, places = [], []
-                if begin < block.known and hi > lo:
-                    use = np.flatnonzero(inside[lo:hi])
-                    tokens, places = h[order[lo:hi][use]].view(np.int64), use.astype(np.int32)
-                out.append((block.pid, block.raw_ids[begin + i], int(size[i]), int(f1[i : i + 1].view(np.int64)[0]), int(f2[i : i + 1].view(np.int64)[0]), tokens, places, spread[i]))
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["pid", "id", "n", "f1", "f2", "tokens", "places", "spread"])
+        sets = Sets(block, k, got)
+        rarity, (found, _) = np.frombuffer(got.get("frequency", b""), np.uint8), sets.counted()
+        use = sets.is_rep[sets.doc]
+        doc, code = sets.doc[use], sets.code[use]
+        size = np.bincount(doc, minlength=len(sets.size))
+        rare = rarity[np.searchsorted(found, code)] if len(found) else np.zeros(0, np.uint8)
+        order = np.lexsort((code, rare, doc))
+        end = np.cumsum(size)
+        place = np.arange(len(code)) - np.repeat(end - size, size)
+        inside = np.flatnonzero((place < (size - (percent * size + 99) // 100 + 1)[doc]) & (rare[order] > 0))
+        cut = np.searchsorted(doc[inside], np.arange(len(size) + 1))
+        tokens, places = code[order[inside]].view(np.int64), place[inside].astype(np.int32)
+        spread = np.bincount(doc * RANGES + (code >> np.uint64(60)).astype(np.int64), minlength=len(size) * RANGES).reshape(len(size), RANGES).astype(np.int32)
+        again = np.r_[False, block.ids[1:] == block.ids[:-1]] if block.known else np.zeros(0, bool)
+        again |= np.r_[again[1:], False] if block.known else again
+        nulls = len(size) - block.known
+        for a in range(0, len(size), 2000):
+            b = min(a + 2000, len(size))
+            lists = lambda x: pa.ListArray.from_arrays(pa.array((cut[a : b + 1] - cut[a]).astype(np.int32)), pa.array(x[cut[a] : cut[b]]))  # noqa: B023, E731
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a + 1) * RANGES, RANGES, dtype=np.int32)), pa.array(spread[a:b].reshape(-1)))
+            pad = np.zeros(nulls, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(b - a, block.pid, np.int32)), pa.array(block.raw_ids[a:b], pa.int64()), pa.array(sets.size[a:b]), pa.array(np.r_[sets.rep, pad][a:b], mask=np.arange(a, b) >= block.known),
+                 pa.array(np.r_[again, pad.astype(bool)][a:b]), lists(tokens), lists(places), flat],
+                ["pid", "id", "n", "rep", "again", "tokens", "places", "spread"],
+            )
 
     return rows
 
 
-def _id_lists(rows: DataFrame, kind: str) -> DataFrame:
-    """(pid, ids) as answers to the blocks: each block's ids, ascending."""
-
-    def packed(batches):
-        for b in batches:
-            raw = [B.squeeze(np.sort(np.asarray(x.values)).astype("<i8").tobytes()) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([kind] * b.num_rows), pa.array([0] * b.num_rows, pa.int32()), pa.array(raw, pa.binary())], ["pid", "kind", "part", "ans"])
-
-    return rows.mapInArrow(packed, "pid int, kind string, part int, ans binary")
-
-
-def _whole_sets(t0: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+def _whole_sets(corpus: B.Corpus, wanted: DataFrame, k: int) -> DataFrame:
     """(rep, shingles): the whole sets of the documents (pid, rep) wanted."""
 
     def rows(block, inner, got):
@@ -108,7 +128,7 @@ def _whole_sets(t0: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             cut = np.searchsorted(text, np.arange(1, len(part)))
             yield pa.RecordBatch.from_arrays([pa.array(block.ids[part]), pa.array([x.tobytes() for x in np.split(h, cut)], pa.binary())], ["rep", "shingles"])
 
-    return B.visit(t0, _id_lists(wanted.groupBy("pid").agg(F.collect_set("rep").alias("ids")), "wanted"), "rep long, shingles binary", rows)
+    return corpus.knowing_ids(wanted.groupBy("pid").agg(F.collect_set("rep").alias("ids")), "wanted").visit("rep long, shingles binary", rows)
 
 
 def _possible(x: str, y: str, percent: int) -> Column:
@@ -155,27 +175,40 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the shingle earliest; then pairs that are not yet in one component are paired exhaustively, so
     that groups of copies cost their number, not its square, and no link between components is missed.
     """
-    return _joined(*B.blocks(docs, id_col, text_col), k, percent).drop("pid")
-
-
-def _lists(t0: DataFrame, n: int, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All documents, the classes of equal sets, and each prefix shingle with the sets that have it."""
-    entries, answer = _frequencies(k)
-    answers = B.ask(t0, None, n, "frequency", COUNT, entries, answer)
-    rows = B.visit(t0, answers, ROW, _prefixes(k, percent)).checkpoint()
-    known = rows.filter("id is not null")
-    classes = known.filter("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("rep"))
-    reps = known.filter(F.size("tokens") > 0).join(classes, ["f1", "f2"]).filter("id = rep").select("pid", "rep", "n", "tokens", "places", "spread")
-    listed = reps.select("pid", "rep", "n", "spread", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select("pid", F.col("t.tokens").alias("token"), F.struct("rep", "n", F.col("t.places").alias("place"), "spread").alias("x"))
-    return rows, classes, listed
-
-
-def _joined(t0: DataFrame, n: int, k: int, percent: int) -> DataFrame:
-    rows, classes, listed = _lists(t0, n, k, percent)
-    known = rows.filter("id is not null")
-    hubs = listed.groupBy("token").agg(F.min(F.struct("x.place", "x.n", "x.rep", "x.spread")).alias("y"), F.count("*").alias("c")).filter("c > 1").select("token", "y")
-    listed = listed.join(hubs, "token").checkpoint()
-    sets = _whole_sets(t0, listed.select("pid", "x.rep").distinct(), k).checkpoint()
+    return _joined(B.Corpus.deal(docs, id_col, text_col), k, percent).drop("pid")
+
+
+def _lists(corpus: B.Corpus, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """All documents, each with the smallest id that has its set (equal sets are found block by block, so that a hot one is a row a
+    block), and each prefix shingle of the sets of those with the set."""
+
+    def classes(block, got, n):
+        keys = Sets(block, k, got).keys
+        return B.part_of(keys["key"], n), keys
+
+    def shingles(block, got, n):
+        found, count = Sets(block, k, got).counted()
+        # 48 bits, so that steps are short: where two shingles agree in them both count as more frequent, which changes only the order.
+        short, inverse = np.unique(found & np.uint64(0xFFFFFFFFFFFF0000), return_inverse=True)
+        keys = np.empty(len(found), COUNT)
+        keys["key"], keys["count"] = short[inverse], np.minimum(count, 255)
+        return B.part_of(keys["key"], n), keys
+
+    told = corpus.ask_keys("classes", corpus.parts(), CLASS, classes, _first_ids)
+    told = told.ask_keys("frequency", told.parts(), COUNT, shingles, _rarities)
+    rows = told.visit(ROW, _prefixes(k, percent)).checkpoint()
+    reps = rows.filter(F.size("tokens") > 0).select("pid", "rep", "n", "spread", F.explode(F.arrays_zip("tokens", "places")).alias("t"))
+    return rows, reps.select("pid", F.col("t.tokens").alias("token"), F.struct("rep", "n", F.col("t.places").alias("place"), "spread").alias("x"))
+
+
+def _joined(corpus: B.Corpus, k: int, percent: int) -> DataFrame:
+    rows, listed = _lists(corpus, k, percent)
+    hub = F.struct("x.place", "x.n", "x.rep", "x.spread")
+    # A shingle of very many sets is a row a block where its hub is found and told.
+    here = listed.groupBy("pid", "token").agg(F.min(hub).alias("y"), F.count("*").alias("c"))
+    hubs = here.groupBy("token").agg(F.min("y").alias("y"), F.sum("c").alias("c")).filter("c > 1").select("token", "y")
+    listed = listed.join(here.select("pid", "token").join(hubs, "token"), ["pid", "token"]).checkpoint()
+    sets = _whole_sets(corpus, listed.select("pid", "x.rep").distinct(), k).checkpoint()
     order = [F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")]
     tried = listed.filter(F.col("x.rep") != F.col("y.rep")).filter(_possible("x", "y", percent)).select(*order).distinct().checkpoint()
     linked = _verified(tried, sets, percent).checkpoint()
@@ -183,18 +216,22 @@ def _joined(t0: DataFrame, n: int, k: int, percent: int) -> DataFrame:
     label = components(linked)
     labelled = listed.withColumn("rep", F.col("x.rep")).join(label.withColumnRenamed("node", "rep"), "rep", "left").select("token", "x", F.coalesce("component", "rep").alias("c"))
     sizes = labelled.groupBy("token", "c").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("token").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("token", "main")
+    cells = lambda n: F.ceil(n / CELL).cast("int")
+    main = sizes.groupBy("token").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("parts"), F.sum("m").alias("all"), F.max("m").alias("most")).filter("parts > 1")
+    main = main.select("token", "main", cells(F.col("all")).alias("all"), cells(F.col("all") - F.col("most")).alias("few"))
     open_lists = labelled.join(main, "token").checkpoint()
-    rest = open_lists.filter("c <> main").select("token", F.col("x").alias("y"), F.col("c").alias("d"))
-    pairs = open_lists.join(rest, "token").filter((F.col("c") != F.col("d")) & ((F.col("c") == F.col("main")) | (F.col("x.rep") < F.col("y.rep")))).filter(_possible("x", "y", percent))
+    # What isn't of a list's largest component meets all of the list, in cells of about CELL sets by CELL sets.
+    own = lambda n: F.pmod(F.xxhash64("x.rep"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    whole = open_lists.select("token", "main", "x", "c", own("all").alias("i"), every("few").alias("j"))
+    rest = open_lists.filter("c <> main").select("token", F.col("x").alias("y"), F.col("c").alias("d"), own("few").alias("j"), every("all").alias("i"))
+    pairs = whole.join(rest, ["token", "i", "j"]).filter((F.col("c") != F.col("d")) & ((F.col("c") == F.col("main")) | (F.col("x.rep") < F.col("y.rep")))).filter(_possible("x", "y", percent))
     more = _verified(pairs.select(*order).distinct().join(tried, ["a", "b"], "left_anti"), sets, percent)
 
-    same_id = known.groupBy("id").agg(F.count("*").alias("c")).filter("c > 1").join(known.filter("n > 0"), "id").join(classes, ["f1", "f2"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    same_id = rows.filter("again and n > 0 and id is not null").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     label = components(linked.unionByName(more).unionByName(same_id)).withColumnRenamed("node", "rep")
-    return (
-        rows.select("pid", "id", "n", "f1", "f2").join(classes, ["f1", "f2"], "left").withColumn("rep", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")))
-        .join(label, "rep", "left").select("pid", F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
-    )
+    told = rows.filter("rep is not null").select("pid", "rep").distinct().join(label, "rep")  # a hot class is a row a block
+    return rows.select("pid", "id", "n", "rep").join(told, ["pid", "rep"], "left").select("pid", F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
 
 
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -207,8 +244,8 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Lists are paired in cells of about CELL sets by CELL sets, so that a shingle of very many sets is
     many tasks' work; a pair is verified once, in one of its cells, which gets each of its sets once.
     """
-    t0, n = B.blocks(docs, id_col, text_col)
-    _, _, listed = _lists(t0, n, k, percent)
+    corpus = B.Corpus.deal(docs, id_col, text_col)
+    _, listed = _lists(corpus, k, percent)
     cells = F.ceil(F.col("c") / CELL).cast("int")
     sizes = listed.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token", cells.alias("cells"))
     listed = listed.join(sizes, "token").withColumn("own", F.pmod(F.xxhash64("x.rep"), "cells").cast("int")).checkpoint()
@@ -216,7 +253,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     right = listed.select("token", F.explode(F.expr("sequence(0, own)")).alias("i"), F.col("own").alias("j"), F.col("x").alias("y"))
     tried = left.join(right, ["token", "i", "j"]).filter((F.col("i") < F.col("j")) | (F.col("x.rep") < F.col("y.rep"))).filter(F.col("x.rep") != F.col("y.rep")).filter(_possible("x", "y", percent))
     pairs = tried.groupBy(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).agg(F.min(F.struct("token", "i", "j")).alias("cell")).checkpoint()
-    sets = _whole_sets(t0, listed.select("pid", "x.rep").distinct(), k).checkpoint()
+    sets = _whole_sets(corpus, listed.select("pid", "x.rep").distinct(), k).checkpoint()
     needed = pairs.select(F.col("cell").alias("at"), F.explode(F.array("a", "b")).alias("rep")).distinct().join(sets, "rep")
 
     def run(pairs, sets):
@@ -237,15 +274,15 @@ def near_duplicates_removed(docs: DataFrame, id_col: str = "doc_id", text_col: s
     As `jaccard_join`. Rows without an id stay; of rows that share an id, which are one document, one
     stays, that of the smallest text. The text is moved once, into its block.
     """
-    t0, n = B.blocks(docs, id_col, text_col, carry=True)
-    less = _joined(t0, n, k, percent).filter("doc_id <> component_id").groupBy("pid").agg(F.collect_set("doc_id").alias("ids"))
+    corpus = B.Corpus.deal(docs, id_col, text_col, carry=True)
+    less = _joined(corpus, k, percent).filter("doc_id <> component_id").groupBy("pid").agg(F.collect_set("doc_id").alias("ids"))
 
     def rows(block, inner, got):
         keep = ~np.isin(block.ids, np.frombuffer(got.get("less", b""), "<i8")) & B.first_of_runs(block.ids)
         keep = np.r_[keep, np.ones(len(block.order) - block.known, bool)]
         yield from B.restored(block, inner, np.flatnonzero(keep), ["id", "z", "rest"])
 
-    found = B.visit(t0, _id_lists(less, "less"), B.restored_schema(t0), rows)
+    found = corpus.knowing_ids(less, "less").visit(B.restored_schema(corpus), rows)
     return B.as_before(found, docs, id_col, text_col)
 
 
@@ -254,6 +291,6 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(docs, k=3, percent=90)
 
 
-def op9_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+def all_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return jaccard_links(docs, k=3, percent=90)

@@ -1,38 +1,28 @@
-"""Numpy kernels that run inside Spark tasks: words, rolling hashes and content-chosen runs of windows.
+"""Numpy kernels that run inside Spark tasks: words, hashes of stretches and content-chosen runs of windows.
 
-All hashes are polynomials over a unit sequence modulo 2**64, taken from prefix sums, so the hash of
-any stretch costs two look-ups. Units are bytes or words. A word is a maximal run of bytes other than
-space and the control characters 9 to 13.
+Hashes mix 8 bytes (or one code) at a time through `mix`, so that each step scrambles all that came before it; no
+sums of powers are used, whose collisions follow from patterns in a text. A word is a maximal run of bytes
+other than space and the control characters 9 to 13.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
-_BASE = 0x9E3779B97F4A7C15
-_powers: dict[str, np.ndarray] = {}
+_ODD, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x2545F4914F6CDD1D)
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+LONG = 1024  # bytes of a stretch beyond which it is hashed by itself
 
-_rng = np.random.Generator(np.random.PCG64(20240229))
-BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse."""
-    if len(_powers.get("up", ())) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        for name, b in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
-            steps = np.full(size, b, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps)
-    return _powers["up"][:n], _powers["down"][:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection that spreads the polynomial's strong high bits."""
+    """A bijection of 64-bit numbers in which each bit of x moves about half of all bits."""
     x = x ^ (x >> np.uint64(32))
     x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(32)
@@ -41,20 +31,54 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Rolling:
-    """Hashes of any stretch of one sequence of unit codes."""
+def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A code for a followed by b."""
+    return mix(a * _ODD + mix(b + _STEP))
+
+
+def lanes(flat: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position on as one number; the last ones run over into zeros."""
+    padded = np.zeros(len(flat) + 8, np.uint8)
+    padded[: len(flat)] = flat
+    return np.ndarray((len(flat) + 1,), "<u8", padded, strides=(1,))
+
 
-    def __init__(self, units: np.ndarray):
-        up, self.down = powers(len(units) + 1)
-        self.sums = np.zeros(len(units) + 1, np.uint64)
-        np.cumsum(units * up[: len(units)], out=self.sums[1:])
+def stretches(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit code for the bytes of each stretch [start, end)."""
+    size = end - start
+    code, lane = mix(size.astype(np.uint64) + _STEP), lanes(flat)
+    todo, at = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(todo):
+        left = size[todo] - at
+        code[todo] = mix(code[todo] + (lane[start[todo] + at] & _KEEP[np.minimum(left, 8)]) * _ODD)
+        todo, at = todo[left > 8], at + 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        code[i] = int.from_bytes(hashlib.blake2b(flat[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return code
 
-    def grams(self, k: int) -> np.ndarray:
-        n = len(self.sums) - k
-        return mix((self.sums[k:] - self.sums[:n]) * self.down[:n]) if n > 0 else np.zeros(0, np.uint64)
 
-    def stretches(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start])
+def grams(codes: np.ndarray, k: int) -> np.ndarray:
+    """A code for each k codes in a row, from those of ever longer stretches; the last two overlap where k is no power of two."""
+    n, span, h = len(codes) - k + 1, 1, codes
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    while 2 * span <= k:
+        h, span = pair(h[:-span], h[span:]), 2 * span
+    return h[:n] if span == k else pair(h[:n], h[k - span : k - span + n])
+
+
+def byte_grams(flat: np.ndarray, k: int) -> np.ndarray:
+    """A code for each k bytes in a row, 8 at a time; the last 8 overlap those before where k is no multiple."""
+    n = len(flat) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    lane = lanes(flat)
+    if k < 8:
+        return mix((lane[:n] & _KEEP[k]) + np.uint64(k) * _STEP)
+    code = mix(lane[:n] + _STEP)
+    for at in (*range(8, k - 7, 8), *([k - 8] if k % 8 else [])):
+        code = mix(code + lane[at : at + n] * _ODD)
+    return code
 
 
 def join_texts(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -78,12 +102,7 @@ def word_codes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.
     """A 64-bit code for each word of the texts, and the index of each text's first word (and the end)."""
     flat, begins = join_texts(texts, lower)
     start, end, first = words(flat, begins)
-    return Rolling(BYTE_CODE[flat]).stretches(start, end), first
-
-
-def byte_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    flat = np.frombuffer(b"".join(texts), np.uint8)
-    return BYTE_CODE[flat], np.r_[0, np.cumsum([len(t) for t in texts], dtype=np.int64)]
+    return stretches(flat, start, end), first
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -103,19 +122,18 @@ def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1]) + np.repeat(start - (ends - length), length)
 
 
-def window_runs(roll: Rolling, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+def window_runs(gram_codes: np.ndarray, n_units: int, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
     """Cut the windows of each text into runs that share an anchor.
 
-    A window's anchor is its gram of smallest hash, the first of equals; it depends on the window's
+    A window's anchor is its gram of smallest code, the first of equals; it depends on the window's
     own units alone, so equal windows have equal anchors wherever they stand. Returns for each run
-    its text, first window, number of windows, anchor hash and the hash of all units it covers.
+    its text, first window (a position among all units), number of windows and anchor code.
     """
     empty = np.zeros(0, np.int64)
-    n = len(roll.sums) - window
+    n = n_units - window + 1
     if n <= 0:
-        return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
-    grams = roll.grams(gram)
-    keys = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
+        return empty, empty, empty, empty.astype(np.uint64)
+    keys = (gram_codes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(gram_codes), dtype=np.uint64)
     anchor = (sliding_min(keys, window - gram + 1)[:n] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     size = np.diff(first)
     full = size >= window
@@ -130,8 +148,8 @@ def window_runs(roll: Rolling, first: np.ndarray, window: int, gram: int) -> tup
     text = np.searchsorted(first, start, "right") - 1
     ok = start + window <= first[text + 1]
     text, start, length = text[ok], start[ok], length[ok]
-    # Anchors are small hashes by choice; mixed again they are even over hash space.
-    return text, start, length, mix(grams[anchor[start]] + np.uint64(1)), roll.stretches(start, start + length + window - 1)
+    # Anchors are small codes by choice; mixed again they are even over hash space.
+    return text, start, length, mix(gram_codes[anchor[start]] + np.uint64(1))
 
 
 def covered(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:

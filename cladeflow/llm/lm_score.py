@@ -18,7 +18,7 @@ BOTH = np.dtype([("all", "<u8"), ("target", "<u8")])
 
 
 def pairs(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return K.mix(before * np.uint64(0x9E3779B97F4A7C15) + K.mix(word + np.uint64(0x2545F491)))
+    return K.pair(before, word)
 
 
 class Words:
@@ -84,7 +84,8 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
     Counts of all distinct words, then of all distinct word pairs, are summed over the corpus in parts
     of hash space; each block gets back the sums of its own (see `blocks`).
     """
-    t0, n, limits, _ = B.deal(docs, id_col, text_col)
+    corpus = B.Corpus.deal(docs, id_col, text_col)
+    limits = corpus.limits
     only = target_ids.columns[0]
 
     def flag(batches):
@@ -92,15 +93,9 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
             ids = b.column(0)
             yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(limits, ids.to_numpy(zero_copy_only=False), "left").astype(np.int32)), ids], ["pid", "id"])
 
-    def packed(batches):
-        for b in batches:
-            raw = [B.squeeze(np.sort(np.asarray(x.values)).astype("<i8").tobytes()) for x in b.column(1)]
-            m = b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(["target"] * m), pa.array([0] * m, pa.int32()), pa.array(raw, pa.binary())], ["pid", "kind", "part", "ans"])
-
     ids = target_ids.select(F.col(f"`{only}`").cast("long").alias("id")).dropna().mapInArrow(flag, "pid int, id long")
     # A block's target ids are no more than its documents, give or take ids without a document.
-    answers = ids.groupBy("pid").agg(F.collect_set("id").alias("ids")).mapInArrow(packed, "pid int, kind string, part int, ans binary").checkpoint()
+    corpus = corpus.knowing_ids(ids.groupBy("pid").agg(F.collect_set("id").alias("ids")), "target")
 
     def words(block, got, n):
         w = Words(block, got)
@@ -118,10 +113,10 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
         sums = [use.sum(), t.sum(), (other & use).sum(), (other & t).sum(), (w.known & (w.size > 0)).sum(), (w.target & (w.size > 0)).sum()]
         yield pa.RecordBatch.from_arrays([pa.array([int(s)]) for s in sums], list("abcdef"))
 
-    answers = B.ask(t0, answers, n, "words", COUNTED, words, _sum, ascending="key")
-    sums = B.visit(t0, answers, ", ".join(f"{c} long" for c in "abcdef"), tally).agg(*(F.sum(c).alias(c) for c in "abcdef")).head()  # six numbers
+    corpus = corpus.ask_keys("words", corpus.parts(), COUNTED, words, _sum, planes=True)
+    sums = corpus.visit(", ".join(f"{c} long" for c in "abcdef"), tally).agg(*(F.sum(c).alias(c) for c in "abcdef")).head()  # six numbers
     size = [(sums[c] or 0) for c in "abcdef"]
-    answers = B.ask(t0, answers, n, "pairs", COUNTED, bigrams, _sum, ascending="key")
+    corpus = corpus.ask_keys("pairs", corpus.parts(2 * corpus.total), COUNTED, bigrams, _sum, planes=True)
 
     def score(block, inner, got):
         w = Words(block, got)
@@ -142,7 +137,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
         out = [pa.array(block.raw_ids, pa.int64()), pa.array(w.size), pa.array(loss[1]), pa.array(loss[0]), pa.array(loss[1] - loss[0])]
         yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_tokens", "ce_target", "ce_background", "ce_difference"])
 
-    return B.visit(t0, answers, "doc_id long, n_tokens long, ce_target double, ce_background double, ce_difference double", score)
+    return corpus.visit("doc_id long, n_tokens long, ce_target double, ce_background double, ce_difference double", score)
 
 
 def op6_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .blocks import shared_checkpoints
+
 BUCKET_ROWS = 5000  # documents of a leaf between two marks of its seeded order, about
-SMALL_TREE = 100_000  # leaves up to which the leaf table is broadcast
+SMALL_TREE = 100_000  # leaves up to which the leaf table is broadcast; beyond, rows meet it by leaf and one of SALTS
+SALTS = 64
 WORD = r"[^\x20\x09-\x0D]+"
 LEVELS = ("domain", "lang", "source")
 
@@ -58,44 +61,55 @@ def mix_sources(
     Tokens are words of the whole text. A leaf's budget runs through whole epochs of its documents, and
     in the last epoch through the documents in seeded order until the budget is reached; the one that
     reaches it is taken whole. Returns the input's rows, once for each epoch they are taken in, with the
-    column mix_epoch (from 0) after them; any column of that name is replaced. Null labels form leaves of
+    column mix_epoch (from 0) after them; any column of that name is replaced, others may have any names. Null labels form leaves of
     their own (''), rows without an id count as id ''; rows of one leaf that share an id go together;
     documents without words come with the epochs' order but use no budget, and a leaf of only such
-    documents, or of no budget, gives nothing; an empty table gives no rows.
+    documents, or of no budget, gives nothing; an empty table gives no rows. A long text is split by the JVM as one row.
 
-    No text is shuffled: leaves are summed, the budgets worked out on the leaves, and each leaf's last
+    Leaves are summed, the budgets worked out on the leaves, and each leaf's last
     epoch is cut at one key of its seeded order, found from the sums of its key ranges and the rows
-    of the one range that holds the cut. A hot leaf has more ranges, not larger ones.
+    of the one range that holds the cut. A hot leaf has more ranges, not larger ones. Up to SMALL_TREE leaves no text is shuffled.
     """
     levels = levels or {"domain": domain_of(F.col("source")), "lang": F.col("lang"), "source": F.col("source")}
-    names = tuple(f"_mix_{k}" for k in levels)
     docs = docs.drop("mix_epoch")
+    own = "_mix"  # before all names made here, and of no column of the input
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own = f"_{own}"
+    names = tuple(f"{own}_{k}" for k in levels)
+    n, doc, salt, whole, last, epochs = (f"{own}__{c}" for c in ("n", "doc", "salt", "whole", "last", "epochs"))
     n_words = F.size(F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(WORD), F.lit(0)))
     marked = docs.withColumns({c: F.coalesce(e.cast("string"), F.lit("")) for c, e in zip(names, levels.values(), strict=True)})
-    marked = marked.withColumn("_mix_n", F.coalesce(F.greatest(n_words, F.lit(0)), F.lit(0)).cast("long")).withColumn("_mix_id", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))
-    narrow = marked.select(*names, "_mix_n", "_mix_id")
-    leaves = narrow.groupBy(*names).agg(F.sum("_mix_n").alias("tokens"), F.count("*").alias("docs"))
+    marked = marked.withColumn(doc, F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))
+    # Words are counted once; what follows reads these few columns, without text.
+    narrow = marked.select(*names, F.coalesce(F.greatest(n_words, F.lit(0)), F.lit(0)).cast("long").alias(n), doc)
+    shared_checkpoints(docs.sparkSession)
+    narrow = narrow.checkpoint()
+    leaves = narrow.groupBy(*names).agg(F.sum(n).alias("tokens"), F.count("*").alias("docs"))
     budget = budgets(leaves, names, total, max_epochs, flatten, weights).filter("budget > 0")
-    whole = F.floor(F.col("budget") / F.col("tokens"))
-    plan = budget.select(*names, whole.alias("whole"), (F.col("budget") - whole * F.col("tokens")).alias("part"), F.ceil(F.col("docs") / BUCKET_ROWS).alias("ranges")).checkpoint()
-    tree = F.broadcast(plan) if plan.count() <= SMALL_TREE else plan
+    turns = F.floor(F.col("budget") / F.col("tokens"))
+    plan = budget.select(*names, turns.alias(whole), (F.col("budget") - turns * F.col("tokens")).alias("part"), F.ceil(F.col("docs") / BUCKET_ROWS).alias("ranges")).checkpoint()
+    small = plan.count() <= SMALL_TREE
+
+    def with_leaf(rows: DataFrame, tree: DataFrame) -> DataFrame:
+        if small:
+            return rows.join(F.broadcast(tree), list(names))
+        salted = tree.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return rows.withColumn(salt, F.pmod(F.xxhash64(doc), F.lit(SALTS)).cast("int")).join(salted, [*names, salt]).drop(salt)
 
     def key(epoch: Column) -> Column:
-        return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), "_mix_id").cast("binary"))
+        return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), doc).cast("binary"))
 
-    keyed = narrow.join(tree, list(names)).withColumn("key", key(F.col("whole")))
+    keyed = with_leaf(narrow, plan).withColumn("key", key(F.col(whole)))
     keyed = keyed.withColumn("range", F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.col("ranges"), 32))
-    sums = keyed.groupBy(*names, "range").agg(F.sum("_mix_n").alias("n"), F.first("part").alias("part"))
-    sums = sums.withColumn("upto", F.sum("n").over(Window.partitionBy(*names).orderBy("range")))
+    sums = keyed.groupBy(*names, "range").agg(F.sum(n).alias("n"), F.first("part").alias("part"))
+    sums = sums.withColumn("upto", F.sum("n").over(Window.partitionBy(*names).orderBy("range")))  # a row for BUCKET_ROWS documents
     cut = sums.filter("part > 0 and upto >= part and upto - n < part").groupBy(*names).agg(F.min("range").alias("range"), F.min_by(F.col("upto") - F.col("n"), "range").alias("before"))
-    near = keyed.join(F.broadcast(cut) if tree is not plan else cut, [*names, "range"]).groupBy(*names, "key").agg(F.sum("_mix_n").alias("n"), F.first("before").alias("before"), F.first("part").alias("part"))
-    near = near.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy(*names).orderBy("key")))
-    last = near.filter("upto >= part").groupBy(*names).agg(F.min("key").alias("last"))
-    final = plan.join(last, list(names), "left").select(*names, "whole", F.coalesce("last", F.lit("")).alias("last")).checkpoint()
-    taken = marked.join(F.broadcast(final) if tree is not plan else final, list(names))
-    epochs = F.col("whole") + F.when(key(F.col("whole")) <= F.col("last"), 1).otherwise(0)
-    taken = taken.withColumn("_mix_epochs", epochs.cast("int")).filter("_mix_epochs > 0")
-    return taken.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(0), F.col("_mix_epochs") - 1)).alias("mix_epoch"))
+    near = keyed.join(F.broadcast(cut) if small else cut, [*names, "range"]).groupBy(*names, "key").agg(F.sum(n).alias("n"), F.first("before").alias("before"), F.first("part").alias("part"))
+    near = near.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy(*names).orderBy("key")))  # about BUCKET_ROWS rows a leaf
+    ends = near.filter("upto >= part").groupBy(*names).agg(F.min("key").alias(last))
+    final = plan.join(ends, list(names), "left").select(*names, whole, F.coalesce(last, F.lit("")).alias(last)).checkpoint()
+    taken = with_leaf(marked, final).withColumn(epochs, (F.col(whole) + F.when(key(F.col(whole)) <= F.col(last), 1).otherwise(0)).cast("int")).filter(F.col(epochs) > 0)
+    return taken.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(0), F.col(epochs) - 1)).alias("mix_epoch"))
 
 
 def op7_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,57 +16,61 @@ from . import kernels as K
 SAMPLE = 10_000  # labelled rows, of each label, that the forest and its threshold are fitted on
 TREES, TREE_ROWS, DEPTH = 100, 256, 8
 ODD_SHARE = 0.06  # of a tree's rows, those with label 0
+BAND = 0.005  # of good rows on either side of a statistic's usual range
 
 SYMBOLS = b"#*$%&|<>"
 _set = lambda chars: np.isin(np.arange(256), np.frombuffer(chars, np.uint8))
 _IS = {
     "symbol": _set(SYMBOLS), "upper": _set(bytes(range(65, 91))), "letter": _set(bytes([*range(65, 91), *range(97, 123)])) | (np.arange(256) >= 0xC0),
-    "loud": _set(b"!?|~^_=+{}\\@/"), "char": (np.arange(256) & 0xC0) != 0x80, "space": _set(b" \t\n\x0b\x0c\r"),
+    "loud": _set(b"!?|~^_=+{}\\@/"), "digit": _set(b"0123456789"), "char": (np.arange(256) & 0xC0) != 0x80, "space": _set(b" \t\n\x0b\x0c\r"),
 }
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+STATISTICS = ("log of words", "word length", "symbols", "duplicate lines", "words of repeated windows", "distinct words", "words that repeat the one before", "upper case", "digits", "loud characters")
 
 
 def statistics(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For each text the five counts of COUNTS, and the shares that the forest looks at."""
+    """For each text the five counts of COUNTS, and the numbers of STATISTICS that the forest looks at."""
     flat, begins = K.join_texts(texts)
     n = len(texts)
     start, end, first = K.words(flat, begins)
     words = np.diff(first)
     per_text = lambda name: np.add.reduceat(_IS[name][flat], begins[:-1], dtype=np.int64)
-    roll = K.Rolling(K.BYTE_CODE[flat])
 
     stop = np.flatnonzero(flat == 10)  # each text ends with one that join_texts added
     line = np.r_[0, stop[:-1] + 1]
     text = np.searchsorted(begins, line, "right") - 1
     full = np.searchsorted(start, stop) > np.searchsorted(start, line)
-    hashes, owner = roll.stretches(line[full], stop[full]), text[full]
-    order = np.lexsort((hashes, owner))
-    lines = np.bincount(owner, minlength=n)
-    dup_lines = lines - np.bincount(owner[order][B.first_of_runs(owner[order], hashes[order])], minlength=n)
+    lines = np.bincount(text[full], minlength=n)
+    dup_lines = lines - _distinct(text[full], K.stretches(flat, line[full], stop[full]), n)
 
-    code = roll.stretches(start, end)
-    codes = K.Rolling(code)
-    at = K.ranges(first[:-1], np.maximum(words - 4, 0))
+    code = K.stretches(flat, start, end)
     owner = np.repeat(np.arange(n), np.maximum(words - 4, 0))
-    five = codes.stretches(at, at + 5)
+    at = K.ranges(first[:-1], np.maximum(words - 4, 0))
+    five = K.grams(code, 5)[at]
     order = np.lexsort((five, owner))
     new = B.first_of_runs(owner[order], five[order])
     often = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1 if len(order) else np.zeros(0, bool)
     hit = np.sort(at[order][often])
-    mask = K.covered(len(start), hit, hit + 5)
-    repeat = np.diff(np.r_[0, np.cumsum(mask)][first])
+    repeat = np.diff(np.r_[0, np.cumsum(K.covered(len(start), hit, hit + 5))][first])
 
     # A character starts with the byte that isn't a continuation; those outside words are white space.
     chars = per_text("char") - per_text("space")
-    symbols, letters = per_text("symbol"), per_text("letter")
+    symbols = per_text("symbol")
     counts = np.stack([words, chars, symbols, dup_lines, repeat], 1)
-    share = lambda a, b: a / np.maximum(b, 1)
-    # Numbers, long words and a line said twice are no fault: clean texts hold telephone numbers, keys and refrains.
     same = np.r_[False, code[1:] == code[:-1]] if len(code) else np.zeros(0, bool)
     same[first[:-1][words > 0]] = False
-    again = np.diff(np.r_[0, np.cumsum(same)][first])
-    shares = np.stack([share(symbols, chars), share(again, words), share(per_text("upper"), letters), share(per_text("loud"), chars)], 1)
-    return counts, shares
+    share = lambda a, b: a / np.maximum(b, 1)
+    found = [
+        np.log1p(words), share(chars, words), share(symbols, chars), share(dup_lines, lines), share(repeat, words), share(_distinct(np.repeat(np.arange(n), words), code, n), np.sqrt(words)),
+        share(np.diff(np.r_[0, np.cumsum(same)][first]), words), share(per_text("upper"), per_text("letter")), share(per_text("digit"), chars), share(per_text("loud"), chars),
+    ]
+    return counts, np.stack(found, 1)
+
+
+def _distinct(owner: np.ndarray, code: np.ndarray, n: int) -> np.ndarray:
+    """How many different codes each of n owners has."""
+    order = np.lexsort((code, owner))
+    return np.bincount(owner[order][B.first_of_runs(owner[order], code[order])], minlength=n)
 
 
 def chunked(batch: pa.RecordBatch, column: int, most: int = B.CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
@@ -84,10 +88,18 @@ def chunked(batch: pa.RecordBatch, column: int, most: int = B.CHUNK_BYTES) -> It
 
 
 class IsolationForest:
-    """Trees of random splits over small samples; rows that end near the root are anomalous."""
+    """Trees of random splits over small samples; rows that end near the root are anomalous.
+
+    Each statistic is taken as how far it lies outside the range that good rows usually have, so that rows which are
+    usual in all of them stay together, however many statistics there are.
+    """
 
     def __init__(self, good: np.ndarray, odd: np.ndarray, seed: int = 7):
         rng = np.random.default_rng(seed)
+        usual = good if len(good) else odd
+        self.low, self.high = np.quantile(usual, [BAND, 1 - BAND], axis=0)
+        self.scale = np.maximum(self.high - self.low, 1e-3)
+        good, odd = self.beyond(good), self.beyond(odd)
         nodes = 2 ** (DEPTH + 1) - 1
         self.feature = np.full((TREES, nodes), -1, np.int16)
         self.cut, self.path = np.zeros((TREES, nodes)), np.zeros((TREES, nodes))
@@ -109,8 +121,12 @@ class IsolationForest:
         self._grow(t, 2 * node + 1, depth + 1, rows[below], rng)
         self._grow(t, 2 * node + 2, depth + 1, rows[~below], rng)
 
+    def beyond(self, rows: np.ndarray) -> np.ndarray:
+        return np.log1p(np.maximum(np.maximum(rows - self.high, self.low - rows), 0) / self.scale)
+
     def scores(self, rows: np.ndarray) -> np.ndarray:
         """Between 0 and 1; near 1 for rows that are isolated soon."""
+        rows = self.beyond(rows)
         node, tree = np.zeros((len(rows), TREES), np.int64), np.arange(TREES)
         for _ in range(DEPTH):
             f = self.feature[tree, node]
@@ -137,16 +153,20 @@ def threshold(scores: np.ndarray, good: np.ndarray) -> float:
     return np.inf if gain[best] <= 0 else (s[best] + s[best + 1]) / 2 if best + 1 < len(s) else s[best]
 
 
-def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, rows: int) -> DataFrame:
-    """(id, y, text) of at most `rows` labelled documents of each label, in an order that hashes decide."""
-    some = [labels.filter(F.col(label_col) == y).select(F.col(id_col).cast("long").alias("id"), F.lit(y).alias("y")).dropna().dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(rows) for y in (0, 1)]
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> DataFrame:
+    """(_id, _y, _text) of at most `rows` labelled documents of each label, in an order that hashes decide.
+
+    An id with several labels has the lowest; labels other than 0 and 1 and rows without id or label are passed over.
+    """
+    known = labels.select(F.col(f"`{id_col}`").cast("long").alias("_of"), F.col(f"`{label_col}`").cast("int").alias("_y")).filter("_of is not null and _y in (0, 1)").groupBy("_of").agg(F.min("_y").alias("_y"))
+    some = [known.filter(F.col("_y") == y).orderBy(F.xxhash64("_of"), "_of").limit(rows) for y in (0, 1)]
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("binary").alias("_text"))
     # At most 2 * rows pairs of numbers are broadcast.
-    return docs.join(F.broadcast(some[0].unionByName(some[1]).dropDuplicates(["id"])), F.col(f"`{id_col}`") == F.col("id"))
+    return texts.join(F.broadcast(some[0].unionByName(some[1])), F.col("_id") == F.col("_of")).select("_id", "_y", "_text")
 
 
-def fit_forest(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE) -> tuple[IsolationForest, float] | None:
-    """Forest and threshold from at most `rows` labelled documents of each label; None without any."""
-    sample = _sampled(docs.select(F.col(f"`{id_col}`").cast("long").alias(id_col), F.col(f"`{text_col}`").cast("binary").alias("z")), labels, id_col, "quality", rows)
+def fit_forest(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = SAMPLE) -> tuple[IsolationForest, float] | None:
+    """Forest and threshold from at most `rows` labelled documents of each label; None without any. Of rows that share an id one is taken."""
 
     def run(batches):
         for b in batches:
@@ -155,7 +175,7 @@ def fit_forest(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
                 part = b.slice(begin, len(texts))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(shares), pa.list_(pa.float64()))], ["id", "y", "x"])
 
-    found = sample.select("id", "y", "z").mapInArrow(run, "id long, y int, x array<double>").dropDuplicates(["id"]).collect()  # at most 2 * rows short rows
+    found = labelled(docs, labels, id_col, text_col, label_col, rows).mapInArrow(run, "id long, y int, x array<double>").groupBy("id", "y").agg(F.min("x").alias("x")).collect()  # at most 2 * rows short rows
     if not found:
         return None
     found.sort(key=lambda r: r["id"])
@@ -164,21 +184,21 @@ def fit_forest(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     return forest, threshold(forest.scores(x), good)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rule statistics of every whole text and whether to keep it, as the struct column `rules` beside the input's.
+def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", into: str = "rules") -> DataFrame:
+    """Rule statistics of every whole text and whether to keep it, as the struct column `into` beside the input's.
 
-    rules holds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed (fewer than 10
+    It holds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed (fewer than 10
     words, or over a fifth of them in 5-word windows that occur twice), anomaly (the forest's score)
     and kept. The base rules come first; what passes them is kept unless the isolation forest isolates it
     sooner than the threshold calibrated on labelled rows. Without rows of both labels only the base
-    rules decide. A null or blank text has no words and fails; an input column `rules` is
-    replaced; repeated rows are judged alike; rows of labels without id or label are passed over; an empty
-    table gives no rows. One pass, nothing shuffled.
+    rules decide. A null or blank text has no words and fails; an input column of the name `into` is
+    replaced, others may have any names; repeated rows are judged alike; labels are read as `labelled` says; an empty
+    table gives no rows. One pass, nothing shuffled; working memory is some 15 times the longest single text.
     """
-    model = fit_forest(docs, labels, id_col, text_col)
-    docs = docs.drop("rules")
+    model = fit_forest(docs, labels, id_col, text_col, label_col)
+    docs = docs.drop(into)
     kind = T.StructType([*(T.StructField(c, T.LongType()) for c in COUNTS), T.StructField("base_failed", T.BooleanType()), T.StructField("anomaly", T.DoubleType()), T.StructField("kept", T.BooleanType())])
-    at, names = docs.columns.index(text_col), [*docs.columns, "rules"]
+    at, names = docs.columns.index(text_col), [*docs.columns, into]
 
     def run(batches):
         for b in batches:
@@ -191,7 +211,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
                 rules = pa.StructArray.from_arrays([*(pa.array(c) for c in counts.T), pa.array(failed), pa.array(score), pa.array(kept)], kind.names)
                 yield pa.RecordBatch.from_arrays([*b.slice(begin, len(texts)).columns, rules], names)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("rules", kind)]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(into, kind)]))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ QUERIES = {
     "op7_hierarchical_mix": mixing.op7_hierarchical_mix,
     "op8_multi_length_packing": packing.op8_multi_length_packing,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
-    "op9_jaccard_links": jaccard.op9_jaccard_links,
+    "jaccard_links": jaccard.all_jaccard_links,
     "op10_token_files": token_files.op10_token_files,
 }
 

@@ -1,344 +1,498 @@
 """Windows of one document that also start in a document with a smaller id, over words or bytes.
 
-Three steps, each one question between blocks (see `blocks`), find them exactly:
-
-1. The windows of a text are cut into runs that share an anchor (`kernels.window_runs`). Equal windows
-   have equal anchors, so a run needs comparing only with runs of the same anchor, and a run whose
-   whole content stands in an earlier document is settled in one go. That drops nearly all windows.
-2. What is left are first occurrences of runs whose anchor also stands in different surroundings.
-   Their single windows are compared, in groups that a resolver forms: `SuffixTrees` for words,
-   `PreviousFactors` for bytes.
-3. Each document takes its verdicts and joins the removed windows to stretches.
-
-Keys are distinct within a block before they leave it and carry at least 96 bits. A document's rank
-is its block's; within a block ids are compared themselves. Documents without an id neither lose
-text nor make others lose it; documents that share an id do not remove each other's text.
+Whole copies of a document's text go first, told by a fingerprint of 128 bits. Of what is left two questions
+between blocks (see `blocks`) find which windows can be repeated at all; they only leave out, by hashes of which equal
+windows have equal ones, and decide no removal:
+
+1. The windows of a text are cut into runs that share an anchor (`kernels.window_runs`). A run whose anchor
+   no other document has can't be repeated.
+2. `SuffixTrees` asks the same of the single windows of the runs that remain.
+
+What may be repeated is sent as it is, words or bytes, to parts where suffixes are sorted and compared: `SuffixTrees` for
+words, `PreviousFactors` for bytes. Removals come from there alone. A document's rank is its block's,
+then its id's. Documents without an id neither lose text nor make others lose it; documents that
+share an id do not remove each other's text. A text longer than a chunk is taken in overlapping pieces.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
 
 from . import blocks as B
 from . import kernels as K
 
-# A run stands in an earlier block; or it is the first and the only one of its anchor; or the first, and its
-# windows are to be compared: with few others, or with more than HOT_VARIANTS.
-LATER, ALONE, OPEN, HOT = 0, 1, 2, 3
-HOT_VARIANTS = 50_000
-RUN = np.dtype([("anchor", "<u4"), ("hash", "<u8")])
+COPY = np.dtype([("key", "<u8"), ("more", "<u8")])
+ANCHOR = np.dtype([("key", "<u8"), ("runs", "u1"), ("here", "u1")])
+UNIQUE, SHARED, CROWDED = 0, 1, 2
+LONG_WORD = 64  # bytes beyond which a word travels as its 256-bit digest
 
 
-class Runs:
-    """All runs of a block in document order, and the distinct (anchor, hash) among them."""
+class Plan:
+    """Units, window and anchor length of one operator."""
 
-    def __init__(self, block: B.Block, plan: Plan):
-        found = []
-        for begin, roll, first in plan.chunks(block):
-            text, start, length, anchor, content = K.window_runs(roll, first, plan.window, plan.gram)
-            found.append((text + begin, start - first[text], length, anchor, content))
-        z = np.zeros(0, np.int64)
-        cols = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [z, z, z, z.astype(np.uint64), z.astype(np.uint64)]
-        self.text, self.start, self.length, self.anchor, self.content = cols
-        self.id = block.ids[self.text]
-        order = np.lexsort((self.id, self.content, self.anchor))
-        new = B.first_of_runs(self.anchor[order], self.content[order])
-        self.kind = np.empty(len(order), np.int64)  # which distinct run each is
-        self.kind[order] = np.cumsum(new) - 1
-        self.heads = order[new]
-        self.first_id = self.id[self.heads]
+    def __init__(self, unit: str, window: int, gram: int, crowd: int = 50_000):
+        self.unit, self.window, self.gram, self.crowd = unit, window, gram, crowd
+
+    def chunks(self, block: B.Block, use: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+        """Documents, numbers of the first unit, and pieces of their texts, of about a chunk together."""
+        docs, offsets, texts, size = [], [], [], 0
+        for i in np.flatnonzero(use).tolist():
+            for offset, piece in B.pieces(B.expand(block.packed[i]), self.unit, self.window - 1):
+                if texts and size + len(piece) > B.CHUNK_BYTES:
+                    yield np.array(docs), np.array(offsets), texts
+                    docs, offsets, texts, size = [], [], [], 0
+                docs.append(i)
+                offsets.append(offset)
+                texts.append(piece)
+                size += len(piece)
+        if texts:
+            yield np.array(docs), np.array(offsets), texts
 
-    def keys(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.empty(len(self.heads), RUN)
-        keys["anchor"], keys["hash"] = self.anchor[self.heads].astype(np.uint32), self.content[self.heads]
-        return B.part_of(self.anchor[self.heads], n), keys
+    def codes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Word codes, or bytes, of all texts, and where each text's begin (and the end)."""
+        if self.unit == "word":
+            return K.word_codes(texts)
+        return np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts], dtype=np.int64)]
 
-    def later(self, status: np.ndarray) -> np.ndarray:
-        """Runs that stand as they are in an earlier document."""
-        return (self.id > self.first_id[self.kind]) | (status[self.kind] == LATER)
+    def grams(self, codes: np.ndarray, k: int) -> np.ndarray:
+        return K.grams(codes, k) if self.unit == "word" else K.byte_grams(codes, k)
 
-    def unsettled(self, status: np.ndarray) -> np.ndarray:
-        return ~self.later(status) & (status[self.kind] >= OPEN)
 
+class Copies:
+    """Documents whose text a document with a smaller id has, whole."""
 
-class Plan:
-    """Units, window and anchor length of one operator."""
+    def __init__(self, block: B.Block):
+        self.doc = np.array([i for i in range(block.known) if block.packed[i]], np.int64)
+        prints = b"".join(hashlib.blake2b(B.expand(block.packed[i]), digest_size=16).digest() for i in self.doc)
+        mark = np.frombuffer(prints, COPY)
+        order = np.lexsort((block.ids[self.doc], mark["more"], mark["key"]))
+        new = B.first_of_runs(mark["key"][order], mark["more"][order])
+        self.kind = np.empty(len(order), np.int64)
+        self.kind[order] = np.cumsum(new) - 1
+        self.keys, self.first_id = mark[order[new]], block.ids[self.doc[order[new]]]
 
-    def __init__(self, unit: str, window: int, gram: int, hot: int = HOT_VARIANTS):
-        self.unit, self.window, self.gram, self.hot = unit, window, gram, hot
+    def split(self, block: B.Block, got: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Which documents are copies, and which others have text."""
+        later = np.frombuffer(got.get("copies", b""), np.uint8) == 1
+        copy, use = np.zeros(block.known, bool), np.zeros(block.known, bool)
+        copy[self.doc] = (block.ids[self.doc] > self.first_id[self.kind]) | later[self.kind]
+        use[self.doc] = ~copy[self.doc]
+        return copy, use
 
-    def codes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        return K.word_codes(texts) if self.unit == "word" else K.byte_codes(texts)
-
-    def chunks(self, block: B.Block) -> Iterator[tuple[int, K.Rolling, np.ndarray]]:
-        for begin, texts in block.chunks():
-            codes, first = self.codes(texts)
-            yield begin, K.Rolling(codes), first
-
-    def settle_runs(self, held: list) -> list[np.ndarray]:
-        keys, rank = B.stacked(held)
-        order = np.lexsort((rank, keys["hash"], keys["anchor"]))
-        a, h, r = keys["anchor"][order], keys["hash"][order], rank[order]
-        new = B.first_of_runs(a, h)
-        group = np.cumsum(B.first_of_runs(a)) - 1
-        variants = np.bincount(group, new)[group]
-        first = r[np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))]
-        status = np.empty(len(r), np.uint8)
-        status[order] = np.where(r > first, LATER, np.where(variants > self.hot, HOT, np.where(variants > 1, OPEN, ALONE)))
-        return B.unstack(status, held)
-
-    def windows(self, block: B.Block, runs: Runs, which: np.ndarray, depths: tuple[int, ...]) -> tuple[np.ndarray, ...]:
-        """Run and position of each window of the chosen runs, and the hashes of its first units at each depth."""
-        chosen = np.flatnonzero(which)
-        run = np.repeat(chosen, runs.length[chosen])
-        at = K.ranges(runs.start[chosen], runs.length[chosen])
-        out = [np.empty(len(run), np.uint64) for _ in depths]
-        text = runs.text[run]
-        for begin, roll, first in self.chunks(block) if len(run) else ():
-            lo, hi = np.searchsorted(text, [begin, begin + len(first) - 1])
-            here = at[lo:hi] + first[text[lo:hi] - begin]
-            for d, o in zip(depths, out, strict=True):
-                o[lo:hi] = roll.stretches(here, here + d)
-        return run, at, *out
 
+def _later_copies(held: list) -> list[np.ndarray]:
+    keys, rank = B.stacked(held)
+    order = np.lexsort((rank, keys["more"], keys["key"]))
+    out = np.empty(len(order), np.uint8)
+    out[order] = ~B.first_of_runs(keys["key"][order], keys["more"][order])
+    return B.unstack(out, held)
 
-class PreviousFactors:
-    """Longest-previous-factor arrays over the bytes of open runs, part by part.
 
-    A part holds the anchors of one range of hash space, and of each open run the bytes it covers. The
-    suffixes that start at its windows are put in suffix order. For each, the nearest suffixes on
-    either side that come from an earlier document are its previous and next smaller positions, and its
-    longest previous factor reaches the window's length if either of them shares that many bytes with it.
-    Equal windows have equal anchors, so no earlier match is in another part.
+class Runs:
+    """All runs of a block's documents, piece by piece, and the distinct anchors among them."""
 
-    Runs of an anchor with more than HOT_VARIANTS surroundings go another way, so that no part holds them
-    all: their windows are dealt out by their own hash, each once a block, and compared by hash.
-    """
+    def __init__(self, block: B.Block, plan: Plan, use: np.ndarray):
+        found = []
+        for c, (docs, offsets, texts) in enumerate(plan.chunks(block, use)):
+            codes, first = plan.codes(texts)
+            text, start, length, anchor = K.window_runs(plan.grams(codes, plan.gram), len(codes), first, plan.window, plan.gram)
+            found.append((np.full(len(text), c), docs[text], start, start - first[text] + offsets[text], length, anchor & np.uint64(0xFFFFFFFFFFFF0000)))
+        z = np.zeros(0, np.int64)
+        cols = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [z, z, z, z, z, z.astype(np.uint64)]
+        self.chunk, self.doc, self.local, self.start, self.length, self.anchor = cols
+        self.id = block.ids[self.doc]
+        found, self.kind, runs = np.unique(self.anchor, return_inverse=True, return_counts=True)
+        self.keys = np.empty(len(found), ANCHOR)
+        self.keys["key"], self.keys["runs"], self.keys["here"] = found, np.minimum(runs, 255), differ(self.kind, self.id, len(found))
 
-    def __init__(self, plan: Plan):
-        self.plan, self.most = plan, plan.window - plan.gram + 1
-        self.width = plan.window + self.most - 1
-        self.content = np.dtype([("doc", "<u4"), ("windows", "u1"), ("bytes", "u1", (self.width,))])
-        self.hashed = np.dtype([("hash", "<u8"), ("anchor", "<u4")])
-        if self.most > 63:
-            raise ValueError("a run's windows must fit a mask of 63 bits")
-
-    def contents(self, block: B.Block, runs: Runs, status: np.ndarray, got: dict, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """The bytes of each distinct open run, as its first document has it."""
-        heads = runs.heads[status == OPEN]
-        keys = np.zeros(len(heads), self.content)
-        keys["doc"] = np.unique(runs.id[heads], return_inverse=True)[1]
-        keys["windows"] = runs.length[heads]
-        by_text = heads[np.argsort(runs.text[heads], kind="stable")]
-        place = np.argsort(np.argsort(runs.text[heads], kind="stable"), kind="stable")
-        data = np.zeros((len(heads), self.width), np.uint8)
-        for begin, texts in block.chunks() if len(heads) else ():
-            flat = np.frombuffer(b"".join(texts), np.uint8)
-            first = np.r_[0, np.cumsum([len(t) for t in texts])]
-            lo, hi = np.searchsorted(runs.text[by_text], [begin, begin + len(texts)])
-            some = by_text[lo:hi]
-            size = runs.length[some] + self.plan.window - 1
-            row = np.repeat(np.arange(lo, hi), size)
-            data[row, K.ranges(np.zeros(len(some), np.int64), size)] = flat[K.ranges(first[runs.text[some] - begin] + runs.start[some], size)]
-        keys["bytes"] = data[place]
-        return B.part_of(runs.anchor[heads], n), keys
-
-    def factors(self, held: list) -> list[np.ndarray]:
-        """For each run, which of its windows have an earlier match, as a mask."""
-        keys, rank = B.stacked(held)
-        windows = keys["windows"].astype(np.int64)
-        run, at = np.repeat(np.arange(len(keys)), windows), K.ranges(np.zeros(len(keys), np.int64), windows)
-        out = np.zeros(len(keys), np.uint64)
-        if len(run):
-            w = self.plan.window
-            suffixes = np.zeros((len(run), -(-w // 8) * 8), np.uint8)
-            for i in range(w):
-                suffixes[:, i] = keys["bytes"][run, at + i]
-            columns = suffixes.view(">u8").astype(np.uint64)
-            earlier = (rank[run].astype(np.int64) << 32) | keys["doc"][run]
-            order = np.lexsort((earlier, *columns.T[::-1]))  # suffix order
-            same = np.cumsum(B.first_of_runs(*columns[order].T))
-            hit = reaches(same, earlier[order])
-            np.bitwise_or.at(out, run[order][hit], np.uint64(1) << at[order][hit].astype(np.uint64))
-        return B.unstack(out, held)
-
-    def hot(self, block: B.Block, runs: Runs, status: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Distinct windows of hot runs, packed, with the first id of each; run, position and kind of every such window."""
-        run, at, full = self.plan.windows(block, runs, ~runs.later(status) & (status[runs.kind] == HOT), (self.plan.window,))
-        anchor = runs.anchor[run].astype(np.uint32)
-        order = np.lexsort((runs.id[run], anchor, full))
-        new = B.first_of_runs(full[order], anchor[order])
-        kind = np.empty(len(order), np.int64)
-        kind[order] = np.cumsum(new) - 1
-        heads = order[new]
-        keys = np.empty(len(heads), self.hashed)
-        keys["hash"], keys["anchor"] = full[heads], anchor[heads]
-        return keys, runs.id[run[heads]], run, at, kind
-
-    @staticmethod
-    def hashed_factors(held: list) -> list[np.ndarray]:
-        keys, rank = B.stacked(held)
-        order = np.lexsort((rank, keys["anchor"], keys["hash"]))
-        out = np.empty(len(order), np.uint8)
-        out[order] = reaches(np.cumsum(B.first_of_runs(keys["hash"][order], keys["anchor"][order])), rank[order])
-        return B.unstack(out, held)
-
-    def rounds(self, t0: DataFrame, answers: DataFrame, n: int) -> DataFrame:
-        def entries(block, got, n):
-            return self.contents(block, Runs(block, self.plan), np.frombuffer(got.get("runs", b""), np.uint8), got, n)
-
-        def hot_entries(block, got, n):
-            keys, *_ = self.hot(block, Runs(block, self.plan), np.frombuffer(got.get("runs", b""), np.uint8))
-            return B.part_of(keys["hash"], n), keys
-
-        def any_hot(batches):
-            for b in batches:
-                yield pa.RecordBatch.from_arrays([pa.array([any(HOT in B.expand(a.as_py()) for a in b.column(0))])], ["hot"])
-
-        is_hot = answers.select("ans").mapInArrow(any_hot, "hot boolean").filter("hot").limit(1).count()
-        answers = B.ask(t0, answers, n, "factors", self.content, entries, self.factors)
-        return B.ask(t0, answers, n, "windows", self.hashed, hot_entries, self.hashed_factors) if is_hot else answers
-
-    def gone(self, block: B.Block, runs: Runs, status: np.ndarray, got: dict) -> tuple[np.ndarray, np.ndarray]:
-        """Run and position of the windows of unsettled runs that go."""
-        mask = np.zeros(len(status), np.uint64)
-        mask[status == OPEN] = np.frombuffer(got.get("factors", b""), np.uint64)
-        some = np.flatnonzero(~runs.later(status) & (mask[runs.kind] > 0))
-        run, by = np.repeat(some, runs.length[some]), K.ranges(np.zeros(len(some), np.int64), runs.length[some])
-        hit = (mask[runs.kind[run]] >> by.astype(np.uint64)) & np.uint64(1) == 1
-        run, at = run[hit], runs.start[run[hit]] + by[hit]
-        if "windows" in got:
-            _, first_id, more, more_at, kind = self.hot(block, runs, status)
-            hit = (np.frombuffer(got["windows"], np.uint8)[kind] == 1) | (runs.id[more] > first_id[kind])
-            run, at = np.r_[run, more[hit]], np.r_[at, more_at[hit]]
-        return run, at
-
-
-def reaches(same: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """In suffix order: whether the previous or the next smaller position is of the same whole window."""
-    near, out = smaller(rank), np.zeros(len(rank), bool)
-    for at in (near, len(rank) - 1 - smaller(rank[::-1])[::-1]):
-        there = np.flatnonzero((at >= 0) & (at < len(rank)))
-        out[there] |= same[at[there]] == same[there]
-    return out
+    def status(self, got: dict) -> np.ndarray:
+        return np.frombuffer(got.get("anchors", b""), np.uint8)[self.kind]
 
 
-def smaller(x: np.ndarray) -> np.ndarray:
-    """For each place the nearest one before it that holds a smaller value, -1 if none does."""
-    near = np.arange(len(x)) - 1
-    todo = np.flatnonzero(near >= 0)
-    while len(todo := todo[x[near[todo]] >= x[todo]]):
-        near[todo] = near[near[todo]]  # all between are no smaller than x there, so no smaller than x here
-        todo = todo[near[todo] >= 0]
-    return near
+def differ(kind: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """Which of n kinds have more than one value."""
+    least, most = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
+    np.minimum.at(least, kind, value)
+    np.maximum.at(most, kind, value)
+    return most > least
+
+
+def _shared_anchors(crowd: int):
+    def answer(held: list) -> list[np.ndarray]:
+        keys, _ = B.stacked(held)
+        _, inverse, blocks = np.unique(keys["key"], return_inverse=True, return_counts=True)
+        runs = np.bincount(inverse, keys["runs"])[inverse]
+        return B.unstack(np.where((blocks[inverse] < 2) & (keys["here"] == 0), UNIQUE, np.where(runs > crowd, CROWDED, SHARED)).astype(np.uint8), held)
+
+    return answer
+
+
+class Kinds:
+    """Distinct contents in a block in order of first appearance, the id of each one's first document, and whether others have it."""
+
+    def __init__(self):
+        self.at: dict[bytes, int] = {}
+        self.first, self.more, self.route = [], [], []
+
+    def add(self, content: bytes, doc_id: int, route: int) -> int:
+        k = self.at.setdefault(content, len(self.at))
+        if k == len(self.first):
+            self.first.append(doc_id)
+            self.more.append(0)
+            self.route.append(route)
+        elif self.first[k] != doc_id:
+            self.more[k] = 1
+        return k
+
+    def packed(self, parts: int) -> Iterator[tuple[int, bytes, list[int]]]:
+        """For each part: the contents with their documents' ranks, packed in order of route and content, and which kinds they are."""
+        if not self.first:
+            return
+        contents, route = list(self.at), np.array(self.route, np.uint64)
+        part = B.part_of(route, parts)
+        order = np.array(sorted(range(len(contents)), key=lambda k: (self.route[k], contents[k])), np.int64)
+        ranks = np.unique(np.array(self.first, np.int64), return_inverse=True)[1]
+        head = np.empty(len(order), HEAD)
+        head["doc"], head["more"], head["size"], head["route"] = ranks[order], np.array(self.more, np.uint8)[order], [len(contents[k]) for k in order], route[order]
+        cut = np.flatnonzero(B.first_of_runs(part[order]))
+        for lo, hi in zip(cut, np.r_[cut[1:], len(order)], strict=True):
+            which = order[lo:hi].tolist()
+            yield int(part[which[0]]), B.squeeze(np.array([hi - lo], "<u4").tobytes() + head[lo:hi].tobytes() + b"".join(contents[k] for k in which)), which
+
+    def answered(self, parts: int, raw: bytes, dtype) -> np.ndarray:
+        """Each kind's answer, of answers in the order of `packed`."""
+        out = np.zeros(len(self.first), dtype)
+        if len(self.first):
+            out[np.concatenate([which for _, _, which in self.packed(parts)])] = np.frombuffer(raw, dtype)
+        return out
+
+
+HEAD = np.dtype([("route", "<u8"), ("doc", "<u4"), ("size", "<u4"), ("more", "u1")])
+
+
+class Leaves:
+    """The contents that all blocks sent to a part: each once for its first document in a block, and once for that block's others."""
+
+    def __init__(self, held: list[tuple[int, bytes]]):
+        heads, self.flat, message = [], [], []
+        for m, (_, raw) in enumerate(held):
+            raw = B.expand(raw)
+            n = int(np.frombuffer(raw, "<u4", 1)[0])
+            heads.append(np.frombuffer(raw, HEAD, n, 4))
+            self.flat.append(raw[4 + n * HEAD.itemsize :])
+            message.append(np.full(n, m))
+        self.counts = [len(h) for h in heads]
+        head, message = np.concatenate(heads), np.concatenate(message)
+        self.flat = b"".join(self.flat)
+        end = np.cumsum(head["size"].astype(np.int64))
+        self.entry = np.repeat(np.arange(len(head)), 1 + head["more"].astype(np.int64))
+        self.other = np.r_[False, self.entry[1:] == self.entry[:-1]]  # the leaf of a block's other documents
+        self.begin, self.size, self.route = (end - head["size"])[self.entry], head["size"][self.entry].astype(np.int64), head["route"][self.entry]
+        self.rank = (message[self.entry] << 33) | (head["doc"][self.entry].astype(np.int64) << 1) | self.other
+
+    def answers(self, first: np.ndarray, rest: np.ndarray, dtype) -> list[tuple[int, bytes, int]]:
+        """For each message the values of its entries' first and other leaves."""
+        out = np.zeros(sum(self.counts), dtype)
+        out["first"][self.entry[~self.other]] = first[~self.other]
+        out["rest"][self.entry[self.other]] = rest[self.other]
+        return [(0, B.squeeze(a.tobytes()), 0) for a in np.split(out, np.cumsum(self.counts)[:-1])]
 
 
 class SuffixTrees:
-    """Suffix trees of the open windows, split by prefixes of as many words as keep a group small.
-
-    One question counts the suffixes below each prefix of the lengths in `depths`. A suffix then goes
-    to the group of its shortest prefix that has at most `limit` suffixes, or of the whole window
-    where none has; such a group holds one node, at most one suffix a block. A group's suffixes,
-    sorted by their hashes at each depth, are its tree in preorder, each change of hash at a depth
-    being an edge. The internal nodes at the window's depth are the repeats; adjoining ones of a
-    document join into maximal repeats when the removed stretches are formed.
+    """Suffix trees over words, split by prefixes of as many words as keep a group small.
+
+    A question counts the suffixes below each prefix of the lengths in `depths`. A suffix of a window that other
+    documents may have is sent, as its words, to the group of its shortest prefix that has at most
+    `limit` suffixes, or of the whole window where none has (which a block sends once). A group's suffixes are sorted and
+    their longest common prefixes taken in words; stretches of neighbours that share as many words as a window has are the
+    tree's internal nodes of that depth. Below such a node all leaves but those of its earliest document go.
+    Adjoining windows of a document join into maximal repeats when removed stretches are formed.
     """
 
-    def __init__(self, plan: Plan, depths: tuple[int, ...] = (10, 25), limit: int = 1_000_000):
-        self.plan, self.depths, self.limit = plan, depths, limit
-        self.dtype = np.dtype([(f"depth{d}", "<u8") for d in (*depths, plan.window)])
-
-    def paths(self, block: B.Block, runs: Runs, status: np.ndarray) -> tuple[np.ndarray, ...]:
-        run, at, *levels = self.plan.windows(block, runs, runs.unsettled(status), (*self.depths, self.plan.window))
-        order = np.lexsort((runs.id[run], *reversed(levels)))
-        new = B.first_of_runs(*(v[order] for v in levels))
-        kind = np.empty(len(order), np.int64)
-        kind[order] = np.cumsum(new) - 1
-        return run, at, kind, order[new], [v[order[new]] for v in levels]
-
-    def prefixes(self, levels: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct prefixes of all counted lengths, and how many distinct windows each has here."""
-        found, count = np.unique(np.concatenate(levels[:-1]), return_counts=True)
-        return found, count
-
-    def open(self, block: B.Block, runs: Runs, status: np.ndarray, got: dict) -> tuple[np.ndarray, ...]:
-        run, at, kind, heads, levels = self.paths(block, runs, status)
-        found, _ = self.prefixes(levels)
-        big = np.frombuffer(got.get("prefixes", b""), np.uint8).astype(bool)
-        prefix = levels[-1].copy()
-        for v in reversed(levels[:-1]):
-            small = ~big[np.searchsorted(found, v)]
-            prefix[small] = v[small]
-        keys = np.empty(len(heads), self.dtype)
-        for name, v in zip(self.dtype.names, levels, strict=True):
-            keys[name] = v
-        order = np.lexsort((levels[-1], prefix))
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        return prefix[order], keys[order], runs.id[run[heads[order]]], run, at, place[kind]
-
-    def gone(self, block: B.Block, runs: Runs, status: np.ndarray, got: dict) -> tuple[np.ndarray, np.ndarray]:
-        """Run and position of the windows of unsettled runs that go."""
-        _, _, first_id, run, at, kind = self.open(block, runs, status, got)
-        hit = (np.frombuffer(got.get("windows", b""), np.uint8)[kind] == 1) | (runs.id[run] > first_id[kind])
-        return run[hit], at[hit]
+    PREFIX = np.dtype([("key", "<u8"), ("count", "<u4"), ("here", "u1")])
+    GONE = np.dtype([("first", "u1"), ("rest", "u1")])
+
+    def __init__(self, plan: Plan, depths: tuple[int, ...] = (10, 25), limit: int = 50_000):
+        self.plan, self.depths, self.limit = plan, (*depths, plan.window), limit
+
+    def windows(self, block: B.Block, runs: Runs, use: np.ndarray, status: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Run and local position of each window of runs that may be repeated, and codes of its prefixes."""
+        some = np.flatnonzero(status > UNIQUE)
+        run, at = np.repeat(some, runs.length[some]), K.ranges(runs.local[some], runs.length[some])
+        out = [np.empty(len(run), np.uint64) for _ in self.depths]
+        for c, (_, _, texts) in enumerate(self.plan.chunks(block, use)) if len(run) else ():
+            lo, hi = np.searchsorted(runs.chunk[run], [c, c + 1])
+            codes = self.plan.codes(texts)[0] if hi > lo else None
+            for d, o in zip(self.depths, out, strict=True) if hi > lo else ():
+                o[lo:hi] = K.mix(K.grams(codes, d)[at[lo:hi]] + np.uint64(d))
+        return run, at, out
+
+    def prefixes(self, block: B.Block, got: dict):
+        """Windows as above, and the distinct prefixes of all lengths with how many distinct windows each has here."""
+        _, use = Copies(block).split(block, got)
+        runs = Runs(block, self.plan, use)
+        run, at, codes = self.windows(block, runs, use, runs.status(got))
+        window, head, kind = np.unique(codes[-1], return_index=True, return_inverse=True)
+        here = differ(kind, runs.id[run], len(window))
+        keys = np.concatenate([c[head] for c in codes])
+        found, inverse, count = np.unique(keys, return_inverse=True, return_counts=True)
+        records = np.zeros(len(found), self.PREFIX)
+        records["key"], records["count"] = found, count
+        records["here"][inverse[len(keys) - len(window) :]] = here
+        return use, runs, run, at, codes, records
 
     def count(self, held: list) -> list[np.ndarray]:
+        """Bit 0: other documents have it too; bit 1: it has too many windows for one group."""
         keys, _ = B.stacked(held)
-        _, inverse = np.unique(keys["prefix"], return_inverse=True)
+        _, inverse, blocks = np.unique(keys["key"], return_inverse=True, return_counts=True)
         total = np.bincount(inverse, keys["count"])
-        return B.unstack((total[inverse] > self.limit).astype(np.uint8), held)
-
-    def answer(self, held: list) -> list[np.ndarray]:
-        keys, rank = B.stacked(held)
-        names = self.dtype.names
-        order = np.lexsort((rank, *(keys[x] for x in reversed(names))))  # preorder
-        node = np.cumsum(B.first_of_runs(*(keys[x][order] for x in names))) - 1  # the nodes at the window's depth
-        r = rank[order]
-        earliest = r[np.flatnonzero(B.first_of_runs(node))]
-        out = np.empty(len(r), np.uint8)
-        out[order] = r > earliest[node]
-        return B.unstack(out, held)
-
-    def rounds(self, t0: DataFrame, answers: DataFrame, n: int) -> DataFrame:
-        counted = np.dtype([("prefix", "<u8"), ("count", "<u4")])
-
+        return B.unstack((((blocks[inverse] > 1) | (keys["here"] == 1)) + 2 * (total[inverse] > self.limit)).astype(np.uint8), held)
+
+    def suffixes(self, block: B.Block, got: dict) -> tuple[Kinds, np.ndarray, list, list, list]:
+        """Distinct suffixes that other documents may have; document copies; document, window and kind of every one."""
+        use, runs, run, at, codes, records = self.prefixes(block, got)
+        answer = np.frombuffer(got.get("prefixes", b""), np.uint8)
+        told = [answer[np.searchsorted(records["key"], c)] if len(c) else np.zeros(0, np.uint8) for c in codes]
+        route = codes[-1].copy()
+        for c, a in reversed(list(zip(codes[:-1], told[:-1], strict=True))):
+            route[a < 2] = c[a < 2]
+        some = np.flatnonzero(told[-1] & 1)
+        kinds, docs, starts, which = Kinds(), [], [], []
+        for c, (_, _, texts) in enumerate(self.plan.chunks(block, use)) if len(some) else ():
+            here = some[slice(*np.searchsorted(runs.chunk[run[some]], [c, c + 1]))]
+            if len(here):
+                found = [w if len(w) <= LONG_WORD else b"\v" + hashlib.blake2b(w, digest_size=32).hexdigest().encode() for w in b"\n".join(texts).split()]
+                for p, r, s, d, i in zip(at[here].tolist(), run[here].tolist(), route[here].tolist(), runs.doc[run[here]].tolist(), runs.id[run[here]].tolist(), strict=True):
+                    which.append(kinds.add(b" ".join(found[p : p + self.plan.window]) + b" ", i, s))
+                    docs.append(d)
+                    starts.append(int(runs.start[r]) + p - int(runs.local[r]))
+        return kinds, use, docs, starts, which
+
+    def answer(self, held: list) -> list[tuple[int, bytes, int]]:
+        """Which leaves go, group by group of at most about `limit` suffixes."""
+        leaves = Leaves(held)
+        gone = np.zeros(len(leaves.entry), np.uint8)
+        by_route = np.argsort(leaves.route, kind="stable")
+        ends = np.flatnonzero(np.r_[B.first_of_runs(leaves.route[by_route])[1:], True]) + 1
+        at = 0
+        while at < len(by_route):
+            stop = ends[max(np.searchsorted(ends, at + self.limit, "right") - 1, np.searchsorted(ends, at, "right"))]
+            some = by_route[at:stop]
+            gone[some] = Subtree(leaves.flat, leaves.begin[some], leaves.size[some]).later(leaves.rank[some], self.plan.window)
+            at = stop
+        return leaves.answers(gone, gone, self.GONE)
+
+    def find(self, corpus: B.Corpus) -> tuple[B.Corpus, int]:
         def prefixes(block, got, n):
-            _, _, _, _, levels = self.paths(block, Runs(block, self.plan), np.frombuffer(got.get("runs", b""), np.uint8))
-            found, count = self.prefixes(levels)
-            keys = np.empty(len(found), counted)
-            keys["prefix"], keys["count"] = found, count
-            return B.part_of(found, n), keys
+            records = self.prefixes(block, got)[-1]
+            return B.part_of(records["key"], n), records
+
+        def suffixes(block, got, n):
+            for part, raw, _ in self.suffixes(block, got)[0].packed(n):
+                yield part, raw
+
+        corpus = corpus.ask_keys("prefixes", corpus.parts(), self.PREFIX, prefixes, self.count)
+        parts = corpus.parts(corpus.hits() * 8 * self.plan.window)
+        return corpus.ask("suffixes", parts, suffixes, self.answer), parts
+
+    def gone(self, block: B.Block, got: dict, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which documents are whole copies; document and first word of the other windows that go."""
+        kinds, use, docs, starts, which = self.suffixes(block, got)
+        return _gone(block, got, kinds.answered(parts, got.get("suffixes", b""), self.GONE), kinds, docs, starts, which)
+
+
+def _gone(block: B.Block, got: dict, told: np.ndarray, kinds: Kinds, docs: list, starts: list, which: list):
+    docs, starts, which = (np.array(x, np.int64) for x in (docs, starts, which))
+    first = block.ids[docs] == np.array(kinds.first, np.int64)[which] if len(which) else np.zeros(0, bool)
+    hit = np.where(first, told["first"][which], told["rest"][which]) > 0
+    return Copies(block).split(block, got)[0], docs[hit], starts[hit]
+
+
+class Subtree:
+    """The suffix tree of some word sequences, each word ended by a space: their order and longest common prefixes."""
+
+    def __init__(self, flat: bytes, begin: np.ndarray, size: np.ndarray):
+        texts = [flat[a : a + n] for a, n in zip(begin.tolist(), size.tolist(), strict=True)]
+        self.order = np.array(sorted(range(len(texts)), key=texts.__getitem__), np.int64)
+        text = np.frombuffer(b"".join(texts[i] for i in self.order), np.uint8)
+        size = size[self.order]
+        start = np.cumsum(size) - size
+        common = common_bytes(K.lanes(text), start[:-1], start[1:], np.minimum(size[:-1], size[1:]))
+        words = np.r_[0, np.cumsum(text == 32, dtype=np.int32)]
+        self.depth = np.r_[0, words[start[:-1] + common] - words[start[:-1]]] if len(size) else np.zeros(0, np.int64)  # shared with the one before
+
+    def nodes(self, depth: int) -> np.ndarray:
+        """First leaves of the nodes whose leaves share at least `depth` words; a leaf alone is one of them."""
+        return np.flatnonzero(self.depth < depth)
+
+    def later(self, rank: np.ndarray, depth: int) -> np.ndarray:
+        """Leaves of which a leaf of smaller rank is below the same node of that depth."""
+        at, r = self.nodes(depth), rank[self.order]
+        out = np.zeros(len(r), bool)
+        out[self.order] = r > np.repeat(np.minimum.reduceat(r, at), np.diff(np.r_[at, len(r)]))
+        return out
+
+
+def common_bytes(lane: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many bytes from a and from b on are equal, up to `most`."""
+    out, todo, at = most.astype(np.int64), np.arange(len(a)), 0
+    while len(todo := todo[most[todo] > at]):
+        x = lane[a[todo] + at] ^ lane[b[todo] + at]
+        same = np.where(x == 0, 8, np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)).astype(np.int64) // 8)
+        stop = same < 8
+        out[todo[stop]] = np.minimum(out[todo[stop]], at + same[stop])
+        todo, at = todo[~stop], at + 8
+    return out
+
 
-        def entries(block, got, n):
-            key, keys, *_ = self.open(block, Runs(block, self.plan), np.frombuffer(got.get("runs", b""), np.uint8), got)
-            return B.part_of(key, n), keys
+class PreviousFactors:
+    """Longest-previous-factor arrays over bytes, part by part.
+
+    A part holds the runs whose anchors are in one range of hash space, as their bytes. The suffixes that start at their
+    windows are put in suffix order with the bytes that neighbours share. For each, the nearest suffixes on
+    either side that come from an earlier document are its previous and next smaller positions; the more that it
+    shares with either is its longest previous factor, measured up to the window's length. Windows whose factor
+    reaches it go. Equal windows have equal anchors, so no earlier match is in another part.
 
-        answers = B.ask(t0, answers, n, "prefixes", counted, prefixes, self.count)
-        return B.ask(t0, answers, n, "windows", self.dtype, entries, self.answer)
+    The windows of an anchor with more than `crowd` runs are sent singly, to parts by their own hash, so that no
+    part holds them all; the parts treat them alike.
+    """
 
+    MASKS = np.dtype([("first", "<u8"), ("rest", "<u8")])
+
+    def __init__(self, plan: Plan):
+        self.plan = plan
+        if plan.window - plan.gram + 1 > 64:
+            raise ValueError("a run's windows must fit a mask of 64 bits")
+
+    def contents(self, block: B.Block, got: dict) -> tuple[Kinds, Runs, np.ndarray, np.ndarray, list]:
+        """Distinct contents of runs that may be repeated; the run, first window and kind of each."""
+        _, use = Copies(block).split(block, got)
+        runs = Runs(block, self.plan, use)
+        status = runs.status(got)
+        whole, single = np.flatnonzero(status == SHARED), np.flatnonzero(status == CROWDED)
+        run = np.r_[whole, np.repeat(single, runs.length[single])]
+        at = np.r_[np.zeros(len(whole), np.int64), K.ranges(np.zeros(len(single), np.int64), runs.length[single])]
+        length = np.r_[runs.length[whole], np.ones(len(run) - len(whole), np.int64)]
+        order = np.argsort(run, kind="stable")
+        run, at, length = run[order], at[order], length[order]
+        kinds, which = Kinds(), []
+        for c, (_, _, texts) in enumerate(self.plan.chunks(block, use)) if len(run) else ():
+            lo, hi = np.searchsorted(runs.chunk[run], [c, c + 1])
+            if hi > lo:
+                text, begin = b"".join(texts), runs.local[run[lo:hi]] + at[lo:hi]
+                route = runs.anchor[run[lo:hi]].copy()
+                crowded = status[run[lo:hi]] == CROWDED
+                if crowded.any():
+                    route[crowded] = K.mix(K.byte_grams(np.frombuffer(text, np.uint8), self.plan.window)[begin[crowded]])
+                stop = begin + length[lo:hi] + self.plan.window - 1
+                for a, b, i, s in zip(begin.tolist(), stop.tolist(), runs.id[run[lo:hi]].tolist(), route.tolist(), strict=True):
+                    which.append(kinds.add(text[a:b], i, s))
+        return kinds, runs, run, at, which
+
+    def answer(self, held: list) -> list[tuple[int, bytes, int]]:
+        """For each leaf, which of its windows have an earlier match, as a mask."""
+        leaves, w = Leaves(held), self.plan.window
+        flat = np.frombuffer(leaves.flat, np.uint8)
+        windows = leaves.size - w + 1
+        leaf, by = np.repeat(np.arange(len(windows)), windows), K.ranges(np.zeros(len(windows), np.int64), windows)
+        code = K.byte_grams(flat, w)[leaves.begin[leaf] + by]
+        order = np.argsort(code)
+        new = B.first_of_runs(code[order])
+        order = np.sort(order[~(new & np.r_[new[1:], True][: len(new)])])  # a window that is alone in its part has no match
+        leaf, by = leaf[order], by[order]
+        order, common = suffix_order(K.lanes(flat), leaves.begin[leaf] + by, w)
+        hit = previous_factor(leaves.rank[leaf[order]], common) >= w
+        masks = np.zeros(len(windows), np.uint64)
+        np.bitwise_or.at(masks, leaf[order[hit]], np.uint64(1) << by[order[hit]].astype(np.uint64))
+        return leaves.answers(masks, masks, self.MASKS)
+
+    def find(self, corpus: B.Corpus) -> tuple[B.Corpus, int]:
+        def contents(block, got, n):
+            for part, raw, _ in self.contents(block, got)[0].packed(n):
+                yield part, raw
+
+        parts = corpus.parts(corpus.hits() * 5 * self.plan.window)
+        return corpus.ask("factors", parts, contents, self.answer), parts
+
+    def gone(self, block: B.Block, got: dict, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which documents are whole copies; document and first byte of the other windows that go."""
+        kinds, runs, run, at, which = self.contents(block, got)
+        told, which = kinds.answered(parts, got.get("factors", b""), self.MASKS), np.array(which, np.int64)
+        first = runs.id[run] == np.array(kinds.first, np.int64)[which] if len(which) else np.zeros(0, bool)
+        mask = np.where(first, told["first"][which], told["rest"][which])
+        some = np.flatnonzero(mask)
+        docs, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for bit in range(self.plan.window - self.plan.gram + 1) if len(some) else ():
+            hit = some[(mask[some] >> np.uint64(bit)) & np.uint64(1) == 1]
+            docs.append(runs.doc[run[hit]])
+            starts.append(runs.start[run[hit]] + at[hit] + bit)
+        return Copies(block).split(block, got)[0], np.concatenate(docs), np.concatenate(starts)
+
+
+def suffix_order(lane: np.ndarray, begin: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of suffixes by their first `width` bytes, and how many of those each shares with the one before it.
+
+    Eight bytes at a time; only suffixes that are still tied are looked at again.
+    """
+    order, common = np.arange(len(begin)), np.zeros(len(begin), np.int64)
+    todo, group = np.arange(len(begin)), np.zeros(len(begin), np.int64)
+    for at in range(0, width, 8):
+        if not len(todo):
+            break
+        x = lane[begin[order[todo]] + at]
+        if width - at < 8:
+            x = x & K._KEEP[width - at]
+        x = x.byteswap()
+        k = np.lexsort((x, group[todo]))
+        order[todo], x = order[todo][k], x[k]
+        new, tied = B.first_of_runs(group[todo], x), ~B.first_of_runs(group[todo])
+        parted = np.flatnonzero(new & tied)
+        common[todo[parted]] = at + (64 - _bit_length(x[parted] ^ x[parted - 1])) // 8
+        group[todo] = todo[np.maximum.accumulate(np.where(new, np.arange(len(todo)), 0))]
+        todo = todo[~(new & np.r_[new[1:], True])]
+    common[todo[~B.first_of_runs(group[todo])]] = width
+    return order, common
+
+
+def _bit_length(x: np.ndarray) -> np.ndarray:
+    for shift in (1, 2, 4, 8, 16, 32):
+        x = x | (x >> np.uint64(shift))
+    return np.bitwise_count(x).astype(np.int64)
+
+
+def previous_factor(rank: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """In suffix order: the most that each shares with its previous or next smaller position."""
+    before = smaller(rank, common)[1]
+    after = smaller(rank[::-1], np.r_[common[1:], 0][::-1])[1][::-1] if len(rank) else before
+    return np.maximum(before, after)
+
+
+def smaller(x: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the nearest one before it that holds a smaller value (-1: none), and the least of `common` on the way (0: none)."""
+    near, least = np.arange(len(x)) - 1, common.copy()
+    todo = np.flatnonzero(near >= 0)
+    while len(todo := todo[x[near[todo]] >= x[todo]]):
+        # All between are no smaller than x there, so no smaller than x here.
+        least[todo], near[todo] = np.minimum(least[todo], least[near[todo]]), near[near[todo]]
+        todo = todo[near[todo] >= 0]
+    least[near < 0] = 0
+    return near, least
 
-def find(t0: DataFrame, n: int, plan: Plan, resolver) -> DataFrame:
-    """The answers that `removed` needs."""
 
-    def entries(block, got, n):
-        return Runs(block, plan).keys(n)
+def find(corpus: B.Corpus, plan: Plan, resolver) -> tuple[B.Corpus, int]:
+    """The corpus with the answers that `removed` needs, and the number of parts of the last question."""
 
-    return resolver.rounds(t0, B.ask(t0, None, n, "runs", RUN, entries, plan.settle_runs), n)
+    def copies(block, got, n):
+        keys = Copies(block).keys
+        return B.part_of(keys["key"], n), keys
 
+    def anchors(block, got, n):
+        keys = Runs(block, plan, Copies(block).split(block, got)[1]).keys
+        return B.part_of(keys["key"], n), keys
 
-def removed(block: B.Block, plan: Plan, resolver, got: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document index and stretch [start, end) of units that go, ordered by document, maybe overlapping."""
-    runs = Runs(block, plan)
-    status = np.frombuffer(got.get("runs", b""), np.uint8)
-    whole = np.flatnonzero(runs.later(status))
-    run, at = resolver.gone(block, runs, status, got)
-    text = np.r_[runs.text[whole], runs.text[run]]
-    start = np.r_[runs.start[whole], at]
-    end = np.r_[runs.start[whole] + runs.length[whole] - 1, at] + plan.window
-    order = np.argsort(text, kind="stable")
-    return text[order], start[order], end[order]
+    corpus = corpus.ask_keys("copies", corpus.parts(), COPY, copies, _later_copies)
+    return resolver.find(corpus.ask_keys("anchors", corpus.parts(), ANCHOR, anchors, _shared_anchors(plan.crowd), weight="runs"))

@@ -2,7 +2,9 @@
 
 A file set is a Parquet folder of one row a shard: documents of neighbouring ids, in order.
   shard     its number; shards ascend with the ids, rows without an id come last
-  keys      the ids of its documents, ascending, little-endian 64-bit, compressed; for scans (null: rows without ids)
+  first     the smallest and the largest of its documents' ids (null: rows without ids); a keyed read finds
+  last      its shard by them
+  keys      the ids of its documents, ascending, little-endian 64-bit, compressed; for scans alone (null: rows without ids)
   index     where each key's ids are, found in constant time without the list of keys (see `Index`)
   payload   all token ids of its documents, little-endian unsigned 32-bit
 """
@@ -22,13 +24,14 @@ from . import kernels as K
 from .encoding import encoder
 
 LEVELS = 24
-FILES = "shard int, keys binary, index binary, payload binary, n_docs long, n_tokens long"
+KEYED = 10_000  # shards up to which a keyed read names them to the scan
+FILES = "shard int, first long, last long, keys binary, index binary, payload binary, n_docs long, n_tokens long"
 ENTRY = np.dtype([("print", "<u4"), ("at", "<u8"), ("length", "<u4")])
 
 
-def key_codes(ids: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each of ascending ids; equal ids are told apart by their order."""
-    copy = np.arange(len(ids)) - np.searchsorted(ids, ids)
+def key_codes(ids: np.ndarray, copy: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit key for each of ascending ids; equal ids are told apart by their order, or by the number given."""
+    copy = np.arange(len(ids)) - np.searchsorted(ids, ids) if copy is None else copy
     return K.mix(K.mix(ids.astype(np.int64).view(np.uint64) + np.uint64(1)) + copy.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -103,12 +106,13 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1
     """Encode every whole text, end it with end_id and write the file set `out`, in ascending order of id.
 
     A null or empty text has the end id alone. Rows that share an id are ordered by text; rows without
-    an id come last, in an order of their own. An empty table gives an empty file set.
+    an id come last, in an order of their own. An empty table gives an empty file set; other columns don't matter. A shard holds
+    about blocks.BLOCK_BYTES of text, and working memory follows that and the longest single text.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")).alias("z"))
     total = rows.agg(F.sum(F.octet_length("z")).alias("b")).head()["b"] or 0
     n = B.block_count(docs.sparkSession, total)
-    limits = np.array(B._bounds(rows, n), np.int64)
+    limits = B.limits_between(rows, n)
     end = np.array([end_id], "<u4").tobytes()
 
     def deal(batches):
@@ -132,11 +136,12 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1
         keys = np.array([ids[i] or 0 for i in order], np.int64)
         index = Index.build(key_codes(keys), np.cumsum(length) - length, length)
         named = None if None in ids else B.squeeze(keys.astype("<i8").tobytes())  # a shard has ids, or is that of the rows without
-        return shard, named, index.dump(), b"".join(x for m in made for x in (m, end)), len(made), int(length.sum()) // 4
+        limits = (None, None) if None in ids else (int(keys[0]), int(keys[-1]))
+        return shard, *limits, named, index.dump(), b"".join(x for m in made for x in (m, end)), len(made), int(length.sum()) // 4
 
     def write(batches):
         shard, ids, packed = None, [], []
-        names, kinds = ["shard", "keys", "index", "payload", "n_docs", "n_tokens"], [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+        names, kinds = ["shard", "first", "last", "keys", "index", "payload", "n_docs", "n_tokens"], [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
         made = lambda: pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row(shard, ids, packed), kinds, strict=True)], names)
         for b in batches:
             for s, i, z in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -150,12 +155,12 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1
         if ids:
             yield made()
 
-    dealt = rows.mapInArrow(deal, "shard int, id long, z binary").repartition(n, "shard").sortWithinPartitions("shard")
+    dealt = rows.mapInArrow(deal, "shard int, id long, z binary").repartition(min(n, B.MOST_TASKS), "shard").sortWithinPartitions("shard")
     dealt.mapInArrow(write, FILES).write.option("compression", "zstd").parquet(out)
 
 
 def _starts(files: DataFrame) -> DataFrame:
-    """Token ids before each shard; one row a shard, at most blocks.MAX_BLOCKS of them."""
+    """Token ids before each shard; one row of 12 bytes for about blocks.BLOCK_BYTES of text."""
     w = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return files.select("shard", "n_tokens").withColumn("before", F.coalesce(F.sum("n_tokens").over(w), F.lit(0))).select("shard", "before")
 
@@ -163,7 +168,7 @@ def _starts(files: DataFrame) -> DataFrame:
 def scan_token_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and crc32 of every document, each found by its key in the index."""
     files = spark.read.schema(FILES).parquet(path)
-    # The starts are a column of numbers a shard: bounded by blocks.MAX_BLOCKS rows of 12 bytes.
+    # A row of 12 bytes a shard is broadcast, some millionth of the text.
     placed = files.join(F.broadcast(_starts(files)), "shard").select("shard", "before", "keys", "index", "payload", "n_docs")
     last = "doc_id long, start long, n_tokens long, ids_crc32 long, shard int"
 
@@ -182,6 +187,44 @@ def scan_token_files(spark: SparkSession, path: str) -> DataFrame:
     return placed.mapInArrow(run, last)
 
 
+def read_documents(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
+    """The documents of the given ids (one column): doc_id, copy (0, 1, ... of documents that share an id), n_tokens, ids (little-endian 32-bit).
+
+    A key's shard is found by the shards' limits, its slot by the shard's perfect hash, and the slot's fingerprint
+    says whether it is that key's: ids that the files lack give no row. Only shards that are asked for are read where they
+    are at most KEYED, by a filter that the scan gets. Nulls and repeated ids count once or not at all.
+    """
+    files = spark.read.schema(FILES).parquet(path)
+    limits = files.filter("first is not null").select("shard", "first", "last").orderBy("first").toPandas()  # 20 bytes a shard
+    shard, first, last = (limits[c].to_numpy(np.int64) for c in limits.columns)
+
+    def place(batches):
+        for b in batches:
+            found = b.column(0).to_numpy(zero_copy_only=False)
+            at = np.searchsorted(first, found, "right") - 1
+            some = np.flatnonzero((at >= 0) & (found <= last[np.maximum(at, 0)])) if len(first) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(shard[at[some]].astype(np.int32)), pa.array(found[some])], ["shard", "id"])
+
+    wanted = ids.select(F.col(f"`{ids.columns[0]}`").cast("long").alias("id")).dropna().mapInArrow(place, "shard int, id long").groupBy("shard").agg(F.collect_set("id").alias("ids"))
+    few = wanted.select("shard").limit(KEYED + 1).collect()
+    held = files.select("shard", "index", "payload")
+    if len(few) <= KEYED:
+        held = held.filter(F.col("shard").isin([r["shard"] for r in few]))
+
+    def run(batches):
+        for b in batches:
+            for ids, index, payload in zip(b.column(0), b.column(1), b.column(2), strict=True):
+                index, data, left, copy = Index.load(index.as_py()), memoryview(payload.as_buffer()), np.sort(np.asarray(ids.values)), 0
+                while len(left):
+                    there, at, length = index.find(key_codes(left, np.full(len(left), copy)))
+                    left, at, length = left[there], at[there].tolist(), length[there].tolist()
+                    tokens = [bytes(data[a : a + m]) for a, m in zip(at, length, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(left), pa.array([copy] * len(left), pa.int32()), pa.array([m // 4 for m in length], pa.int64()), pa.array(tokens, pa.binary())], ["doc_id", "copy", "n_tokens", "ids"])
+                    copy += 1
+
+    return held.join(wanted, "shard").select("ids", "index", "payload").mapInArrow(run, "doc_id long, copy int, n_tokens long, ids binary")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -7,10 +7,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-PIVOTS = 32
+PIVOTS = 64
+SAMPLE = 4096  # vectors of each length that pivots and first thresholds are taken from
+LENGTHS = 1000  # lengths of vectors, the most frequent, that have pivots; others are compared without
 BLOCK, QUERY_BLOCK = 1 << 16, 1 << 14  # vectors that meet in one task, at most about
 LEAST_BLOCK = 2048
-STEP = 512  # candidates evaluated between two looks at the bound
+STEP = 512  # candidates evaluated before the first look at the bound; each step is twice the one before
 MOST = 2**63 - 1
 
 
@@ -24,100 +26,154 @@ def _rows(table: pa.Table, name: str) -> np.ndarray:
     return np.asarray(col.flatten()).reshape(len(col), -1) if len(col) else np.zeros((0, 0))
 
 
-def _distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(((vectors[:, None, :] - pivots[None]) ** 2).sum(2), 0)) if len(pivots) else np.zeros((len(vectors), 0))
+def distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Of each vector to each pivot, by one matrix product; exact but for the root while squares stay below 2**53."""
+    squares = (vectors * vectors).sum(1)[:, None] + (pivots * pivots).sum(1)[None] - 2 * vectors @ pivots.T
+    return np.sqrt(np.maximum(squares, 0))
 
 
-def search(queries: tuple[np.ndarray, ...], data: tuple[np.ndarray, ...], k: int) -> list[tuple[int, int, int]]:
-    """(query, vector, score) of each query's k best in this block, ties to the smaller id.
+def far_apart(sample: np.ndarray, n: int) -> np.ndarray:
+    """Up to n different rows, each the one that is farthest from those before it."""
+    chosen, near = [], np.full(len(sample), np.inf)
+    while len(chosen) < n and len(sample) and (not chosen or near.max() > 0):
+        chosen.append(int(np.argmax(near)) if chosen else 0)
+        near = np.minimum(near, distances(sample, sample[chosen[-1:]])[:, 0])
+    return sample[chosen]
+
+
+def exactly(*arrays: np.ndarray) -> bool:
+    """Whether inner products of these whole numbers are exact in doubles."""
+    big = max([1.0, *(float(np.abs(a).max()) for a in arrays if a.size)])
+    return big * big * max(1, arrays[0].shape[1]) < 2**51
+
+
+def search(queries: tuple[np.ndarray, ...], data: tuple[np.ndarray, ...], k: int) -> tuple[list[tuple[int, int, int]], list[int]]:
+    """(query, vector, score) of each query's k best in this block that may be of its k best at all, ties to the smaller id; and how many
+    candidates were evaluated for each query.
 
     An inner product is (|q|^2 + |x|^2 - d^2) / 2, and by the triangle inequality d is no less than
-    |d(q, p) - d(x, p)| for any pivot p. Candidates are evaluated by falling bound, until the bound
-    falls below the k-th best score; an equal bound is still evaluated, as ids break ties.
+    |d(q, p) - d(x, p)| for any pivot p; the largest of these over all pivots gives a candidate's bound. Candidates are evaluated by
+    falling bound, until the bound falls below the k-th best score so far, or that of the sample; an equal bound is still
+    evaluated, as ids break ties. Numbers too large for exact doubles are compared whole and without bounds.
     """
-    (qid, q, qp), (vid, x, xp) = queries, data
-    big = max([1.0, *(float(np.abs(a).max()) for a in (q, x) if a.size)])
-    exact = big * big * max(1, x.shape[1]) < 2**53
-    if not exact:  # beyond what doubles hold exactly: whole numbers of any size, and no bounds
+    (qid, q, qp, least), (vid, x, xp) = queries, data
+    exact = exactly(q, x)
+    if not exact:
         qi, xi = ([[int(v) for v in r] for r in a] for a in (q, x))
     q2, x2 = (q * q).sum(1), (x * x).sum(1)
-    out = []
+    out, evaluated = [], []
     for i in range(len(qid)):
         ids, scores = np.zeros(0, np.int64), np.zeros(0, np.float64 if exact else object)
         if exact and xp.shape[1]:
             low = np.abs(xp - qp[i]).max(1)
-            low = np.maximum(low * (1 - 1e-9) - 1e-6, 0)
+            low = np.maximum(low * (1 - 1e-9) - 1e-3, 0)
             bound = (q2[i] + x2 - low * low) / 2 * (1 + 1e-12) + 1e-3
+            order = np.flatnonzero(bound >= least[i])
+            order = order[np.argsort(-bound[order], kind="stable")]
         else:
-            bound = np.full(len(vid), np.inf)
-        order = np.argsort(-bound, kind="stable")
-        for at in range(0, len(order), STEP):
-            part = order[at : at + STEP]
+            bound, order = np.full(len(vid), np.inf), np.arange(len(vid))
+        at, step = 0, STEP
+        while at < len(order):
+            part = order[at : at + step]
             if len(ids) == k and bound[part[0]] < scores[-1]:
                 break
+            at, step = at + len(part), 2 * step
             part = part[vid[part] != qid[i]]
             new = x[part] @ q[i] if exact else np.array([sum(a * b for a, b in zip(xi[j], qi[i], strict=True)) for j in part], object)
             ids, scores = np.r_[ids, vid[part]], np.r_[scores, new]
             best = np.lexsort((ids, -scores)) if exact else np.array(sorted(range(len(ids)), key=lambda j: (-scores[j], ids[j])), np.int64)
             ids, scores = ids[best[:k]], scores[best[:k]]
+        evaluated.append(at)
         out += [(int(qid[i]), int(v), max(-MOST - 1, min(MOST, int(s)))) for v, s in zip(ids, scores, strict=True)]
-    return out
+    return out, evaluated
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Each query's k highest integer inner products over all other rows: query_id, rank, vec_id, score.
-
-    Components are taken as floor(1024 * x). Vectors that are null or hold null or non-finite components,
-    and rows without an id, take no part; vectors of different lengths aren't compared; rows with the query's
-    id are its own; of rows that share a query's id the smallest vector is the query; scores beyond
-    64 bits are cut to them; with fewer than k others all are returned; an empty table gives no rows.
-
-    PIVOTS pivots (the rows of smallest id hash, for each length of vector) come to the driver; each row's
-    distances to them are worked out once. Query blocks then meet vector blocks: a block pair is one
-    task's work, and each vector goes out once per query block.
-    """
+def _met(vectors: DataFrame, is_query: Column, k: int, id_col: str, vector_col: str, report: bool) -> DataFrame:
+    """(query_id, vec_id, score) of block pairs; for a report instead (query_id, candidates, evaluated)."""
     spark = vectors.sparkSession
     v = F.col(f"`{vector_col}`")
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.cast("array<double>").alias("v"), is_query.alias("is_query"))
     rows = rows.filter(F.col("id").isNotNull() & F.col("v").isNotNull()).filter(F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x))).withColumn("dim", F.size("v"))
-    sizes = rows.groupBy("dim").agg(F.count("*").alias("n"), F.sum(F.col("is_query").cast("long")).alias("q")).orderBy(F.desc("n")).limit(1000).collect()
-    total, asked = sum(r["n"] for r in sizes), sum(r["q"] or 0 for r in sizes)
+    sizes = rows.groupBy("dim").agg(F.count("*").alias("n"), F.sum(F.col("is_query").cast("long")).alias("q"))
+    whole = sizes.agg(F.sum("n").alias("n"), F.sum("q").alias("q")).head()
+    common = [r["dim"] for r in sizes.orderBy(F.desc("n"), "dim").limit(LENGTHS).collect()]
+    total, asked = whole["n"] or 0, whole["q"] or 0
     nd = max(-(-total // BLOCK), min(2 * spark.sparkContext.defaultParallelism, -(-total // LEAST_BLOCK)), 1)
     nq = max(1, -(-asked // QUERY_BLOCK))
-    # At most PIVOTS rows for each length of vector, of which 1000 at most have pivots at all.
-    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("id"), "id", "v"))).filter(F.col("r") <= PIVOTS)
-    pivots: dict[int, np.ndarray] = {}
-    for r in ranked.filter(F.col("dim").isin([s["dim"] for s in sizes])).select("dim", "v").collect():
-        pivots.setdefault(r["dim"], []).append(r["v"])
-    pivots = {d: whole_numbers(np.array(p).reshape(len(p), d)) for d, p in pivots.items()}
+    # At most SAMPLE rows in all come to the driver, shared out among the most frequent lengths.
+    each = max(1, SAMPLE // max(1, len(common)))
+    ranked = rows.filter(F.col("dim").isin(common)).groupBy("dim", F.pmod(F.xxhash64("id"), F.lit(each)).alias("slot")).agg(F.min(F.struct(F.xxhash64("id", F.lit(1)), "id", "v")).alias("s"))
+    sample: dict[int, list] = {}
+    for r in ranked.select("dim", "s.id", "s.v").orderBy("dim", "id").collect():
+        sample.setdefault(r["dim"], []).append((r["id"], r["v"]))
+    known = {d: (np.array([i for i, _ in s]), whole_numbers(np.array([x for _, x in s]).reshape(len(s), d))) for d, s in sample.items()}
+    pivots = {d: far_apart(x, PIVOTS) if exactly(x) else x[:0] for d, (_, x) in known.items()}
 
     def measure(batches):
         for b in batches:
-            out = []
-            for x in b.column(1):
-                w = whole_numbers(np.asarray(x.values))
-                p = pivots.get(len(w))
-                out.append(_distances(w[None], p)[0] if p is not None else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.float64()))], ["id", "v", "is_query", "dim", "p"])
-
-    table = rows.mapInArrow(measure, "id long, v array<double>, is_query boolean, dim int, p array<double>")
+            ids, dims, asks = (np.asarray(b.column(c)) for c in (0, 3, 2))
+            flat, start = np.asarray(b.column(1).flatten()), np.r_[0, np.cumsum(dims)]
+            out, least = [np.zeros(0)] * len(ids), np.full(len(ids), -np.inf)
+            for d in np.unique(dims).tolist():
+                some = np.flatnonzero(dims == d)
+                w = whole_numbers(flat[start[some][:, None] + np.arange(d)]) if d else np.zeros((len(some), 0))
+                if d in pivots and exactly(w, known[d][1]):
+                    for i, p in zip(some.tolist(), distances(w, pivots[d]), strict=True):
+                        out[i] = p
+                    mine, (sid, s) = np.flatnonzero(asks[some] == True), known[d]  # noqa: E712
+                    for i in mine.tolist() if len(s) > k else ():
+                        scores = (s @ w[i])[sid != ids[some[i]]]
+                        if len(scores) >= k:
+                            least[some[i]] = np.partition(scores, len(scores) - k)[len(scores) - k]
+                else:
+                    for i in some.tolist():
+                        out[i] = np.zeros(len(pivots[d]) if d in pivots else 0)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.float64())), pa.array(least)], ["id", "v", "is_query", "dim", "p", "least"])
+
+    table = rows.mapInArrow(measure, "id long, v array<double>, is_query boolean, dim int, p array<double>, least double")
     block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asking = table.filter("is_query").groupBy("id").agg(F.min(F.struct("v", "dim", "p")).alias("s")).select("id", "s.*")
-    queries = asking.select("id", "v", "p", "dim", block(nq).alias("qb"), every(nd).alias("db"))
+    asking = table.filter("is_query").groupBy("id").agg(F.min(F.struct("v", "dim", "p", "least")).alias("s")).select("id", "s.*")
+    queries = asking.select("id", "v", "p", "dim", "least", block(nq).alias("qb"), every(nd).alias("db"))
     data = table.select("id", "v", "p", "dim", every(nq).alias("qb"), block(nd).alias("db"))
+    names = ("query_id", "candidates", "evaluated") if report else ("query_id", "vec_id", "score")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         q, x = ((np.asarray(t.column("id")), whole_numbers(_rows(t, "v")), _rows(t, "p")) for t in (left, right))
-        found = search(q, x, k) if len(q[0]) and len(x[0]) else []
-        return pa.table({n: pa.array([f[i] for f in found], pa.int64()) for i, n in enumerate(("query_id", "vec_id", "score"))})
+        found, evaluated = search((*q, np.asarray(left.column("least"))), x, k) if len(q[0]) and len(x[0]) else ([], [])
+        if report:
+            found = [(int(i), len(x[0]), n) for i, n in zip(q[0], evaluated, strict=False)]
+        return pa.table({n: pa.array([f[i] for f in found], pa.int64()) for i, n in enumerate(names)})
 
     keys = ["dim", "qb", "db"]
-    met = queries.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score long")
+    return queries.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInArrow(meet, ", ".join(f"{n} long" for n in names))
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """Each query's k highest integer inner products over all other rows: query_id, rank, vec_id, score.
+
+    Components are taken as floor(1024 * x). Vectors that are null or hold null or non-finite components,
+    and rows without an id, take no part; vectors of different lengths aren't compared; rows with the query's
+    id are its own; of rows that share a query's id the smallest vector is the query; scores beyond
+    64 bits are cut to them; with fewer than k others all are returned; an empty table gives no rows; other columns don't matter.
+    A very long vector is one row like any other.
+
+    SAMPLE rows come to the driver; PIVOTS of them that lie far apart are the pivots, and a query's k-th best score among
+    all of them is where its threshold starts in every block. Each row's distances to the pivots are
+    worked out once. Query blocks then meet vector blocks: a block pair is one
+    task's work, and each vector goes out once per query block.
+    """
+    met = _met(vectors, is_query, k, id_col, vector_col, False)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def elimination(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """For each query of `top_k`: how many candidates there are, and how many had to be evaluated (query_id, candidates, evaluated)."""
+    met = _met(vectors, is_query, k, id_col, vector_col, True)
+    return met.groupBy("query_id").agg(F.sum("candidates").alias("candidates"), F.sum("evaluated").alias("evaluated"))
+
+
 def op3_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
 

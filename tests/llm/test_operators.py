@@ -59,12 +59,12 @@ def small_blocks(monkeypatch):
     monkeypatch.setattr(blocks, "BLOCK_BYTES", 2000)
 
 
-@pytest.mark.parametrize(("unit", "window", "hot"), [("word", 6, 0), ("word", 12, 0), ("byte", 9, 50_000), ("byte", 20, 50_000), ("byte", 9, 1)])
-def test_repeats(spark, docs, rows, small_blocks, unit, window, hot):
+@pytest.mark.parametrize(("unit", "window", "crowd"), [("word", 6, 0), ("word", 12, 0), ("byte", 9, 50_000), ("byte", 20, 50_000), ("byte", 9, 1), ("byte", 20, 3)])
+def test_repeats(spark, docs, rows, small_blocks, unit, window, crowd):
     if unit == "word":
         found = dedup.substring_dedup(docs, window=window)
     else:
-        found = dedup.suffix_array_dedup(docs, window=window, hot=hot)
+        found = dedup.suffix_array_dedup(docs, window=window, crowd=crowd)
     got = collections.defaultdict(list)
     for r in found.collect():
         got[r.doc_id].append((r.n_units, r.n_removed, r.n_spans, r.kept_sha256))
@@ -401,8 +401,44 @@ def test_empty_tables(spark, none, sf, tmp_path):
 def test_smaller_positions():
     r = random.Random(8)
     for _ in range(50):
-        x = np.array([r.randrange(6) for _ in range(r.randrange(1, 40))])
-        assert repeats.smaller(x).tolist() == [next((j for j in range(i - 1, -1, -1) if x[j] < x[i]), -1) for i in range(len(x))]
+        n = r.randrange(1, 40)
+        x, common = (np.array([r.randrange(m) for _ in range(n)]) for m in (6, 60))
+        near, least = repeats.smaller(x, common)
+        want = [next((j for j in range(i - 1, -1, -1) if x[j] < x[i]), -1) for i in range(n)]
+        assert near.tolist() == want
+        assert least.tolist() == [min(common[j + 1 : i + 1]) if j >= 0 else 0 for i, j in enumerate(want)]
+
+
+def test_previous_factors_by_definition():
+    """Suffix order, shared bytes and factors against their definitions, capped at the width."""
+    r = random.Random(9)
+    for _ in range(40):
+        texts = [bytes(r.choice(b"ab") for _ in range(r.randrange(3, 30))) for _ in range(5)]
+        flat, width = np.frombuffer(b"".join(texts), np.uint8), 11
+        begin = np.array([sum(map(len, texts[:d])) + i for d, t in enumerate(texts) for i in range(max(0, len(t) - width + 1))], np.int64)
+        doc = np.array([d for d, t in enumerate(texts) for i in range(max(0, len(t) - width + 1))])
+        suffix = [flat[b : b + width].tobytes() for b in begin]
+        order, common = repeats.suffix_order(kernels.lanes(flat), begin, width)
+        assert [suffix[i] for i in order] == sorted(suffix)
+        shared = lambda a, b: next((i for i in range(width) if a[i] != b[i]), width)  # noqa: B023, E731
+        assert common.tolist() == [0 if k == 0 else shared(suffix[order[k]], suffix[order[k - 1]]) for k in range(len(order))]
+        factor = repeats.previous_factor(doc[order], common)
+        assert factor.tolist() == [max([shared(suffix[i], suffix[j]) for j in range(len(doc)) if doc[j] < doc[i]], default=0) for i in order]
+
+
+def test_subtrees_by_definition():
+    r = random.Random(10)
+    head = b"".join(b"word%d " % i for i in range(100))  # longer than a byte can count
+    seqs = [(head if r.random() < 0.5 else b"") + b"".join(r.choice([b"a ", b"ab ", b"b "]) for _ in range(r.randrange(1, 9))) for _ in range(60)]
+    size = np.array([len(s) for s in seqs])
+    tree = repeats.Subtree(b"".join(seqs), np.cumsum(size) - size, size)
+    done = [seqs[i].split() for i in tree.order]
+    shared = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    assert tree.depth.tolist() == [0, *(shared(a, b) for a, b in zip(done, done[1:], strict=False))]
+    rank = np.array([r.randrange(20) for _ in seqs])
+    for depth in (1, 2, 4, 103):
+        want = [any(rank[j] < rank[i] and shared(seqs[i].split(), seqs[j].split()) >= depth for j in range(60) if j != i) for i in range(60)]
+        assert tree.later(rank, depth).tolist() == want
 
 
 def test_words_are_ascii_split():

@@ -91,4 +91,4 @@ def test_packing_stage(kept):
 def test_run_and_queries(spark, sf, kept):
     assert corpus_pipeline.run(spark, sf).agg({"length": "sum"}).head()[0] == sum(r.length for r in kept[5])
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality rules"
-    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES if q.startswith("op")) == list(range(1, 11))
