@@ -61,25 +61,36 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+_press, _unpress = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()  # a Python worker runs one task at a time
+
+
 def squeeze(raw: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return _press.compress(raw)
 
 
 def expand(raw: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(raw)
+    return _unpress.decompress(raw)
+
+
+def in_planes(records: np.ndarray) -> bytes:
+    """Packed records with the first bytes of all together, then the second ..."""
+    return np.ascontiguousarray(records.view(np.uint8).reshape(len(records), -1).T).tobytes()
+
+
+def out_of_planes(raw: bytes, dtype) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8).reshape(np.dtype(dtype).itemsize, -1).T.copy().reshape(-1).view(dtype)
 
 
 def by_planes(records: np.ndarray, ascending: str | None = None) -> bytes:
-    """Packed records, squeezed with the first bytes of all together, then the second ...; a field that ascends as its steps."""
+    """Records by planes of bytes, squeezed; a field that ascends as its steps."""
     if ascending:
         records = records.copy()
         records[ascending][1:] = np.diff(records[ascending])
-    return squeeze(np.ascontiguousarray(records.view(np.uint8).reshape(len(records), -1).T).tobytes())
+    return squeeze(in_planes(records))
 
 
 def from_planes(raw: bytes, dtype, ascending: str | None = None) -> np.ndarray:
-    planes = np.frombuffer(expand(raw), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
-    records = planes.T.copy().reshape(-1).view(dtype)
+    records = out_of_planes(expand(raw), dtype)
     if ascending:
         records[ascending] = np.cumsum(records[ascending], dtype=records[ascending].dtype)
     return records
@@ -95,6 +106,10 @@ class Block:
         self.ids = np.array(self.raw_ids[: self.known], np.int64)
         self.packed = [packed[i] for i in order]
 
+    def text(self, i: int) -> bytes:
+        """A document's text, empty for null."""
+        return expand(self.packed[i]) if self.packed[i] is not None else b""
+
     def chunks(self, all_rows: bool = False) -> Iterator[tuple[int, list[bytes]]]:
         """Index of the first document, and texts, of about CHUNK_BYTES together."""
         n = len(self.packed) if all_rows else self.known
@@ -103,7 +118,7 @@ class Block:
             if i == self.known and texts:
                 yield begin, texts
                 begin, texts, size = i, [], 0
-            text = expand(self.packed[i]) if self.packed[i] is not None else b""
+            text = self.text(i)
             if texts and size + len(text) > CHUNK_BYTES:
                 yield begin, texts
                 begin, texts, size = i, [], 0

@@ -8,6 +8,7 @@ other than space and the control characters 9 to 13.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -58,13 +59,22 @@ def stretches(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
 
 
 def grams(codes: np.ndarray, k: int) -> np.ndarray:
-    """A code for each k codes in a row, from those of ever longer stretches; the last two overlap where k is no power of two."""
-    n, span, h = len(codes) - k + 1, 1, codes
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    while 2 * span <= k:
-        h, span = pair(h[:-span], h[span:]), 2 * span
-    return h[:n] if span == k else pair(h[:n], h[k - span : k - span + n])
+    """A code for each k codes in a row."""
+    return next(grams_of(codes, (k,)))
+
+
+def grams_of(codes: np.ndarray, lengths: tuple[int, ...]) -> Iterator[np.ndarray]:
+    """Codes for each so many codes in a row, for ascending lengths, from those of ever longer stretches; the last two overlap where the
+    length is no power of two."""
+    span, h = 1, codes
+    for k in lengths:
+        n = len(codes) - k + 1
+        if n <= 0:
+            yield np.zeros(0, np.uint64)
+            continue
+        while 2 * span <= k:
+            h, span = pair(h[:-span], h[span:]), 2 * span
+        yield h[:n] if span == k else pair(h[:n], h[k - span : k - span + n])
 
 
 def byte_grams(flat: np.ndarray, k: int) -> np.ndarray:
@@ -81,6 +91,16 @@ def byte_grams(flat: np.ndarray, k: int) -> np.ndarray:
     return code
 
 
+def codes_at(lane: np.ndarray, begin: np.ndarray, k: int) -> np.ndarray:
+    """A code for the k bytes from each of the positions on."""
+    if k < 8:
+        return mix((lane[begin] & _KEEP[k]) + np.uint64(k) * _STEP)
+    code = mix(lane[begin] + _STEP)
+    for at in (*range(8, k - 7, 8), *([k - 8] if k % 8 else [])):
+        code = mix(code + lane[begin + at] * _ODD)
+    return code
+
+
 def join_texts(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """All texts in one array, a line feed after each; where each begins (and the end)."""
     ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))

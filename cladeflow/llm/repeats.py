@@ -135,41 +135,56 @@ class Kinds:
 
     def __init__(self):
         self.at: dict[bytes, int] = {}
-        self.first, self.more, self.route = [], [], []
-
-    def add(self, content: bytes, doc_id: int, route: int) -> int:
-        k = self.at.setdefault(content, len(self.at))
-        if k == len(self.first):
-            self.first.append(doc_id)
-            self.more.append(0)
-            self.route.append(route)
-        elif self.first[k] != doc_id:
-            self.more[k] = 1
-        return k
-
-    def packed(self, parts: int) -> Iterator[tuple[int, bytes, list[int]]]:
-        """For each part: the contents with their documents' ranks, packed in order of route and content, and which kinds they are."""
-        if not self.first:
-            return
-        contents, route = list(self.at), np.array(self.route, np.uint64)
-        part = B.part_of(route, parts)
-        order = np.array(sorted(range(len(contents)), key=lambda k: (self.route[k], contents[k])), np.int64)
-        ranks = np.unique(np.array(self.first, np.int64), return_inverse=True)[1]
+        self.first: list[int] = []
+        self.route: list[int] = []
+        self.more: set[int] = set()
+        self.which: list[int] = []  # the kind of every content that was added
+
+    def add(self, text: bytes, begin: np.ndarray, end: np.ndarray, ids: np.ndarray, route: np.ndarray) -> None:
+        """Contents of stretches of a text, in documents of these ids, and where they are to be sent."""
+        at, first = self.at, self.first
+        for a, b, i, r in zip(begin.tolist(), end.tolist(), ids.tolist(), route.tolist(), strict=True):
+            content = text[a:b]
+            k = at.get(content)
+            if k is None:
+                k = at[content] = len(first)
+                first.append(i)
+                self.route.append(r)
+            elif first[k] != i:
+                self.more.add(k)
+            self.which.append(k)
+
+    def order(self, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """Parts of the kinds, ascending, and the kinds in that order."""
+        part = B.part_of(np.array(self.route, np.uint64), parts)
+        order = np.argsort(part, kind="stable")
+        return part[order], order
+
+    def packed(self, parts: int) -> Iterator[tuple[int, bytes]]:
+        """For each part: the contents with their documents' ranks, in order of appearance."""
+        part, order = self.order(parts)
+        contents, more = list(self.at), np.zeros(len(order), np.uint8)
+        more[list(self.more)] = 1
         head = np.empty(len(order), HEAD)
-        head["doc"], head["more"], head["size"], head["route"] = ranks[order], np.array(self.more, np.uint8)[order], [len(contents[k]) for k in order], route[order]
-        cut = np.flatnonzero(B.first_of_runs(part[order]))
-        for lo, hi in zip(cut, np.r_[cut[1:], len(order)], strict=True):
-            which = order[lo:hi].tolist()
-            yield int(part[which[0]]), B.squeeze(np.array([hi - lo], "<u4").tobytes() + head[lo:hi].tobytes() + b"".join(contents[k] for k in which)), which
+        head["doc"], head["more"] = np.unique(np.array(self.first, np.int64), return_inverse=True)[1], more
+        head["size"], head["route"] = np.fromiter(map(len, contents), np.uint32, len(contents)), np.array(self.route, np.uint64)
+        head = head[order]
+        for lo, hi in zip(*_cuts(part), strict=True):
+            yield int(part[lo]), B.squeeze(np.array([hi - lo], "<u4").tobytes() + B.in_planes(head[lo:hi]) + b"".join([contents[k] for k in order[lo:hi].tolist()]))
 
     def answered(self, parts: int, raw: bytes, dtype) -> np.ndarray:
         """Each kind's answer, of answers in the order of `packed`."""
         out = np.zeros(len(self.first), dtype)
-        if len(self.first):
-            out[np.concatenate([which for _, _, which in self.packed(parts)])] = np.frombuffer(raw, dtype)
+        out[self.order(parts)[1]] = np.frombuffer(raw, dtype)
         return out
 
 
+def _cuts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each run of equal keys."""
+    at = np.flatnonzero(B.first_of_runs(key))
+    return at, np.r_[at[1:], len(key)][: len(at)]
+
+
 HEAD = np.dtype([("route", "<u8"), ("doc", "<u4"), ("size", "<u4"), ("more", "u1")])
 
 
@@ -177,16 +192,15 @@ class Leaves:
     """The contents that all blocks sent to a part: each once for its first document in a block, and once for that block's others."""
 
     def __init__(self, held: list[tuple[int, bytes]]):
-        heads, self.flat, message = [], [], []
+        heads, message, self.flat = [], [], bytearray()
         for m, (_, raw) in enumerate(held):
             raw = B.expand(raw)
             n = int(np.frombuffer(raw, "<u4", 1)[0])
-            heads.append(np.frombuffer(raw, HEAD, n, 4))
-            self.flat.append(raw[4 + n * HEAD.itemsize :])
+            heads.append(B.out_of_planes(raw[4 : 4 + n * HEAD.itemsize], HEAD))
+            self.flat += memoryview(raw)[4 + n * HEAD.itemsize :]
             message.append(np.full(n, m))
         self.counts = [len(h) for h in heads]
         head, message = np.concatenate(heads), np.concatenate(message)
-        self.flat = b"".join(self.flat)
         end = np.cumsum(head["size"].astype(np.int64))
         self.entry = np.repeat(np.arange(len(head)), 1 + head["more"].astype(np.int64))
         self.other = np.r_[False, self.entry[1:] == self.entry[:-1]]  # the leaf of a block's other documents
@@ -226,8 +240,8 @@ class SuffixTrees:
         for c, (_, _, texts) in enumerate(self.plan.chunks(block, use)) if len(run) else ():
             lo, hi = np.searchsorted(runs.chunk[run], [c, c + 1])
             codes = self.plan.codes(texts)[0] if hi > lo else None
-            for d, o in zip(self.depths, out, strict=True) if hi > lo else ():
-                o[lo:hi] = K.mix(K.grams(codes, d)[at[lo:hi]] + np.uint64(d))
+            for d, o, g in zip(self.depths, out, K.grams_of(codes, self.depths), strict=True) if hi > lo else ():
+                o[lo:hi] = K.mix(g[at[lo:hi]] + np.uint64(d))
         return run, at, out
 
     def prefixes(self, block: B.Block, got: dict):
@@ -251,8 +265,8 @@ class SuffixTrees:
         total = np.bincount(inverse, keys["count"])
         return B.unstack((((blocks[inverse] > 1) | (keys["here"] == 1)) + 2 * (total[inverse] > self.limit)).astype(np.uint8), held)
 
-    def suffixes(self, block: B.Block, got: dict) -> tuple[Kinds, np.ndarray, list, list, list]:
-        """Distinct suffixes that other documents may have; document copies; document, window and kind of every one."""
+    def suffixes(self, block: B.Block, got: dict) -> tuple[Kinds, np.ndarray, np.ndarray]:
+        """Distinct suffixes that other documents may have; document and first word of every one."""
         use, runs, run, at, codes, records = self.prefixes(block, got)
         answer = np.frombuffer(got.get("prefixes", b""), np.uint8)
         told = [answer[np.searchsorted(records["key"], c)] if len(c) else np.zeros(0, np.uint8) for c in codes]
@@ -260,16 +274,13 @@ class SuffixTrees:
         for c, a in reversed(list(zip(codes[:-1], told[:-1], strict=True))):
             route[a < 2] = c[a < 2]
         some = np.flatnonzero(told[-1] & 1)
-        kinds, docs, starts, which = Kinds(), [], [], []
-        for c, (_, _, texts) in enumerate(self.plan.chunks(block, use)) if len(some) else ():
-            here = some[slice(*np.searchsorted(runs.chunk[run[some]], [c, c + 1]))]
-            if len(here):
-                found = [w if len(w) <= LONG_WORD else b"\v" + hashlib.blake2b(w, digest_size=32).hexdigest().encode() for w in b"\n".join(texts).split()]
-                for p, r, s, d, i in zip(at[here].tolist(), run[here].tolist(), route[here].tolist(), runs.doc[run[here]].tolist(), runs.id[run[here]].tolist(), strict=True):
-                    which.append(kinds.add(b" ".join(found[p : p + self.plan.window]) + b" ", i, s))
-                    docs.append(d)
-                    starts.append(int(runs.start[r]) + p - int(runs.local[r]))
-        return kinds, use, docs, starts, which
+        run, at, route, kinds = run[some], at[some], route[some], Kinds()
+        for c, (_, _, texts) in enumerate(self.plan.chunks(block, use)) if len(run) else ():
+            here = slice(*np.searchsorted(runs.chunk[run], [c, c + 1]))
+            if here.stop > here.start:
+                text, begin = spaced_words(b"\n".join(texts))
+                kinds.add(text, begin[at[here]], begin[at[here] + self.plan.window], runs.id[run[here]], route[here])
+        return kinds, runs.doc[run], runs.start[run] + at - runs.local[run]
 
     def answer(self, held: list) -> list[tuple[int, bytes, int]]:
         """Which leaves go, group by group of at most about `limit` suffixes."""
@@ -291,31 +302,36 @@ class SuffixTrees:
             return B.part_of(records["key"], n), records
 
         def suffixes(block, got, n):
-            for part, raw, _ in self.suffixes(block, got)[0].packed(n):
-                yield part, raw
+            yield from self.suffixes(block, got)[0].packed(n)
 
         corpus = corpus.ask_keys("prefixes", corpus.parts(), self.PREFIX, prefixes, self.count)
-        parts = corpus.parts(corpus.hits() * 8 * self.plan.window)
+        parts = corpus.parts(corpus.hits() * 2 * self.plan.window)
         return corpus.ask("suffixes", parts, suffixes, self.answer), parts
 
     def gone(self, block: B.Block, got: dict, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Which documents are whole copies; document and first word of the other windows that go."""
-        kinds, use, docs, starts, which = self.suffixes(block, got)
-        return _gone(block, got, kinds.answered(parts, got.get("suffixes", b""), self.GONE), kinds, docs, starts, which)
+        kinds, docs, starts = self.suffixes(block, got)
+        told, which = kinds.answered(parts, got.get("suffixes", b""), self.GONE), np.array(kinds.which, np.int64)
+        first = block.ids[docs] == np.array(kinds.first, np.int64)[which]
+        hit = np.where(first, told["first"][which], told["rest"][which]) > 0
+        return Copies(block).split(block, got)[0], docs[hit], starts[hit]
 
 
-def _gone(block: B.Block, got: dict, told: np.ndarray, kinds: Kinds, docs: list, starts: list, which: list):
-    docs, starts, which = (np.array(x, np.int64) for x in (docs, starts, which))
-    first = block.ids[docs] == np.array(kinds.first, np.int64)[which] if len(which) else np.zeros(0, bool)
-    hit = np.where(first, told["first"][which], told["rest"][which]) > 0
-    return Copies(block).split(block, got)[0], docs[hit], starts[hit]
+def spaced_words(text: bytes) -> tuple[bytes, np.ndarray]:
+    """The words of a text, each with a space after it, and where each begins (and the end). Of a long word its digest stands."""
+    found = text.split()
+    size = np.fromiter(map(len, found), np.int64, len(found))
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        found[i] = b"\v" + hashlib.blake2b(found[i], digest_size=32).hexdigest().encode()
+        size[i] = len(found[i])
+    return b" ".join([*found, b""]), np.r_[0, np.cumsum(size + 1)]
 
 
 class Subtree:
     """The suffix tree of some word sequences, each word ended by a space: their order and longest common prefixes."""
 
     def __init__(self, flat: bytes, begin: np.ndarray, size: np.ndarray):
-        texts = [flat[a : a + n] for a, n in zip(begin.tolist(), size.tolist(), strict=True)]
+        texts = [bytes(flat[a : a + n]) for a, n in zip(begin.tolist(), size.tolist(), strict=True)]
         self.order = np.array(sorted(range(len(texts)), key=texts.__getitem__), np.int64)
         text = np.frombuffer(b"".join(texts[i] for i in self.order), np.uint8)
         size = size[self.order]
@@ -368,8 +384,8 @@ class PreviousFactors:
         if plan.window - plan.gram + 1 > 64:
             raise ValueError("a run's windows must fit a mask of 64 bits")
 
-    def contents(self, block: B.Block, got: dict) -> tuple[Kinds, Runs, np.ndarray, np.ndarray, list]:
-        """Distinct contents of runs that may be repeated; the run, first window and kind of each."""
+    def contents(self, block: B.Block, got: dict) -> tuple[Kinds, Runs, np.ndarray, np.ndarray]:
+        """Distinct contents of runs that may be repeated; the run and first window of every one."""
         _, use = Copies(block).split(block, got)
         runs = Runs(block, self.plan, use)
         status = runs.status(got)
@@ -379,32 +395,28 @@ class PreviousFactors:
         length = np.r_[runs.length[whole], np.ones(len(run) - len(whole), np.int64)]
         order = np.argsort(run, kind="stable")
         run, at, length = run[order], at[order], length[order]
-        kinds, which = Kinds(), []
+        kinds = Kinds()
         for c, (_, _, texts) in enumerate(self.plan.chunks(block, use)) if len(run) else ():
             lo, hi = np.searchsorted(runs.chunk[run], [c, c + 1])
             if hi > lo:
-                text, begin = b"".join(texts), runs.local[run[lo:hi]] + at[lo:hi]
-                route = runs.anchor[run[lo:hi]].copy()
+                text, begin, route = b"".join(texts), runs.local[run[lo:hi]] + at[lo:hi], runs.anchor[run[lo:hi]].copy()
                 crowded = status[run[lo:hi]] == CROWDED
                 if crowded.any():
-                    route[crowded] = K.mix(K.byte_grams(np.frombuffer(text, np.uint8), self.plan.window)[begin[crowded]])
-                stop = begin + length[lo:hi] + self.plan.window - 1
-                for a, b, i, s in zip(begin.tolist(), stop.tolist(), runs.id[run[lo:hi]].tolist(), route.tolist(), strict=True):
-                    which.append(kinds.add(text[a:b], i, s))
-        return kinds, runs, run, at, which
+                    route[crowded] = K.mix(K.codes_at(K.lanes(np.frombuffer(text, np.uint8)), begin[crowded], self.plan.window))
+                kinds.add(text, begin, begin + length[lo:hi] + self.plan.window - 1, runs.id[run[lo:hi]], route)
+        return kinds, runs, run, at
 
     def answer(self, held: list) -> list[tuple[int, bytes, int]]:
         """For each leaf, which of its windows have an earlier match, as a mask."""
         leaves, w = Leaves(held), self.plan.window
-        flat = np.frombuffer(leaves.flat, np.uint8)
-        windows = leaves.size - w + 1
+        lane, windows = K.lanes(np.frombuffer(leaves.flat, np.uint8)), leaves.size - w + 1
         leaf, by = np.repeat(np.arange(len(windows)), windows), K.ranges(np.zeros(len(windows), np.int64), windows)
-        code = K.byte_grams(flat, w)[leaves.begin[leaf] + by]
-        order = np.argsort(code)
+        code = K.codes_at(lane, leaves.begin[leaf] + by, w)
+        order = np.argsort(code, kind="stable")
         new = B.first_of_runs(code[order])
-        order = np.sort(order[~(new & np.r_[new[1:], True][: len(new)])])  # a window that is alone in its part has no match
-        leaf, by = leaf[order], by[order]
-        order, common = suffix_order(K.lanes(flat), leaves.begin[leaf] + by, w)
+        order = order[~(new & np.r_[new[1:], True][: len(new)])]  # a window that is alone in its part has no match
+        leaf, by, code = leaf[order], by[order], code[order]
+        order, common = suffix_order(lane, leaves.begin[leaf] + by, w, code)
         hit = previous_factor(leaves.rank[leaf[order]], common) >= w
         masks = np.zeros(len(windows), np.uint64)
         np.bitwise_or.at(masks, leaf[order[hit]], np.uint64(1) << by[order[hit]].astype(np.uint64))
@@ -412,17 +424,16 @@ class PreviousFactors:
 
     def find(self, corpus: B.Corpus) -> tuple[B.Corpus, int]:
         def contents(block, got, n):
-            for part, raw, _ in self.contents(block, got)[0].packed(n):
-                yield part, raw
+            yield from self.contents(block, got)[0].packed(n)
 
-        parts = corpus.parts(corpus.hits() * 5 * self.plan.window)
+        parts = corpus.parts(corpus.hits() * 8 * self.plan.window)
         return corpus.ask("factors", parts, contents, self.answer), parts
 
     def gone(self, block: B.Block, got: dict, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Which documents are whole copies; document and first byte of the other windows that go."""
-        kinds, runs, run, at, which = self.contents(block, got)
-        told, which = kinds.answered(parts, got.get("factors", b""), self.MASKS), np.array(which, np.int64)
-        first = runs.id[run] == np.array(kinds.first, np.int64)[which] if len(which) else np.zeros(0, bool)
+        kinds, runs, run, at = self.contents(block, got)
+        told, which = kinds.answered(parts, got.get("factors", b""), self.MASKS), np.array(kinds.which, np.int64)
+        first = runs.id[run] == np.array(kinds.first, np.int64)[which]
         mask = np.where(first, told["first"][which], told["rest"][which])
         some = np.flatnonzero(mask)
         docs, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -433,11 +444,29 @@ class PreviousFactors:
         return Copies(block).split(block, got)[0], np.concatenate(docs), np.concatenate(starts)
 
 
-def suffix_order(lane: np.ndarray, begin: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def suffix_order(lane: np.ndarray, begin: np.ndarray, width: int, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of suffixes by their first `width` bytes, and how many of those each shares with the one before it.
 
-    Eight bytes at a time; only suffixes that are still tied are looked at again.
+    Suffixes stand grouped by code. Those that have the bytes of their group's first one go with it, so that only
+    different ones are sorted.
     """
+    first = np.flatnonzero(B.first_of_runs(code))
+    head = np.repeat(first, np.diff(np.r_[first, len(code)]))
+    equal = common_bytes(lane, begin, begin[head], np.full(len(begin), width)) == width
+    head[~equal] = np.flatnonzero(~equal)
+    heads, member = np.unique(head, return_inverse=True)
+    order, common = _sorted_suffixes(lane, begin[heads], width)
+    place = np.empty(len(heads), np.int64)
+    place[order] = np.arange(len(heads))
+    out = np.argsort(place[member], kind="stable")
+    new = B.first_of_runs(place[member][out])
+    shared = np.full(len(begin), width)
+    shared[new] = common
+    return out, shared
+
+
+def _sorted_suffixes(lane: np.ndarray, begin: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same eight bytes at a time; only suffixes that are still tied are looked at again."""
     order, common = np.arange(len(begin)), np.zeros(len(begin), np.int64)
     todo, group = np.arange(len(begin)), np.zeros(len(begin), np.int64)
     for at in range(0, width, 8):
