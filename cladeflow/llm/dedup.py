@@ -15,6 +15,9 @@ from . import kernels as K
 from . import repeats as R
 
 
+CROWD = 50_000  # runs of a group of suffixes beyond which they are sent singly
+
+
 def _strip(docs: DataFrame, id_col: str, text_col: str, plan: R.Plan, resolver, keep, carry: bool) -> DataFrame:
     """keep(text, first units of removed windows, window) gives (units, removed, stretches, kept bytes, changed)."""
     corpus, parts = R.find(B.Corpus.deal(docs, id_col, text_col, carry), plan, resolver)
@@ -59,7 +62,7 @@ def _keep_bytes(text: bytes, start: np.ndarray, window: int, copy: bool) -> tupl
     return len(text), int(gone.sum()), spans, np.frombuffer(text, np.uint8)[~gone].tobytes(), True
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, carry: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, carry: bool = False, crowd: int = CROWD) -> DataFrame:
     """Remove each word that a window of `window` words covers whose words also start in a document with a smaller id.
 
     Words are split at ASCII white space and taken unchanged. Returns doc_id, n_units (words), n_removed,
@@ -70,17 +73,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names. A long text is taken in overlapping pieces of about blocks.CHUNK_BYTES, so working memory
     follows the block size, and the longest single text only by that text itself.
     """
-    plan = R.Plan("word", window, max(1, window // 6))
-    return _strip(docs, id_col, text_col, plan, R.SuffixTrees(plan, (max(1, window // 5), max(1, window // 2))), _keep_words, carry)
+    plan = R.Plan("word", window, max(1, window // 2), max(1, window // 6), crowd)
+    return _strip(docs, id_col, text_col, plan, R.SuffixTrees(plan), _keep_words, carry)
 
 
-def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, carry: bool = False, crowd: int = 50_000) -> DataFrame:
+def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, carry: bool = False, crowd: int = CROWD) -> DataFrame:
     """Remove each byte that a `window`-byte string covers which also starts in a document with a smaller id.
 
-    As `substring_dedup`, over UTF-8 bytes; a null text is empty. kept may split a multi-byte character. Windows of anchors with
-    more than `crowd` runs are spread over parts singly (see `repeats.PreviousFactors`); results are the same.
+    As `substring_dedup`, over UTF-8 bytes; a null text is empty. kept may split a multi-byte character.
     """
-    plan = R.Plan("byte", window, max(1, window // 3), crowd)
+    plan = R.Plan("byte", window, window, max(1, window // 3), crowd)
     return _strip(docs, id_col, text_col, plan, R.PreviousFactors(plan), _keep_bytes, carry)
 
 

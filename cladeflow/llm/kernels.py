@@ -142,10 +142,10 @@ def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1]) + np.repeat(start - (ends - length), length)
 
 
-def window_runs(gram_codes: np.ndarray, n_units: int, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+def window_runs(gram_codes: np.ndarray, n_units: int, first: np.ndarray, window: int, gram: int, prefix: int) -> tuple[np.ndarray, ...]:
     """Cut the windows of each text into runs that share an anchor.
 
-    A window's anchor is its gram of smallest code, the first of equals; it depends on the window's
+    A window's anchor is the gram of smallest code, the first of equals, in its first `prefix` units; it depends on the window's
     own units alone, so equal windows have equal anchors wherever they stand. Returns for each run
     its text, first window (a position among all units), number of windows and anchor code.
     """
@@ -154,7 +154,7 @@ def window_runs(gram_codes: np.ndarray, n_units: int, first: np.ndarray, window:
     if n <= 0:
         return empty, empty, empty, empty.astype(np.uint64)
     keys = (gram_codes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(gram_codes), dtype=np.uint64)
-    anchor = (sliding_min(keys, window - gram + 1)[:n] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    anchor = (sliding_min(keys, prefix - gram + 1)[:n] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     size = np.diff(first)
     full = size >= window
     change = np.ones(n, bool)

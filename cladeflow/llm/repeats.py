@@ -1,17 +1,16 @@
 """Windows of one document that also start in a document with a smaller id, over words or bytes.
 
-Whole copies of a document's text go first, told by a fingerprint of 128 bits. Of what is left two questions
-between blocks (see `blocks`) find which windows can be repeated at all; they only leave out, by hashes of which equal
-windows have equal ones, and decide no removal:
-
-1. The windows of a text are cut into runs that share an anchor (`kernels.window_runs`). A run whose anchor
-   no other document has can't be repeated.
-2. `SuffixTrees` asks the same of the single windows of the runs that remain.
-
-What may be repeated is sent as it is, words or bytes, to parts where suffixes are sorted and compared: `SuffixTrees` for
-words, `PreviousFactors` for bytes. Removals come from there alone. A document's rank is its block's,
-then its id's. Documents without an id neither lose text nor make others lose it; documents that
-share an id do not remove each other's text. A text longer than a chunk is taken in overlapping pieces.
+Whole copies of a document's text go first, told by a fingerprint of 128 bits. The windows of what is left are suffixes, which are
+put in groups by their first units: a group holds the suffixes whose prefix has the same anchor, its gram of smallest
+code. So all suffixes of one prefix are in one group, and neighbours in a text, which mostly share their anchor, are sent
+together as one run of text. Where a group would be crowded its suffixes are sent singly, by their whole window.
+
+One question between blocks (see `blocks`) counts each anchor's runs. Suffixes of an anchor that no other document has can't be
+repeated and stay where they are; that leaves out, and decides no removal. The others are sent as they are, words or
+bytes, to parts where they are sorted and compared, group by group: `SuffixTrees` for words, `PreviousFactors` for
+bytes. Removals come from there alone. A document's rank is its block's, then its id's. Documents without an id neither lose text nor make
+others lose it; documents that share an id do not remove each other's text. A text longer than a chunk is
+taken in overlapping pieces.
 """
 
 from __future__ import annotations
@@ -31,10 +30,12 @@ LONG_WORD = 64  # bytes beyond which a word travels as its 256-bit digest
 
 
 class Plan:
-    """Units, window and anchor length of one operator."""
+    """Units, window, length of the prefixes that groups are made by, and of their anchors."""
 
-    def __init__(self, unit: str, window: int, gram: int, crowd: int = 50_000):
-        self.unit, self.window, self.gram, self.crowd = unit, window, gram, crowd
+    def __init__(self, unit: str, window: int, prefix: int, gram: int, crowd: int):
+        self.unit, self.window, self.prefix, self.gram, self.crowd = unit, window, prefix, gram, crowd
+        if prefix - gram + 1 > 64:
+            raise ValueError("a run's windows must fit a mask of 64 bits")
 
     def chunks(self, block: B.Block, use: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
         """Documents, numbers of the first unit, and pieces of their texts, of about a chunk together."""
@@ -98,7 +99,7 @@ class Runs:
         found = []
         for c, (docs, offsets, texts) in enumerate(plan.chunks(block, use)):
             codes, first = plan.codes(texts)
-            text, start, length, anchor = K.window_runs(plan.grams(codes, plan.gram), len(codes), first, plan.window, plan.gram)
+            text, start, length, anchor = K.window_runs(plan.grams(codes, plan.gram), len(codes), first, plan.window, plan.gram, plan.prefix)
             found.append((np.full(len(text), c), docs[text], start, start - first[text] + offsets[text], length, anchor & np.uint64(0xFFFFFFFFFFFF0000)))
         z = np.zeros(0, np.int64)
         cols = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [z, z, z, z, z, z.astype(np.uint64)]
@@ -215,106 +216,100 @@ class Leaves:
         return [(0, B.squeeze(a.tobytes()), 0) for a in np.split(out, np.cumsum(self.counts)[:-1])]
 
 
-class SuffixTrees:
-    """Suffix trees over words, split by prefixes of as many words as keep a group small.
-
-    A question counts the suffixes below each prefix of the lengths in `depths`. A suffix of a window that other
-    documents may have is sent, as its words, to the group of its shortest prefix that has at most
-    `limit` suffixes, or of the whole window where none has (which a block sends once). A group's suffixes are sorted and
-    their longest common prefixes taken in words; stretches of neighbours that share as many words as a window has are the
-    tree's internal nodes of that depth. Below such a node all leaves but those of its earliest document go.
-    Adjoining windows of a document join into maximal repeats when removed stretches are formed.
-    """
+class Resolver:
+    """Sends runs of suffixes that may be repeated to parts, and reads which of their windows go."""
 
-    PREFIX = np.dtype([("key", "<u8"), ("count", "<u4"), ("here", "u1")])
-    GONE = np.dtype([("first", "u1"), ("rest", "u1")])
+    MASKS = np.dtype([("first", "<u8"), ("rest", "<u8")])  # of a run's windows, for a block's first document that has it, and its others
 
-    def __init__(self, plan: Plan, depths: tuple[int, ...] = (10, 25), limit: int = 50_000):
-        self.plan, self.depths, self.limit = plan, (*depths, plan.window), limit
+    def __init__(self, plan: Plan):
+        self.plan = plan
 
-    def windows(self, block: B.Block, runs: Runs, use: np.ndarray, status: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Run and local position of each window of runs that may be repeated, and codes of its prefixes."""
-        some = np.flatnonzero(status > UNIQUE)
-        run, at = np.repeat(some, runs.length[some]), K.ranges(runs.local[some], runs.length[some])
-        out = [np.empty(len(run), np.uint64) for _ in self.depths]
+    def contents(self, block: B.Block, got: dict) -> tuple[Kinds, Runs, np.ndarray, np.ndarray]:
+        """Distinct contents of runs that may be repeated; the run and first window of every one."""
+        _, use = Copies(block).split(block, got)
+        runs, window = Runs(block, self.plan, use), self.plan.window
+        status = runs.status(got)
+        whole, single = np.flatnonzero(status == SHARED), np.flatnonzero(status == CROWDED)
+        run = np.r_[whole, np.repeat(single, runs.length[single])]
+        at = np.r_[np.zeros(len(whole), np.int64), K.ranges(np.zeros(len(single), np.int64), runs.length[single])]
+        length = np.r_[runs.length[whole], np.ones(len(run) - len(whole), np.int64)]
+        order = np.argsort(run, kind="stable")
+        run, at, length = run[order], at[order], length[order]
+        kinds = Kinds()
         for c, (_, _, texts) in enumerate(self.plan.chunks(block, use)) if len(run) else ():
             lo, hi = np.searchsorted(runs.chunk[run], [c, c + 1])
-            codes = self.plan.codes(texts)[0] if hi > lo else None
-            for d, o, g in zip(self.depths, out, K.grams_of(codes, self.depths), strict=True) if hi > lo else ():
-                o[lo:hi] = K.mix(g[at[lo:hi]] + np.uint64(d))
-        return run, at, out
+            if hi > lo:
+                begin, route = runs.local[run[lo:hi]] + at[lo:hi], runs.anchor[run[lo:hi]].copy()
+                crowded = status[run[lo:hi]] == CROWDED
+                if crowded.any():
+                    route[crowded] = K.mix(self.plan.grams(self.plan.codes(texts)[0], window)[begin[crowded]])
+                end = begin + length[lo:hi] + window - 1
+                if self.plan.unit == "word":
+                    text, place = spaced_words(b"\n".join(texts))
+                    begin, end = place[begin], place[end]
+                else:
+                    text = b"".join(texts)
+                kinds.add(text, begin, end, runs.id[run[lo:hi]], route)
+        return kinds, runs, run, at
 
-    def prefixes(self, block: B.Block, got: dict):
-        """Windows as above, and the distinct prefixes of all lengths with how many distinct windows each has here."""
-        _, use = Copies(block).split(block, got)
-        runs = Runs(block, self.plan, use)
-        run, at, codes = self.windows(block, runs, use, runs.status(got))
-        window, head, kind = np.unique(codes[-1], return_index=True, return_inverse=True)
-        here = differ(kind, runs.id[run], len(window))
-        keys = np.concatenate([c[head] for c in codes])
-        found, inverse, count = np.unique(keys, return_inverse=True, return_counts=True)
-        records = np.zeros(len(found), self.PREFIX)
-        records["key"], records["count"] = found, count
-        records["here"][inverse[len(keys) - len(window) :]] = here
-        return use, runs, run, at, codes, records
-
-    def count(self, held: list) -> list[np.ndarray]:
-        """Bit 0: other documents have it too; bit 1: it has too many windows for one group."""
-        keys, _ = B.stacked(held)
-        _, inverse, blocks = np.unique(keys["key"], return_inverse=True, return_counts=True)
-        total = np.bincount(inverse, keys["count"])
-        return B.unstack((((blocks[inverse] > 1) | (keys["here"] == 1)) + 2 * (total[inverse] > self.limit)).astype(np.uint8), held)
-
-    def suffixes(self, block: B.Block, got: dict) -> tuple[Kinds, np.ndarray, np.ndarray]:
-        """Distinct suffixes that other documents may have; document and first word of every one."""
-        use, runs, run, at, codes, records = self.prefixes(block, got)
-        answer = np.frombuffer(got.get("prefixes", b""), np.uint8)
-        told = [answer[np.searchsorted(records["key"], c)] if len(c) else np.zeros(0, np.uint8) for c in codes]
-        route = codes[-1].copy()
-        for c, a in reversed(list(zip(codes[:-1], told[:-1], strict=True))):
-            route[a < 2] = c[a < 2]
-        some = np.flatnonzero(told[-1] & 1)
-        run, at, route, kinds = run[some], at[some], route[some], Kinds()
-        for c, (_, _, texts) in enumerate(self.plan.chunks(block, use)) if len(run) else ():
-            here = slice(*np.searchsorted(runs.chunk[run], [c, c + 1]))
-            if here.stop > here.start:
-                text, begin = spaced_words(b"\n".join(texts))
-                kinds.add(text, begin[at[here]], begin[at[here] + self.plan.window], runs.id[run[here]], route[here])
-        return kinds, runs.doc[run], runs.start[run] + at - runs.local[run]
+    def find(self, corpus: B.Corpus, kind: str = "masks") -> tuple[B.Corpus, int]:
+        def contents(block, got, n):
+            yield from self.contents(block, got)[0].packed(n)
 
-    def answer(self, held: list) -> list[tuple[int, bytes, int]]:
-        """Which leaves go, group by group of at most about `limit` suffixes."""
-        leaves = Leaves(held)
-        gone = np.zeros(len(leaves.entry), np.uint8)
-        by_route = np.argsort(leaves.route, kind="stable")
-        ends = np.flatnonzero(np.r_[B.first_of_runs(leaves.route[by_route])[1:], True]) + 1
-        at = 0
-        while at < len(by_route):
-            stop = ends[max(np.searchsorted(ends, at + self.limit, "right") - 1, np.searchsorted(ends, at, "right"))]
-            some = by_route[at:stop]
-            gone[some] = Subtree(leaves.flat, leaves.begin[some], leaves.size[some]).later(leaves.rank[some], self.plan.window)
-            at = stop
-        return leaves.answers(gone, gone, self.GONE)
-
-    def find(self, corpus: B.Corpus) -> tuple[B.Corpus, int]:
-        def prefixes(block, got, n):
-            records = self.prefixes(block, got)[-1]
-            return B.part_of(records["key"], n), records
-
-        def suffixes(block, got, n):
-            yield from self.suffixes(block, got)[0].packed(n)
-
-        corpus = corpus.ask_keys("prefixes", corpus.parts(), self.PREFIX, prefixes, self.count)
-        parts = corpus.parts(corpus.hits() * 2 * self.plan.window)
-        return corpus.ask("suffixes", parts, suffixes, self.answer), parts
+        parts = corpus.parts(corpus.hits() * 8 * self.plan.window)
+        return corpus.ask(kind, parts, contents, self.answer), parts
 
     def gone(self, block: B.Block, got: dict, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Which documents are whole copies; document and first word of the other windows that go."""
-        kinds, docs, starts = self.suffixes(block, got)
-        told, which = kinds.answered(parts, got.get("suffixes", b""), self.GONE), np.array(kinds.which, np.int64)
-        first = block.ids[docs] == np.array(kinds.first, np.int64)[which]
-        hit = np.where(first, told["first"][which], told["rest"][which]) > 0
-        return Copies(block).split(block, got)[0], docs[hit], starts[hit]
+        """Which documents are whole copies; document and first unit of the other windows that go."""
+        kinds, runs, run, at = self.contents(block, got)
+        told, which = kinds.answered(parts, got.get("masks", b""), self.MASKS), np.array(kinds.which, np.int64)
+        first = runs.id[run] == np.array(kinds.first, np.int64)[which]
+        mask = np.where(first, told["first"][which], told["rest"][which])
+        some = np.flatnonzero(mask)
+        docs, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for bit in range(self.plan.prefix - self.plan.gram + 1) if len(some) else ():
+            hit = some[(mask[some] >> np.uint64(bit)) & np.uint64(1) == 1]
+            docs.append(runs.doc[run[hit]])
+            starts.append(runs.start[run[hit]] + at[hit] + bit)
+        return Copies(block).split(block, got)[0], np.concatenate(docs), np.concatenate(starts)
+
+
+def repeated(code: np.ndarray) -> np.ndarray:
+    """Places of codes that are there more than once, in their order; a window whose code is alone in its part has no match."""
+    order = np.argsort(code, kind="stable")
+    new = B.first_of_runs(code[order])
+    return order[~(new & np.r_[new[1:], True][: len(new)])]
+
+
+class SuffixTrees(Resolver):
+    """Suffix trees over words, one for each group of prefixes (or several small ones together).
+
+    A group's suffixes are sorted and their longest common prefixes taken in words; stretches of neighbours that share as many words as
+    a window has are the tree's internal nodes of that depth. Below such a node all leaves but those of its
+    earliest document go. Adjoining windows of a document join into maximal repeats when removed stretches are formed.
+    """
+
+    TOGETHER = 50_000  # suffixes sorted at once, of whole groups
+
+    def answer(self, held: list) -> list[tuple[int, bytes, int]]:
+        leaves, w = Leaves(held), self.plan.window
+        flat = np.frombuffer(leaves.flat, np.uint8)
+        begin = np.r_[0, np.flatnonzero(flat == 32) + 1]  # of each word, and the end
+        first, end = (np.searchsorted(begin, x) for x in (leaves.begin, leaves.begin + leaves.size))
+        leaf, by = np.repeat(np.arange(len(first)), end - first - w + 1), K.ranges(np.zeros(len(first), np.int64), end - first - w + 1)
+        at = first[leaf] + by
+        some = repeated(K.grams(K.stretches(flat, begin[:-1], begin[1:] - 1), w)[at])
+        some = some[np.argsort(leaves.route[leaf[some]], kind="stable")]
+        leaf, by, at = leaf[some], by[some], at[some]
+        ends, done = _cuts(leaves.route[leaf])[1], 0
+        masks = np.zeros(len(first), np.uint64)
+        while done < len(leaf):
+            stop = ends[max(np.searchsorted(ends, done + self.TOGETHER, "right") - 1, np.searchsorted(ends, done, "right"))]
+            part = slice(done, stop)
+            gone = np.flatnonzero(Subtree(leaves.flat, begin[at[part]], begin[at[part] + w] - begin[at[part]]).later(leaves.rank[leaf[part]], w)) + done
+            np.bitwise_or.at(masks, leaf[gone], np.uint64(1) << by[gone].astype(np.uint64))
+            done = stop
+        return leaves.answers(masks, masks, self.MASKS)
 
 
 def spaced_words(text: bytes) -> tuple[bytes, np.ndarray]:
@@ -364,85 +359,28 @@ def common_bytes(lane: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarra
     return out
 
 
-class PreviousFactors:
+class PreviousFactors(Resolver):
     """Longest-previous-factor arrays over bytes, part by part.
 
-    A part holds the runs whose anchors are in one range of hash space, as their bytes. The suffixes that start at their
-    windows are put in suffix order with the bytes that neighbours share. For each, the nearest suffixes on
+    The suffixes that a part holds are put in suffix order with the bytes that neighbours share. For each, the nearest suffixes on
     either side that come from an earlier document are its previous and next smaller positions; the more that it
     shares with either is its longest previous factor, measured up to the window's length. Windows whose factor
-    reaches it go. Equal windows have equal anchors, so no earlier match is in another part.
-
-    The windows of an anchor with more than `crowd` runs are sent singly, to parts by their own hash, so that no
-    part holds them all; the parts treat them alike.
+    reaches it go.
     """
 
-    MASKS = np.dtype([("first", "<u8"), ("rest", "<u8")])
-
-    def __init__(self, plan: Plan):
-        self.plan = plan
-        if plan.window - plan.gram + 1 > 64:
-            raise ValueError("a run's windows must fit a mask of 64 bits")
-
-    def contents(self, block: B.Block, got: dict) -> tuple[Kinds, Runs, np.ndarray, np.ndarray]:
-        """Distinct contents of runs that may be repeated; the run and first window of every one."""
-        _, use = Copies(block).split(block, got)
-        runs = Runs(block, self.plan, use)
-        status = runs.status(got)
-        whole, single = np.flatnonzero(status == SHARED), np.flatnonzero(status == CROWDED)
-        run = np.r_[whole, np.repeat(single, runs.length[single])]
-        at = np.r_[np.zeros(len(whole), np.int64), K.ranges(np.zeros(len(single), np.int64), runs.length[single])]
-        length = np.r_[runs.length[whole], np.ones(len(run) - len(whole), np.int64)]
-        order = np.argsort(run, kind="stable")
-        run, at, length = run[order], at[order], length[order]
-        kinds = Kinds()
-        for c, (_, _, texts) in enumerate(self.plan.chunks(block, use)) if len(run) else ():
-            lo, hi = np.searchsorted(runs.chunk[run], [c, c + 1])
-            if hi > lo:
-                text, begin, route = b"".join(texts), runs.local[run[lo:hi]] + at[lo:hi], runs.anchor[run[lo:hi]].copy()
-                crowded = status[run[lo:hi]] == CROWDED
-                if crowded.any():
-                    route[crowded] = K.mix(K.codes_at(K.lanes(np.frombuffer(text, np.uint8)), begin[crowded], self.plan.window))
-                kinds.add(text, begin, begin + length[lo:hi] + self.plan.window - 1, runs.id[run[lo:hi]], route)
-        return kinds, runs, run, at
-
     def answer(self, held: list) -> list[tuple[int, bytes, int]]:
-        """For each leaf, which of its windows have an earlier match, as a mask."""
         leaves, w = Leaves(held), self.plan.window
         lane, windows = K.lanes(np.frombuffer(leaves.flat, np.uint8)), leaves.size - w + 1
         leaf, by = np.repeat(np.arange(len(windows)), windows), K.ranges(np.zeros(len(windows), np.int64), windows)
         code = K.codes_at(lane, leaves.begin[leaf] + by, w)
-        order = np.argsort(code, kind="stable")
-        new = B.first_of_runs(code[order])
-        order = order[~(new & np.r_[new[1:], True][: len(new)])]  # a window that is alone in its part has no match
-        leaf, by, code = leaf[order], by[order], code[order]
+        some = repeated(code)
+        leaf, by, code = leaf[some], by[some], code[some]
         order, common = suffix_order(lane, leaves.begin[leaf] + by, w, code)
         hit = previous_factor(leaves.rank[leaf[order]], common) >= w
         masks = np.zeros(len(windows), np.uint64)
         np.bitwise_or.at(masks, leaf[order[hit]], np.uint64(1) << by[order[hit]].astype(np.uint64))
         return leaves.answers(masks, masks, self.MASKS)
 
-    def find(self, corpus: B.Corpus) -> tuple[B.Corpus, int]:
-        def contents(block, got, n):
-            yield from self.contents(block, got)[0].packed(n)
-
-        parts = corpus.parts(corpus.hits() * 8 * self.plan.window)
-        return corpus.ask("factors", parts, contents, self.answer), parts
-
-    def gone(self, block: B.Block, got: dict, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Which documents are whole copies; document and first byte of the other windows that go."""
-        kinds, runs, run, at = self.contents(block, got)
-        told, which = kinds.answered(parts, got.get("factors", b""), self.MASKS), np.array(kinds.which, np.int64)
-        first = runs.id[run] == np.array(kinds.first, np.int64)[which]
-        mask = np.where(first, told["first"][which], told["rest"][which])
-        some = np.flatnonzero(mask)
-        docs, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for bit in range(self.plan.window - self.plan.gram + 1) if len(some) else ():
-            hit = some[(mask[some] >> np.uint64(bit)) & np.uint64(1) == 1]
-            docs.append(runs.doc[run[hit]])
-            starts.append(runs.start[run[hit]] + at[hit] + bit)
-        return Copies(block).split(block, got)[0], np.concatenate(docs), np.concatenate(starts)
-
 
 def suffix_order(lane: np.ndarray, begin: np.ndarray, width: int, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of suffixes by their first `width` bytes, and how many of those each shares with the one before it.

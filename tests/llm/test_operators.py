@@ -59,10 +59,10 @@ def small_blocks(monkeypatch):
     monkeypatch.setattr(blocks, "BLOCK_BYTES", 2000)
 
 
-@pytest.mark.parametrize(("unit", "window", "crowd"), [("word", 6, 0), ("word", 12, 0), ("byte", 9, 50_000), ("byte", 20, 50_000), ("byte", 9, 1), ("byte", 20, 3)])
+@pytest.mark.parametrize(("unit", "window", "crowd"), [("word", 6, 50_000), ("word", 12, 50_000), ("word", 12, 2), ("byte", 9, 50_000), ("byte", 20, 50_000), ("byte", 9, 1), ("byte", 20, 3)])
 def test_repeats(spark, docs, rows, small_blocks, unit, window, crowd):
     if unit == "word":
-        found = dedup.substring_dedup(docs, window=window)
+        found = dedup.substring_dedup(docs, window=window, crowd=crowd)
     else:
         found = dedup.suffix_array_dedup(docs, window=window, crowd=crowd)
     got = collections.defaultdict(list)
@@ -73,16 +73,74 @@ def test_repeats(spark, docs, rows, small_blocks, unit, window, crowd):
     assert sum(x[1] for v in want.values() for x in v) > 100
 
 
-def test_prefix_groups_split(spark, docs, rows, small_blocks, monkeypatch):
-    """Suffix groups of any limit give the same result."""
-    made = repeats.SuffixTrees.__init__
-    monkeypatch.setattr(repeats.SuffixTrees, "__init__", lambda self, plan, depths: made(self, plan, depths, limit=2))
+def test_small_trees(spark, docs, rows, small_blocks):
+    """Groups of suffixes taken one by one give the same result as many together."""
+
+    class OneByOne(repeats.SuffixTrees):
+        TOGETHER = 1
+
     got = collections.defaultdict(list)
-    for r in dedup.substring_dedup(docs, window=8).collect():
+    plan = repeats.Plan("word", 8, 4, 1, 50)
+    for r in dedup._strip(docs, "doc_id", "text", plan, OneByOne(plan), dedup._keep_words, False).collect():
         got[r.doc_id].append((r.n_units, r.n_removed, r.n_spans, r.kept_sha256))
     assert {d: sorted(v) for d, v in got.items()} == brute.repeats(rows, "word", 8)
 
 
+@pytest.mark.parametrize(("unit", "resolver"), [("word", "SuffixTrees"), ("byte", "PreviousFactors")])
+def test_removals_come_from_the_method(spark, docs, unit, resolver):
+    """Without the trees' or arrays' answers only whole copies go."""
+
+    class Silent(getattr(repeats, resolver)):
+        def answer(self, held):
+            leaves = repeats.Leaves(held)
+            none = np.zeros(len(leaves.entry), np.uint64)
+            return leaves.answers(none, none, self.MASKS)
+
+    plan = repeats.Plan(unit, 8, 8, 3, 50)
+    keep = dedup._keep_words if unit == "word" else dedup._keep_bytes
+    left = dedup._strip(docs, "doc_id", "text", plan, Silent(plan), keep, False).collect()
+    assert all(r.n_removed in (0, r.n_units) for r in left)
+    strip = dedup.substring_dedup if unit == "word" else dedup.suffix_array_dedup
+    assert sum(r.n_removed for r in strip(docs, window=8).collect()) > sum(r.n_removed for r in left)
+
+
+def _thue_morse(n: int) -> tuple[str, str]:
+    """Two different words that sums of powers modulo 2**64 can't tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [64, 1024, 4096])
+def test_words_of_patterns_differ(spark, n, tmp_path):
+    a, b = _thue_morse(n)
+    codes, _ = kernels.word_codes([f"{a} {b}".encode()])
+    assert codes[0] != codes[1]
+    head = " ".join(f"w{i}" for i in range(30))
+    rows = [(0, f"{head} {a} {head}"), (1, f"{head} {b} {head}"), (2, f"{head} {a} {head}!")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in dedup.substring_dedup(df, window=31).collect()} == {d: v[0][1] for d, v in brute.repeats(rows, "word", 31).items()}
+    assert {r.doc_id: r.component_id for r in jaccard.jaccard_join(df, k=3, percent=95).collect()} == brute.linked(rows, 3, 95)
+    counts, _ = quality.statistics([f"{a}\n{b}\n{a}".encode(), f"{a} x y z {b} x y z {b} x y z {b}".encode()])
+    assert [tuple(c) for c in counts] == [tuple(np.array(brute.rules(t))[[0, 1, 2, 3, 4]]) for t in (f"{a}\n{b}\n{a}", f"{a} x y z {b} x y z {b} x y z {b}")]
+    for name, kind in (("byte_bpe_50k.json", "bytes"), ("word_bpe_49k.json", "words")):
+        from cladeflow.llm.encoding import Encoder
+
+        path, t = _tokenizer(name)
+        for x, g in zip([a, b], Encoder(path, kind).encode([a.encode(), b.encode()]), strict=True):
+            assert np.frombuffer(g, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+
+
+def test_encoder_tells_equal_hashes_apart(monkeypatch):
+    """Pieces whose hashes are all the same few numbers."""
+    from cladeflow.llm import encoding
+
+    monkeypatch.setattr(encoding.K, "mix", lambda x: x % np.uint64(3))
+    path, t = _tokenizer("byte_bpe_50k.json")
+    code = encoding.Encoder(path, "bytes")
+    for text in ("one two three.\nfour five, one two", "six two\none three. one", "one two"):
+        assert np.frombuffer(code.encode([text.encode()])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize(("k", "percent"), [(1, 50), (2, 60), (3, 90), (5, 80)])
 def test_jaccard(spark, docs, rows, small_blocks, k, percent):
     got = jaccard.jaccard_join(docs, k=k, percent=percent).collect()
