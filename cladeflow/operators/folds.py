@@ -12,7 +12,7 @@ FAN_IN = 1000  # partial results merged by one task
 
 
 def fold(df: DataFrame, one: Callable[[pd.DataFrame], pd.DataFrame], merge: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Fold each partition's batches to a row, then merge rows, up to FAN_IN in a task, until one is left.
+    """Fold each partition's batches to a row, then merge rows in two steps, FAN_IN partitions' and then all that are left.
 
     merge takes rows of the schema and gives one row; it must be associative. For sums and the like
     df.agg does the same in the JVM.
@@ -23,8 +23,6 @@ def fold(df: DataFrame, one: Callable[[pd.DataFrame], pd.DataFrame], merge: Call
         if made:
             yield merge(pd.concat(made))
 
-    parts, n = df.mapInPandas(partial, schema), df.rdd.getNumPartitions()
-    while n > FAN_IN:
-        n = -(-n // FAN_IN)
-        parts = parts.groupBy((F.spark_partition_id() % n).alias("_to")).applyInPandas(lambda rows: merge(rows.drop(columns="_to", errors="ignore")), schema)
-    return parts.groupBy().applyInPandas(merge, schema)
+    parts = df.mapInPandas(partial, schema)
+    some = parts.groupBy(F.floor(F.spark_partition_id() / FAN_IN).alias("_to")).applyInPandas(lambda rows: merge(rows.drop(columns="_to", errors="ignore")), schema)
+    return some.groupBy().applyInPandas(merge, schema)

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cladeflow.plans.stages import kept
+
 Names = Sequence[str]
 
 
@@ -89,7 +91,7 @@ def take_rows(df: DataFrame, positions: DataFrame, pos: Names) -> DataFrame:
 
 def number_rows(df: DataFrame, pos: Names, name: str) -> DataFrame:
     """Number rows from 0 in the order of pos. The rows of each range of the order are counted, then numbered within."""
-    ranged = df.repartitionByRange(*pos).sortWithinPartitions(*pos).withColumn("_range", F.spark_partition_id()).checkpoint()
+    ranged = kept(df.repartitionByRange(*pos).sortWithinPartitions(*pos).withColumn("_range", F.spark_partition_id()))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     starts = ranged.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     within = F.row_number().over(Window.partitionBy("_range").orderBy(*pos))
@@ -245,9 +247,12 @@ def top_n_per_group(df: DataFrame, keys: Names, by: Sequence[Column], n: int, po
 
 
 def best_per_group(df: DataFrame, keys: Names, highest: str, pos: Names) -> DataFrame:
-    """The one row of each group with the highest value, the first of equals in pos; an aggregate that combines before the shuffle."""
+    """The one row of each group with the highest value, the first of equals in pos; an aggregate that combines before the shuffle.
+
+    A row whose value is null is the best only of a group without others.
+    """
     rest = _rest(df, keys)
-    best = F.min_by(F.struct(*rest), F.struct(-F.col(highest), *pos))
+    best = F.min_by(F.struct(*rest), F.struct(F.col(highest).isNull(), -F.col(highest), *pos))
     return df.groupBy(*keys).agg(best.alias("_best")).select(*keys, *(F.col(f"_best.{c}").alias(c) for c in rest))
 
 

@@ -92,12 +92,18 @@ def _levels(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return both(c, upper), both(s, s.select((F.col("virus_hit_score") / 2).alias("virus_hit_score")))
 
 
-@query(domain("""SELECT * FROM (SELECT 'type' AS class_key, virus_name, class_name, round(class_score / total, 6) AS membership_ratio FROM totals
-UNION ALL SELECT 'letter', virus_name, c, round(s / sum(s) OVER (PARTITION BY virus_name), 6) FROM (SELECT virus_name, u.c, sum(protein_hit_score * u.p / 100 * ((5 - u.k) / 4::DOUBLE)) AS s
-  FROM aggregated JOIN (SELECT model_name, class_name[1] AS c, sum(class_percent) AS p, min(class_cat) AS k FROM classes GROUP BY ALL) u USING (model_name) GROUP BY ALL))"""))
+@query(f"WITH {fixtures.SQL}" + """,
+levels AS (SELECT 'type' AS class_key, virus_name, class_name, class_score, total FROM totals
+UNION ALL SELECT 'letter', virus_name, c, s, sum(s) OVER (PARTITION BY virus_name) FROM (SELECT virus_name, u.c, sum(protein_hit_score * u.p / 100 * ((5 - u.k) / 4::DOUBLE)) AS s
+  FROM aggregated JOIN (SELECT model_name, class_name[1] AS c, sum(class_percent) AS p, min(class_cat) AS k FROM classes GROUP BY ALL) u USING (model_name) GROUP BY ALL)),
+level_samples AS (SELECT 'type' AS class_key, x FROM samples UNION ALL SELECT 'letter', x / 2 FROM samples),
+level_counts AS (SELECT class_key, x, sum(n) AS n FROM (SELECT class_key, x, 1 AS n FROM level_samples UNION ALL (SELECT DISTINCT class_key, round(total, 6), 0 FROM levels)) GROUP BY ALL),
+level_ranks AS (SELECT class_key, x, (sum(n) OVER (PARTITION BY class_key ORDER BY x) - n / 2.0::DOUBLE) / sum(n) OVER (PARTITION BY class_key) AS confidence FROM level_counts)
+SELECT l.class_key, virus_name, class_name, round(class_score / total, 6) AS membership_ratio, round(confidence, 9) AS confidence_score
+FROM levels l JOIN level_ranks r ON l.class_key = r.class_key AND r.x = round(total, 6)""")
 def membership_of_levels(spark: SparkSession, sf: str) -> DataFrame:
     found = scoring.predict_membership(aggregated(spark, sf), *_levels(spark, sf))
-    return found.select("class_key", "virus_name", "class_name", F.round("membership_ratio", 6).alias("membership_ratio"))
+    return found.select("class_key", "virus_name", "class_name", F.round("membership_ratio", 6).alias("membership_ratio"), F.round("confidence_score", 9).alias("confidence_score"))
 
 
 @query("""SELECT c_custkey, score, round(((SELECT count(*) FROM orders WHERE o_totalprice < score) + 0.5::DOUBLE * (SELECT count(*) FROM orders WHERE o_totalprice = score)) / (SELECT count(*) FROM orders), 9) AS confidence_score

@@ -16,17 +16,21 @@ def classify_hits(hits: DataFrame, proteins: DataFrame, classes: DataFrame, samp
     return scoring.predict_membership(scoring.aggregate_hits(hits, proteins, pos, threshold, virus, unit), classes, samples, unit)
 
 
-def classify(spark: SparkSession, genomes: str, index: str, work_dir: str, threshold: float = scoring.E_VALUE, pattern: str | None = None, size: int = 1, models: str | None = None, prodigal: str = "prodigal", hmmsearch: str = "hmmsearch") -> DataFrame:
-    """Predictions for a genomes FASTA file, with stage tables in work_dir that a later run goes on from."""
+def classify(spark: SparkSession, genomes: str, index: str, work_dir: str, threshold: float = scoring.E_VALUE, pattern: str | None = None, size: int = 1, models: str | None = None, prodigal: str = "prodigal", hmmsearch: str = "hmmsearch", procedure: str = "meta", mask: bool = False, genbank: bool = False) -> DataFrame:
+    """Predictions for a genomes FASTA file, with stage tables in work_dir that a later run goes on from.
+
+    procedure, mask and genbank are those of gene prediction; stages of other settings stand apart.
+    """
     levels, named = tables.load_index(spark, index)
     models = models or named
     if models is None:
         raise tables.IndexFormatError(f"{index}: names no model file, and none is given")
     entries = fasta.read_fasta(spark, genomes)
     key = stages.content_key(entries, "name", "seq_lines")
-    proteins, hits = tools.search_genome_hits(spark, entries, models, work_dir, key, size, ("name",), prodigal, hmmsearch)
+    proteins, hits = tools.search_genome_hits(spark, entries, models, work_dir, key, size, ("name",), prodigal, hmmsearch, procedure, mask, genbank)
     virus = (lambda c: virus_name(c, pattern, strict=True)) if pattern else (lambda c: virus_name(c, strict=True))
     pos = ("file", "chunk_id", "query_name")
+    key = f"{key}/{procedure}{'-masked' if mask else ''}" if procedure != "meta" or mask else key
     made = stages.stage(spark, work_dir, key, "processed", lambda: scoring.aggregate_hits(hits, scoring.protein_sizes(proteins), pos, threshold, virus))
     classes, samples = tables.read_levels(spark, levels)
     return stages.stage(spark, work_dir, key, "predictions", lambda: scoring.predict_membership(made, classes, samples))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cladeflow.functions import columns as X
 from cladeflow.operators import verbs
+from cladeflow.plans.stages import kept
 
 SMALL_CLASSES = 1_000_000  # class rows up to which the class table is broadcast
 E_VALUE = 1e-3
@@ -33,8 +34,8 @@ def name_hits(hits: DataFrame, threshold: float = E_VALUE, virus: Callable[[Colu
 
 
 def best_hits(named: DataFrame, pos: Sequence[str], unit: Sequence[str] = ()) -> DataFrame:
-    """The best model of each protein, the first in pos of equals. Scores that are NaN don't compete."""
-    return verbs.best_per_group(named.filter(~F.isnan("sequence_score")), [*unit, "virus_name", "target_name"], "sequence_score", pos)
+    """The best model of each protein, the first in pos of equals. Scores that are null or NaN don't compete."""
+    return verbs.best_per_group(named.filter(F.col("sequence_score").isNotNull() & ~F.isnan("sequence_score")), [*unit, "virus_name", "target_name"], "sequence_score", pos)
 
 
 def aggregate_hits(
@@ -92,12 +93,13 @@ def predict_membership(aggregated: DataFrame, classes: DataFrame, samples: DataF
     """(class_key, virus_name, class_name, membership_ratio, virus_hit_score, confidence_score, rank_in_virus).
 
     Viruses without a classified model vanish. Totals are rounded to six digits before they are ranked among the
-    samples, so that equal totals are equal whatever order they were summed in.
+    samples, so that equal totals are equal whatever order they were summed in. Scores are worked out once and kept, as ranks read
+    them twice.
     """
     level = ["class_key"] if "class_key" in classes.columns else []
     virus = [*unit, *level, "virus_name"]
     scored = verbs.group_total(class_scores(aggregated, classes, unit), virus, "class_score", "virus_hit_score")
     ranked = scored.withColumn("rank_in_virus", F.row_number().over(Window.partitionBy(*virus).orderBy(F.desc("class_score"), "class_name")))
     ranked = ranked.withColumn("membership_ratio", X.membership_ratio(F.col("class_score"), F.col("virus_hit_score"))).withColumn("virus_hit_score", F.round("virus_hit_score", 6))
-    given = percentile_rank(ranked, samples, "virus_hit_score", level)
+    given = percentile_rank(kept(ranked), samples, "virus_hit_score", level)
     return given.select(*virus, "class_name", "membership_ratio", "virus_hit_score", "confidence_score", "rank_in_virus")

@@ -55,7 +55,7 @@ def remaining(chunks: DataFrame, done: DataFrame, key: str = "chunk_key") -> Dat
 @contextmanager
 def work_directory(spark: SparkSession, path: str | None = None) -> Iterator[str]:
     """A work directory with its folders; without a path a new one beside the checkpoints, removed at the end."""
-    made = path or f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir() or '/tmp'}/work-{uuid.uuid4().hex}"
+    made = path or f"{shared_folder(spark)}/work-{uuid.uuid4().hex}"
     for name in STAGES:
         fs, p = _path(spark, f"{made}/{name}")
         fs.mkdirs(p)
@@ -67,8 +67,23 @@ def work_directory(spark: SparkSession, path: str | None = None) -> Iterator[str
             fs.delete(p, True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which all executors share; one is chosen only where none is set and all runs on this machine."""
+    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return spark.sparkContext.getCheckpointDir()
+
+
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder beside the checkpoints, which all executors share."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return f"{spark.sparkContext.getCheckpointDir()}/scratch-{uuid.uuid4().hex}"
+    """A new folder beside the checkpoints."""
+    return f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows as they are now, written to the shared folder: for what several later steps read, or what must not be drawn anew."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()

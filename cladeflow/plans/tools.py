@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cladeflow import schemas
+from cladeflow.plans.stages import kept, stage
 
 Argv = Callable[[str, str], Sequence[str]]
 
@@ -40,9 +41,7 @@ def chunk_sequences(sequences: DataFrame, size: int, order: Sequence[str], withi
     if size < 1:
         raise ValueError("a chunk has at least one sequence")
     ranged = sequences.repartitionByRange(*within, *order).sortWithinPartitions(*within, *order).withColumn("_range", F.spark_partition_id())
-    spark = sequences.sparkSession
-    # Ranges are drawn anew whenever they are run, so they are kept.
-    ranged = ranged.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() else ranged.localCheckpoint()
+    ranged = kept(ranged)  # ranges are drawn anew whenever they are run
     before = Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range and file
     starts = ranged.groupBy(*within, "_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     starts = starts.select(F.col("_range").alias("_r"), "_before", *(F.col(c).alias(f"_in{i}") for i, c in enumerate(within)))
@@ -58,14 +57,25 @@ def chunk_keys(chunks: DataFrame, keys: Sequence[str], columns: Sequence[str]) -
     return chunks.groupBy(*keys).agg(F.sha2(text, 256).alias("chunk_key"), F.count("*").alias("n"))
 
 
+def write_chunk_files(chunks: DataFrame, path: str, keys: Sequence[str] = ("file", "chunk_id")) -> DataFrame:
+    """Write each chunk as FASTA text in a folder chunk_key=<key of its content> of its own; (keys, chunk_key, n). Chunks of equal
+    content share a folder and are written once."""
+    named = kept(chunk_keys(chunks, keys, ["name", "seq_lines"]))
+    one = named.groupBy("chunk_key").agg(F.min(F.struct(*keys)).alias("_one")).select("chunk_key", "_one.*")
+    entry = F.concat_ws("\n", F.concat(F.lit(">"), F.col("name")), "seq_lines").alias("value")
+    chunks.join(one, list(keys)).select("chunk_key", entry).repartition("chunk_key").write.partitionBy("chunk_key").text(path)
+    return named
+
+
 def fasta_text(rows: pd.DataFrame) -> str:
     return "".join(f">{n}\n" + "\n".join(s) + "\n" for n, s in zip(rows["name"], rows["seq_lines"], strict=True))
 
 
-def run_tool(argv: Argv, text: str) -> str:
-    """Run a command on a file with the text; the text of the file it wrote. Files are the task's own and go with it."""
+def run_tool(argv: Argv, text: str, also: Sequence[str] = ()) -> list[str]:
+    """Run a command on a file with the text; the texts of the file it wrote and of those with the endings in also. Files are the task's
+    own and go with it; a file that isn't there is empty."""
     if not text:
-        return ""  # a chunk without sequences has no results
+        return [""] * (1 + len(also))  # a chunk without sequences has no results
     with tempfile.TemporaryDirectory() as folder:
         source, out = os.path.join(folder, "in"), os.path.join(folder, "out")
         with open(source, "w") as f:
@@ -77,19 +87,24 @@ def run_tool(argv: Argv, text: str) -> str:
             raise ToolError(f"{command[0]}: {e}") from e
         if done.returncode:
             raise ToolError(f"{' '.join(command)}: exit code {done.returncode}: {done.stderr[-2000:]}")
-        if not os.path.exists(out):
-            return ""
-        with open(out) as f:
-            return f.read()
-
-
-def pipe_tool(chunks: DataFrame, argv: Argv, parse: Callable[[str], pd.DataFrame], schema: T.StructType | str, keys: Sequence[str] = ("chunk_id",), to_input: Callable[[pd.DataFrame], str] = fasta_text) -> DataFrame:
-    """Run a command once per chunk; rows of its output with the chunk's keys in front. Chunks bound what a task holds."""
+        found = []
+        for path in (out, *(out + ending for ending in also)):
+            if os.path.exists(path):
+                with open(path) as f:
+                    found.append(f.read())
+            else:
+                found.append("")
+        return found
+
+
+def pipe_tool(chunks: DataFrame, argv: Argv, parse: Callable[..., pd.DataFrame], schema: T.StructType | str, keys: Sequence[str] = ("chunk_id",), to_input: Callable[[pd.DataFrame], str] = fasta_text, also: Sequence[str] = ()) -> DataFrame:
+    """Run a command once per chunk; rows that parse makes of its output, and of the files beside it with the endings in also, with the
+    chunk's keys in front. Chunks bound what a task holds."""
     kinds = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     whole = T.StructType([*(chunks.schema[k] for k in keys), *kinds.fields])
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = parse(run_tool(argv, to_input(rows)))[kinds.names]
+        out = parse(*run_tool(argv, to_input(rows), also))[kinds.names]
         for i, (name, value) in enumerate(zip(keys, key, strict=True)):
             out.insert(i, name, value)
         return out
@@ -117,19 +132,39 @@ def parse_fasta(text: str) -> pd.DataFrame:
 
 
 def parse_tblout(text: str) -> pd.DataFrame:
+    """Hits of a profile-search table, by the rule of `tables.read_tblout`; a line that it calls bad is an error here."""
     whole = {"IntegerType": int, "LongType": int, "DoubleType": float}
     rows = []
     for line in text.split("\n"):
         if line and not line.startswith("#"):
             t = [x for x in line.split(" ") if x]
+            if line.startswith(" ") or len(t) < len(schemas.HITS):
+                raise ToolError(f"no line of a hit table: {line[:200]!r}")
             rows.append([None if f.name.endswith("accession") and v == "-" else whole.get(type(f.dataType).__name__, str)(v) for f, v in zip(schemas.HITS.fields, t, strict=False)])
     return pd.DataFrame(rows, columns=schemas.HITS.names)
 
 
-def predict_genes(chunks: DataFrame, keys: Sequence[str] = ("chunk_id",), executable: str = "prodigal", procedure: str = "meta", mask: bool = False) -> DataFrame:
-    """Proteins (keys, name, seq_lines) that gene prediction finds in each chunk of genomes."""
+def predict_genes(chunks: DataFrame, keys: Sequence[str] = ("chunk_id",), executable: str = "prodigal", procedure: str = "meta", mask: bool = False, genbank: bool = False) -> DataFrame:
+    """Proteins (keys, name, seq_lines) that gene prediction finds in each chunk of genomes.
+
+    With genbank there is a column of that name, and for each chunk one more row with the tool's GenBank text in it and no name.
+    """
     tool = find_tool(executable)
-    return pipe_tool(chunks, lambda source, out: [tool, "-p", procedure, *(["-m"] if mask else []), "-i", source, "-a", out], parse_fasta, schemas.FASTA, keys)
+    options = ["-p", procedure, *(["-m"] if mask else [])]
+    if not genbank:
+        return pipe_tool(chunks, lambda source, out: [tool, *options, "-i", source, "-a", out], parse_fasta, schemas.FASTA, keys)
+
+    def both(proteins: str, text: str) -> pd.DataFrame:
+        found = parse_fasta(proteins)
+        found["genbank"] = None
+        return pd.concat([found, pd.DataFrame({"name": [None], "seq_lines": [None], "genbank": [text]})], ignore_index=True)
+
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in _fields(schemas.FASTA)), T.StructField("genbank", T.StringType())])
+    return pipe_tool(chunks, lambda source, out: [tool, *options, "-i", source, "-a", out, "-o", out + ".gbk"], both, schema, keys, also=(".gbk",))
+
+
+def _fields(schema: T.StructType | str) -> list[T.StructField]:
+    return (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
 
 
 def search_profiles(proteins: DataFrame, models: str, keys: Sequence[str] = ("chunk_id",), executable: str = "hmmsearch") -> DataFrame:
@@ -141,11 +176,12 @@ def search_profiles(proteins: DataFrame, models: str, keys: Sequence[str] = ("ch
     return pipe_tool(proteins, lambda source, out: [tool, "--tformat", "FASTA", "--cpu", "1", "--tblout", out, SparkFiles.get(name), source], parse_tblout, schemas.HITS, keys)
 
 
-def search_genome_hits(spark: SparkSession, genomes: DataFrame, models: str, work_dir: str, key: str, size: int = 1, order: Sequence[str] = ("name",), prodigal: str = "prodigal", hmmsearch: str = "hmmsearch") -> tuple[DataFrame, DataFrame]:
-    """(proteins, hits) of all genomes, each a stage that is skipped when it was finished."""
-    from cladeflow.plans.stages import stage
-
+def search_genome_hits(spark: SparkSession, genomes: DataFrame, models: str, work_dir: str, key: str, size: int = 1, order: Sequence[str] = ("name",), prodigal: str = "prodigal", hmmsearch: str = "hmmsearch", procedure: str = "meta", mask: bool = False, genbank: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(proteins, hits) of all genomes, each a stage that is skipped when it was finished. With genbank, the stage "proteins" holds the
+    GenBank texts too (see `predict_genes`)."""
     chunks = chunk_sequences(genomes, size, order)
     keys = ("file", "chunk_id")
-    proteins = stage(spark, work_dir, key, "proteins", lambda: predict_genes(chunks, keys, prodigal))
-    return proteins, stage(spark, work_dir, key, "search", lambda: search_profiles(proteins, models, keys, hmmsearch))
+    name = "proteins" + (f"-{procedure}" if procedure != "meta" else "") + ("-masked" if mask else "") + ("-genbank" if genbank else "")
+    proteins = stage(spark, work_dir, key, name, lambda: predict_genes(chunks, keys, prodigal, procedure, mask, genbank))
+    proteins = proteins.filter("name is not null").drop("genbank")
+    return proteins, stage(spark, work_dir, key, name.replace("proteins", "search"), lambda: search_profiles(proteins, models, keys, hmmsearch))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from cladeflow.functions import columns as X
 from cladeflow.operators import verbs
 from cladeflow.plans import catalog, classify, scoring, stages, tools
+from cladeflow.sources import fasta
 from cladeflow.streaming import predict
 
 
@@ -142,7 +143,39 @@ def test_tools(spark, tmp_path):
     fail = script(tmp_path, "fail", "echo broken >&2; exit 3\n")
     with pytest.raises(Exception, match="exit code 3.*broken"):
         tools.pipe_tool(chunks, lambda s, o: [fail, s, o], tools.parse_fasta, "name string, seq_lines array<string>").collect()
-    assert tools.run_tool(lambda s, o: ["/nonexistent"], "") == ""  # nothing to do, nothing run
+    assert tools.run_tool(lambda s, o: ["/nonexistent"], "") == [""]  # nothing to do, nothing run
+
+
+def test_chunk_files(spark, tmp_path):
+    seqs = spark.createDataFrame([(f, f"s{i}", ["AC", "GT"]) for f in "fg" for i in range(3)], "file string, name string, seq_lines array<string>")
+    named = tools.write_chunk_files(tools.chunk_sequences(seqs, 2, ["name"]), str(tmp_path / "chunks")).collect()
+    assert len(named) == 4
+    assert len({r.chunk_key for r in named}) == 2  # both files hold the same chunks
+    for key, n in {(r.chunk_key, r.n) for r in named}:
+        assert fasta.read_fasta(spark, str(tmp_path / "chunks" / f"chunk_key={key}")).count() == n
+
+
+def test_gene_options(spark, tmp_path):
+    """Options reach the tool; the GenBank text comes beside the proteins."""
+    tool = script(tmp_path, "genes", 'while [ $# -gt 0 ]; do case $1 in -a) aa=$2; shift;; -o) gbk=$2; shift;; -p) p=$2; shift;; -m) m=masked;; esac; shift; done\necho ">p_1 $p $m" > $aa; echo MA >> $aa; [ -z "$gbk" ] || echo "LOCUS $p" > $gbk\n')
+    chunks = spark.createDataFrame([(0, "g", ["AC"])], "chunk_id long, name string, seq_lines array<string>")
+    plain = tools.predict_genes(chunks, executable=tool).collect()
+    assert [(r.name, r.seq_lines) for r in plain] == [("p_1 meta ", ["MA"])]
+    rows = tools.predict_genes(chunks, executable=tool, procedure="single", mask=True, genbank=True).collect()
+    assert sorted((r.name or "", r.genbank or "") for r in rows) == [("", "LOCUS single\n"), ("p_1 single masked", "")]
+    for bad in (" a - b", "a - b c"):
+        with pytest.raises(tools.ToolError, match="hit table"):
+            tools.parse_tblout(bad)
+
+
+def test_null_scores_do_not_win(spark):
+    from cladeflow.plans import scoring
+
+    rows = [("v", "t", "a", None), ("v", "t", "b", 2.0), ("v", "t", "c", float("nan")), ("v", "u", "a", None)]
+    df = spark.createDataFrame(rows, "virus_name string, target_name string, query_name string, sequence_score double")
+    assert [(r.target_name, r.query_name) for r in scoring.best_hits(df, ["query_name"]).collect()] == [("t", "b")]
+    best = verbs.best_per_group(df.filter("sequence_score is null or sequence_score = 2"), ["target_name"], "sequence_score", ["query_name"])
+    assert sorted((r.target_name, r.query_name) for r in best.collect()) == [("t", "b"), ("u", "a")]
 
 
 def test_whole_classification(spark, tmp_path):
