@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from . import kernels as K
 
 BLOCK_BYTES = 8 << 20  # text in a block, at any size of the corpus
-PART_BYTES = 64 << 20  # text whose keys a part answers for
+PART_BYTES = 16 << 20  # text whose keys a part answers for
 MOST_TASKS = 20_000  # partitions that blocks are dealt to
 AT_ONCE = 10_000  # limits between blocks found by one aggregate
 ANSWER = "pid int, kind string, part int, ans binary, hits long"

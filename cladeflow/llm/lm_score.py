@@ -116,7 +116,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
     corpus = corpus.ask_keys("words", corpus.parts(), COUNTED, words, _sum, planes=True)
     sums = corpus.visit(", ".join(f"{c} long" for c in "abcdef"), tally).agg(*(F.sum(c).alias(c) for c in "abcdef")).head()  # six numbers
     size = [(sums[c] or 0) for c in "abcdef"]
-    corpus = corpus.ask_keys("pairs", corpus.parts(2 * corpus.total), COUNTED, bigrams, _sum, planes=True)
+    corpus = corpus.ask_keys("pairs", corpus.parts(), COUNTED, bigrams, _sum, planes=True)
 
     def score(block, inner, got):
         w = Words(block, got)

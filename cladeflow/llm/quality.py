@@ -217,3 +217,16 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return quality_rules(docs.select("doc_id", "text"), labels).select("doc_id", "rules.*")
+
+
+def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of operator 1 SQL can say: the counts and the base rules, without the forest's verdict."""
+    return op1_quality_rules(spark, sf_dir).drop("anomaly", "kept")
+
+
+SQL = """WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+f AS (SELECT doc_id, i, w[i:i + 4] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM f), range(5) t(k) WHERE c > 1 GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(l.n, 0) AS n_dup_lines,
+  coalesce(r.n, 0) AS n_repeat_words, (len(w) < 10 OR 100 * coalesce(r.n, 0) > 20 * len(w)) AS base_failed FROM d LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)"""

@@ -6,6 +6,7 @@ from . import classifier, dedup, jaccard, lm_score, mixing, packing, quality, to
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "quality_rule_counts": quality.rule_counts,
     "op2_subword_classifier": classifier.op2_subword_classifier,
     "op3_pivot_top_k": topk.op3_pivot_top_k,
     "op4_substring_dedup": dedup.op4_substring_dedup,
@@ -18,4 +19,11 @@ QUERIES = {
     "op10_token_files": token_files.op10_token_files,
 }
 
-SQL: dict[str, str] = {"op3_pivot_top_k": topk.SQL, "op7_hierarchical_mix": mixing.SQL}
+SQL: dict[str, str] = {
+    "quality_rule_counts": quality.SQL,
+    "op3_pivot_top_k": topk.SQL,
+    "op4_substring_dedup": dedup.SQL_WORDS,
+    "op5_suffix_array_dedup": dedup.SQL_BYTES,
+    "op7_hierarchical_mix": mixing.SQL,
+    "op9_jaccard_join": jaccard.SQL,
+}

@@ -316,7 +316,7 @@ def test_planes():
         assert (blocks.from_planes(blocks.by_planes(x), x.dtype) == x).all()
 
 
-@pytest.mark.parametrize("query", ["op3_pivot_top_k", "op7_hierarchical_mix"])
+@pytest.mark.parametrize("query", list(queries.SQL))
 def test_sql(spark, sf, query):
     assert not (found := same(queries.QUERIES[query](spark, sf).toPandas(), oracle(queries.SQL[query], sf))), found
 
