@@ -506,3 +506,47 @@ def test_words_are_ascii_split():
     texts = ["a b c", "\x1cx\ty\r\nz", "", " ", "é"]
     _, first = kernels.word_codes([t.encode() for t in texts])
     assert np.diff(first).tolist() == [len(brute.words(t)) for t in texts]
+
+
+def test_clashing_names(spark):
+    """Columns named as any that the operators make, and ids named id."""
+    rows = [(i, f"word{i} and some more words that make a text of ten words or so", "x", 1, "y", "z", 0.5, "w", "v", "u") for i in range(12)] + [(None, None, "x", 1, "y", "z", 0.5, "w", "v", "u")]
+    df = spark.createDataFrame(rows, "id long, text string, rules string, _score int, whole string, last string, mix_epoch double, source string, lang string, _text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)] + [(3, 0), (None, 1), (5, None)], "id long, quality int")
+    assert quality.quality_rules(df, labels, id_col="id").count() == classifier.classify_quality(df, labels, id_col="id").count() == 13
+    assert quality.quality_rules(df, labels, id_col="id", into="r").select("rules").distinct().collect()[0].rules == "x"
+    mixed = mixing.mix_sources(df, id_col="id")
+    assert mixed.columns == [*[c for c in df.columns if c != "mix_epoch"], "mix_epoch"]
+    assert {r["whole"] for r in mixed.collect()} == {"y"}
+    assert dedup.substring_dedup(df, id_col="id").count() == jaccard.jaccard_join(df, id_col="id").count() == lm_score.cross_entropy_difference(df, labels.select("id"), id_col="id").count() == 13
+
+
+def test_read_documents(spark, docs, rows, small_blocks, tmp_path):
+    """Keyed reads give what the scan has, and nothing for absent ids."""
+    path, t = _tokenizer("word_bpe_49k.json")
+    token_files.write_token_files(docs, str(tmp_path / "files"), path)
+    asked = [0, 3, 4, 17, 69, 73, -5, 10_000, None, 3]
+    got = token_files.read_documents(spark, str(tmp_path / "files"), spark.createDataFrame([(i,) for i in asked], "key long")).collect()
+    want = sorted((d, np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4").tobytes()) for d, x in rows if d is not None and d in asked)
+    assert sorted((r.doc_id, bytes(r.ids)) for r in got) == want
+    assert all(r.n_tokens * 4 == len(r.ids) for r in got)
+
+
+def test_pivots_eliminate(spark):
+    """Where vectors lie in clusters, most candidates need no evaluation."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 1, (20, 8))
+    v = [(i, (centres[i % 20] + rng.normal(0, 0.02, 8)).tolist()) for i in range(4000)]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>")
+    found = topk.elimination(df, F_col("vec_id") % 400 == 0).collect()
+    assert all(r.candidates == 4000 for r in found)
+    assert np.mean([r.evaluated for r in found]) < 2000
+
+
+def test_long_text_in_pieces(spark):
+    """A text of many chunks, whose end stands in another document."""
+    tail = " ".join(f"t{i}" for i in range(80))
+    text = " ".join(f"w{i}" for i in range(500_000)) + " " + tail
+    got = {r.doc_id: r for r in dedup.substring_dedup(spark.createDataFrame([(1, text), (2, tail + " more"), (3, text + " x")], "doc_id long, text string")).collect()}
+    assert [got[i].n_removed for i in (1, 2, 3)] == [0, 80, 500_080]
+    assert got[3].n_units == 500_081
