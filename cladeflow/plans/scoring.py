@@ -13,7 +13,6 @@ from cladeflow.plans.stages import kept
 
 SMALL_CLASSES = 1_000_000  # class rows up to which the class table is broadcast
 E_VALUE = 1e-3
-RANK_CUTS = 256  # ranges of the sample values that percentile ranks are counted in
 
 
 def small_enough(df: DataFrame, rows: int) -> bool:
@@ -69,21 +68,18 @@ def percentile_rank(scores: DataFrame, samples: DataFrame, score: str, keys: Seq
     """Mean percentile rank (below + equal / 2) / n of a column among samples (keys, virus_hit_score).
 
     A true rank, whatever order the samples stand in; without samples it is NaN. Distinct values of scores
-    and samples are counted together in ranges of the samples' own values (keys are levels, few), so that no task sorts
+    and samples are sorted together over ranges, each of which counts on from those before it, so that no task sorts
     them all and a value that very many rows have is one row. Nulls rank as null.
     """
     keys = list(keys)
     over = lambda *by: Window.partitionBy(*(keys or [F.lit(0)]), *by)
     counted = samples.filter(F.col("virus_hit_score").isNotNull()).groupBy(*keys, F.col("virus_hit_score").alias("x")).agg(F.count("*").alias("n"))
     asked = scores.filter(F.col(score).isNotNull()).select(*keys, F.col(score).alias("x")).distinct().withColumn("n", F.lit(0).cast("long"))
-    cuts = samples.groupBy(*keys).agg(F.expr(f"percentile_approx(virus_hit_score, array({', '.join(f'{i / RANK_CUTS:.6f}D' for i in range(1, RANK_CUTS))}))").alias("cuts"))
     both = counted.unionByName(asked).groupBy(*keys, "x").agg(F.sum("n").alias("n"))
-    # One row a level is broadcast, of at most RANK_CUTS numbers.
-    both = both.join(F.broadcast(cuts), keys, "left") if keys else both.crossJoin(F.broadcast(cuts))
-    ranged = both.withColumn("range", F.size(F.array_distinct(F.filter(F.coalesce("cuts", F.array().cast("array<double>")), lambda c: c <= F.col("x"))))).drop("cuts")
+    ranged = kept(both.repartitionByRange(*keys, "x").withColumn("range", F.spark_partition_id()))  # ranges are drawn anew whenever they are run
     sums = ranged.groupBy(*keys, "range").agg(F.sum("n").alias("m"))
     sums = sums.withColumn("before", F.coalesce(F.sum("m").over(over().orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum("m").over(over())).drop("m")
-    # At most RANK_CUTS + 1 rows a level.
+    # A row for each range and level.
     below = F.col("before") + F.sum("n").over(over("range").orderBy("x")) - F.col("n")
     ranks = ranged.join(F.broadcast(sums), [*keys, "range"]).select(*keys, F.col("x").alias(score), X.ieee_div(below + F.lit(0.5) * F.col("n"), F.col("all")).alias(into))
     return scores.join(ranks, [*keys, score], "left").select(*scores.columns, into)
