@@ -141,5 +141,28 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
 
 
 def op6_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores to nine decimals, as sums of logarithms taken in another order differ in the last places."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return cross_entropy_difference(docs.select("doc_id", "text"), labels.filter("quality = 1").select("doc_id"))
+    scored = cross_entropy_difference(docs.select("doc_id", "text"), labels.filter("quality = 1").select("doc_id"))
+    return scored.select("doc_id", "n_tokens", *[F.round(c, 9).alias(c) for c in scored.columns[2:]])
+
+
+def _loss_sql(counts: str, whole: str, firsts: str, both: str) -> str:
+    """Mean loss of a document's words; the first word's history is the number of texts with words."""
+    return f"""coalesce(avg(-ln({PAIR}e0 * {both} / greatest(CASE WHEN z.before = ' ' THEN {firsts} ELSE {counts.replace("u.", "h.")} END, 1)
+    + {SINGLE}e0 * {counts} / greatest({whole}, 1) + {FLOOR!r}::DOUBLE)) FILTER (u.word IS NOT NULL), 0)"""
+
+
+SQL = f"""WITH t AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL),
+d AS (SELECT doc_id, t.doc_id IS NOT NULL AS aimed, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents LEFT JOIN t USING (doc_id)),
+x AS (SELECT doc_id, aimed, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
+seldom AS (SELECT word FROM x GROUP BY word HAVING count(*) < {LEAST}),
+y AS (SELECT doc_id, aimed, i, CASE WHEN seldom.word IS NULL THEN x.word ELSE '' END AS word FROM x LEFT JOIN seldom USING (word)),
+z AS (SELECT doc_id, aimed, word, lag(word, 1, ' ') OVER (PARTITION BY doc_id ORDER BY i) AS before FROM y),
+u AS (SELECT word, count(*) AS a, count(*) FILTER (aimed) AS t FROM z GROUP BY word),
+p AS (SELECT before, word, count(*) AS a, count(*) FILTER (aimed) AS t FROM z GROUP BY before, word),
+n AS (SELECT count(*) AS words_a, count(*) FILTER (aimed) AS words_t, count(*) FILTER (before = ' ') AS texts_a, count(*) FILTER (before = ' ' AND aimed) AS texts_t FROM z),
+s AS (SELECT d.doc_id, count(u.word) AS n_tokens, {_loss_sql("u.t", "words_t", "texts_t", "p.t")} AS b, {_loss_sql("u.a", "words_a", "texts_a", "p.a")} AS g
+  FROM d LEFT JOIN z USING (doc_id) LEFT JOIN u ON u.word = z.word LEFT JOIN u h ON h.word = z.before LEFT JOIN p ON p.before = z.before AND p.word = z.word CROSS JOIN n
+  GROUP BY d.doc_id)
+SELECT doc_id, n_tokens, round(b, 9) AS ce_target, round(g, 9) AS ce_background, round(b - g, 9) AS ce_difference FROM s"""

@@ -24,6 +24,7 @@ SQL: dict[str, str] = {
     "op3_pivot_top_k": topk.SQL,
     "op4_substring_dedup": dedup.SQL_WORDS,
     "op5_suffix_array_dedup": dedup.SQL_BYTES,
+    "op6_cross_entropy_difference": lm_score.SQL,
     "op7_hierarchical_mix": mixing.SQL,
     "op9_jaccard_join": jaccard.SQL,
 }
