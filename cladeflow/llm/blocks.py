@@ -163,6 +163,16 @@ def spread(text: bytes | None, n: int) -> int:
     return zlib.crc32(text or b"") % n
 
 
+def measured(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The ids of rows (id, z), a row of usual length once and a longer one as many times as it is longer, for `limits_between`; and the bytes of all texts."""
+    shared_checkpoints(rows.sparkSession)
+    sizes = rows.select("id", F.coalesce(F.octet_length("z"), F.lit(0)).alias("b")).checkpoint()  # so that texts are read once for both
+    whole = sizes.agg(F.sum("b").alias("b"), F.count("*").alias("n")).head()
+    total = whole["b"] or 0
+    usual = max(1, total // max(1, whole["n"]))
+    return sizes.select(F.explode(F.expr(f"array_repeat(id, cast(1 + b div {usual} as int))")).alias("id")), total
+
+
 def limits_between(rows: DataFrame, n: int) -> np.ndarray:
     """The largest id of each of n ranges of about as many rows but the last; beyond AT_ONCE of ranges of ranges."""
     quantiles = lambda k: F.expr(f"percentile_approx(id, array({', '.join(f'{i / k:.9f}D' for i in range(1, k))}), {max(10_000, 10 * k)})").alias("q")
@@ -220,17 +230,17 @@ class Corpus:
     def deal(cls, docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> Corpus:
         """Blocks of rows, in ranges of id.
 
-        carry keeps the other columns of each row beside its text, as a struct `rest`. The input is read three times (bytes,
-        limits, texts); write it first where it is dear. Rows that share an id share a block; rows without one are spread.
+        carry keeps the other columns of each row beside its text, as a struct `rest`. The input is read twice (lengths,
+        texts); write it first where it is dear. Ranges follow lengths as well as numbers of rows, so that neighbours of very long
+        texts don't fill one block. Rows that share an id share a block; rows without one are spread.
         """
         spark = docs.sparkSession
-        shared_checkpoints(spark)
         other = [c for c in docs.columns if c not in (id_col, text_col)]
         rest = F.struct(*[F.col(f"`{c}`") for c in other]) if carry and other else F.lit(None).cast("string")
         rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("z"), rest.alias("rest"))
-        total = rows.agg(F.sum(F.octet_length("z")).alias("b")).head()["b"] or 0
+        lengths, total = measured(rows)
         n = block_count(spark, total)
-        limits = limits_between(rows, n)
+        limits = limits_between(lengths, n)
         schema = T.StructType([T.StructField("pid", T.IntegerType()), *rows.schema.fields])
 
         def pack(batches):

@@ -110,9 +110,9 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1
     about blocks.BLOCK_BYTES of text, and working memory follows that and the longest single text.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")).alias("z"))
-    total = rows.agg(F.sum(F.octet_length("z")).alias("b")).head()["b"] or 0
+    lengths, total = B.measured(rows)
     n = B.block_count(docs.sparkSession, total)
-    limits = B.limits_between(rows, n)
+    limits = B.limits_between(lengths, n)
     end = np.array([end_id], "<u4").tobytes()
 
     def deal(batches):

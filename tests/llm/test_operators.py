@@ -543,6 +543,16 @@ def test_pivots_eliminate(spark):
     assert np.mean([r.evaluated for r in found]) < 2000
 
 
+def test_blocks_follow_lengths(spark, small_blocks):
+    """Neighbours of long texts are dealt to more blocks than as many short ones."""
+    rows = [(i, "x" * (20 if i < 300 else 1000)) for i in range(330)] + [(330, None), (None, "y" * 50)]
+    corpus = blocks.Corpus.deal(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    held = [[blocks.expand(d.z) if d.z is not None else b"" for d in r.docs] for r in corpus.table.collect()]
+    assert sum(map(len, held)) == len(rows)
+    assert corpus.total == sum(len(x) for b in held for x in b) == 36_050
+    assert max(sum(map(len, b)) for b in held) <= 2.5 * blocks.BLOCK_BYTES
+
+
 def test_long_text_in_pieces(spark):
     """A text of many chunks, whose end stands in another document."""
     tail = " ".join(f"t{i}" for i in range(80))
