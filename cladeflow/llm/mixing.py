@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .blocks import shared_checkpoints
 
-BUCKET_ROWS = 5000  # documents of a leaf between two marks of its seeded order, about
+BUCKET_ROWS = 1000  # documents of a leaf between two marks of its seeded order, about
 SMALL_TREE = 100_000  # leaves up to which the leaf table is broadcast; beyond, rows meet it by leaf and one of SALTS
 SALTS = 64
 WORD = r"[^\x20\x09-\x0D]+"
