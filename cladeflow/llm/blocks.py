@@ -31,7 +31,7 @@ from . import kernels as K
 
 BLOCK_BYTES = 8 << 20  # text in a block, at any size of the corpus
 PART_BYTES = 16 << 20  # text whose keys a part answers for
-MOST_TASKS = 20_000  # partitions that blocks are dealt to
+MOST_TASKS = 20_000  # partitions that blocks are dealt to, and reducers of a question
 AT_ONCE = 10_000  # limits between blocks found by one aggregate
 ANSWER = "pid int, kind string, part int, ans binary, hits long"
 CHUNK_BYTES = 1 << 20  # text that a kernel takes at a time
@@ -326,7 +326,9 @@ class Corpus:
                 yield reply(part, held)
 
         sent = self._rows().mapInArrow(send, "pid int, part int, keys binary")
-        return self.knowing(sent.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "pid").mapInArrow(receive, ANSWER))
+        each = -(-parts // MOST_TASKS)  # a reducer takes several parts in a row, one after the other
+        dealt = sent.repartitionById(-(-parts // each), F.expr(f"part div {each}").cast("int"))
+        return self.knowing(dealt.sortWithinPartitions("part", "pid").mapInArrow(receive, ANSWER))
 
     def ask_keys(self, kind: str, parts: int, dtype, entries: Callable, answer: Callable, planes: bool = False, weight: str | None = None) -> Corpus:
         """A round of records: entries(block, answers, parts) gives (part of each, records of dtype whose field `key` ascends), answer([(pid, records)])

@@ -15,7 +15,7 @@ from . import kernels as K
 from . import repeats as R
 
 
-CROWD = 50_000  # runs of a group of suffixes beyond which they are sent singly
+CROWD = 200_000  # stretches of one anchor beyond which they travel by whole windows
 
 
 def _strip(docs: DataFrame, id_col: str, text_col: str, plan: R.Plan, resolver, keep, carry: bool) -> DataFrame:

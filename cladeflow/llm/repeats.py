@@ -1,14 +1,16 @@
-"""Windows of one document that also start in a document with a smaller id, over words or bytes.
+"""Passages of one document that an earlier document has too, over words or bytes.
 
-Whole copies of a document's text go first, told by a fingerprint of 128 bits. The windows of what is left are suffixes, which are
-put in groups by their first units: a group holds the suffixes whose prefix has the same anchor, its gram of smallest
-code. So all suffixes of one prefix are in one group, and neighbours in a text, which mostly share their anchor, are sent
-together as one run of text. Where a group would be crowded its suffixes are sent singly, by their whole window.
+Whole copies of a document's text go first, told by a fingerprint of 128 bits. What is left is cut into stretches that share an anchor,
+the gram of smallest code in a window's first units. Equal windows have equal anchors wherever they stand, so all suffixes that share a
+window's length are sent to one part, and neighbours in a text, which mostly share their anchor, travel together as one stretch.
+Stretches of a crowded anchor are taken apart and travel by their whole windows.
 
-One question between blocks (see `blocks`) counts each anchor's runs. Suffixes of an anchor that no other document has can't be
+One question between blocks (see `blocks`) counts each anchor's stretches. Those of an anchor that no other document has can't be
 repeated and stay where they are; that leaves out, and decides no removal. The others are sent as they are, words or
-bytes, to parts where they are sorted and compared, group by group: `SuffixTrees` for words, `PreviousFactors` for
-bytes. Removals come from there alone. A document's rank is its block's, then its id's. Documents without an id neither lose text nor make
+bytes. A part takes every suffix of its stretches, each up to its stretch's end: `SuffixTrees` splits them by prefixes of words that lengthen
+until a group fits memory, and reads maximal repeats off each subtree's deep internal nodes; `PreviousFactors` puts them
+in suffix order and reads the longest earlier match of each off its previous and next smaller positions. Removed passages are
+as long as those matches. A document's rank is its block's, then its id's. Documents without an id neither lose text nor make
 others lose it; documents that share an id do not remove each other's text. A text longer than a chunk is
 taken in overlapping pieces.
 """
@@ -24,7 +26,7 @@ from . import blocks as B
 from . import kernels as K
 
 COPY = np.dtype([("key", "<u8"), ("more", "<u8")])
-ANCHOR = np.dtype([("key", "<u8"), ("runs", "u1"), ("here", "u1")])
+ANCHOR = np.dtype([("key", "<u8"), ("runs", "<u4"), ("here", "u1")])
 UNIQUE, SHARED, CROWDED = 0, 1, 2
 LONG_WORD = 64  # bytes beyond which a word travels as its 256-bit digest
 
@@ -107,7 +109,7 @@ class Runs:
         self.id = block.ids[self.doc]
         found, self.kind, runs = np.unique(self.anchor, return_inverse=True, return_counts=True)
         self.keys = np.empty(len(found), ANCHOR)
-        self.keys["key"], self.keys["runs"], self.keys["here"] = found, np.minimum(runs, 255), differ(self.kind, self.id, len(found))
+        self.keys["key"], self.keys["runs"], self.keys["here"] = found, runs, differ(self.kind, self.id, len(found))
 
     def status(self, got: dict) -> np.ndarray:
         return np.frombuffer(got.get("anchors", b""), np.uint8)[self.kind]
@@ -132,13 +134,12 @@ def _shared_anchors(crowd: int):
 
 
 class Kinds:
-    """Distinct contents in a block in order of first appearance, the id of each one's first document, and whether others have it."""
+    """Distinct contents in a block in order of first appearance, and the id of each one's first document."""
 
     def __init__(self):
         self.at: dict[bytes, int] = {}
         self.first: list[int] = []
         self.route: list[int] = []
-        self.more: set[int] = set()
         self.which: list[int] = []  # the kind of every content that was added
 
     def add(self, text: bytes, begin: np.ndarray, end: np.ndarray, ids: np.ndarray, route: np.ndarray) -> None:
@@ -151,8 +152,6 @@ class Kinds:
                 k = at[content] = len(first)
                 first.append(i)
                 self.route.append(r)
-            elif first[k] != i:
-                self.more.add(k)
             self.which.append(k)
 
     def order(self, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,11 +163,9 @@ class Kinds:
     def packed(self, parts: int) -> Iterator[tuple[int, bytes]]:
         """For each part: the contents with their documents' ranks, in order of appearance."""
         part, order = self.order(parts)
-        contents, more = list(self.at), np.zeros(len(order), np.uint8)
-        more[list(self.more)] = 1
-        head = np.empty(len(order), HEAD)
-        head["doc"], head["more"] = np.unique(np.array(self.first, np.int64), return_inverse=True)[1], more
-        head["size"], head["route"] = np.fromiter(map(len, contents), np.uint32, len(contents)), np.array(self.route, np.uint64)
+        contents, head = list(self.at), np.empty(len(order), HEAD)
+        head["doc"] = np.unique(np.array(self.first, np.int64), return_inverse=True)[1]
+        head["size"] = np.fromiter(map(len, contents), np.uint32, len(contents))
         head = head[order]
         for lo, hi in zip(*_cuts(part), strict=True):
             yield int(part[lo]), B.squeeze(np.array([hi - lo], "<u4").tobytes() + B.in_planes(head[lo:hi]) + b"".join([contents[k] for k in order[lo:hi].tolist()]))
@@ -180,42 +177,55 @@ class Kinds:
         return out
 
 
-def _cuts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _cuts(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Begin and end of each run of equal keys."""
-    at = np.flatnonzero(B.first_of_runs(key))
-    return at, np.r_[at[1:], len(key)][: len(at)]
+    at = np.flatnonzero(B.first_of_runs(*keys))
+    return at, np.r_[at[1:], len(keys[0])][: len(at)]
 
 
-HEAD = np.dtype([("route", "<u8"), ("doc", "<u4"), ("size", "<u4"), ("more", "u1")])
+HEAD = np.dtype([("doc", "<u4"), ("size", "<u4")])
 
 
 class Leaves:
-    """The contents that all blocks sent to a part: each once for its first document in a block, and once for that block's others."""
+    """The contents that all blocks sent to a part, each once, for the earliest document that has it."""
 
     def __init__(self, held: list[tuple[int, bytes]]):
-        heads, message, self.flat = [], [], bytearray()
+        heads, message, flat = [], [], bytearray()
         for m, (_, raw) in enumerate(held):
             raw = B.expand(raw)
             n = int(np.frombuffer(raw, "<u4", 1)[0])
             heads.append(B.out_of_planes(raw[4 : 4 + n * HEAD.itemsize], HEAD))
-            self.flat += memoryview(raw)[4 + n * HEAD.itemsize :]
+            flat += memoryview(raw)[4 + n * HEAD.itemsize :]
             message.append(np.full(n, m))
         self.counts = [len(h) for h in heads]
-        head, message = np.concatenate(heads), np.concatenate(message)
-        end = np.cumsum(head["size"].astype(np.int64))
-        self.entry = np.repeat(np.arange(len(head)), 1 + head["more"].astype(np.int64))
-        self.other = np.r_[False, self.entry[1:] == self.entry[:-1]]  # the leaf of a block's other documents
-        self.begin, self.size, self.route = (end - head["size"])[self.entry], head["size"][self.entry].astype(np.int64), head["route"][self.entry]
-        self.rank = (message[self.entry] << 33) | (head["doc"][self.entry].astype(np.int64) << 1) | self.other
-
-    def answers(self, first: np.ndarray, rest: np.ndarray, dtype) -> list[tuple[int, bytes, int]]:
-        """For each message the values of its entries' first and other leaves."""
-        out = np.zeros(sum(self.counts), dtype)
-        out["first"][self.entry[~self.other]] = first[~self.other]
-        out["rest"][self.entry[self.other]] = rest[self.other]
+        head, message, self.flat = np.concatenate(heads), np.concatenate(message), bytes(flat)
+        size = head["size"].astype(np.int64)
+        begin = np.cumsum(size) - size
+        at: dict[bytes, int] = {}
+        self.kind = np.fromiter((at.setdefault(self.flat[a : a + n], len(at)) for a, n in zip(begin.tolist(), size.tolist(), strict=True)), np.int64, len(head))
+        # Messages come by rank, and a message has a content once, so the first that has it is the earliest.
+        self.earliest = np.full(len(at), len(head))
+        np.minimum.at(self.earliest, self.kind, np.arange(len(head)))
+        self.begin, self.size = begin[self.earliest], size[self.earliest]
+        self.rank = ((message << 32) | head["doc"])[self.earliest]
+
+    def answers(self, masks: np.ndarray, windows: np.ndarray) -> list[tuple[int, bytes, int]]:
+        """For each message the windows that go: those in masks for a content's earliest document, all of them for others."""
+        out = np.empty(len(self.kind), Resolver.MASKS)
+        every = (~np.uint64(0) >> (64 - windows).astype(np.uint64))[self.kind]
+        out["first"] = out["rest"] = every
+        out["first"][self.earliest] = masks
         return [(0, B.squeeze(a.tobytes()), 0) for a in np.split(out, np.cumsum(self.counts)[:-1])]
 
 
+def windows_of(content: np.ndarray, by: np.ndarray, length: np.ndarray, window: int, n: int) -> np.ndarray:
+    """For each of n contents, a mask of the windows that lie in matches of a length from a place of it on."""
+    masks, hit = np.zeros(n, np.uint64), np.flatnonzero(length >= window)
+    reach = (~np.uint64(0) >> (63 - (length[hit] - window)).astype(np.uint64)) << by[hit].astype(np.uint64)
+    np.bitwise_or.at(masks, content[hit], reach)
+    return masks
+
+
 class Resolver:
     """Sends runs of suffixes that may be repeated to parts, and reads which of their windows go."""
 
@@ -274,42 +284,60 @@ class Resolver:
         return Copies(block).split(block, got)[0], np.concatenate(docs), np.concatenate(starts)
 
 
-def repeated(code: np.ndarray) -> np.ndarray:
-    """Places of codes that are there more than once, in their order; a window whose code is alone in its part has no match."""
-    order = np.argsort(code, kind="stable")
-    new = B.first_of_runs(code[order])
-    return order[~(new & np.r_[new[1:], True][: len(new)])]
-
-
 class SuffixTrees(Resolver):
     """Suffix trees over words, one for each group of prefixes (or several small ones together).
 
-    A group's suffixes are sorted and their longest common prefixes taken in words; stretches of neighbours that share as many words as
-    a window has are the tree's internal nodes of that depth. Below such a node all leaves but those of its
-    earliest document go. Adjoining windows of a document join into maximal repeats when removed stretches are formed.
+    Suffixes are split by their first word, and groups that don't fit by ever longer prefixes. Each group's suffixes make a
+    subtree; its branching nodes as deep as a window are maximal repeats. A suffix loses as many words as the deepest node has below which
+    there is a leaf of an earlier document.
     """
 
-    TOGETHER = 50_000  # suffixes sorted at once, of whole groups
+    TOGETHER = 50_000  # suffixes of a subtree, or of several small ones
 
     def answer(self, held: list) -> list[tuple[int, bytes, int]]:
         leaves, w = Leaves(held), self.plan.window
         flat = np.frombuffer(leaves.flat, np.uint8)
         begin = np.r_[0, np.flatnonzero(flat == 32) + 1]  # of each word, and the end
         first, end = (np.searchsorted(begin, x) for x in (leaves.begin, leaves.begin + leaves.size))
-        leaf, by = np.repeat(np.arange(len(first)), end - first - w + 1), K.ranges(np.zeros(len(first), np.int64), end - first - w + 1)
-        at = first[leaf] + by
-        some = repeated(K.grams(K.stretches(flat, begin[:-1], begin[1:] - 1), w)[at])
-        some = some[np.argsort(leaves.route[leaf[some]], kind="stable")]
-        leaf, by, at = leaf[some], by[some], at[some]
-        ends, done = _cuts(leaves.route[leaf])[1], 0
-        masks = np.zeros(len(first), np.uint64)
-        while done < len(leaf):
-            stop = ends[max(np.searchsorted(ends, done + self.TOGETHER, "right") - 1, np.searchsorted(ends, done, "right"))]
-            part = slice(done, stop)
-            gone = np.flatnonzero(Subtree(leaves.flat, begin[at[part]], begin[at[part] + w] - begin[at[part]]).later(leaves.rank[leaf[part]], w)) + done
-            np.bitwise_or.at(masks, leaf[gone], np.uint64(1) << by[gone].astype(np.uint64))
-            done = stop
-        return leaves.answers(masks, masks, self.MASKS)
+        windows = end - first - w + 1
+        content, by = np.repeat(np.arange(len(first)), windows), K.ranges(np.zeros(len(first), np.int64), windows)
+        at, length = first[content] + by, np.zeros(len(content), np.int64)
+        for some in prefix_groups(K.stretches(flat, begin[:-1], begin[1:] - 1), at, w, self.TOGETHER):
+            tree = Subtree(leaves.flat, begin[at[some]], begin[end[content[some]]] - begin[at[some]])
+            length[some] = tree.earlier(leaves.rank[content[some]], w)
+        return leaves.answers(windows_of(content, by, length, w, len(first)), windows)
+
+
+def prefix_groups(words: np.ndarray, at: np.ndarray, most: int, together: int) -> Iterator[np.ndarray]:
+    """Suffixes (given by their first word) in groups of common prefixes, of about `together`, small ones joined.
+
+    Prefixes grow from one word until their group fits, up to `most` words; a suffix that shares its prefix with none is no group.
+    """
+    todo, group, lengths, ready, held = np.arange(len(at)), np.zeros(len(at), np.int64), [], [], 0
+    n = 1
+    while n < most:
+        lengths.append(n)
+        n *= 2
+    for code in K.grams_of(words, (*lengths, most)):
+        order = np.lexsort((code[at[todo]], group))
+        todo, group, key = todo[order], group[order], code[at[todo[order]]]
+        lo, hi = _cuts(group, key)
+        large = np.repeat(hi - lo > together, hi - lo)
+        for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
+            if 1 < b - a <= together:
+                if held + b - a > together:
+                    yield np.concatenate(ready)
+                    ready, held = [], 0
+                ready.append(todo[a:b])
+                held += b - a
+        group = np.repeat(np.arange(len(lo)), hi - lo)[large]
+        todo = todo[large]
+        if not len(todo):
+            break
+    if ready:
+        yield np.concatenate(ready)
+    for a, b in zip(*_cuts(group), strict=True):  # of one prefix as long as a window: all alike so far
+        yield todo[a:b]
 
 
 def spaced_words(text: bytes) -> tuple[bytes, np.ndarray]:
@@ -323,10 +351,10 @@ def spaced_words(text: bytes) -> tuple[bytes, np.ndarray]:
 
 
 class Subtree:
-    """The suffix tree of some word sequences, each word ended by a space: their order and longest common prefixes."""
+    """The suffix tree of some word sequences, each word ended by a space: their order, longest common prefixes and internal nodes."""
 
     def __init__(self, flat: bytes, begin: np.ndarray, size: np.ndarray):
-        texts = [bytes(flat[a : a + n]) for a, n in zip(begin.tolist(), size.tolist(), strict=True)]
+        texts = [flat[a : a + n] for a, n in zip(begin.tolist(), size.tolist(), strict=True)]
         self.order = np.array(sorted(range(len(texts)), key=texts.__getitem__), np.int64)
         text = np.frombuffer(b"".join(texts[i] for i in self.order), np.uint8)
         size = size[self.order]
@@ -335,18 +363,53 @@ class Subtree:
         words = np.r_[0, np.cumsum(text == 32, dtype=np.int32)]
         self.depth = np.r_[0, words[start[:-1] + common] - words[start[:-1]]] if len(size) else np.zeros(0, np.int64)  # shared with the one before
 
-    def nodes(self, depth: int) -> np.ndarray:
-        """First leaves of the nodes whose leaves share at least `depth` words; a leaf alone is one of them."""
-        return np.flatnonzero(self.depth < depth)
-
-    def later(self, rank: np.ndarray, depth: int) -> np.ndarray:
-        """Leaves of which a leaf of smaller rank is below the same node of that depth."""
-        at, r = self.nodes(depth), rank[self.order]
-        out = np.zeros(len(r), bool)
-        out[self.order] = r > np.repeat(np.minimum.reduceat(r, at), np.diff(np.r_[at, len(r)]))
+    def nodes(self, rank: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Internal nodes of at least a depth: for each boundary between leaves its node, and of each node the depth, the smallest rank below it and the parent.
+
+        A node is an interval of leaves; it is known by its first boundary. -1 stands for what is less deep.
+        """
+        d = np.where(self.depth >= least, self.depth, 0)
+        left = smaller(d, d)[0]  # the nearest boundary before that is less deep
+        right = len(d) - 1 - smaller(d[::-1], d[::-1])[0][::-1]
+        deep = np.flatnonzero(d)
+        key = left[deep] * (len(d) + 1) + right[deep]
+        _, one, of = np.unique(key, return_index=True, return_inverse=True)
+        node = np.full(len(d) + 1, -1)
+        node[deep] = of
+        lo, hi, depth = left[deep][one], right[deep][one], d[deep][one]  # leaves lo .. hi - 1
+        up = np.where(d[lo] >= np.r_[d, 0][hi], node[lo], node[hi])
+        return node, depth, range_least(rank[self.order], lo, hi), up
+
+    def earlier(self, rank: np.ndarray, least: int) -> np.ndarray:
+        """Of each leaf: the depth of the deepest node (of at least `least`) below which there is a leaf of smaller rank; 0 if there is none."""
+        out = np.zeros(len(rank), np.int64)
+        if not len(rank) or self.depth.max() < least:
+            return out
+        node, depth, lowest, up = self.nodes(rank, least)
+        d = np.r_[self.depth, 0]
+        at = np.where(d[:-1] >= d[1:], node[:-1], node[1:])  # the deepest node above each leaf
+        todo, r = np.flatnonzero(at >= 0), rank[self.order]
+        while len(todo := todo[at[todo] >= 0]):
+            found = lowest[at[todo]] < r[todo]
+            out[self.order[todo[found]]] = depth[at[todo[found]]]
+            todo = todo[~found]
+            at[todo] = up[at[todo]]
         return out
 
 
+def range_least(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The least of x[lo:hi] for each non-empty range."""
+    out, span = np.empty(len(lo), x.dtype), np.frexp((hi - lo).astype(float))[1] - 1  # 2 ** span fits
+    level, k = x, 0
+    while len(lo):
+        now = np.flatnonzero(span == k)
+        out[now] = np.minimum(level[lo[now]], level[hi[now] - (1 << k)])
+        if k >= span.max():
+            break
+        level, k = np.minimum(level[: -(1 << k)], level[1 << k :]), k + 1
+    return out
+
+
 def common_bytes(lane: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
     """How many bytes from a and from b on are equal, up to `most`."""
     out, todo, at = most.astype(np.int64), np.arange(len(a)), 0
@@ -362,66 +425,47 @@ def common_bytes(lane: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarra
 class PreviousFactors(Resolver):
     """Longest-previous-factor arrays over bytes, part by part.
 
-    The suffixes that a part holds are put in suffix order with the bytes that neighbours share. For each, the nearest suffixes on
-    either side that come from an earlier document are its previous and next smaller positions; the more that it
-    shares with either is its longest previous factor, measured up to the window's length. Windows whose factor
-    reaches it go.
+    The suffixes that a part holds, each up to its stretch's end, are put in suffix order with the bytes that neighbours share. For each, the
+    nearest suffixes on either side that come from an earlier document are its previous and next smaller positions; the more that it
+    shares with either is its longest previous factor. A factor as long as a window or longer goes whole.
     """
 
     def answer(self, held: list) -> list[tuple[int, bytes, int]]:
         leaves, w = Leaves(held), self.plan.window
-        lane, windows = K.lanes(np.frombuffer(leaves.flat, np.uint8)), leaves.size - w + 1
-        leaf, by = np.repeat(np.arange(len(windows)), windows), K.ranges(np.zeros(len(windows), np.int64), windows)
-        code = K.codes_at(lane, leaves.begin[leaf] + by, w)
-        some = repeated(code)
-        leaf, by, code = leaf[some], by[some], code[some]
-        order, common = suffix_order(lane, leaves.begin[leaf] + by, w, code)
-        hit = previous_factor(leaves.rank[leaf[order]], common) >= w
-        masks = np.zeros(len(windows), np.uint64)
-        np.bitwise_or.at(masks, leaf[order[hit]], np.uint64(1) << by[order[hit]].astype(np.uint64))
-        return leaves.answers(masks, masks, self.MASKS)
-
-
-def suffix_order(lane: np.ndarray, begin: np.ndarray, width: int, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of suffixes by their first `width` bytes, and how many of those each shares with the one before it.
-
-    Suffixes stand grouped by code. Those that have the bytes of their group's first one go with it, so that only
-    different ones are sorted.
+        windows = leaves.size - w + 1
+        content, by = np.repeat(np.arange(len(windows)), windows), K.ranges(np.zeros(len(windows), np.int64), windows)
+        order, common = suffix_order(K.lanes(np.frombuffer(leaves.flat, np.uint8)), leaves.begin[content] + by, leaves.size[content] - by)
+        length = np.empty(len(order), np.int64)
+        length[order] = previous_factor(leaves.rank[content[order]], common)
+        return leaves.answers(windows_of(content, by, length, w, len(windows)), windows)
+
+
+def suffix_order(lane: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of suffixes of these sizes, and how many bytes each shares with the one before it.
+
+    Sixteen bytes at a time; only suffixes that are still tied are looked at again.
     """
-    first = np.flatnonzero(B.first_of_runs(code))
-    head = np.repeat(first, np.diff(np.r_[first, len(code)]))
-    equal = common_bytes(lane, begin, begin[head], np.full(len(begin), width)) == width
-    head[~equal] = np.flatnonzero(~equal)
-    heads, member = np.unique(head, return_inverse=True)
-    order, common = _sorted_suffixes(lane, begin[heads], width)
-    place = np.empty(len(heads), np.int64)
-    place[order] = np.arange(len(heads))
-    out = np.argsort(place[member], kind="stable")
-    new = B.first_of_runs(place[member][out])
-    shared = np.full(len(begin), width)
-    shared[new] = common
-    return out, shared
-
-
-def _sorted_suffixes(lane: np.ndarray, begin: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same eight bytes at a time; only suffixes that are still tied are looked at again."""
     order, common = np.arange(len(begin)), np.zeros(len(begin), np.int64)
-    todo, group = np.arange(len(begin)), np.zeros(len(begin), np.int64)
-    for at in range(0, width, 8):
-        if not len(todo):
-            break
-        x = lane[begin[order[todo]] + at]
-        if width - at < 8:
-            x = x & K._KEEP[width - at]
-        x = x.byteswap()
-        k = np.lexsort((x, group[todo]))
-        order[todo], x = order[todo][k], x[k]
-        new, tied = B.first_of_runs(group[todo], x), ~B.first_of_runs(group[todo])
+    todo, group, at = np.arange(len(begin)), np.zeros(len(begin), np.int64), 0
+    while len(todo):
+        mine = order[todo]
+        left = size[mine] - at
+        x, y = ((lane[np.minimum(begin[mine] + at + d, len(lane) - 1)] & K._KEEP[np.clip(left - d, 0, 8)]).byteswap() for d in (0, 8))
+        k = np.lexsort((y, x, group) if at else (y, x))
+        order[todo], x, y = mine[k], x[k], y[k]
+        new, tied = B.first_of_runs(group, x, y), ~B.first_of_runs(group)
         parted = np.flatnonzero(new & tied)
-        common[todo[parted]] = at + (64 - _bit_length(x[parted] ^ x[parted - 1])) // 8
-        group[todo] = todo[np.maximum.accumulate(np.where(new, np.arange(len(todo)), 0))]
-        todo = todo[~(new & np.r_[new[1:], True])]
-    common[todo[~B.first_of_runs(group[todo])]] = width
+        fore = x[parted] ^ x[parted - 1]
+        common[todo[parted]] = at + np.where(fore != 0, 64 - _bit_length(fore), 128 - _bit_length(y[parted] ^ y[parted - 1])) // 8
+        over = np.flatnonzero(~new & (size[order[todo]] <= at + 16))  # ended, and as the one before so far
+        common[todo[over]] = size[order[todo[over]]]
+        group = np.maximum.accumulate(np.where(new, np.arange(len(todo)), 0))
+        stay = ~(new & np.r_[new[1:], True])
+        ended = np.add.reduceat(size[order[todo]] > at + 16, np.flatnonzero(new)) == 0  # groups in which nothing is left to compare
+        stay &= ~np.repeat(ended, np.diff(np.r_[np.flatnonzero(new), len(todo)]))
+        todo, group, at = todo[stay], group[stay], at + 16
+    if len(order):
+        common[1:] = np.minimum(common[1:], np.minimum(size[order[1:]], size[order[:-1]]))
     return order, common
 
 

@@ -93,8 +93,7 @@ def test_removals_come_from_the_method(spark, docs, unit, resolver):
     class Silent(getattr(repeats, resolver)):
         def answer(self, held):
             leaves = repeats.Leaves(held)
-            none = np.zeros(len(leaves.entry), np.uint64)
-            return leaves.answers(none, none, self.MASKS)
+            return [(0, blocks.squeeze(bytes(n * self.MASKS.itemsize)), 0) for n in leaves.counts]
 
     plan = repeats.Plan(unit, 8, 8, 3, 50)
     keep = dedup._keep_words if unit == "word" else dedup._keep_bytes
@@ -468,25 +467,39 @@ def test_smaller_positions():
 
 
 def test_previous_factors_by_definition():
-    """Suffix order, shared bytes and factors against their definitions, capped at the width."""
+    """Suffix order, shared bytes and factors against their definitions; suffixes end where their text does."""
     r = random.Random(9)
-    for collide in [7, 10**9] * 20:
-        texts = [bytes(r.choice(b"ab") for _ in range(r.randrange(3, 30))) for _ in range(5)]
-        flat, width = np.frombuffer(b"".join(texts), np.uint8), 11
-        begin = np.array([sum(map(len, texts[:d])) + i for d, t in enumerate(texts) for i in range(max(0, len(t) - width + 1))], np.int64)
-        doc = np.array([d for d, t in enumerate(texts) for i in range(max(0, len(t) - width + 1))])
-        suffix = [flat[b : b + width].tobytes() for b in begin]
-        code = np.array([hash(x) % collide for x in suffix])
-        by = np.argsort(code, kind="stable")  # some groups hold different suffixes
-        begin, doc, suffix = begin[by], doc[by], [suffix[i] for i in by]
-        order, common = repeats.suffix_order(kernels.lanes(flat), begin, width, code[by])
+    for longest in [30, 70] * 20:
+        texts = [bytes(r.choice(b"ab") for _ in range(r.randrange(3, longest))) for _ in range(5)]
+        texts.append(texts[0][2:] + b"a" * 20)
+        flat = np.frombuffer(b"".join(texts), np.uint8)
+        begin = np.array([sum(map(len, texts[:d])) + i for d, t in enumerate(texts) for i in range(len(t))], np.int64)
+        doc = np.array([d for d, t in enumerate(texts) for i in range(len(t))])
+        suffix = [t[i:] for t in texts for i in range(len(t))]
+        order, common = repeats.suffix_order(kernels.lanes(flat), begin, np.array([len(x) for x in suffix]))
         assert [suffix[i] for i in order] == sorted(suffix)
-        shared = lambda a, b: next((i for i in range(width) if a[i] != b[i]), width)  # noqa: B023, E731
+        shared = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
         assert common.tolist() == [0 if k == 0 else shared(suffix[order[k]], suffix[order[k - 1]]) for k in range(len(order))]
         factor = repeats.previous_factor(doc[order], common)
         assert factor.tolist() == [max([shared(suffix[i], suffix[j]) for j in range(len(doc)) if doc[j] < doc[i]], default=0) for i in order]
 
 
+def test_prefix_groups():
+    """Every two suffixes with a common window of words are in one group, and groups beyond the bound share a whole window."""
+    r = random.Random(11)
+    for together in (1, 5, 40):
+        word = np.array([r.choice([1, 1, 1, 2, 3]) for _ in range(300)], np.uint64)
+        at, w = np.arange(280), 9
+        found = list(repeats.prefix_groups(word, at, w, together))
+        of = {int(i): k for k, g in enumerate(found) for i in g}
+        assert sum(map(len, found)) == len(of)
+        same = collections.defaultdict(set)
+        for i in at.tolist():
+            same[tuple(word[i : i + w])].add(of.get(i, -1 - i))
+        assert all(len(s) == 1 for s in same.values())
+        assert all(len(g) <= together or len({tuple(word[i : i + w]) for i in g}) == 1 for g in found)
+
+
 def test_subtrees_by_definition():
     r = random.Random(10)
     head = b"".join(b"word%d " % i for i in range(100))  # longer than a byte can count
@@ -498,8 +511,26 @@ def test_subtrees_by_definition():
     assert tree.depth.tolist() == [0, *(shared(a, b) for a, b in zip(done, done[1:], strict=False))]
     rank = np.array([r.randrange(20) for _ in seqs])
     for depth in (1, 2, 4, 103):
-        want = [any(rank[j] < rank[i] and shared(seqs[i].split(), seqs[j].split()) >= depth for j in range(60) if j != i) for i in range(60)]
-        assert tree.later(rank, depth).tolist() == want
+        want = [max([n for j in range(60) if rank[j] < rank[i] and (n := shared(seqs[i].split(), seqs[j].split())) >= depth], default=0) for i in range(60)]
+        assert tree.earlier(rank, depth).tolist() == want
+        node, deep, least, up = tree.nodes(rank, depth)
+        assert all(up[k] < 0 or deep[up[k]] < deep[k] and least[up[k]] <= least[k] for k in range(len(deep)))
+
+
+def test_one_anchor_of_many_different_stretches(spark, small_blocks):
+    """Records with one tag give one anchor far more stretches than a byte counts, in several blocks; crowded or not, results are exact."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    rows = [(d, " ".join(f"TAG {word()} {word()}" for _ in range(150))) for d in range(12)]
+    rows += [(20 + d, " ".join(rows[d][1].split()[100:160] + [word()] + rows[d + 1][1].split()[40:90])) for d in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {d: v[0] for d, v in brute.repeats(rows, "word", 6).items()}
+    for crowd in (100, 10**6):
+        got = {x.doc_id: (x.n_units, x.n_removed, x.n_spans, x.kept_sha256) for x in dedup.substring_dedup(df, window=6, crowd=crowd).collect()}
+        assert got == want
+    plan = repeats.Plan("word", 6, 3, 1, 10**6)
+    block = blocks.Block(0, [d for d, _ in rows], [blocks.squeeze(t.encode()) for _, t in rows], list(range(len(rows))))
+    assert repeats.Runs(block, plan, np.ones(len(rows), bool)).keys["runs"].max() > 255
 
 
 def test_words_are_ascii_split():
