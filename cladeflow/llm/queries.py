@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import classifier, dedup, jaccard, lm_score, mixing, packing, quality, token_files, topk
+from . import classifier, dedup, html, jaccard, lm_score, mixing, packing, phrases, quality, token_files, topk, whitening
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -17,6 +17,9 @@ QUERIES = {
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "jaccard_links": jaccard.all_jaccard_links,
     "op10_token_files": token_files.op10_token_files,
+    "op11_html_main_text": html.op11_html_main_text,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
+    "op13_phrase_collocations": phrases.op13_phrase_collocations,
 }
 
 SQL: dict[str, str] = {
@@ -27,4 +30,6 @@ SQL: dict[str, str] = {
     "op6_cross_entropy_difference": lm_score.SQL,
     "op7_hierarchical_mix": mixing.SQL,
     "op9_jaccard_join": jaccard.SQL,
+    "op11_html_main_text": html.SQL,
+    "op13_phrase_collocations": phrases.SQL,
 }
