@@ -16,20 +16,22 @@ from . import blocks as B
 from . import kernels as K
 from . import repeats as R
 
-THRESHOLD, LONGEST, SHARDS, TOP = 30, 4, 3, 2000
-SLOTS = 1 << 24  # of the table of phrases that may be part of longer ones; one byte each, broadcast at every size
+THRESHOLD, LONGEST, SHARDS, TOP = 30, 4, 2, 2000
+SLOTS = 1 << 24  # of the tables of codes that reached the threshold; one byte each, broadcast at every size
 SMALL = 2_000_000  # frequent phrases up to which they are broadcast
-CHUNK = 8 << 20  # bytes of text that are counted together
+CHUNK = 4 << 20  # bytes of text that are counted together
+PART_BYTES = 32 << 20  # text whose phrases a part counts
 NEVER = 255
+COUNT = np.dtype([("key", "<u8"), ("n", "<u4"), ("since", "u1"), ("at", "u1"), ("len", "u1")])  # of phrases with a code
 
 _PIECE = re.compile(rb"[.,;:!?\x0a-\x0d]")
 _set = lambda chars: np.isin(np.arange(256), np.frombuffer(chars, np.uint8))
 _CUTS, _GAPS = _set(b".,;:!?\n\v\f\r"), _set(b".,;:!?\n\v\f\r \t")
-COUNTS = "lang string, phrase string, len int, since int, n long"
+NAMED = "lang string, phrase string, len int, n long"
 
 
 def phrase_codes(phrases: list[bytes], langs: list[str]) -> np.ndarray:
-    """A code for each phrase (words with single spaces) of a language, the same that `Text.codes` has."""
+    """A code for each phrase (words with single spaces) of a language, the same that `Words.phrases` has."""
     flat, begins = K.join_texts(phrases)
     start, end, first = K.words(flat, begins)
     known = {x: lang_code(x) for x in set(langs)}
@@ -46,24 +48,35 @@ def lang_code(lang: str) -> int:
     return int(K.stretches(raw, np.array([0]), np.array([len(raw)]))[0])
 
 
-class Text:
-    """The words of some texts, lower-case, with exact numbers for words and where pieces end."""
+class Words:
+    """The words of some texts, lower-case: where they stand, their piece and language, and codes that tell both word and language."""
 
     def __init__(self, texts: list[bytes], langs: list[str]):
-        flat, begins = K.join_texts(texts, lower=True)
-        edge = np.flatnonzero(np.diff(_GAPS[flat], prepend=True, append=True))
-        start, end = edge[0::2], edge[1::2]
+        self.flat, begins = K.join_texts(texts, lower=True)
+        edge = np.flatnonzero(np.diff(_GAPS[self.flat], prepend=True, append=True))
+        self.start, self.end = edge[0::2], edge[1::2]
         self.names = sorted(set(langs))
         at = {x: i for i, x in enumerate(self.names)}
-        doc = np.searchsorted(begins, start, "right") - 1
-        self.lang = np.array([at[x] for x in langs], np.int64)[doc]
-        self.piece = np.cumsum(_CUTS[flat], dtype=np.int64)[start] if len(start) else start
-        self.size = end - start
+        self.lang = np.repeat(np.array([at[x] for x in langs], np.int64), np.diff(np.searchsorted(self.start, begins)))
+        self.piece = np.cumsum(_CUTS[self.flat], dtype=np.int32)[self.start] if len(self.start) else self.start
+        self.codes = K.mix(K.stretches(self.flat, self.start, self.end) + np.array([lang_code(x) for x in self.names], np.uint64)[self.lang])
+
+    def phrases(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each length: a code for the phrase from each word on, and whether it is within a piece."""
+        for n, code in zip(range(1, longest + 1), K.grams_of(self.codes, tuple(range(1, longest + 1))), strict=True):
+            yield n, code, self.piece[: len(code)] == self.piece[n - 1 :][: len(code)]
+
+
+class Names(Words):
+    """Words with exact numbers, so that phrases are told apart by content and can be written out."""
+
+    def __init__(self, texts: list[bytes], langs: list[str]):
+        super().__init__(texts, langs)
+        self.size = self.end - self.start
         # Words with one space after each, so that a phrase is a stretch of them.
         self.begin = np.cumsum(self.size + 1) - self.size - 1
-        self.flat = flat[K.ranges(start, self.size + 1)]
+        self.flat = self.flat[K.ranges(self.start, self.size + 1)]
         self.flat[self.begin + self.size] = 32
-        self.codes = K.mix(K.stretches(flat, start, end) + np.array([lang_code(x) for x in self.names], np.uint64)[self.lang])
         self.id, self.n_ids = self._numbers()
 
     def _numbers(self) -> tuple[np.ndarray, int]:
@@ -89,34 +102,58 @@ class Text:
         _, one, count = np.unique(key, return_index=True, return_counts=True)
         return at[one], count
 
-    def rows(self, at: np.ndarray, n: int, since: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+    def rows(self, at: np.ndarray, n: int, count: np.ndarray) -> pa.RecordBatch:
         size = self.begin[at + n - 1] + self.size[at + n - 1] - self.begin[at]
         ends = np.r_[0, np.cumsum(size)].astype(np.int32)
         text = pa.StringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(self.flat[K.ranges(self.begin[at], size)]))
         lang = pa.DictionaryArray.from_arrays(self.lang[at], self.names).cast(pa.string())
-        return pa.RecordBatch.from_arrays([lang, text, pa.array(np.full(len(at), n, np.int32)), pa.array(since.astype(np.int32)), pa.array(count)], ["lang", "phrase", "len", "since", "n"])
+        return pa.RecordBatch.from_arrays([lang, text, pa.array(np.full(len(at), n, np.int32)), pa.array(count.astype(np.int64))], ["lang", "phrase", "len", "n"])
+
 
+def slots_of(code: np.ndarray, table: np.ndarray | range) -> np.ndarray:
+    """The place of each code in a table (or range) whose length is a power of two."""
+    return (code & np.uint64(len(table) - 1)).astype(np.int64)
 
-def scanned(text: Text, step: int, shards: int, longest: int, reached: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Counts of the phrases of all lengths that are being counted in this step.
+
+def scanned(words: Words, step: int, shards: int, longest: int, reached: np.ndarray) -> np.ndarray:
+    """Counts of the codes of phrases of all lengths that are being counted in this step, by ascending code.
 
     Words are counted from the first step on. A longer phrase is counted from the step after that in which the later of its two
-    subphrases reached the threshold, and for one cycle. `reached` tells the step by code; where two phrases share a place of it
-    the earlier step counts, so a phrase may be counted that needn't, but each for exactly one cycle.
+    subphrases reached the threshold, and for one cycle. `reached` tells the step by slot; where two codes share a slot the
+    earlier step holds, so a phrase may be counted that needn't, but each for exactly one cycle.
     """
-    n, at = len(text.codes), None
-    if step < shards and n:
-        first, count = text.different(np.arange(n), 1)
-        yield text.rows(first, 1, np.zeros(len(first)), count)
-    for k, code in zip(range(1, longest), K.grams_of(text.codes, tuple(range(1, longest))), strict=True):
-        if len(code) < 2:
-            return
-        known = reached[(code & np.uint64(len(reached) - 1)).astype(np.int64)]
-        since = np.maximum(known[:-1], known[1:]).astype(np.int64) + 1
-        at = np.flatnonzero((since <= step) & (step < since + shards) & (text.piece[: len(since)] == text.piece[k : k + len(since)]))
-        if len(at):
-            first, count = text.different(at, k + 1)
-            yield text.rows(first, k + 1, since[first], count)
+    out, known = [np.zeros(0, COUNT)], None
+    for n, code, whole in words.phrases(longest):
+        if n == 1:
+            active = [(0, code)] if step < shards else []
+        else:
+            since = np.maximum(known[:-1], known[1:])[: len(code)].astype(np.int64) + 1
+            active = [(t, code[whole & (since == t)]) for t in range(max(1, step - shards + 1), step + 1)]
+        for t, some in active:
+            some = np.sort(some)
+            first = np.flatnonzero(B.first_of_runs(some))
+            made = np.zeros(len(first), COUNT)
+            made["key"], made["n"], made["since"], made["at"], made["len"] = some[first], np.diff(np.r_[first, len(some)]), t, NEVER, n
+            out.append(made)
+        known = reached[slots_of(code, reached)]
+        if (known == NEVER).all():
+            break
+    out = np.concatenate(out)
+    return out[np.argsort(out["key"])]
+
+
+def merged(messages: list[np.ndarray], step: int, threshold: int) -> np.ndarray:
+    """The counts of all messages together, with the step in which each code reached the threshold."""
+    rows = np.concatenate(messages)
+    rows = rows[np.argsort(rows["key"], kind="stable")]
+    first = np.flatnonzero(B.first_of_runs(rows["key"]))
+    out = rows[first]
+    if len(first):
+        n = np.add.reduceat(rows["n"].astype(np.int64), first)
+        out["since"], out["at"] = np.maximum.reduceat(rows["since"], first), np.minimum.reduceat(rows["at"], first)
+        out["at"][(out["at"] == NEVER) & (n >= threshold)] = step
+        out["n"] = np.minimum(n, 2**32 - 1)  # beyond the threshold all is one here; phrases are counted by their words
+    return out
 
 
 def chunks(batches) -> Iterator[tuple[list[bytes], list[str]]]:
@@ -143,9 +180,10 @@ def count_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     Dynamic itemset counting: the corpus is written once in shards, which are scanned in turn, over and over. All lengths are counted in the same
     scans; a phrase is taken up once both its subphrases (without the last word, without the first) have reached the threshold in
     what was read so far, and is counted until the scan comes to the shard where it was taken up. Scans end one cycle after the last
-    phrase that longer ones may hold reached the threshold. Counts are exact: phrases are told apart by their words.
+    phrase reached the threshold. Scans count 64-bit codes of phrases, packed by parts of code space; a last one writes out those that were found
+    often and counts them by their words, so that phrases of one code don't count as one.
 
-    Which phrases reached it, and when, travels as a table of `slots` bytes (a power of two), whatever the size of the corpus. Where it
+    Which codes reached the threshold, and when, travels as a table of `slots` bytes (a power of two), whatever the size of the corpus. Where it
     fills up more phrases are counted than need be, and results stay the same. Texts are lower-cased A to Z, cut into pieces at
     .,;:!? and line ends, and those at spaces and tabs. A null text is empty, a null language `und`; an empty table gives
     no rows; other columns may have any names.
@@ -158,42 +196,86 @@ def count_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     rows = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").cast("binary").alias("text"))
     rows.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int")).write.partitionBy("shard").parquet(f"{folder}/shards")
     table = spark.read.schema("lang string, text binary, shard int").parquet(f"{folder}/shards")
+    size = table.agg(F.sum(F.octet_length("text")).alias("n")).head()["n"] or 0
+    parts = int(max(2 * spark.sparkContext.defaultParallelism if size > PART_BYTES else 1, size // PART_BYTES + 1))
 
-    def scan(step: int, reached) -> DataFrame:
+    def scan(step: int, told) -> DataFrame:
         def run(batches):
             for texts, langs in chunks(batches):
-                yield from scanned(Text(texts, langs), step, shards, longest, reached.value)
+                counts = scanned(Words(texts, langs), step, shards, longest, told.value)
+                part = B.part_of(counts["key"], parts)
+                cut = np.flatnonzero(B.first_of_runs(part))
+                if len(cut):
+                    packed = [B.by_planes(c, "key") for c in np.split(counts, cut[1:])]
+                    yield pa.RecordBatch.from_arrays([pa.array(part[cut]), pa.array(packed, pa.binary())], ["part", "counts"])
                 B.give_back()
 
-        return table.filter(F.col("shard") == step % shards).select("lang", "text").mapInArrow(run, COUNTS)
+        return table.filter(F.col("shard") == step % shards).select("lang", "text").mapInArrow(run, "part int, counts binary")
 
-    def slots_of(batches):
-        for b in batches:
-            code = phrase_codes([x.encode() for x in b.column(1).to_pylist()], b.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array((code & np.uint64(slots - 1)).astype(np.int32))], ["slot"])
+    def count(step: int):
+        """Of each part: codes that are still being counted, slots of those that reached the threshold now, and of those that ended above it."""
 
-    reached, states, step, last = np.full(slots, NEVER, np.uint8), [], 0, -1
+        def reply(part: int, held: list[np.ndarray]) -> pa.RecordBatch:
+            found = merged(held, step, threshold)
+            place = lambda which: np.unique(slots_of(found["key"][which], range(slots))).astype("<i4").tobytes()
+            ended = found["since"].astype(np.int64) + shards - 1 <= step
+            out = [b"" if ended.all() else B.by_planes(found[~ended], "key"), place(found["at"] == step), place(ended & (found["at"] != NEVER))]
+            B.give_back()
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x], pa.binary()) for x in out)], ["part", "counts", "new", "ended"])
+
+        def run(batches):
+            part, held = None, []
+            for b in batches:
+                for p, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if p != part and held:
+                        yield reply(part, held)
+                        held = []
+                    part = p
+                    held.append(B.from_planes(raw, COUNT, "key") if raw else np.zeros(0, COUNT))
+            if held:
+                yield reply(part, held)
+
+        return run
+
+    def places(made: DataFrame, column: str) -> np.ndarray:
+        found = np.zeros(slots, bool)  # what comes to the driver is told by slots
+        for r in made.select(column).toLocalIterator():
+            found[np.frombuffer(r[column], "<i4")] = True
+        return np.flatnonzero(found)
+
+    reached, often, made, step, last = np.full(slots, NEVER, np.uint8), np.zeros(slots, bool), None, 0, -1
     while step <= last + shards:
         told = spark.sparkContext.broadcast(reached)
-        counts = scan(step, told).groupBy("lang", "phrase").agg(F.max("len").alias("len"), F.max("since").alias("since"), F.sum("n").alias("n"))
-        if states:
-            still = states[-1].filter(F.col("since") + shards > step)
-            counts = still.unionByName(counts.withColumn("at", F.lit(None).cast("int"))).groupBy("lang", "phrase").agg(F.max("len").alias("len"), F.max("since").alias("since"), F.sum("n").alias("n"), F.max("at").alias("at"))
-        else:
-            counts = counts.withColumn("at", F.lit(None).cast("int"))
-        counts.withColumn("at", F.when(F.col("at").isNull() & (F.col("n") >= threshold), step).otherwise(F.col("at"))).write.parquet(f"{folder}/step-{step}")
-        states.append(spark.read.parquet(f"{folder}/step-{step}"))
-        new = states[-1].filter((F.col("at") == step) & (F.col("len") < longest)).select("lang", "phrase").mapInArrow(slots_of, "slot int").distinct()
-        place = new.toArrow().column("slot").to_numpy()  # `slots` numbers at most
+        sent = scan(step, told)
+        sent = sent if made is None else sent.unionByName(made.select("part", "counts"))
+        each = -(-parts // B.MOST_TASKS)
+        dealt = sent.repartitionById(-(-parts // each), F.expr(f"part div {each}").cast("int")).sortWithinPartitions("part")
+        made = dealt.mapInArrow(count(step), "part int, counts binary, new binary, ended binary").checkpoint()
+        place, reached = places(made, "new"), reached.copy()
         if len(place):
-            reached = reached.copy()
-            reached[place] = np.minimum(reached[place], step)
-            last = step
+            reached[place], last = np.minimum(reached[place], step), step
+        often[places(made, "ended")] = True
         told.unpersist()
         step += 1
-    ended = [s.filter((F.col("since") + shards - 1 == t) & (F.col("n") >= threshold)) for t, s in enumerate(states)]
-    words = states[shards - 1].filter("len = 1 and since = 0").groupBy("lang").agg(F.sum("n").alias("n"))
-    return reduce(DataFrame.unionByName, ended).select("lang", "phrase", "len", "n"), words
+    told = spark.sparkContext.broadcast(np.packbits(often, bitorder="little"))
+
+    def named(batches):
+        for texts, langs in chunks(batches):
+            words = Names(texts, langs)
+            total = np.bincount(words.lang, minlength=len(words.names))
+            yield pa.RecordBatch.from_arrays([pa.array(words.names, pa.string()), pa.array([""] * len(total)), pa.array([0] * len(total), pa.int32()), pa.array(total.astype(np.int64))], ["lang", "phrase", "len", "n"])
+            for n, code, whole in words.phrases(longest):
+                slot = slots_of(code, range(slots))
+                at = np.flatnonzero(whole & (told.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1))
+                if not len(at):
+                    break
+                first, count = words.different(at, n)
+                yield words.rows(first, n, count)
+            B.give_back()
+
+    counts = table.select("lang", "text").mapInArrow(named, NAMED).groupBy("lang", "phrase").agg(F.max("len").alias("len"), F.sum("n").alias("n"))
+    counts = counts.filter((F.col("len") == 0) | (F.col("n") >= threshold)).checkpoint()
+    return counts.filter("len > 0"), counts.filter("len = 0 and n > 0").select("lang", "n")
 
 
 def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", threshold: int = THRESHOLD, longest: int = LONGEST, top: int = TOP, inside: int = 80, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:

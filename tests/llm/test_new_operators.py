@@ -202,23 +202,25 @@ def test_collocations_of_nothing(spark):
 
 def test_words_of_one_code_are_told_apart(monkeypatch):
     monkeypatch.setattr(phrases.K, "mix", lambda x: x & np.uint64(1))
-    text = phrases.Text([b"a b c a. b c", b"A b"], ["en", "de"])
+    text = phrases.Names([b"a b c a. b c", b"A b"], ["en", "de"])
     assert text.n_ids == 5
     first, count = text.different(np.array([0, 1, 4]), 2)
     assert count.tolist() == [1, 2]
 
 
-def test_phrases_are_taken_up_by_steps(texts):
+def test_phrases_are_taken_up_by_steps():
     """Nothing but words in the first step; a longer phrase from the step after its parts, for as many steps as there are shards."""
-    text = phrases.Text([b"new york city new york"], ["en"])
+    text = phrases.Words([b"new york city new york"], ["en"])
     reached = np.full(1 << 16, phrases.NEVER, np.uint8)
-    lengths = lambda step: sorted({x for b in phrases.scanned(text, step, 2, 4, reached) for x in b.column("len").to_pylist()})
+    lengths = lambda step: sorted(set(phrases.scanned(text, step, 2, 4, reached)["len"].tolist()))
     assert lengths(0) == [1]
-    codes = phrases.phrase_codes([b"new", b"york", b"city", b"new york", b"york city"], ["en"] * 5) & np.uint64(len(reached) - 1)
-    reached[codes[:3].astype(int)] = 0
+    codes = phrases.slots_of(phrases.phrase_codes([b"new", b"york", b"city", b"new york", b"york city"], ["en"] * 5), reached)
+    reached[codes[:3]] = 0
     assert [lengths(s) for s in (1, 2, 3)] == [[1, 2], [2], []]
-    reached[codes[3:].astype(int)] = 2
+    reached[codes[3:]] = 2
     assert [lengths(s) for s in (3, 4, 5)] == [[3], [3], []]
+    both = phrases.merged([phrases.scanned(text, 1, 2, 4, reached)] * 3, 1, 6)
+    assert sorted(both["n"].tolist()) == [3, 3, 3, 6, 6, 6] and sorted(both["at"].tolist()) == [1] * 3 + [phrases.NEVER] * 3
 
 
 def test_queries_equal_their_sql(spark, sf):
