@@ -10,11 +10,13 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from cladeflow.plans.stages import kept
+from cladeflow.plans.stages import fresh, kept
 
 Names = Sequence[str]
 
@@ -83,19 +85,22 @@ def map_rows(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: T
 def take_rows(df: DataFrame, positions: DataFrame, pos: Names) -> DataFrame:
     """Rows by number (from 0, in the order of pos), repeats allowed; positions has the columns out_pos and pos.
 
-    Numbers are given without gathering all rows in one task: rows are sorted over partitions, and each
-    counts on from the partitions before it.
+    Columns: out_pos (a new name, if the rows have that one), then those of the rows. Numbers are given without gathering all rows in one task:
+    rows are sorted over partitions, and each counts on from the partitions before it.
     """
-    return number_rows(df, pos, "pos").join(positions, "pos").drop("pos")
+    at, out = fresh("pos", df.columns), fresh("out_pos", df.columns)
+    asked = positions.select(F.col("pos").alias(at), F.col("out_pos").alias(out))
+    return number_rows(df, pos, at).join(asked, at).select(out, *(F.col(f"`{c}`") for c in df.columns))
 
 
 def number_rows(df: DataFrame, pos: Names, name: str) -> DataFrame:
     """Number rows from 0 in the order of pos. The rows of each range of the order are counted, then numbered within."""
-    ranged = kept(df.repartitionByRange(*pos).sortWithinPartitions(*pos).withColumn("_range", F.spark_partition_id()))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    starts = ranged.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(*pos))
-    return ranged.withColumn("_at", within).join(F.broadcast(starts), "_range").withColumn(name, F.col("_before") + F.col("_at") - 1).drop("_range", "_at", "_before")
+    part, before, within = (fresh(c, df.columns, [name]) for c in ("_range", "_before", "_within"))
+    ranged = kept(df.repartitionByRange(*pos).sortWithinPartitions(*pos).withColumn(part, F.spark_partition_id()))
+    so_far = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    starts = ranged.groupBy(part).agg(F.count("*").alias(within)).select(part, F.coalesce(F.sum(within).over(so_far), F.lit(0)).alias(before))
+    numbered = ranged.withColumn(within, F.row_number().over(Window.partitionBy(part).orderBy(*pos)))
+    return numbered.join(F.broadcast(starts), part).withColumn(name, F.col(before) + F.col(within) - 1).drop(part, before, within)
 
 
 # Filters and nesting
@@ -186,6 +191,30 @@ def grouped(df: DataFrame, keys: Names, f: Callable[[pd.DataFrame], pd.DataFrame
     return df.groupBy(*keys).applyInPandas(f, schema)
 
 
+def table_function(spark: SparkSession, name: str, f: Callable[[pd.DataFrame], pd.DataFrame], columns: Sequence[str], schema: str) -> None:
+    """Make f, a frame to a frame, a function of tables in SQL: SELECT * FROM name(TABLE(t) PARTITION BY k ORDER BY o).
+
+    columns are those that f takes, in any order in t. f is called for each partition with its rows in the order asked for; a partition
+    must fit one task. A call without PARTITION BY passes the whole table to one task.
+    """
+    names, kinds = list(columns), T.StructType.fromDDL(schema)
+
+    @F.udtf(returnType=kinds)
+    class Of:
+        def __init__(self):
+            self.rows = []
+
+        def eval(self, row):
+            self.rows.append(tuple(row[c] for c in names))
+
+        def terminate(self):
+            if self.rows:
+                out = pa.Table.from_pandas(f(pd.DataFrame(self.rows, columns=names))[kinds.names], to_arrow_schema(kinds), preserve_index=False)
+                yield from zip(*(c.to_pylist() for c in out.columns), strict=True)
+
+    spark.udtf.register(name, Of)
+
+
 def split_groups(df: DataFrame, keys: Names, pos: Names) -> DataFrame:
     """A table of groups: keys, and the other columns of its rows as a list in the order of pos."""
     other = [c for c in _rest(df, keys) if c not in pos]
@@ -242,8 +271,8 @@ def top_n_per_group(df: DataFrame, keys: Names, by: Sequence[Column], n: int, po
     """The first n rows of each group; ties in the order of pos."""
     if n < 0:
         raise ValueError("n must not be negative")
-    w = Window.partitionBy(*keys).orderBy(*by, *pos)
-    return df.withColumn("_at", F.row_number().over(w)).filter(F.col("_at") <= n).drop("_at")
+    w, at = Window.partitionBy(*keys).orderBy(*by, *pos), fresh("_at", df.columns)
+    return df.withColumn(at, F.row_number().over(w)).filter(F.col(at) <= n).drop(at)
 
 
 def best_per_group(df: DataFrame, keys: Names, highest: str, pos: Names) -> DataFrame:
@@ -251,14 +280,36 @@ def best_per_group(df: DataFrame, keys: Names, highest: str, pos: Names) -> Data
 
     A row whose value is null is the best only of a group without others.
     """
-    rest = _rest(df, keys)
+    rest, one = _rest(df, keys), fresh("_best", df.columns)
     best = F.min_by(F.struct(*rest), F.struct(F.col(highest).isNull(), -F.col(highest), *pos))
-    return df.groupBy(*keys).agg(best.alias("_best")).select(*keys, *(F.col(f"_best.{c}").alias(c) for c in rest))
+    return df.groupBy(*keys).agg(best.alias(one)).select(*keys, *(F.col(f"{one}.`{c}`").alias(c) for c in rest))
+
 
+FEW_TOTALS = 1_000_000  # totals up to which they are broadcast
+HOT_PART = 200  # a key with more than one in so many of the rows is hot
+SALTS = 64
 
-def group_total(df: DataFrame, keys: Names, value: str, name: str) -> DataFrame:
-    """A group's total on each of its rows."""
-    return df.withColumn(name, F.sum(value).over(Window.partitionBy(*keys)))
+
+def group_total(df: DataFrame, keys: Names, value: str, name: str, few: int = FEW_TOTALS) -> DataFrame:
+    """A group's total on each of its rows.
+
+    Totals are summed before the shuffle and joined back: broadcast while there are few groups, and else by key, where the rows of hot keys, of which there are
+    fewer than HOT_PART, are dealt over SALTS places. So no task holds a group. df is read twice; keep it first where it is dear.
+    """
+    taken = [*df.columns, name]
+    total, n, hot, salt = (fresh(c, taken) for c in ("_total", "_n", "_hot", "_salt"))
+    own = {k: fresh(f"_key{i}", taken) for i, k in enumerate(keys)}
+    totals = kept(df.groupBy(*keys).agg(F.sum(value).alias(total), F.count("*").alias(n)).withColumnsRenamed(own))
+    same = lambda left, right: reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[o]) for k, o in own.items()), F.lit(True))
+    out = [F.col(f"`{c}`") for c in df.columns if c != name] + [F.col(total).alias(name)]
+    if totals.limit(few + 1).count() <= few:
+        return df.join(F.broadcast(totals), same(df, totals)).select(*out)
+    rows = totals.agg(F.sum(n).alias("n")).head()["n"]
+    totals = totals.withColumn(hot, F.col(n) > rows / HOT_PART)
+    warm = F.broadcast(totals.filter(hot).select(*own.values(), F.lit(True).alias(hot)))  # fewer than HOT_PART
+    dealt = df.join(warm, same(df, warm), "left").withColumn(salt, F.when(F.col(hot), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(0)).drop(hot, *own.values())
+    sides = totals.withColumn(salt, F.explode(F.when(F.col(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop(hot, n)
+    return dealt.join(sides, same(dealt, sides) & (dealt[salt] == sides[salt])).select(*out)
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:

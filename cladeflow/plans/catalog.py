@@ -335,13 +335,40 @@ def dsv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return tables.read_classification(spark, path)
 
 
-@query("SELECT p_name AS row_text FROM part WHERE p_size % 7 = 0")
+ODD_LINES = """SELECT p_partkey, CASE p_size % 7 WHEN 0 THEN p_name || chr(9) || p_brand || chr(9) || '1.5' || chr(9) || 'many' WHEN 1 THEN p_name || chr(9) || p_brand || chr(9) || chr(9) || p_size WHEN 2 THEN '' WHEN 3 THEN p_name || chr(9) || p_brand
+ WHEN 4 THEN p_name || chr(9) || p_brand || chr(9) || '1' || chr(9) || p_size || chr(9) || 'more' ELSE '"' || p_name || '"' || chr(9) || '"a ""b""' || chr(9) || 'c"' || chr(9) || '2.5' || chr(9) || p_size END AS line FROM part"""
+
+
+def _odd_lines(spark: SparkSession, sf: str) -> str:
+    """Lines of four columns, some with a word or nothing for a number, blank, too short, too long, or in quotes."""
+    path, tab = stages.scratch_folder(spark), "\t"
+    name, size, kind = F.col("p_name"), F.col("p_size").cast("string"), F.col("p_size") % 7
+    line = F.when(kind == 0, F.concat_ws(tab, name, "p_brand", F.lit("1.5"), F.lit("many"))).when(kind == 1, F.concat_ws(tab, name, "p_brand", F.lit(""), size)).when(kind == 2, "").when(kind == 3, F.concat_ws(tab, name, "p_brand"))
+    line = line.when(kind == 4, F.concat_ws(tab, name, "p_brand", F.lit("1"), size, F.lit("more"))).otherwise(F.concat(F.lit('"'), name, F.lit('"\t"a ""b""\tc"\t2.5\t'), size))
+    T(spark, sf, "part").select(line.alias("value")).write.text(path)
+    return path
+
+
+@query(f"SELECT line AS row_text, 'model_name, class_name, class_percent, class_cat' AS expected FROM ({ODD_LINES}) JOIN part USING (p_partkey) WHERE p_size % 7 < 5")
 def dsv_bad_rows(spark: SparkSession, sf: str) -> DataFrame:
-    path = stages.scratch_folder(spark)
-    size = F.when(F.col("p_size") % 7 == 0, "many").otherwise(F.col("p_size").cast("string"))
-    sinks.write_dsv(T(spark, sf, "part").select("p_name", "p_brand", F.lit(1.0), size), path)
-    _, bad = tables.read_dsv_either(spark, path, schemas.MODEL_CLASSES)
-    return bad.select(F.split_part("row", F.lit("\t"), F.lit(1)).alias("row_text"))
+    _, bad = tables.read_dsv_either(spark, _odd_lines(spark, sf), schemas.MODEL_CLASSES, header=False)
+    return bad.select(F.col("row").alias("row_text"), "expected")
+
+
+@query("SELECT p_name AS model_name, 'a \"b\"' || chr(9) || 'c' AS class_name, 2.5::DOUBLE AS class_percent, p_size AS class_cat FROM part WHERE p_size % 7 > 4")
+def dsv_good_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.read_dsv_either(spark, _odd_lines(spark, sf), schemas.MODEL_CLASSES, header=False)[0]
+
+
+@query("""SELECT CASE p_partkey % 6 WHEN 0 THEN '' WHEN 1 THEN ' ' || p_name || '  ' WHEN 2 THEN p_name || chr(9) || '"' WHEN 3 THEN '"' || p_name || '"' WHEN 4 THEN 'a"' || p_name ELSE '#' || p_name END AS model_name,
+p_brand AS class_name, CASE WHEN p_size % 5 = 0 THEN 'Infinity'::DOUBLE ELSE p_size / 7.0::DOUBLE END AS class_percent, -p_size AS class_cat FROM part""")
+def dsv_odd_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Empty texts, blanks at the ends, separators, quotes and marks, written and read again."""
+    path, kind, name = stages.scratch_folder(spark), F.col("p_partkey") % 6, F.col("p_name")
+    odd = F.when(kind == 0, "").when(kind == 1, F.concat(F.lit(" "), name, F.lit("  "))).when(kind == 2, F.concat(name, F.lit('\t"'))).when(kind == 3, F.concat(F.lit('"'), name, F.lit('"'))).when(kind == 4, F.concat(F.lit('a"'), name)).otherwise(F.concat(F.lit("#"), name))
+    share = F.when(F.col("p_size") % 5 == 0, float("inf")).otherwise(F.col("p_size") / F.lit(7.0))
+    sinks.write_dsv(T(spark, sf, "part").select(odd.alias("model_name"), F.col("p_brand").alias("class_name"), share.alias("class_percent"), (-F.col("p_size")).alias("class_cat")), path)
+    return tables.read_classification(spark, path)
 
 
 @query("SELECT 'doc' || doc_id AS name, length(regexp_replace(text, '[^\\p{L}]|X', '', 'g')) / 1000::DOUBLE AS k_base_size FROM documents WHERE length(replace(text, chr(10), '')) > 0")
@@ -352,6 +379,17 @@ def fasta_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.protein_sizes(fasta.read_fasta(spark, path)).withColumnRenamed("protein_name", "name")
 
 
+@query("""SELECT nation, line, 'expected sequence line' AS error, text FROM (SELECT c_nationkey AS nation, c_custkey, 'C' || c_custkey AS text,
+(2 + coalesce(sum(CASE WHEN c_custkey % 7 = 0 THEN 1 ELSE 3 END) OVER (PARTITION BY c_nationkey ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS line FROM customer) WHERE c_custkey % 7 = 0""")
+def fasta_error_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """A file for each nation, some of its customers' entries without a sequence."""
+    path = stages.scratch_folder(spark)
+    entry = F.concat(F.lit(">C"), F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 7 != 0, "\nACGT\nAC").otherwise(""))
+    rows = T(spark, sf, "customer").select(entry.alias("value"), "c_nationkey", "c_custkey").repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey")
+    rows.drop("c_custkey").write.partitionBy("c_nationkey").text(path)
+    return fasta.fasta_errors(spark, path).select(F.regexp_extract("file", "c_nationkey=([0-9]+)", 1).cast("int").alias("nation"), "line", "error", "text")
+
+
 @query(domain("SELECT target_name, NULL::VARCHAR AS target_accession, query_name, sequence_e_value, round(sequence_score, 6) AS sequence_score, l_partkey::INTEGER AS reg_estimation, 'a' AS description FROM hits"))
 def tblout_parse(spark: SparkSession, sf: str) -> DataFrame:
     path = stages.scratch_folder(spark)
@@ -404,9 +442,61 @@ def run_on_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return tools.run_on_chunks(chunk_sequences(spark, sf), counted, "source string, n long").groupBy("source").agg(F.sum("n").alias("n"))
 
 
-@query(MEMBERSHIP)
+@query(domain("SELECT virus_name, model_name, round(protein_hit_score, 3) AS protein_hit_score FROM aggregated").replace("<= 0.001", "<= 0.0004"))
+def stage_manifests(spark: SparkSession, sf: str) -> DataFrame:
+    """Aggregated hits as a stage of one work directory, first with one threshold, then with another: the second isn't given the first's table."""
+    work, hits, sizes = stages.scratch_folder(spark), fixtures.hits(spark, sf), fixtures.proteins(spark, sf)
+    for threshold in (1e-3, 4e-4):
+        made_of = {"hits": stages.content_key(hits), "threshold": threshold}
+        made = stages.stage(spark, work, "processed", "aggregated", lambda: scoring.aggregate_hits(hits, sizes, fixtures.TIES, threshold, VIRUS), made_of)  # noqa: B023
+    return made.withColumn("protein_hit_score", F.round("protein_hit_score", 3))
+
+
+@query("SELECT source, count(*) AS n FROM documents GROUP BY ALL")
+def ledger_resume(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks through a tool that fails on some of them, then through one that works: the ledger runs only what was left, and nothing is there twice."""
+    docs = T(spark, sf, "documents").select(F.concat_ws("|", F.coalesce("source", F.lit("")), F.col("doc_id").cast("string")).alias("name"), F.array(F.lit("AC")).alias("seq_lines"), F.pmod("doc_id", F.lit(40)).cast("string").alias("chunk_key"))
+    ledger = stages.Ledger(spark, stages.scratch_folder(spark), schemas.FASTA)
+    work = lambda command: lambda some: tools.pipe_tool(some, lambda source, out: ["sh", "-c", command, source, out], tools.parse_fasta, schemas.FASTA, ["chunk_key"], told=True)
+    try:
+        ledger.run(docs, work('if grep -q "[|]7$" "$0"; then exit 3; fi; cp "$0" "$1"'))
+    except stages.ChunkError:
+        pass
+    back = ledger.run(docs, work('if grep -q "[|]8$" "$0"; then exit 3; fi; cp "$0" "$1"'))
+    return back.groupBy(F.nullif(F.split_part("name", F.lit("|"), F.lit(1)), F.lit("")).alias("source")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey, c_name, count(*) AS n, round(sum(o_totalprice), 2) AS spent, max(o_orderkey) AS last FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY ALL")
+def indexed_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Two tables indexed by one key, opened again, joined and summed without being dealt out."""
+    path = stages.scratch_folder(spark)
+    stages.write_index(T(spark, sf, "customer").select("c_custkey", "c_name"), f"{path}/customer", ["c_custkey"], 8)
+    stages.write_index(T(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice"), f"{path}/orders", ["c_custkey"], 8)
+    both = stages.open_index(spark, f"{path}/customer").hint("merge").join(stages.open_index(spark, f"{path}/orders"), "c_custkey")
+    return both.groupBy("c_custkey", "c_name").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("spent"), F.max("o_orderkey").alias("last"))
+
+
+@query("SELECT o_custkey, o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 2) AS so_far, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders")
+def table_function(spark: SparkSession, sf: str) -> DataFrame:
+    """A frame to a frame as a function of tables in SQL, called on each customer's orders."""
+    T(spark, sf, "orders").createOrReplaceTempView("orders_by_customer")
+    history = lambda g: pd.DataFrame({"o_custkey": g["o_custkey"], "o_orderkey": g["o_orderkey"], "so_far": g["o_totalprice"].cumsum().round(2), "before": [None, *g["o_orderkey"].tolist()[:-1]]})
+    verbs.table_function(spark, "order_history", history, ["o_custkey", "o_orderkey", "o_totalprice"], "o_custkey long, o_orderkey long, so_far double, before long")
+    return spark.sql("SELECT * FROM order_history(TABLE(orders_by_customer) PARTITION BY o_custkey ORDER BY o_orderkey)")
+
+
+@query(f"WITH {fixtures.SQL}" + """,
+in_file AS (SELECT (substr(virus_name, 2)::BIGINT // 20000) || '-' || (ascii(right(model_name, 1)) % 2) AS unit, * FROM aggregated),
+file_scored AS (SELECT unit, virus_name, class_name, sum(protein_hit_score * class_percent / 100 * ((5 - class_cat) / 4::DOUBLE)) AS class_score FROM in_file JOIN classes USING (model_name) GROUP BY ALL),
+file_totals AS (SELECT *, sum(class_score) OVER (PARTITION BY unit, virus_name) AS total FROM file_scored),
+file_counts AS (SELECT x, sum(n) AS n FROM (SELECT x, 1 AS n FROM samples UNION ALL (SELECT DISTINCT round(total, 6), 0 FROM file_totals)) GROUP BY x),
+file_ranks AS (SELECT x, (sum(n) OVER (ORDER BY x) - n / 2.0::DOUBLE) / sum(n) OVER () AS confidence FROM file_counts)
+SELECT unit, virus_name, class_name, round(class_score / total, 6) AS membership_ratio, round(round(total, 6), 3) AS virus_hit_score, round(confidence, 9) AS confidence_score FROM file_totals JOIN file_ranks ON x = round(total, 6)""")
 def stream_predict(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of some orders' models each, so that an order is in two of them; each file has predictions of its own."""
     path = stages.scratch_folder(spark)
-    sinks.write_dsv(aggregated(spark, sf), f"{path}/arriving")  # all files are one batch
+    unit = F.concat_ws("-", (F.expr("cast(substr(virus_name, 2) as bigint) div 20000")).cast("string"), (F.ascii(F.expr("right(model_name, 1)")) % 2).cast("string"))
+    aggregated(spark, sf).withColumn("unit", unit).repartition("unit").write.partitionBy("unit").option("sep", "\t").option("header", True).csv(f"{path}/arriving")
     predict.stream_predictions(spark, f"{path}/arriving", f"{path}/out", f"{path}/state", fixtures.classes(spark, sf), fixtures.samples(spark, sf)).awaitTermination()
-    return _rounded(spark.read.parquet(f"{path}/out"))
+    found = spark.read.parquet(f"{path}/out")
+    return found.select(F.regexp_extract("file", "unit=([^/]+)/", 1).alias("unit"), "virus_name", "class_name", F.round("membership_ratio", 6).alias("membership_ratio"), F.round("virus_hit_score", 3).alias("virus_hit_score"), F.round("confidence_score", 9).alias("confidence_score"))

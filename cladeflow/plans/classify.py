@@ -16,21 +16,34 @@ def classify_hits(hits: DataFrame, proteins: DataFrame, classes: DataFrame, samp
     return scoring.predict_membership(scoring.aggregate_hits(hits, proteins, pos, threshold, virus, unit), classes, samples, unit)
 
 
+class DuplicateProteins(ValueError):
+    """Protein names aren't unique, so scores would count twice."""
+
+
 def classify(spark: SparkSession, genomes: str, index: str, work_dir: str, threshold: float = scoring.E_VALUE, pattern: str | None = None, size: int = 1, models: str | None = None, prodigal: str = "prodigal", hmmsearch: str = "hmmsearch", procedure: str = "meta", mask: bool = False, genbank: bool = False) -> DataFrame:
-    """Predictions for a genomes FASTA file, with stage tables in work_dir that a later run goes on from.
+    """Predictions for a genomes FASTA file, going on from what earlier runs left in work_dir.
 
-    procedure, mask and genbank are those of gene prediction; stages of other settings stand apart.
+    Chunks of genomes that were searched before, with the same tools, options and models, aren't searched again. Aggregated hits and predictions are
+    stages, each with a manifest of all that it was made from: content of genomes, tools and models, options, threshold, pattern, classes and samples.
+    Where any of these has changed, they are made anew; where none has, they are read. procedure, mask and genbank are those of gene prediction.
     """
     levels, named = tables.load_index(spark, index)
     models = models or named
     if models is None:
         raise tables.IndexFormatError(f"{index}: names no model file, and none is given")
     entries = fasta.read_fasta(spark, genomes)
-    key = stages.content_key(entries, "name", "seq_lines")
-    proteins, hits = tools.search_genome_hits(spark, entries, models, work_dir, key, size, ("name",), prodigal, hmmsearch, procedure, mask, genbank)
+    proteins, hits, found = tools.search_genome_hits(spark, entries, models, work_dir, size, ("name",), prodigal, hmmsearch, procedure, mask, genbank)
     virus = (lambda c: virus_name(c, pattern, strict=True)) if pattern else (lambda c: virus_name(c, strict=True))
-    pos = ("file", "chunk_id", "query_name")
-    key = f"{key}/{procedure}{'-masked' if mask else ''}" if procedure != "meta" or mask else key
-    made = stages.stage(spark, work_dir, key, "processed", lambda: scoring.aggregate_hits(hits, scoring.protein_sizes(proteins), pos, threshold, virus))
+
+    def aggregated() -> DataFrame:
+        sizes = scoring.protein_sizes(proteins)
+        twice = scoring.duplicate_proteins(sizes).limit(5).collect()
+        if twice:
+            raise DuplicateProteins(f"{genomes}: protein names that aren't unique: {', '.join(r['protein_name'] for r in twice)}")
+        return scoring.aggregate_hits(hits, sizes, ("chunk_key", "line"), threshold, virus)
+
+    made_of = {"genomes": stages.content_key(entries, "name", "seq_lines"), "found": found, "threshold": threshold, "pattern": pattern}
+    made = stages.stage(spark, work_dir, "processed", "aggregated", aggregated, made_of)
     classes, samples = tables.read_levels(spark, levels)
-    return stages.stage(spark, work_dir, key, "predictions", lambda: scoring.predict_membership(made, classes, samples))
+    made_of = {"aggregated": made_of, "classes": stages.content_key(classes), "samples": stages.content_key(samples)}
+    return stages.stage(spark, work_dir, "processed", "predictions", lambda: scoring.predict_membership(made, classes, samples), made_of)

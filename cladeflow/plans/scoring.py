@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeflow.functions import columns as X
 from cladeflow.operators import verbs
-from cladeflow.plans.stages import kept
+from cladeflow.plans.stages import fresh, kept
 
 SMALL_CLASSES = 1_000_000  # class rows up to which the class table is broadcast
+SMALL_SAMPLES = 1_000_000  # different samples up to which they are broadcast
 E_VALUE = 1e-3
 
 
@@ -53,6 +58,7 @@ def aggregate_hits(
 
 
 def duplicate_proteins(proteins: DataFrame) -> DataFrame:
+    """(protein_name, n) of names that more than one protein has."""
     return proteins.groupBy("protein_name").agg(F.count("*").alias("n")).filter("n > 1")
 
 
@@ -64,38 +70,84 @@ def class_scores(aggregated: DataFrame, classes: DataFrame, unit: Sequence[str]
     return aggregated.join(side, "model_name").groupBy(*unit, *level, "virus_name", "class_name").agg(F.sum(hit).alias("class_score"))
 
 
-def percentile_rank(scores: DataFrame, samples: DataFrame, score: str, keys: Sequence[str] = (), into: str = "confidence_score") -> DataFrame:
+def percentile_rank(scores: DataFrame, samples: DataFrame, score: str, keys: Sequence[str] = (), into: str = "confidence_score", small: int = SMALL_SAMPLES) -> DataFrame:
     """Mean percentile rank (below + equal / 2) / n of a column among samples (keys, virus_hit_score).
 
-    A true rank, whatever order the samples stand in; without samples it is NaN. Distinct values of scores
-    and samples are sorted together over ranges, each of which counts on from those before it, so that no task sorts
-    them all and a value that very many rows have is one row. Nulls rank as null.
+    A true rank, whatever order the samples stand in; without samples it is NaN. Null keys are a key, nulls rank as null. Up to `small` different
+    samples are broadcast, sorted, with their running counts, and each score is searched for; beyond that scores and samples are sorted over ranges.
     """
     keys = list(keys)
+    x, n, level = (fresh(c, keys) for c in ("_x", "_n", "_level"))
+    counted = samples.filter(F.col("virus_hit_score").isNotNull()).groupBy(*keys, F.col("virus_hit_score").cast("double").alias(x)).agg(F.count("*").alias(n))
+    of = F.to_json(F.struct(*(F.col(f"`{k}`") for k in keys))) if keys else F.lit("")
+    few = counted.select(of.alias(level), F.col(x), F.col(n)).limit(small + 1).toArrow()
+    return _searched(scores, few, score, of, into) if few.num_rows <= small else _ranged(scores, counted, score, keys, x, n, into)
+
+
+def _searched(scores: DataFrame, few: pa.Table, score: str, of: Column, into: str) -> DataFrame:
+    """Ranks by binary search in sorted samples of each level."""
+    tables: dict[str, tuple] = {}
+    for level, rows in few.to_pandas().set_axis(["level", "x", "n"], axis=1).groupby("level"):
+        x, n = rows["x"].to_numpy(), rows["n"].to_numpy()
+        order = np.argsort(x)  # NaN comes last, as in Spark
+        tables[level] = (x[order], np.r_[0, np.cumsum(n[order])])
+    held = scores.sparkSession.sparkContext.broadcast(tables)
+
+    @F.pandas_udf("double")
+    def rank(value: pd.Series, level: pd.Series) -> pd.Series:
+        out = np.full(len(value), np.nan)
+        number, names = pd.factorize(level)
+        for i, name in enumerate(names):
+            if name in held.value:
+                x, below = held.value[name]
+                at = np.flatnonzero(number == i)
+                v = value.to_numpy()[at]
+                out[at] = (below[np.searchsorted(x, v, "left")] + below[np.searchsorted(x, v, "right")]) / 2 / below[-1]
+        return pd.Series(out)
+
+    given = F.col(f"`{score}`").cast("double")
+    return scores.select(*(F.col(f"`{c}`") for c in scores.columns if c != into), F.when(given.isNotNull(), F.coalesce(rank(given, of), F.lit(float("nan")))).alias(into))  # Arrow has no NaN of pandas, but nulls
+
+
+def _ranged(scores: DataFrame, counted: DataFrame, score: str, keys: list[str], x: str, n: str, into: str) -> DataFrame:
+    """Ranks by sorting different values of scores and samples together over ranges, each of which counts on from those before it.
+
+    No task sorts them all, and a value that very many rows have is one row.
+    """
+    scores = kept(scores)  # read twice
+    taken = [*keys, x, n, *scores.columns, into]
+    part, m, before, whole = (fresh(c, taken) for c in ("_range", "_m", "_before", "_all"))
+    own = {c: fresh(f"_own{i}", taken) for i, c in enumerate([*keys, x])}
     over = lambda *by: Window.partitionBy(*(keys or [F.lit(0)]), *by)
-    counted = samples.filter(F.col("virus_hit_score").isNotNull()).groupBy(*keys, F.col("virus_hit_score").alias("x")).agg(F.count("*").alias("n"))
-    asked = scores.filter(F.col(score).isNotNull()).select(*keys, F.col(score).alias("x")).distinct().withColumn("n", F.lit(0).cast("long"))
-    both = counted.unionByName(asked).groupBy(*keys, "x").agg(F.sum("n").alias("n"))
-    ranged = kept(both.repartitionByRange(*keys, "x").withColumn("range", F.spark_partition_id()))  # ranges are drawn anew whenever they are run
-    sums = ranged.groupBy(*keys, "range").agg(F.sum("n").alias("m"))
-    sums = sums.withColumn("before", F.coalesce(F.sum("m").over(over().orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum("m").over(over())).drop("m")
+    asked = scores.filter(F.col(f"`{score}`").isNotNull()).select(*keys, F.col(f"`{score}`").cast("double").alias(x)).distinct().withColumn(n, F.lit(0).cast("long"))
+    both = counted.unionByName(asked).groupBy(*keys, x).agg(F.sum(n).alias(n))
+    ranged = kept(both.repartitionByRange(*keys, x).withColumn(part, F.spark_partition_id()))  # ranges are drawn anew whenever they are run
+    sums = ranged.groupBy(*keys, part).agg(F.sum(n).alias(m))
+    sums = sums.withColumn(before, F.coalesce(F.sum(m).over(over().orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn(whole, F.sum(m).over(over())).drop(m)
+    sums = sums.withColumnsRenamed({k: own[k] for k in keys}).withColumnRenamed(part, own[x])
+    below = F.col(before) + F.sum(n).over(over(part).orderBy(x)) - F.col(n)
     # A row for each range and level.
-    below = F.col("before") + F.sum("n").over(over("range").orderBy("x")) - F.col("n")
-    ranks = ranged.join(F.broadcast(sums), [*keys, "range"]).select(*keys, F.col("x").alias(score), X.ieee_div(below + F.lit(0.5) * F.col("n"), F.col("all")).alias(into))
-    return scores.join(ranks, [*keys, score], "left").select(*scores.columns, into)
+    here = ranged.join(F.broadcast(sums), _equal(ranged, sums, [*((k, own[k]) for k in keys), (part, own[x])]))
+    ranks = here.select(*(F.col(f"`{k}`").alias(own[k]) for k in keys), F.col(x).alias(own[x]), X.ieee_div(below + F.lit(0.5) * F.col(n), F.col(whole)).alias(m))
+    joined = scores.join(ranks, _equal(scores, ranks, [*((k, own[k]) for k in keys), (score, own[x])]), "left")
+    return joined.select(*(F.col(f"`{c}`") for c in scores.columns if c != into), F.col(m).alias(into))
+
+
+def _equal(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
+    return reduce(lambda a, b: a & b, (left[f"`{a}`"].eqNullSafe(right[b]) for a, b in pairs))
 
 
 def predict_membership(aggregated: DataFrame, classes: DataFrame, samples: DataFrame, unit: Sequence[str] = ()) -> DataFrame:
     """(class_key, virus_name, class_name, membership_ratio, virus_hit_score, confidence_score, rank_in_virus).
 
     Viruses without a classified model vanish. Totals are rounded to six digits before they are ranked among the
-    samples, so that equal totals are equal whatever order they were summed in. Scores are worked out once and kept, as ranks read
-    them twice.
+    samples, so that equal totals are equal whatever order they were summed in. Scores are worked out once and kept, as totals are joined back to
+    them.
     """
     level = ["class_key"] if "class_key" in classes.columns else []
     virus = [*unit, *level, "virus_name"]
-    scored = verbs.group_total(class_scores(aggregated, classes, unit), virus, "class_score", "virus_hit_score")
+    scored = verbs.group_total(kept(class_scores(aggregated, classes, unit)), virus, "class_score", "virus_hit_score")
     ranked = scored.withColumn("rank_in_virus", F.row_number().over(Window.partitionBy(*virus).orderBy(F.desc("class_score"), "class_name")))
     ranked = ranked.withColumn("membership_ratio", X.membership_ratio(F.col("class_score"), F.col("virus_hit_score"))).withColumn("virus_hit_score", F.round("virus_hit_score", 6))
-    given = percentile_rank(kept(ranked), samples, "virus_hit_score", level)
+    given = percentile_rank(ranked, samples, "virus_hit_score", level)
     return given.select(*virus, "class_name", "membership_ratio", "virus_hit_score", "confidence_score", "rank_in_virus")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import shutil
 import subprocess
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cladeflow import schemas
-from cladeflow.plans.stages import kept, stage
+from cladeflow.plans.stages import Ledger, digest, entry_digest, fresh, kept, shared_folder
+from cladeflow.sources.files import Folder
 
 Argv = Callable[[str, str], Sequence[str]]
 
@@ -25,13 +27,32 @@ class ToolError(RuntimeError):
 
 
 def find_tool(name: str) -> str:
-    """The executable's path; an error before any work starts if there is none."""
+    """The executable's path on this machine."""
     found = shutil.which(name)
     if found is None:
         raise ToolError(f"executable not found: {name}")
     return found
 
 
+def probe_tool(spark: SparkSession, name: str) -> str:
+    """A digest of an executable as an executor has it; an error before any work starts if there is none."""
+
+    def look(batches):
+        for _ in batches:
+            path = shutil.which(name)
+            told = hashlib.sha256()
+            if path:
+                with open(path, "rb") as f:
+                    while block := f.read(1 << 20):
+                        told.update(block)
+            yield pd.DataFrame({"sha": [told.hexdigest() if path else None]})
+
+    (row,) = spark.range(1, numPartitions=1).mapInPandas(look, "sha string").collect()
+    if row["sha"] is None:
+        raise ToolError(f"executable not found: {name}")
+    return row["sha"]
+
+
 def chunk_sequences(sequences: DataFrame, size: int, order: Sequence[str], within: Sequence[str] = ("file",)) -> DataFrame:
     """Number each file's sequences in order and give every `size` of them a chunk_id.
 
@@ -40,21 +61,24 @@ def chunk_sequences(sequences: DataFrame, size: int, order: Sequence[str], withi
     """
     if size < 1:
         raise ValueError("a chunk has at least one sequence")
-    ranged = sequences.repartitionByRange(*within, *order).sortWithinPartitions(*within, *order).withColumn("_range", F.spark_partition_id())
+    if "chunk_id" in sequences.columns:
+        raise ValueError("sequences have a column chunk_id already")
+    taken = sequences.columns
+    part, n, before, own = fresh("_range", taken), fresh("_n", taken), fresh("_before", taken), [fresh(f"_in{i}", taken) for i in range(len(within))]
+    ranged = sequences.repartitionByRange(*within, *order).sortWithinPartitions(*within, *order).withColumn(part, F.spark_partition_id())
     ranged = kept(ranged)  # ranges are drawn anew whenever they are run
-    before = Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range and file
-    starts = ranged.groupBy(*within, "_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    starts = starts.select(F.col("_range").alias("_r"), "_before", *(F.col(c).alias(f"_in{i}") for i, c in enumerate(within)))
-    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_in{i}")) for i, c in enumerate(within)), F.col("_range") == F.col("_r"))
-    n = F.col("_before") + F.row_number().over(Window.partitionBy("_range", *within).orderBy(*order)) - 1
-    return ranged.join(starts, same).withColumn("chunk_id", F.floor(n / size).cast("long")).select(*sequences.columns, "chunk_id")
+    so_far = Window.partitionBy(*within).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row a range and file
+    starts = ranged.groupBy(*within, part).agg(F.count("*").alias(n)).withColumn(before, F.coalesce(F.sum(n).over(so_far), F.lit(0)))
+    starts = starts.select(F.col(part).alias(n), before, *(F.col(c).alias(o) for c, o in zip(within, own, strict=True)))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(o)) for c, o in zip(within, own, strict=True)), F.col(part) == F.col(n))
+    number = F.col(before) + F.row_number().over(Window.partitionBy(part, *within).orderBy(*order)) - 1
+    return ranged.join(starts, same).withColumn("chunk_id", F.floor(number / size).cast("long")).select(*(F.col(f"`{c}`") for c in taken), "chunk_id")
 
 
 def chunk_keys(chunks: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """(keys, chunk_key, n): a key of each chunk's content, whatever its order, and its number of entries."""
-    h = lambda seed: F.sum(F.xxhash64(F.lit(seed), *columns).cast("decimal(38,0)"))
-    text = F.concat_ws(":", F.count("*").cast("string"), h(0).cast("string"), h(1).cast("string"))
-    return chunks.groupBy(*keys).agg(F.sha2(text, 256).alias("chunk_key"), F.count("*").alias("n"))
+    """(keys, chunk_key, n): a SHA-256 of each chunk's sorted entry digests, so whatever its order, and its number of entries. A chunk fits one task."""
+    made = chunks.groupBy(*keys).agg(F.array_sort(F.collect_list(entry_digest(*columns))).alias("chunk_key"), F.count("*").alias("n"))
+    return made.withColumn("chunk_key", F.sha2(F.array_join("chunk_key", ","), 256))
 
 
 def write_chunk_files(chunks: DataFrame, path: str, keys: Sequence[str] = ("file", "chunk_id")) -> DataFrame:
@@ -81,6 +105,7 @@ def run_tool(argv: Argv, text: str, also: Sequence[str] = ()) -> list[str]:
         with open(source, "w") as f:
             f.write(text)
         command = list(argv(source, out))
+        command[0] = find_tool(command[0])
         try:
             done = subprocess.run(command, capture_output=True, text=True, check=False)
         except OSError as e:
@@ -97,14 +122,30 @@ def run_tool(argv: Argv, text: str, also: Sequence[str] = ()) -> list[str]:
         return found
 
 
-def pipe_tool(chunks: DataFrame, argv: Argv, parse: Callable[..., pd.DataFrame], schema: T.StructType | str, keys: Sequence[str] = ("chunk_id",), to_input: Callable[[pd.DataFrame], str] = fasta_text, also: Sequence[str] = ()) -> DataFrame:
+def pipe_tool(chunks: DataFrame, argv: Argv, parse: Callable[..., pd.DataFrame], schema: T.StructType | str, keys: Sequence[str] = ("chunk_id",), to_input: Callable[[pd.DataFrame], str] = fasta_text, also: Sequence[str] = (), told: bool = False) -> DataFrame:
     """Run a command once per chunk; rows that parse makes of its output, and of the files beside it with the endings in also, with the
-    chunk's keys in front. Chunks bound what a task holds."""
+    chunk's keys in front. Chunks bound what a task holds.
+
+    With told, rows are those of a ledger (see `stages.Ledger`): each chunk ends in a row that says it is done, or failed and why, and a failed
+    tool fails no job.
+    """
     kinds = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    whole = T.StructType([*(chunks.schema[k] for k in keys), *kinds.fields])
+    more = [T.StructField("note", T.StringType()), T.StructField("kind", T.StringType())] if told else []
+    whole = T.StructType([*(chunks.schema[k] for k in keys), *kinds.fields, *more])
+
+    def last(kind: str, note: str | None) -> pd.DataFrame:
+        return pd.DataFrame([{**dict.fromkeys(kinds.names), "note": note, "kind": kind}])
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = parse(*run_tool(argv, to_input(rows), also))[kinds.names]
+        try:
+            out = parse(*run_tool(argv, to_input(rows), also))[kinds.names]
+            if told:
+                done = last("done", None)
+                out = pd.concat([out.assign(note=None, kind="row").astype(object), done.astype(object)], ignore_index=True) if len(out) else done
+        except ToolError as e:
+            if not told:
+                raise
+            out = last("failed", str(e))
         for i, (name, value) in enumerate(zip(keys, key, strict=True)):
             out.insert(i, name, value)
         return out
@@ -144,44 +185,63 @@ def parse_tblout(text: str) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=schemas.HITS.names)
 
 
-def predict_genes(chunks: DataFrame, keys: Sequence[str] = ("chunk_id",), executable: str = "prodigal", procedure: str = "meta", mask: bool = False, genbank: bool = False) -> DataFrame:
+HIT_ROWS = T.StructType([*schemas.HITS.fields, T.StructField("line", T.LongType())])
+
+
+def predict_genes(chunks: DataFrame, keys: Sequence[str] = ("chunk_id",), executable: str = "prodigal", procedure: str = "meta", mask: bool = False, genbank: bool = False, told: bool = False) -> DataFrame:
     """Proteins (keys, name, seq_lines) that gene prediction finds in each chunk of genomes.
 
     With genbank there is a column of that name, and for each chunk one more row with the tool's GenBank text in it and no name.
     """
-    tool = find_tool(executable)
     options = ["-p", procedure, *(["-m"] if mask else [])]
     if not genbank:
-        return pipe_tool(chunks, lambda source, out: [tool, *options, "-i", source, "-a", out], parse_fasta, schemas.FASTA, keys)
+        return pipe_tool(chunks, lambda source, out: [executable, *options, "-i", source, "-a", out], parse_fasta, schemas.FASTA, keys, told=told)
 
     def both(proteins: str, text: str) -> pd.DataFrame:
         found = parse_fasta(proteins)
         found["genbank"] = None
         return pd.concat([found, pd.DataFrame({"name": [None], "seq_lines": [None], "genbank": [text]})], ignore_index=True)
 
-    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in _fields(schemas.FASTA)), T.StructField("genbank", T.StringType())])
-    return pipe_tool(chunks, lambda source, out: [tool, *options, "-i", source, "-a", out, "-o", out + ".gbk"], both, schema, keys, also=(".gbk",))
+    return pipe_tool(chunks, lambda source, out: [executable, *options, "-i", source, "-a", out, "-o", out + ".gbk"], both, gene_rows(True), keys, also=(".gbk",), told=told)
 
 
-def _fields(schema: T.StructType | str) -> list[T.StructField]:
-    return (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+def gene_rows(genbank: bool) -> T.StructType:
+    return T.StructType([*schemas.FASTA.fields, *([T.StructField("genbank", T.StringType())] if genbank else [])])
 
 
-def search_profiles(proteins: DataFrame, models: str, keys: Sequence[str] = ("chunk_id",), executable: str = "hmmsearch") -> DataFrame:
-    """Hits of each chunk's proteins against a model file, which is shipped to every executor once."""
+def search_profiles(proteins: DataFrame, models: str, keys: Sequence[str] = ("chunk_id",), executable: str = "hmmsearch", told: bool = False) -> DataFrame:
+    """Hits of each chunk's proteins against a model file, with their line among the chunk's hits. The file is shipped to every executor once, under a name that its content
+    gives, so that a changed one is shipped anew."""
     from pyspark import SparkFiles
 
-    tool, name = find_tool(executable), models.rsplit("/", 1)[-1]
-    proteins.sparkSession.sparkContext.addFile(models)
-    return pipe_tool(proteins, lambda source, out: [tool, "--tformat", "FASTA", "--cpu", "1", "--tblout", out, SparkFiles.get(name), source], parse_tblout, schemas.HITS, keys)
+    spark = proteins.sparkSession
+    folder = Folder(spark, models)
+    name = f"models-{folder.sha256(models)}"
+    shipped = f"{shared_folder(spark)}/{name}"
+    if not Folder(spark, shipped).exists(shipped):
+        folder.copy(models, shipped)
+    spark.sparkContext.addFile(shipped)
+
+    def hits(text: str) -> pd.DataFrame:
+        return parse_tblout(text).reset_index(names="line")
 
+    return pipe_tool(proteins, lambda source, out: [executable, "--tformat", "FASTA", "--cpu", "1", "--tblout", out, SparkFiles.get(name), source], hits, HIT_ROWS, keys, told=told)
 
-def search_genome_hits(spark: SparkSession, genomes: DataFrame, models: str, work_dir: str, key: str, size: int = 1, order: Sequence[str] = ("name",), prodigal: str = "prodigal", hmmsearch: str = "hmmsearch", procedure: str = "meta", mask: bool = False, genbank: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(proteins, hits) of all genomes, each a stage that is skipped when it was finished. With genbank, the stage "proteins" holds the
-    GenBank texts too (see `predict_genes`)."""
+
+def search_genome_hits(spark: SparkSession, genomes: DataFrame, models: str, work_dir: str, size: int = 1, order: Sequence[str] = ("name",), prodigal: str = "prodigal", hmmsearch: str = "hmmsearch", procedure: str = "meta", mask: bool = False, genbank: bool = False, each: int = 10_000) -> tuple[DataFrame, DataFrame, dict]:
+    """(proteins, hits, what they were made from) of all genomes, both with the chunk_key of their chunk.
+
+    Gene prediction and search each keep a ledger of chunks, by content, below the work directory: one for each tool, set of options and model file. Chunks
+    that a ledger has are not run again, in this run or any later one, whatever genomes they came with. Chunks of the same content are one. With
+    genbank, the ledger of proteins holds the GenBank texts too (see `predict_genes`).
+    """
+    genes = {"tool": probe_tool(spark, prodigal), "procedure": procedure, "mask": mask, "genbank": genbank}
+    search = {"genes": genes, "tool": probe_tool(spark, hmmsearch), "models": Folder(spark, models).sha256(models)}
     chunks = chunk_sequences(genomes, size, order)
-    keys = ("file", "chunk_id")
-    name = "proteins" + (f"-{procedure}" if procedure != "meta" else "") + ("-masked" if mask else "") + ("-genbank" if genbank else "")
-    proteins = stage(spark, work_dir, key, name, lambda: predict_genes(chunks, keys, prodigal, procedure, mask, genbank))
+    named = chunk_keys(chunks, ("file", "chunk_id"), ["name", "seq_lines"])
+    one = named.groupBy("chunk_key").agg(F.min(F.struct("file", "chunk_id")).alias("one")).select("chunk_key", "one.*")
+    ready = kept(chunks.join(one, ["file", "chunk_id"]).select("chunk_key", "name", "seq_lines"))
+    proteins = Ledger(spark, f"{work_dir}/proteins/{digest(genes)}", gene_rows(genbank)).run(ready, lambda some: predict_genes(some, ("chunk_key",), prodigal, procedure, mask, genbank, told=True), each)
     proteins = proteins.filter("name is not null").drop("genbank")
-    return proteins, stage(spark, work_dir, key, name.replace("proteins", "search"), lambda: search_profiles(proteins, models, keys, hmmsearch))
+    hits = Ledger(spark, f"{work_dir}/search/{digest(search)}", HIT_ROWS).run(proteins, lambda some: search_profiles(some, models, ("chunk_key",), hmmsearch, told=True), each)
+    return proteins, hits, {"size": size, "order": list(order), "search": search}

@@ -11,43 +11,68 @@ from pyspark.sql import types as T
 
 from cladeflow import schemas
 from cladeflow.functions.columns import accession
+from cladeflow.sources import lines
 
-BAD = "_bad_row"
+# How numbers are written.
+NUMBERS = {
+    T.IntegerType: r"^[+-]?[0-9]+$", T.LongType: r"^[+-]?[0-9]+$",
+    T.DoubleType: r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^(NaN|[+-]?Infinity)$",
+}
 
 
-def _is_bad(schema: T.StructType) -> Column:
-    """Whether a row is bad, in a form that has every column parsed: a value that isn't asked for isn't checked."""
-    return F.col(BAD).isNotNull() & (F.hash(*schema.names) >= -(2**31))
+def _typed(token: Column, kind: T.DataType) -> Column:
+    """A token's value, null if it has none of that type; no text is null, the empty one neither."""
+    if isinstance(kind, T.StringType):
+        return F.coalesce(token, F.lit(""))
+    written = NUMBERS.get(type(kind))
+    return (F.when(token.rlike(written), token) if written else token).try_cast(kind)
+
+
+def _parsed(spark: SparkSession, path: str, schema: T.StructType, sep: str, header: bool, comment: str | None) -> DataFrame:
+    """(file, row, good, typed columns as a struct) of each line but headers and comments.
+
+    A line is split at separators outside quotes; a quote inside quotes is doubled. It is good if it has as many tokens as there
+    are columns and each is written as its column's type. Lines are read whole, blank ones too.
+    """
+    if header:
+        rows = lines.numbered(spark, path).filter("not (block = 0 and at = 0)").select("value", "file")
+    else:
+        rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    if comment:
+        rows = rows.filter(~F.col("value").startswith(comment))
+    names = [f"c{i}" for i in range(len(schema.fields))]
+    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    tokens = F.from_csv("value", ", ".join(f"{n} string" for n in [*names, "bad"]), options)
+    values = [_typed(F.col(f"t.{n}"), f.dataType).alias(f.name) for n, f in zip(names, schema.fields, strict=True)]
+    typed = rows.withColumn("t", tokens).select("file", F.col("value").alias("row"), F.col("t.bad").alias("bad"), F.struct(*values).alias("v"))
+    alone = len(names) == 1 and isinstance(schema.fields[0].dataType, T.StringType)  # a blank line is its one, empty text
+    whole = reduce(lambda a, f: a & F.col(f"v.`{f.name}`").isNotNull(), schema.fields, F.lit(alone) | (F.length("row") > 0) & F.col("bad").isNull())
+    return typed.select("file", "row", whole.alias("good"), "v")
 
 
 def read_dsv(spark: SparkSession, path: str, schema: T.StructType, sep: str = "\t", header: bool = True, comment: str | None = None) -> DataFrame:
-    """Typed columns by position; header names are skipped, and the first bad row fails the job.
+    """Typed columns by position; header names are skipped, and the first bad row fails the job, also where a query uses no column.
 
-    Columns are checked even where a query doesn't use them: a pruned reader passes bad rows by.
+    Bad are blank lines, lines of too few or too many values, and values that aren't written as their type, such as empty numbers.
     """
-    rows, _ = read_dsv_either(spark, path, schema, sep, header, comment)
-    bad = _is_bad(schema)
-    checked = [F.when(bad, F.raise_error(F.concat(F.lit(f"{path}: bad row for {', '.join(schema.names)}: "), F.col(BAD))).cast(f.dataType)).otherwise(F.col(f.name)).alias(f.name) for f in schema.fields]
-    return rows.select(*checked)
+    rows = _parsed(spark, path, schema, sep, header, comment)
+    told = F.concat(F.col("file"), F.lit(f": bad row (expected columns {', '.join(schema.names)}, separated by {sep!r}): "), F.col("row"))
+    return rows.filter(F.when(F.col("good"), True).otherwise(F.raise_error(told).cast("boolean"))).select("v.*")
 
 
 def read_dsv_either(spark: SparkSession, path: str, schema: T.StructType, sep: str = "\t", header: bool = True, comment: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """All rows (with the column _bad_row, null for good ones), and (file, row, expected) of the bad ones."""
-    whole = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
-    options = {"sep": sep, "header": header, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD, "enforceSchema": True, "columnPruning": False}
-    reader = spark.read.schema(whole).options(**options)
-    rows = (reader.option("comment", comment) if comment else reader).csv(path)
-    rows = rows.select("*", F.col("_metadata.file_path").alias("_file"))
-    bad = rows.filter(_is_bad(schema)).select(F.col("_file").alias("file"), F.col(BAD).alias("row"), F.lit(", ".join(schema.names)).alias("expected"))
-    return rows.drop("_file"), bad
+    """Good rows, and (file, row, expected, sep) of the bad ones (see `read_dsv`)."""
+    rows = _parsed(spark, path, schema, sep, header, comment)
+    bad = rows.filter(~F.col("good")).select("file", "row", F.lit(", ".join(schema.names)).alias("expected"), F.lit(sep).alias("sep"))
+    return rows.filter("good").select("v.*"), bad
 
 
 def read_tokens(spark: SparkSession, path: str, schema: T.StructType, tokens: Callable[[Column], Column], is_comment: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """Good rows and bad rows (file, row) of a text whose lines `tokens` splits into an array of texts."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
     if is_comment is not None:
-        lines = lines.filter(~is_comment(F.col("value")))
-    split = lines.withColumn("t", tokens(F.col("value")))
+        rows = rows.filter(~is_comment(F.col("value")))
+    split = rows.withColumn("t", tokens(F.col("value")))
     for i, f in enumerate(schema.fields):
         split = split.withColumn(f.name, F.try_element_at("t", F.lit(i + 1)).try_cast(f.dataType))
     whole = reduce(lambda a, f: a & F.col(f.name).isNotNull(), schema.fields, F.size("t") >= len(schema.fields))
@@ -91,16 +116,16 @@ def load_index(spark: SparkSession, path: str) -> tuple[list[tuple[str, str, str
 
     Only nested mappings of plain texts are understood. Paths are relative to the index's own folder.
     """
-    lines = [r["value"] for r in spark.read.text(path, wholetext=True).limit(1).collect()]
+    text = [r["value"] for r in spark.read.text(path, wholetext=True).limit(1).collect()]
     found: dict = {}
     open_maps: list[tuple[int, dict]] = [(-1, found)]
-    for line in "".join(lines).splitlines():
-        text = line.split(" #")[0].rstrip()
-        if not text.strip() or text.lstrip().startswith("#") or text.strip() == "---":
+    for line in "".join(text).splitlines():
+        told = line.split(" #")[0].rstrip()
+        if not told.strip() or told.lstrip().startswith("#") or told.strip() == "---":
             continue
-        key, colon, value = text.strip().partition(":")
-        indent = len(text) - len(text.lstrip())
-        if not colon or "\t" in text[:indent]:
+        key, colon, value = told.strip().partition(":")
+        indent = len(told) - len(told.lstrip())
+        if not colon or "\t" in told[:indent]:
             raise IndexFormatError(f"{path}: not understood: {line!r}")
         while open_maps[-1][0] >= indent:
             open_maps.pop()

@@ -3,21 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cladeflow import schemas
 from cladeflow.plans.scoring import predict_membership
 
 
-def stream_predictions(spark: SparkSession, arriving: str, out: str, checkpoint: str, classes: DataFrame, samples: DataFrame, sep: str = "\t") -> StreamingQuery:
-    """Predict each arriving file set and write it under its batch number.
+def stream_predictions(spark: SparkSession, arriving: str, out: str, checkpoint: str, classes: DataFrame, samples: DataFrame, sep: str = "\t", files_at_once: int | None = None) -> StreamingQuery:
+    """Predict each arriving file by itself: (file and the columns of predictions), in a folder of `out` for each file.
 
-    A file is a unit of its own; there is no state across files. A batch that is run again overwrites
-    what it wrote before, so that every file counts once. Read the folder `out` for all predictions.
+    A file is a unit: scores, totals and ranks are its own, whatever files come in one batch with it. Its folder is named by a digest of
+    its path and is replaced whole, so that a batch that is run again leaves each file's rows once. Read the folder `out` for all predictions.
     """
-    rows = spark.readStream.schema(schemas.AGGREGATED_HITS).option("sep", sep).option("header", True).csv(arriving)
+    stream = spark.readStream.schema(schemas.AGGREGATED_HITS).option("sep", sep).option("header", True).option("quote", '"').option("escape", '"').option("recursiveFileLookup", True)
+    if files_at_once:
+        stream = stream.option("maxFilesPerTrigger", files_at_once)
+    rows = stream.csv(arriving).select("*", F.col("_metadata.file_path").alias("file"))
 
     def write(batch: DataFrame, number: int) -> None:
-        predict_membership(batch, classes, samples).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        found = predict_membership(batch, classes, samples, ("file",)).withColumn("file_key", F.sha2("file", 256))
+        found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file_key").parquet(out)
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
