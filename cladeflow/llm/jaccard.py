@@ -296,13 +296,22 @@ def all_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_links(docs, k=3, percent=90)
 
 
-SQL = """WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+_SETS = """d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 g AS (SELECT doc_id, w[i:i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3) UNION ALL SELECT doc_id, w FROM d WHERE len(w) IN (1, 2)),
 s AS (SELECT DISTINCT doc_id, md5(array_to_string(g, ' ')) AS g FROM g),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),"""
+_LINKS = """links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*)))"""
+SQL = f"""WITH RECURSIVE {_SETS}
 t AS (SELECT doc_id, g, n FROM s JOIN n USING (doc_id)),
-links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n
-  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+{_LINKS},
 r AS (SELECT doc_id AS a, doc_id AS c FROM d UNION SELECT r.a, links.b FROM r JOIN links ON r.c = links.a),
 k AS (SELECT a AS doc_id, min(c) AS component_id FROM r GROUP BY a)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d LEFT JOIN n USING (doc_id) JOIN k USING (doc_id)"""
+
+
+SQL_LINKS = f"""WITH {_SETS}
+c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS class_id FROM (SELECT doc_id, md5(string_agg(g, '' ORDER BY g)) AS h FROM s GROUP BY doc_id)),
+t AS (SELECT doc_id, g, n FROM s JOIN n USING (doc_id) JOIN c USING (doc_id) WHERE doc_id = class_id),
+{_LINKS}
+SELECT a, b FROM links WHERE a < b"""

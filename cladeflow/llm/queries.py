@@ -30,6 +30,7 @@ SQL: dict[str, str] = {
     "op6_cross_entropy_difference": lm_score.SQL,
     "op7_hierarchical_mix": mixing.SQL,
     "op9_jaccard_join": jaccard.SQL,
+    "jaccard_links": jaccard.SQL_LINKS,
     "op11_html_main_text": html.SQL,
     "op13_phrase_collocations": phrases.SQL,
 }

@@ -455,6 +455,28 @@ def test_empty_tables(spark, none, sf, tmp_path):
     assert token_files.scan_token_files(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_forest_by_definition_and_on_held_out_rows(spark):
+    """Scores are 2 ** -(mean path / expected path), walked here row by row; fitted on half of the labelled rows, the verdict tells the labels of the other half."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    forest, cut = quality.fit_forest(docs, labels.filter("doc_id % 2 = 0"))
+    held = docs.join(labels.filter("doc_id % 2 = 1"), "doc_id").select("text", "quality").collect()
+    shares = quality.statistics([r.text.encode() for r in held])[1]
+    depth = lambda n: 0.0 if n < 2 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
+    for row, score in zip(shares[:40], forest.scores(shares[:40]), strict=True):
+        x = [math.log1p(max(v - h, lo - v, 0) / s) for v, h, lo, s in zip(row, forest.high, forest.low, forest.scale, strict=True)]
+        paths = []
+        for t in range(quality.TREES):
+            node = 0
+            while forest.feature[t, node] >= 0:
+                node = 2 * node + (2 if x[forest.feature[t, node]] >= forest.cut[t, node] else 1)
+            paths.append(forest.path[t, node])
+        assert score == pytest.approx(2 ** -(sum(paths) / len(paths) / depth(quality.TREE_ROWS)))
+    kept = [not brute.rules(r.text)[5] and s < cut for r, s in zip(held, forest.scores(shares), strict=True)]
+    rate = lambda y: sum(k for k, r in zip(kept, held, strict=True) if r.quality == y) / sum(r.quality == y for r in held)
+    assert rate(1) > 0.9 and rate(0) < 0.05
+
+
 def test_smaller_positions():
     r = random.Random(8)
     for _ in range(50):

@@ -91,4 +91,41 @@ def test_packing_stage(kept):
 def test_run_and_queries(spark, sf, kept):
     assert corpus_pipeline.run(spark, sf).agg({"length": "sum"}).head()[0] == sum(r.length for r in kept[5])
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality rules"
-    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES if q.startswith("op")) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES if q.startswith("op")) == list(range(1, 14))
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, rules string, kept int, rest string, pid int, mix_epoch int, id long, z string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, repeated rows and ids, empty texts, and columns with names that stages use themselves."""
+    word = lambda i, k: " ".join(f"w{(i * 7 + j * j) % (50 + k)}x{j}" for j in range(120))
+    rows = [(1, word(1, 0), "en", "s1"), (2, word(2, 1), None, "s2"), (3, word(3, 2), "de", None), (None, word(1, 0), "en", "s1"), (None, None, None, None), (4, None, "en", "s1"), (5, "", "en", "s2"), (5, " \n", "en", "s2"),
+            (6, word(1, 0) + " tail", "en", "s1"), (7, word(2, 1), "en", "s1"), (7, word(4, 4), "en", "s1"), (8, word(5, 3) + " " + word(3, 2)[:600], None, None), (2, word(2, 1), None, "s2")]
+    return spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), "r", i, None, 3, 9, i, "z") for i, r in enumerate(rows)], ODD).repartition(3)
+
+
+def test_stages_on_odd_rows(spark, sf, odd):
+    """Each stage keeps the columns as they are and treats nulls, repeats and empty texts as its docstring says; empty tables stay empty."""
+    mark = lambda df: sorted(r["kept"] for r in df.collect())
+    rows = {r["kept"]: r for r in odd.collect()}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, odd, sf)
+        assert made.columns == odd.columns and [f.dataType for f in made.schema.fields] == [f.dataType for f in odd.schema.fields]
+        assert stage(spark, odd.limit(0), sf).count() == 0
+    fails = {k for k, r in rows.items() if not (r.text or "").strip()}
+    assert not fails & set(mark(corpus_pipeline.keep_quality(spark, odd, sf)))
+    near = mark(corpus_pipeline.drop_near_duplicates(spark, odd, sf))
+    assert {3, 4, 5} <= set(near)  # no id, or no text: like no other
+    assert 8 not in near and sum(k in near for k in (1, 12)) == 1 and not {9, 10} & set(near)  # 7 is a copy of 2, whichever of its rows is
+    cut = {r["kept"]: r for r in corpus_pipeline.cut_repeats(spark, odd, sf).collect()}
+    assert set(cut) == set(rows)
+    for k in (0, 1, 2, 3, 4, 5, 6, 7, 12):
+        assert cut[k] == rows[k]
+    assert (cut[8].text, cut[8].n_chars) == ("tail", 4) and cut[9].text == ""
+    mixed = corpus_pipeline.mix(spark, odd, sf).collect()
+    assert {r["kept"] for r in mixed} <= set(rows) and all(rows[r["kept"]] == r for r in mixed)
+    pieces = corpus_pipeline.pack(spark, odd, sf).collect()
+    assert sum(r.length for r in pieces if r.doc_id == 4) == 1 and sum(r.length for r in pieces if r.doc_id == 5) > 1
+    assert corpus_pipeline.pack(spark, odd.limit(0), sf).count() == 0
