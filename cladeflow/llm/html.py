@@ -89,6 +89,9 @@ def _names(attributes: str) -> tuple[str, frozenset, bool]:
     return label, words, hidden
 
 
+_NAMELESS = ("||", frozenset(), False)
+
+
 def events(page: str) -> Iterator[tuple]:
     """Tokens of a page in order: ("tag", code, parent) for starts and ends of elements, ("text", code, parent, text, element, share of link text) for blocks.
 
@@ -101,7 +104,8 @@ def events(page: str) -> Iterator[tuple]:
 
     def block():
         nonlocal parts, linked, holder
-        text = " ".join(entities.unescape("".join(parts)).split())
+        text = "".join(parts)
+        text = " ".join((entities.unescape(text) if "&" in text else text).split())
         found = None
         if text and holder is not None:
             found = ("text", _text_code(holder.role, text), holder.role, text, holder, min(1.0, linked / len(text)))
@@ -123,69 +127,89 @@ def events(page: str) -> Iterator[tuple]:
 
     def drop(k: int) -> Iterator[tuple]:
         """Close the elements from the k-th on."""
-        if any(not e.inline for e in stack[k:]) and (b := block()):
+        if k >= len(stack):
+            return
+        if parts and (k < len(stack) - 1 or not stack[k].inline) and any(not e.inline for e in stack[k:]) and (b := block()):
             yield b
         while len(stack) > k:
             role = stack.pop().role
             yield ("tag", _code(role, "/"), role)
 
+    def last(tags) -> int | None:
+        return next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag in tags), None)
+
+    search, paragraphs, in_head = _TOKEN.search, 0, False
     while at < n:
-        m = _TOKEN.search(page, at)
+        m = search(page, at)
         if m is None:
             words(page[at:])
             break
-        words(page[at : m.start()])
-        at = m.end()
+        begin, end = m.span()
+        if begin > at:
+            words(page[at:begin])
+        at = end
         tag = m[2] or m[5]
         if tag is None:
-            if m[0].startswith("<![CDATA["):
+            if page.startswith("<![CDATA[", begin):
                 words(entities.escape(m[0][9:].removesuffix("]]>")))
             continue
-        tag, ending, attributes = tag.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
-        if ending:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), None)
+        tag = tag.lower()
+        if m[1] or m[4]:
+            if stack and stack[-1].tag == tag:
+                k = len(stack) - 1
+            else:
+                k = last((tag,))
             if k is not None:
                 yield from drop(k)
-            elif tag in ("p", "br"):
-                if b := block():
-                    yield b
-            continue
-        if tag in VOID and tag != "wbr" and tag != "img":
-            parts.append(" ")
+            elif tag in ("p", "br") and (b := block()):
+                yield b
             continue
         if tag in VOID:
+            if tag != "wbr" and tag != "img":
+                parts.append(" ")
             continue
-        if tag == "body" or (tag not in OUT and tag not in INLINE and tag != "html"):
-            k = next((i for i, e in enumerate(stack) if e.tag == "head"), None)
-            if k is not None:
-                yield from drop(k)
-        if tag in CLOSES_P:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag in ("p", "button", "td", "th", "caption", "object")), None)
-            if k is not None and stack[k].tag == "p":
+        inline = tag in INLINE
+        if in_head and (tag == "body" or not (inline or tag in OUT or tag == "html")):
+            in_head = False
+            if (k := last(("head",))) is not None:
                 yield from drop(k)
-        if tag in CLOSED_BY:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag in SCOPES[tag]:
-                    break
-                if stack[i].tag in CLOSED_BY[tag]:
-                    yield from drop(i)
-        if tag not in INLINE and (b := block()):
-            yield b
-        label, names, hidden = _names(attributes)
+        if not inline:
+            if tag in CLOSES_P and paragraphs:
+                k = last(("p", "button", "td", "th", "caption", "object"))
+                if k is not None and stack[k].tag == "p":
+                    yield from drop(k)
+            if tag in CLOSED_BY:
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i].tag in SCOPES[tag]:
+                        break
+                    if stack[i].tag in CLOSED_BY[tag]:
+                        yield from drop(i)
+            if parts and (b := block()):
+                yield b
+        attributes = m[3] or m[6] or ""
+        label, names, hidden = _names(attributes) if attributes else _NAMELESS
         up = stack[-1] if stack else None
-        element = Element(tag, up, _code(up.role if up else 0, f"{tag} {label}"), names, hidden)
-        yield ("tag", element.role, up.role if up else 0)
+        above = up.role if up else 0
+        element = Element(tag, up, _code(above, f"{tag} {label}"), names, hidden)
+        yield ("tag", element.role, above)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
-            at = end.end() if end else n
+            ended = _ends(tag).search(page, at)
+            at = ended.end() if ended else n
             yield ("tag", _code(element.role, "/"), element.role)
         elif not attributes.rstrip().endswith("/") or tag not in ("svg", "math"):
             stack.append(element)
+            paragraphs += tag == "p"  # how many there were; none needs no look
+            in_head = in_head or tag == "head"
     yield from drop(0)
     if b := block():
         yield b
 
 
+@lru_cache
+def _ends(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I)
+
+
 def _text_code(role: int, text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=7, key=role.to_bytes(8, "little")).digest(), "little") | 1 << 62
 

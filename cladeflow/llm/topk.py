@@ -7,11 +7,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import kernels as K
+
 PIVOTS = 64
 SAMPLE = 4096  # vectors of each length that pivots and first thresholds are taken from
 LENGTHS = 1000  # lengths of vectors, the most frequent, that have pivots; others are compared without
 BLOCK, QUERY_BLOCK = 1 << 16, 1 << 14  # vectors that meet in one task, at most about
-LEAST_BLOCK = 2048
 STEP = 512  # candidates evaluated before the first look at the bound; each step is twice the one before
 MOST = 2**63 - 1
 
@@ -88,18 +89,52 @@ def search(queries: tuple[np.ndarray, ...], data: tuple[np.ndarray, ...], k: int
     return out, evaluated
 
 
+class Cell:
+    """The vectors nearest to one pivot: how many there are, the range of their distances to each pivot, and their greatest square."""
+
+    def __init__(self, n: int = 0, q: int = 0, square: float = -np.inf, low: np.ndarray | None = None, high: np.ndarray | None = None):
+        self.n, self.q, self.square, self.low, self.high = n, q, square, low, high
+
+
+def needed(q: np.ndarray, qp: np.ndarray, least: np.ndarray, cells: list[Cell]) -> np.ndarray:
+    """Which cells (columns) may hold any of the k best of which queries (rows): those whose bound doesn't fall below the query's first threshold."""
+    out, q2 = np.zeros((len(q), len(cells)), bool), (q * q).sum(1)
+    for c, cell in enumerate(cells):
+        if cell.n and cell.low is not None and len(cell.low):
+            far = np.maximum(np.maximum(cell.low - qp, qp - cell.high), 0).max(1)
+            far = np.maximum(far * (1 - 1e-9) - 1e-3, 0)
+            out[:, c] = (q2 + cell.square - far * far) / 2 * (1 + 1e-12) + 1e-3 >= least
+        else:
+            out[:, c] = cell.n > 0
+    return out
+
+
+def query_blocks(cells: list[Cell], size: int) -> list[tuple[int, int]]:
+    """For each cell the first block of its queries, and how many blocks there are for them: small cells share one, large ones have several."""
+    out, block, room = [], -1, 0
+    for cell in cells:
+        parts = -(-cell.q // size)
+        if parts > 1:
+            out.append((block + 1, parts))
+            block, room = block + parts, 0
+        else:
+            if cell.q > room:
+                block, room = block + 1, size
+            out.append((max(block, 0), 1))
+            room -= cell.q
+    return out
+
+
+MEASURED = "id long, v array<double>, is_query boolean, dim int, p array<double>, least double, cell int, square double"
+
+
 def _met(vectors: DataFrame, is_query: Column, k: int, id_col: str, vector_col: str, report: bool) -> DataFrame:
-    """(query_id, vec_id, score) of block pairs; for a report instead (query_id, candidates, evaluated)."""
-    spark = vectors.sparkSession
+    """(query_id, vec_id, score) of block pairs; for a report instead (query_id, met, evaluated)."""
     v = F.col(f"`{vector_col}`")
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.cast("array<double>").alias("v"), is_query.alias("is_query"))
     rows = rows.filter(F.col("id").isNotNull() & F.col("v").isNotNull()).filter(F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x))).withColumn("dim", F.size("v"))
-    sizes = rows.groupBy("dim").agg(F.count("*").alias("n"), F.sum(F.col("is_query").cast("long")).alias("q"))
-    whole = sizes.agg(F.sum("n").alias("n"), F.sum("q").alias("q")).head()
+    sizes = rows.groupBy("dim").agg(F.count("*").alias("n"))
     common = [r["dim"] for r in sizes.orderBy(F.desc("n"), "dim").limit(LENGTHS).collect()]
-    total, asked = whole["n"] or 0, whole["q"] or 0
-    nd = max(-(-total // BLOCK), min(2 * spark.sparkContext.defaultParallelism, -(-total // LEAST_BLOCK)), 1)
-    nq = max(1, -(-asked // QUERY_BLOCK))
     # At most SAMPLE rows in all come to the driver, shared out among the most frequent lengths.
     each = max(1, SAMPLE // max(1, len(common)))
     ranked = rows.filter(F.col("dim").isin(common)).groupBy("dim", F.pmod(F.xxhash64("id"), F.lit(each)).alias("slot")).agg(F.min(F.struct(F.xxhash64("id", F.lit(1)), "id", "v")).alias("s"))
@@ -113,39 +148,111 @@ def _met(vectors: DataFrame, is_query: Column, k: int, id_col: str, vector_col:
         for b in batches:
             ids, dims, asks = (np.asarray(b.column(c)) for c in (0, 3, 2))
             flat, start = np.asarray(b.column(1).flatten()), np.r_[0, np.cumsum(dims)]
-            out, least = [np.zeros(0)] * len(ids), np.full(len(ids), -np.inf)
+            ends = np.r_[0, np.cumsum([len(pivots[d]) if d in pivots else 0 for d in dims.tolist()])].astype(np.int64)
+            far, least, cell, square = np.zeros(ends[-1]), np.full(len(ids), -np.inf), np.zeros(len(ids), np.int32), np.full(len(ids), np.inf)
             for d in np.unique(dims).tolist():
                 some = np.flatnonzero(dims == d)
                 w = whole_numbers(flat[start[some][:, None] + np.arange(d)]) if d else np.zeros((len(some), 0))
-                if d in pivots and exactly(w, known[d][1]):
-                    for i, p in zip(some.tolist(), distances(w, pivots[d]), strict=True):
-                        out[i] = p
-                    mine, (sid, s) = np.flatnonzero(asks[some] == True), known[d]  # noqa: E712
-                    for i in mine.tolist() if len(s) > k else ():
-                        scores = (s @ w[i])[sid != ids[some[i]]]
-                        if len(scores) >= k:
-                            least[some[i]] = np.partition(scores, len(scores) - k)[len(scores) - k]
-                else:
-                    for i in some.tolist():
-                        out[i] = np.zeros(len(pivots[d]) if d in pivots else 0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.float64())), pa.array(least)], ["id", "v", "is_query", "dim", "p", "least"])
-
-    table = rows.mapInArrow(measure, "id long, v array<double>, is_query boolean, dim int, p array<double>, least double")
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asking = table.filter("is_query").groupBy("id").agg(F.min(F.struct("v", "dim", "p", "least")).alias("s")).select("id", "s.*")
-    queries = asking.select("id", "v", "p", "dim", "least", block(nq).alias("qb"), every(nd).alias("db"))
-    data = table.select("id", "v", "p", "dim", every(nq).alias("qb"), block(nd).alias("db"))
-    names = ("query_id", "candidates", "evaluated") if report else ("query_id", "vec_id", "score")
+                square[some] = (w * w).sum(1)
+                if d not in pivots or not len(pivots[d]):
+                    continue
+                sid, s = known[d]
+                if not exactly(w, s):  # compared whole, in a cell that is always met
+                    far[ends[some][:, None] + np.arange(len(pivots[d]))], square[some] = np.nan, np.inf
+                    continue
+                p = distances(w, pivots[d])
+                far[ends[some][:, None] + np.arange(p.shape[1])], cell[some] = p, p.argmin(1)
+                mine = np.flatnonzero(asks[some] == True) if len(s) > k else ()  # noqa: E712
+                for at in range(0, len(mine), 256):
+                    part = mine[at : at + 256]
+                    scores = w[part] @ s.T
+                    scores[ids[some[part]][:, None] == sid[None]] = -np.inf
+                    least[some[part]] = np.partition(scores, len(s) - k, axis=1)[:, len(s) - k]
+            told = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(far))
+            yield pa.RecordBatch.from_arrays([*b.columns, told, pa.array(least), pa.array(cell), pa.array(square)], ["id", "v", "is_query", "dim", "p", "least", "cell", "square"])
+
+    def ranges(batches):
+        """Of each cell what `Cell` holds, a row a task and pivot (and one without)."""
+        held: dict[tuple[int, int], Cell] = {}
+        for b in batches:
+            dims, cells, asks, square = (np.asarray(b.column(c)) for c in (0, 1, 2, 4))
+            p, starts = np.asarray(b.column(3).flatten()), np.asarray(b.column(3).offsets)
+            for d, c in {*zip(dims.tolist(), cells.tolist(), strict=True)}:
+                some = np.flatnonzero((dims == d) & (cells == c))
+                width = int(starts[some[0] + 1] - starts[some[0]])
+                far = p[(starts[some] - starts[0])[:, None] + np.arange(width)]
+                old = held.setdefault((d, c), Cell(low=np.full(width, np.inf), high=np.full(width, -np.inf)))
+                whole = ~np.isnan(far).any(1)
+                if not whole.all():
+                    old.low[:], old.high[:] = -np.inf, np.inf
+                old.n, old.q, old.square = old.n + len(some), old.q + int((asks[some] == True).sum()), max(old.square, float(square[some].max()))  # noqa: E712
+                if whole.any():
+                    old.low, old.high = np.minimum(old.low, far[whole].min(0)), np.maximum(old.high, far[whole].max(0))
+        for (d, c), x in held.items():
+            n = len(x.low)
+            yield pa.RecordBatch.from_arrays([pa.array([d] * (n + 1), pa.int32()), pa.array([c] * (n + 1), pa.int32()), pa.array(np.arange(-1, n, dtype=np.int32)), pa.array([x.n] + [0] * n, pa.int64()), pa.array([x.q] + [0] * n, pa.int64()), pa.array(np.r_[x.square, x.low]), pa.array(np.r_[x.square, x.high])], ["dim", "cell", "pos", "n", "q", "low", "high"])
+
+    kept = rows.mapInArrow(measure, MEASURED)
+    told = kept.select("dim", "cell", "is_query", "p", "square").mapInArrow(ranges, "dim int, cell int, pos int, n long, q long, low double, high double")
+    told = told.groupBy("dim", "cell", "pos").agg(F.sum("n").alias("n"), F.sum("q").alias("q"), F.min("low").alias("low"), F.max("high").alias("high"))
+    cells: dict[int, list[Cell]] = {}
+    for r in told.orderBy("dim", "cell", "pos").collect():  # PIVOTS rows and one for each cell, of which there are PIVOTS for each of LENGTHS lengths; lengths without pivots are one cell
+        here = cells.setdefault(r["dim"], [])
+        while len(here) <= r["cell"]:
+            here.append(Cell())
+        x = here[r["cell"]]
+        if r["pos"] < 0:
+            x.n, x.q, x.square, x.low, x.high = r["n"], r["q"], r["high"], [], []
+        else:
+            x.low.append(r["low"])
+            x.high.append(r["high"])
+    for x in (x for here in cells.values() for x in here if x.low is not None):
+        x.low, x.high = np.array(x.low), np.array(x.high)
+    parts = {d: [-(-x.n // BLOCK) for x in here] for d, here in cells.items()}
+    asked = {d: query_blocks(here, QUERY_BLOCK) for d, here in cells.items()}
+
+    def sent(batches):
+        """Queries, for each part of each cell that they need."""
+        for b in batches:
+            ids, dims, of = (np.asarray(b.column(c)) for c in (0, 3, 6))
+            for d in np.unique(dims).tolist():
+                some = np.flatnonzero(dims == d)
+                part = b.take(pa.array(some))
+                whole = pa.Table.from_batches([part])
+                q, qp = whole_numbers(_rows(whole, "v")), _rows(whole, "p")
+                qp = qp if qp.size else np.zeros((len(some), 0))
+                which = np.ones((len(some), len(cells[d])), bool) if np.isnan(qp).any() or np.isinf(np.asarray(part.column(7))).any() else needed(q, qp, np.asarray(part.column(5)), cells[d])
+                row, cell = np.nonzero(which & np.array([x.n > 0 for x in cells[d]]))
+                first, count = (np.array([asked[d][c][i] for c in of[some].tolist()]) for i in (0, 1))
+                block = (first + (K.mix(ids[some].astype(np.uint64)) % count.astype(np.uint64)).astype(np.int64))[row]
+                times = np.array(parts[d])[cell]
+                row, cell, block, sub = np.repeat(row, times), np.repeat(cell, times), np.repeat(block, times), np.concatenate([np.arange(t) for t in times] or [np.zeros(0, np.int64)])
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(row)) for c in (0, 1, 4, 3, 5)), pa.array(block.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(sub.astype(np.int32))], ["id", "v", "p", "dim", "least", "qb", "cell", "sub"])
+
+    asking = rows.filter("is_query").mapInArrow(measure, MEASURED).groupBy("id").agg(F.min(F.struct("v", "is_query", "dim", "p", "least", "cell", "square")).alias("s")).select("id", "s.*")
+    queries = asking.mapInArrow(sent, "id long, v array<double>, p array<double>, dim int, least double, qb int, cell int, sub int")
+    wanted = queries.select(F.col("dim").alias("of"), F.col("cell").alias("at"), F.col("qb").alias("by")).distinct()
+
+    def placed(batches):
+        for b in batches:
+            dims, of, ids = (np.asarray(b.column(c)) for c in (3, 6, 0))
+            n = np.array([parts[d][c] for d, c in zip(dims.tolist(), of.tolist(), strict=True)], np.int64)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (0, 1, 4, 3, 6)), pa.array((K.mix(ids.astype(np.uint64)) % np.maximum(n, 1).astype(np.uint64)).astype(np.int32))], ["id", "v", "p", "dim", "cell", "sub"])
+
+    data = kept.mapInArrow(placed, "id long, v array<double>, p array<double>, dim int, cell int, sub int")
+    data = data.join(wanted, (F.col("dim") == F.col("of")) & (F.col("cell") == F.col("at"))).select("id", "v", "p", "dim", F.col("by").alias("qb"), "cell", "sub")
+    names = ("query_id", "met", "evaluated") if report else ("query_id", "vec_id", "score")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         q, x = ((np.asarray(t.column("id")), whole_numbers(_rows(t, "v")), _rows(t, "p")) for t in (left, right))
+        if np.isnan(q[2]).any() or np.isnan(x[2]).any():  # numbers too large for distances
+            q, x = ((*t[:2], t[2][:, :0]) for t in (q, x))
         found, evaluated = search((*q, np.asarray(left.column("least"))), x, k) if len(q[0]) and len(x[0]) else ([], [])
         if report:
             found = [(int(i), len(x[0]), n) for i, n in zip(q[0], evaluated, strict=False)]
         return pa.table({n: pa.array([f[i] for f in found], pa.int64()) for i, n in enumerate(names)})
 
-    keys = ["dim", "qb", "db"]
+    keys = ["dim", "qb", "cell", "sub"]
     return queries.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInArrow(meet, ", ".join(f"{n} long" for n in names))
 
 
@@ -159,9 +266,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     A very long vector is one row like any other.
 
     SAMPLE rows come to the driver; PIVOTS of them that lie far apart are the pivots, and a query's k-th best score among
-    all of them is where its threshold starts in every block. Each row's distances to the pivots are
-    worked out once. Query blocks then meet vector blocks: a block pair is one
-    task's work, and each vector goes out once per query block.
+    all of them is where its threshold starts in every block. Vectors are dealt to the cell of their nearest pivot, and cells to blocks of
+    BLOCK vectors at most. A cell's ranges of distances to all pivots bound what any of its vectors can score: a query goes to
+    the cells alone whose bound reaches its threshold, and a vector to the blocks of queries that want its cell. A pair of blocks is one
+    task's work; in it the table of distances is looked at vector by vector.
     """
     met = _met(vectors, is_query, k, id_col, vector_col, False)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -169,9 +277,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
 
 
 def elimination(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """For each query of `top_k`: how many candidates there are, and how many had to be evaluated (query_id, candidates, evaluated)."""
-    met = _met(vectors, is_query, k, id_col, vector_col, True)
-    return met.groupBy("query_id").agg(F.sum("candidates").alias("candidates"), F.sum("evaluated").alias("evaluated"))
+    """For each query of `top_k` that meets any block: how many vectors its blocks hold, and how many of them had to be evaluated (query_id, met, evaluated)."""
+    found = _met(vectors, is_query, k, id_col, vector_col, True)
+    return found.groupBy("query_id").agg(F.sum("met").alias("met"), F.sum("evaluated").alias("evaluated"))
 
 
 def op3_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -592,8 +592,29 @@ def test_pivots_eliminate(spark):
     v = [(i, (centres[i % 20] + rng.normal(0, 0.02, 8)).tolist()) for i in range(4000)]
     df = spark.createDataFrame(v, "vec_id long, embedding array<double>")
     found = topk.elimination(df, F_col("vec_id") % 400 == 0).collect()
-    assert all(r.candidates == 4000 for r in found)
-    assert np.mean([r.evaluated for r in found]) < 2000
+    assert np.mean([r.met for r in found]) < 1000  # whole blocks are ruled out by their ranges of distances
+    assert np.mean([r.evaluated for r in found]) < 1000
+
+
+@pytest.mark.parametrize("spread", [0.02, 5.0])
+def test_blocks_are_ruled_out_exactly(spark, monkeypatch, spread):
+    """Small blocks of vectors and of queries, one cell with most of both: the best are those of brute force, whatever was left out."""
+    monkeypatch.setattr(topk, "BLOCK", 150)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(topk, "PIVOTS", 12)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(0, 1, (9, 6))
+    v = [(2 * i, (centres[i % 9 if i % 3 else 0] + rng.normal(0, spread, 6)).tolist()) for i in range(1500)]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>")
+    w = np.floor(1024 * np.array([x for _, x in v])).astype(np.int64)
+    want = []
+    for q in range(0, 1500, 50):
+        s = w @ w[q]
+        best = [j for j in np.lexsort((np.arange(1500), -s)).tolist() if j != q][:5]
+        want += [(2 * q, k + 1, 2 * j, int(s[j])) for k, j in enumerate(best)]
+    assert sorted(map(tuple, topk.top_k(df, F_col("vec_id") % 100 == 0, 5).collect())) == sorted(want)
+    cells = [topk.Cell(q=n) for n in (3, 0, 9, 1, 4, 2)]
+    assert topk.query_blocks(cells, 4) == [(0, 1), (0, 1), (1, 3), (4, 1), (5, 1), (6, 1)]
 
 
 def test_blocks_follow_lengths(spark, small_blocks):
