@@ -22,7 +22,8 @@ SMALL = 2_000_000  # frequent phrases up to which they are broadcast
 CHUNK = 4 << 20  # bytes of text that are counted together
 PART_BYTES = 32 << 20  # text whose phrases a part counts
 NEVER = 255
-COUNT = np.dtype([("key", "<u8"), ("n", "<u4"), ("since", "u1"), ("at", "u1"), ("len", "u1")])  # of phrases with a code
+COUNT = np.dtype([("key", "<u8"), ("n", "<u4"), ("since", "u1"), ("at", "u1")])  # of phrases with a code
+CODE = np.uint64(0xFFFFFFFFFF000000)  # bits of codes that are counted by; phrases that share them are told apart when they are named
 
 _PIECE = re.compile(rb"[.,;:!?\x0a-\x0d]")
 _set = lambda chars: np.isin(np.arange(256), np.frombuffer(chars, np.uint8))
@@ -35,7 +36,7 @@ def phrase_codes(phrases: list[bytes], langs: list[str]) -> np.ndarray:
     flat, begins = K.join_texts(phrases)
     start, end, first = K.words(flat, begins)
     known = {x: lang_code(x) for x in set(langs)}
-    words = K.mix(K.stretches(flat, start, end) + np.repeat(np.array([known[x] for x in langs], np.uint64), np.diff(first)))
+    words = K.pair(np.repeat(np.array([known[x] for x in langs], np.uint64), np.diff(first)), K.stretches(flat, start, end))
     out, length = np.zeros(len(phrases), np.uint64), np.diff(first)
     for n in np.unique(length).tolist():
         here = np.flatnonzero(length == n)
@@ -59,7 +60,7 @@ class Words:
         at = {x: i for i, x in enumerate(self.names)}
         self.lang = np.repeat(np.array([at[x] for x in langs], np.int64), np.diff(np.searchsorted(self.start, begins)))
         self.piece = np.cumsum(_CUTS[self.flat], dtype=np.int32)[self.start] if len(self.start) else self.start
-        self.codes = K.mix(K.stretches(self.flat, self.start, self.end) + np.array([lang_code(x) for x in self.names], np.uint64)[self.lang])
+        self.codes = K.pair(np.array([lang_code(x) for x in self.names], np.uint64)[self.lang], K.stretches(self.flat, self.start, self.end))
 
     def phrases(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each length: a code for the phrase from each word on, and whether it is within a piece."""
@@ -83,22 +84,30 @@ class Names(Words):
         """A number for each different word of a language: words of one code are compared, and told apart by content if they differ."""
         if not len(self.codes):
             return np.zeros(0, np.int64), 0
-        _, one, of = np.unique(self.codes, return_index=True, return_inverse=True)
-        head = one[of]
+        order = np.argsort(self.codes)
+        new = B.first_of_runs(self.codes[order])
+        of, head = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        of[order] = np.cumsum(new) - 1
+        head[order] = order[np.flatnonzero(new)][of[order]]
         alike = (self.size[head] == self.size) & (self.lang[head] == self.lang)
         alike &= R.common_bytes(K.lanes(self.flat), self.begin, self.begin[head], np.where(alike, self.size, 0)) == self.size
         if alike.all():
-            return of, len(one)
+            return of, int(new.sum())
         known: dict = {}
         word = lambda i: (int(self.lang[i]), self.flat[self.begin[i] : self.begin[i] + self.size[i]].tobytes())
         return np.array([known.setdefault(word(i), len(known)) for i in range(len(of))], np.int64), len(known)
 
-    def different(self, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of phrases of n words that begin at these words: the first place of each different one, and how often it is there."""
-        key, words = self.id[at], 1
-        while words < n:
-            _, key = np.unique(key, return_inverse=True)
-            key, words = key * self.n_ids + self.id[at + words], words + 1
+    def different(self, at: np.ndarray, n: int, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of phrases of n words that begin at these words and have these codes: the first place of each different one, and how often it is there."""
+        order = np.argsort(code)
+        new = B.first_of_runs(code[order])
+        head = at[order[np.flatnonzero(new)]][np.cumsum(new) - 1]
+        if all((self.id[head + k] == self.id[at[order] + k]).all() for k in range(n)):
+            first = np.flatnonzero(new)
+            return at[order[first]], np.diff(np.r_[first, len(at)])
+        key = self.id[at]  # phrases of one code that differ
+        for k in range(1, n):
+            key = np.unique(key, return_inverse=True)[1] * self.n_ids + self.id[at + k]
         _, one, count = np.unique(key, return_index=True, return_counts=True)
         return at[one], count
 
@@ -112,7 +121,7 @@ class Names(Words):
 
 def slots_of(code: np.ndarray, table: np.ndarray | range) -> np.ndarray:
     """The place of each code in a table (or range) whose length is a power of two."""
-    return (code & np.uint64(len(table) - 1)).astype(np.int64)
+    return ((code >> np.uint64(24)) & np.uint64(len(table) - 1)).astype(np.int64)
 
 
 def scanned(words: Words, step: int, shards: int, longest: int, reached: np.ndarray) -> np.ndarray:
@@ -130,10 +139,10 @@ def scanned(words: Words, step: int, shards: int, longest: int, reached: np.ndar
             since = np.maximum(known[:-1], known[1:])[: len(code)].astype(np.int64) + 1
             active = [(t, code[whole & (since == t)]) for t in range(max(1, step - shards + 1), step + 1)]
         for t, some in active:
-            some = np.sort(some)
+            some = np.sort(some & CODE)
             first = np.flatnonzero(B.first_of_runs(some))
             made = np.zeros(len(first), COUNT)
-            made["key"], made["n"], made["since"], made["at"], made["len"] = some[first], np.diff(np.r_[first, len(some)]), t, NEVER, n
+            made["key"], made["n"], made["since"], made["at"] = some[first], np.diff(np.r_[first, len(some)]), t, NEVER
             out.append(made)
         known = reached[slots_of(code, reached)]
         if (known == NEVER).all():
@@ -269,7 +278,7 @@ def count_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
                 at = np.flatnonzero(whole & (told.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1))
                 if not len(at):
                     break
-                first, count = words.different(at, n)
+                first, count = words.different(at, n, code[at])
                 yield words.rows(first, n, count)
             B.give_back()
 

@@ -201,18 +201,19 @@ def test_collocations_of_nothing(spark):
 
 
 def test_words_of_one_code_are_told_apart(monkeypatch):
-    monkeypatch.setattr(phrases.K, "mix", lambda x: x & np.uint64(1))
+    monkeypatch.setattr(phrases.K, "pair", lambda a, b: b & np.uint64(1))
     text = phrases.Names([b"a b c a. b c", b"A b"], ["en", "de"])
     assert text.n_ids == 5
-    first, count = text.different(np.array([0, 1, 4]), 2)
-    assert count.tolist() == [1, 2]
+    assert text.different(np.array([0, 1, 4]), 2, np.zeros(3, np.uint64))[1].tolist() == [1, 2]
+    assert sorted(text.different(np.array([0, 1, 4]), 2, np.array([5, 9, 9], np.uint64))[1].tolist()) == [1, 2]
 
 
 def test_phrases_are_taken_up_by_steps():
     """Nothing but words in the first step; a longer phrase from the step after its parts, for as many steps as there are shards."""
     text = phrases.Words([b"new york city new york"], ["en"])
     reached = np.full(1 << 16, phrases.NEVER, np.uint8)
-    lengths = lambda step: sorted(set(phrases.scanned(text, step, 2, 4, reached)["len"].tolist()))
+    of = {int(c & phrases.CODE): n for n, code, _ in text.phrases(4) for c in code}
+    lengths = lambda step: sorted({of[k] for k in phrases.scanned(text, step, 2, 4, reached)["key"].tolist()})
     assert lengths(0) == [1]
     codes = phrases.slots_of(phrases.phrase_codes([b"new", b"york", b"city", b"new york", b"york city"], ["en"] * 5), reached)
     reached[codes[:3]] = 0
