@@ -47,6 +47,12 @@ def shared_checkpoints(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """A column name that the input doesn't have."""
     while name.lower() in {c.lower() for c in taken}:

@@ -284,6 +284,7 @@ def count_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
 
     counts = table.select("lang", "text").mapInArrow(named, NAMED).groupBy("lang", "phrase").agg(F.max("len").alias("len"), F.sum("n").alias("n"))
     counts = counts.filter((F.col("len") == 0) | (F.col("n") >= threshold)).checkpoint()
+    B.remove(spark, folder)
     return counts.filter("len > 0"), counts.filter("len = 0 and n > 0").select("lang", "n")
 
 

@@ -266,7 +266,7 @@ class Resolver:
         def contents(block, got, n):
             yield from self.contents(block, got)[0].packed(n)
 
-        parts = corpus.parts(corpus.hits() * 4 * self.plan.window)
+        parts = corpus.parts(corpus.hits() * 10 * self.plan.window)  # what a part holds of a stretch, with its suffixes
         return corpus.ask(kind, parts, contents, self.answer), parts
 
     def gone(self, block: B.Block, got: dict, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
