@@ -13,6 +13,7 @@ from cladeflow.functions import columns as X
 from cladeflow.operators import folds, verbs
 from cladeflow.plans import classify, fixtures, scoring, stages, tools
 from cladeflow.sources import fasta, sinks, tables
+from cladeflow.sources.files import Folder
 from cladeflow.streaming import predict
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -452,6 +453,66 @@ def stage_manifests(spark: SparkSession, sf: str) -> DataFrame:
     return made.withColumn("protein_hit_score", F.round("protein_hit_score", 3))
 
 
+@query("SELECT p_partkey AS a, p_size AS b FROM part WHERE p_size % 5 > 1")
+def read_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines with a tokenizer and comments of one's own; those without a number are bad."""
+    path, kind = stages.scratch_folder(spark), F.col("p_size") % 5
+    size = F.when(kind == 1, "many").otherwise(F.col("p_size").cast("string"))
+    line = F.when(kind == 0, "skip this").otherwise(F.concat_ws("|", F.col("p_partkey").cast("string"), size, "p_name"))
+    T(spark, sf, "part").select(line.alias("value")).write.text(path)
+    return tables.read_tokens(spark, path, schemas._table(a="l", b="i"), lambda v: F.split(v, r"\|"), lambda v: v.startswith("skip"))[0]
+
+
+@query("SELECT c_name AS value FROM customer")
+def text_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    path = stages.scratch_folder(spark)
+    sinks.write_text(T(spark, sf, "customer").select("c_name"), path)
+    return spark.read.text(path)
+
+
+@query("SELECT o_orderkey, false AS left_over FROM orders")
+def work_folders(spark: SparkSession, sf: str) -> DataFrame:
+    """A work directory of its own, used and gone."""
+    with stages.work_directory(spark) as work:
+        T(spark, sf, "orders").select("o_orderkey").write.parquet(f"{work}/genomes/orders")
+        rows = stages.kept(spark.read.parquet(f"{work}/genomes/orders"))
+    return rows.withColumn("left_over", F.lit(Folder(spark, work).exists(work)))
+
+
+@query("SELECT p_partkey || ':' || p_size AS told FROM part UNION ALL SELECT p_name || ':' || p_brand || ':' || p_type FROM part")
+def split_columns(spark: SparkSession, sf: str) -> DataFrame:
+    some, others = verbs.split_columns(T(spark, sf, "part").drop("p_retailprice"), ["p_partkey", "p_size"])
+    told = lambda d: d.select(F.concat_ws(":", *(F.col(c).cast("string") for c in d.columns)).alias("told"))
+    return verbs.union_all([told(some), told(others)])
+
+
+@query("SELECT source, chunk_id, count(*) AS n, count(*) AS in_file FROM (SELECT source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 100 AS chunk_id FROM documents) GROUP BY ALL")
+def chunk_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Each chunk as a FASTA file under the key of its content, read again."""
+    path = stages.scratch_folder(spark)
+    docs = T(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("name"), F.array(F.lit("ACGT")).alias("seq_lines"), "source", "doc_id")
+    named = tools.write_chunk_files(tools.chunk_sequences(docs, 100, ["doc_id"], ["source"]).drop("doc_id"), path, ["source", "chunk_id"])
+    read = fasta.read_fasta(spark, path).groupBy(F.regexp_extract("file", "chunk_key=([0-9a-f]+)", 1).alias("chunk_key")).agg(F.count("*").alias("in_file"))
+    return named.join(read, "chunk_key").select("source", "chunk_id", "n", "in_file")
+
+
+@query("SELECT 'C' || doc_id || '_1' AS target_name, 'PF' AS query_name, 8.0::DOUBLE AS sequence_score, CASE WHEN lang IS NULL THEN 1 ELSE 2 END AS domains, 'single' AS description FROM documents WHERE doc_id % 7 <> 0")
+def genes_and_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Gene prediction and profile search of chunks of genomes with stand-ins for both tools: each genome without N has one gene, each gene hits the model file's family. Chunks of
+    such genomes alone have no proteins and no hits. A second run over the ledgers is given the same."""
+    work = stages.scratch_folder(spark)
+    folder = Folder(spark, work)
+    genes = folder.script(f"{work}/genes.sh", 'while [ $# -gt 0 ]; do case "$1" in -i) in=$2;; -a) out=$2;; -p) p=$2;; esac; shift; done\nawk -v p="$p" \'/^>/{n=$1; next} !/N/{print n "_1 # " p; print $0}\' "$in" > "$out"\n')
+    search = folder.script(f"{work}/search.sh", 'while [ $# -gt 2 ]; do [ "$1" = --tblout ] && out=$2; shift; done\nm=$(cat "$1"); echo "# head" > "$out"\nawk -v m="$m" \'/^>/{n=substr($1, 2); p=$3; next} {print n, "-", m, "-", "1e-9 8.0 0 1e-9 8.0 0 1.0", length($0) / 4, "1 1 1 1 1 1", p}\' "$2" >> "$out"\n')
+    folder.write(f"{work}/models", "PF")
+    entry = F.concat(F.lit(">C"), F.col("doc_id").cast("string"), F.lit("\n"), F.when(F.col("doc_id") % 7 == 0, "ACNN").when(F.col("lang").isNull(), "ACGT").otherwise("ACGTACGT"))
+    T(spark, sf, "documents").select(entry.alias("value")).write.text(f"{work}/genomes")
+    entries = fasta.read_fasta(spark, f"{work}/genomes").select("name", "seq_lines", F.regexp_extract("name", "([0-9])$", 1).alias("file"))
+    for _ in range(2):
+        _, hits, _ = tools.search_genome_hits(spark, entries, f"{work}/models", work, 25, ("name",), genes, search, "single")
+    return hits.select("target_name", "query_name", "sequence_score", F.col("reg_estimation").alias("domains"), "description")
+
+
 @query("SELECT source, count(*) AS n FROM documents GROUP BY ALL")
 def ledger_resume(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks through a tool that fails on some of them, then through one that works: the ledger runs only what was left, and nothing is there twice."""

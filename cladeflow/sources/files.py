@@ -48,6 +48,12 @@ class Folder:
         self.remove(path)
         self.move(aside, path)
 
+    def script(self, path: str, text: str) -> str:
+        """A shell script that may be run, and its path for those who run it; the folder must be one that machines share as such."""
+        self.write(path, f"#!/bin/sh\n{text}")
+        self.fs.setPermission(self._path(path), self.jvm.org.apache.hadoop.fs.permission.FsPermission("755"))
+        return path.removeprefix("file:")
+
     def copy(self, old: str, new: str) -> None:
         """A file of this file system to a path of any, whole or not at all."""
         conf, aside = self.fs.getConf(), f"{new}.part"
