@@ -111,12 +111,29 @@ class Names(Words):
         _, one, count = np.unique(key, return_index=True, return_counts=True)
         return at[one], count
 
-    def rows(self, at: np.ndarray, n: int, count: np.ndarray) -> pa.RecordBatch:
-        size = self.begin[at + n - 1] + self.size[at + n - 1] - self.begin[at]
-        ends = np.r_[0, np.cumsum(size)].astype(np.int32)
-        text = pa.StringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(self.flat[K.ranges(self.begin[at], size)]))
-        lang = pa.DictionaryArray.from_arrays(self.lang[at], self.names).cast(pa.string())
-        return pa.RecordBatch.from_arrays([lang, text, pa.array(np.full(len(at), n, np.int32)), pa.array(count.astype(np.int64))], ["lang", "phrase", "len", "n"])
+    def packed(self, at: np.ndarray, n: int, count: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+        """For each part, chosen by a phrase's first two words: phrases with their language and counts. Those that begin alike stand together, for the sake of size."""
+        second = at + min(1, n - 1)
+        part = B.part_of(K.pair(self.codes[at], self.codes[second]), parts)
+        order = np.lexsort((*(self.id[at + k] for k in range(n - 1, -1, -1)), self.lang[at], part))
+        at, count, part = at[order], count[order], part[order]
+        size = self.begin[at + n - 1] + self.size[at + n - 1] - self.begin[at] + 1  # with the space after it
+        text = self.flat[K.ranges(self.begin[at], size)]
+        ends = np.cumsum(size)
+        text[ends - 1] = 10
+        lo = np.flatnonzero(B.first_of_runs(part, self.lang[at]))
+        for a, b in zip(lo.tolist(), np.r_[lo[1:], len(at)].tolist(), strict=True):
+            name = self.names[self.lang[at[a]]].encode()
+            head = np.array([len(name), b - a], "<u4").tobytes() + name + count[a:b].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+            yield int(part[a]), B.squeeze(head + text[ends[a] - size[a] : ends[b - 1]].tobytes())
+
+
+def unpacked(raw: bytes) -> tuple[bytes, list[bytes], list[int]]:
+    """Language, phrases and counts of a message of `Names.packed`."""
+    raw = B.expand(raw)
+    size, n = np.frombuffer(raw, "<u4", 2).tolist()
+    count = np.frombuffer(raw, np.uint8, 4 * n, 8 + size).reshape(4, -1).T.copy().view("<u4").ravel()
+    return raw[8 : 8 + size], raw[8 + size + 4 * n :].split(b"\n")[:n], count.tolist()
 
 
 def slots_of(code: np.ndarray, table: np.ndarray | range) -> np.ndarray:
@@ -252,12 +269,12 @@ def count_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
             found[np.frombuffer(r[column], "<i4")] = True
         return np.flatnonzero(found)
 
+    each = -(-parts // B.MOST_TASKS)  # a reducer takes several parts in a row, one after the other
     reached, often, made, step, last = np.full(slots, NEVER, np.uint8), np.zeros(slots, bool), None, 0, -1
     while step <= last + shards:
         told = spark.sparkContext.broadcast(reached)
         sent = scan(step, told)
         sent = sent if made is None else sent.unionByName(made.select("part", "counts"))
-        each = -(-parts // B.MOST_TASKS)
         dealt = sent.repartitionById(-(-parts // each), F.expr(f"part div {each}").cast("int")).sortWithinPartitions("part")
         made = dealt.mapInArrow(count(step), "part int, counts binary, new binary, ended binary").checkpoint()
         place, reached = places(made, "new"), reached.copy()
@@ -270,20 +287,45 @@ def count_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
 
     def named(batches):
         for texts, langs in chunks(batches):
-            words = Names(texts, langs)
-            total = np.bincount(words.lang, minlength=len(words.names))
-            yield pa.RecordBatch.from_arrays([pa.array(words.names, pa.string()), pa.array([""] * len(total)), pa.array([0] * len(total), pa.int32()), pa.array(total.astype(np.int64))], ["lang", "phrase", "len", "n"])
+            words, out = Names(texts, langs), []
+            for name, total in zip(words.names, np.bincount(words.lang, minlength=len(words.names)).tolist(), strict=True):
+                head = np.array([len(name.encode()), 1], "<u4").tobytes() + name.encode() + np.array([min(total, 2**32 - 1)], "<u4").tobytes()
+                out.append((lang_code(name) % parts, B.squeeze(head + b"\n")))  # all words of a language are its empty phrase
             for n, code, whole in words.phrases(longest):
                 slot = slots_of(code, range(slots))
                 at = np.flatnonzero(whole & (told.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1))
                 if not len(at):
                     break
                 first, count = words.different(at, n, code[at])
-                yield words.rows(first, n, count)
+                out += words.packed(first, n, count, parts)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["part", "names"])
             B.give_back()
 
-    counts = table.select("lang", "text").mapInArrow(named, NAMED).groupBy("lang", "phrase").agg(F.max("len").alias("len"), F.sum("n").alias("n"))
-    counts = counts.filter((F.col("len") == 0) | (F.col("n") >= threshold)).checkpoint()
+    def counted(batches):
+        part, held = None, {}
+
+        def rows():
+            for lang, found in held.items():
+                often = [(p, c) for p, c in found.items() if c >= threshold or not p]
+                for at in range(0, len(often), 100_000):
+                    some = often[at : at + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang.decode()] * len(some)), pa.array([p.decode() for p, _ in some], pa.string()), pa.array([p.count(b" ") + 1 if p else 0 for p, _ in some], pa.int32()), pa.array([c for _, c in some], pa.int64())], ["lang", "phrase", "len", "n"])
+
+        for b in batches:
+            for p, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if p != part:
+                    yield from rows()
+                    part, held = p, {}
+                lang, phrases, counts = unpacked(raw)
+                found = held.setdefault(lang, {})
+                for x, c in zip(phrases, counts, strict=True):
+                    found[x] = found.get(x, 0) + c
+        yield from rows()
+
+    sent = table.select("lang", "text").mapInArrow(named, "part int, names binary")
+    dealt = sent.repartitionById(-(-parts // each), F.expr(f"part div {each}").cast("int")).sortWithinPartitions("part")
+    counts = dealt.mapInArrow(counted, NAMED).checkpoint()
     B.remove(spark, folder)
     return counts.filter("len > 0"), counts.filter("len = 0 and n > 0").select("lang", "n")
 

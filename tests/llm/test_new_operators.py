@@ -208,6 +208,19 @@ def test_words_of_one_code_are_told_apart(monkeypatch):
     assert sorted(text.different(np.array([0, 1, 4]), 2, np.array([5, 9, 9], np.uint64))[1].tolist()) == [1, 2]
 
 
+def test_names_come_back():
+    text = phrases.Names(["née b née b c".encode(), b"b c b c"], ["en", "dé"])
+    got = {}
+    for n, code, whole in text.phrases(3):
+        at = np.flatnonzero(whole)
+        for part, raw in text.packed(*text.different(at, n, code[at])[:1], n, text.different(at, n, code[at])[1], 5):
+            lang, found, counts = phrases.unpacked(raw)
+            assert 0 <= part < 5
+            got |= {(lang.decode(), p.decode()): c for p, c in zip(found, counts, strict=True)}
+    want = collections.Counter((x, " ".join(t.split()[i : i + n])) for x, t in (("en", "née b née b c"), ("dé", "b c b c")) for n in (1, 2, 3) for i in range(len(t.split()) - n + 1))
+    assert got == want
+
+
 def test_phrases_are_taken_up_by_steps():
     """Nothing but words in the first step; a longer phrase from the step after its parts, for as many steps as there are shards."""
     text = phrases.Words([b"new york city new york"], ["en"])
