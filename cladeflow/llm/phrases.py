@@ -276,7 +276,10 @@ def count_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
         sent = scan(step, told)
         sent = sent if made is None else sent.unionByName(made.select("part", "counts"))
         dealt = sent.repartitionById(-(-parts // each), F.expr(f"part div {each}").cast("int")).sortWithinPartitions("part")
-        made = dealt.mapInArrow(count(step), "part int, counts binary, new binary, ended binary").checkpoint()
+        dealt.mapInArrow(count(step), "part int, counts binary, new binary, ended binary").write.parquet(f"{folder}/step-{step}")
+        made = spark.read.parquet(f"{folder}/step-{step}")
+        if step:
+            B.remove(spark, f"{folder}/step-{step - 1}")  # this step's counts hold it
         place, reached = places(made, "new"), reached.copy()
         if len(place):
             reached[place], last = np.minimum(reached[place], step), step
