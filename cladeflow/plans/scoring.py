@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cladeflow.functions import columns as X
 from cladeflow.operators import verbs
@@ -63,8 +64,16 @@ def duplicate_proteins(proteins: DataFrame) -> DataFrame:
 
 
 def class_scores(aggregated: DataFrame, classes: DataFrame, unit: Sequence[str] = ()) -> DataFrame:
-    """(class_key, virus_name, class_name, class_score), all levels at once."""
-    side = F.broadcast(classes) if small_enough(classes, SMALL_CLASSES) else classes
+    """(class_key, virus_name, class_name, class_score), all levels at once.
+
+    With a class table that is broadcast, hits are dealt out once, by virus and before each becomes a row of every class of its model; sums stay where they are. A virus has
+    a row for each model there, and parts are as many as the session says, whatever their size, so that no task's sums grow by parts that are put together.
+    """
+    if small_enough(classes, SMALL_CLASSES):
+        side = F.broadcast(classes)
+        aggregated = aggregated.repartition(int(aggregated.sparkSession.conf.get("spark.sql.shuffle.partitions")), *unit, "virus_name")
+    else:
+        side = classes
     level = ["class_key"] if "class_key" in classes.columns else []
     hit = X.weighted_hit(F.col("protein_hit_score"), F.col("class_percent"), F.col("class_cat"))
     return aggregated.join(side, "model_name").groupBy(*unit, *level, "virus_name", "class_name").agg(F.sum(hit).alias("class_score"))
@@ -79,7 +88,8 @@ def percentile_rank(scores: DataFrame, samples: DataFrame, score: str, keys: Seq
     keys = list(keys)
     x, n, level = (fresh(c, keys) for c in ("_x", "_n", "_level"))
     counted = samples.filter(F.col("virus_hit_score").isNotNull()).groupBy(*keys, F.col("virus_hit_score").cast("double").alias(x)).agg(F.count("*").alias(n))
-    of = F.to_json(F.struct(*(F.col(f"`{k}`") for k in keys))) if keys else F.lit("")
+    plain = len(keys) == 1 and isinstance(scores.schema[keys[0]].dataType, T.StringType)  # a text is its own name, and a null one is a level too
+    of = F.col(f"`{keys[0]}`") if plain else F.to_json(F.struct(*(F.col(f"`{k}`") for k in keys))) if keys else F.lit("")
     few = counted.select(of.alias(level), F.col(x), F.col(n)).limit(small + 1).toArrow()
     return _searched(scores, few, score, of, into) if few.num_rows <= small else _ranged(scores, counted, score, keys, x, n, into)
 
@@ -87,26 +97,26 @@ def percentile_rank(scores: DataFrame, samples: DataFrame, score: str, keys: Seq
 def _searched(scores: DataFrame, few: pa.Table, score: str, of: Column, into: str) -> DataFrame:
     """Ranks by binary search in sorted samples of each level."""
     tables: dict[str, tuple] = {}
-    for level, rows in few.to_pandas().set_axis(["level", "x", "n"], axis=1).groupby("level"):
+    for level, rows in few.to_pandas().set_axis(["level", "x", "n"], axis=1).groupby("level", dropna=False):
         x, n = rows["x"].to_numpy(), rows["n"].to_numpy()
         order = np.argsort(x)  # NaN comes last, as in Spark
-        tables[level] = (x[order], np.r_[0, np.cumsum(n[order])])
+        tables[None if pd.isna(level) else level] = (x[order], np.r_[0, np.cumsum(n[order])])
     held = scores.sparkSession.sparkContext.broadcast(tables)
 
-    @F.pandas_udf("double")
-    def rank(value: pd.Series, level: pd.Series) -> pd.Series:
-        out = np.full(len(value), np.nan)
-        number, names = pd.factorize(level)
-        for i, name in enumerate(names):
+    @F.arrow_udf("double")
+    def rank(value: pa.Array, level: pa.Array) -> pa.Array:
+        v, out = value.to_numpy(zero_copy_only=False), np.full(len(value), np.nan)
+        coded = level.dictionary_encode(null_encoding="encode")
+        number = coded.indices.to_numpy(zero_copy_only=False)
+        for i, name in enumerate(coded.dictionary.to_pylist()):
             if name in held.value:
                 x, below = held.value[name]
                 at = np.flatnonzero(number == i)
-                v = value.to_numpy()[at]
-                out[at] = (below[np.searchsorted(x, v, "left")] + below[np.searchsorted(x, v, "right")]) / 2 / below[-1]
-        return pd.Series(out)
+                out[at] = (below[np.searchsorted(x, v[at], "left")] + below[np.searchsorted(x, v[at], "right")]) / 2 / below[-1]
+        return pa.array(out)
 
     given = F.col(f"`{score}`").cast("double")
-    return scores.select(*(F.col(f"`{c}`") for c in scores.columns if c != into), F.when(given.isNotNull(), F.coalesce(rank(given, of), F.lit(float("nan")))).alias(into))  # Arrow has no NaN of pandas, but nulls
+    return scores.select(*(F.col(f"`{c}`") for c in scores.columns if c != into), F.when(given.isNotNull(), rank(given, of)).alias(into))
 
 
 def _ranged(scores: DataFrame, counted: DataFrame, score: str, keys: list[str], x: str, n: str, into: str) -> DataFrame:
@@ -141,13 +151,14 @@ def predict_membership(aggregated: DataFrame, classes: DataFrame, samples: DataF
     """(class_key, virus_name, class_name, membership_ratio, virus_hit_score, confidence_score, rank_in_virus).
 
     Viruses without a classified model vanish. Totals are rounded to six digits before they are ranked among the
-    samples, so that equal totals are equal whatever order they were summed in. Scores are worked out once and kept, as totals are joined back to
-    them.
+    samples, so that equal totals are equal whatever order they were summed in. Total and rank are of one window, which holds a virus's classes of one level, a row
+    each.
     """
     level = ["class_key"] if "class_key" in classes.columns else []
     virus = [*unit, *level, "virus_name"]
-    scored = verbs.group_total(kept(class_scores(aggregated, classes, unit)), virus, "class_score", "virus_hit_score")
-    ranked = scored.withColumn("rank_in_virus", F.row_number().over(Window.partitionBy(*virus).orderBy(F.desc("class_score"), "class_name")))
+    best_first = Window.partitionBy(*virus).orderBy(F.desc("class_score"), "class_name")
+    whole = best_first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = class_scores(aggregated, classes, unit).select("*", F.sum("class_score").over(whole).alias("virus_hit_score"), F.row_number().over(best_first).alias("rank_in_virus"))
     ranked = ranked.withColumn("membership_ratio", X.membership_ratio(F.col("class_score"), F.col("virus_hit_score"))).withColumn("virus_hit_score", F.round("virus_hit_score", 6))
     given = percentile_rank(ranked, samples, "virus_hit_score", level)
     return given.select(*virus, "class_name", "membership_ratio", "virus_hit_score", "confidence_score", "rank_in_virus")
