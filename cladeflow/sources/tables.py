@@ -28,6 +28,12 @@ def _typed(token: Column, kind: T.DataType) -> Column:
     return (F.when(token.rlike(written), token) if written else token).try_cast(kind)
 
 
+def _once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """The rows with a value that is worked out once a row. As a plain column it would be worked out again for every condition and column that is made
+    from it; what is made of a generator's rows isn't."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def _parsed(spark: SparkSession, path: str, schema: T.StructType, sep: str, header: bool, comment: str | None) -> DataFrame:
     """(file, row, good, typed columns as a struct) of each line but headers and comments.
 
@@ -44,7 +50,7 @@ def _parsed(spark: SparkSession, path: str, schema: T.StructType, sep: str, head
     options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
     tokens = F.from_csv("value", ", ".join(f"{n} string" for n in [*names, "bad"]), options)
     values = [_typed(F.col(f"t.{n}"), f.dataType).alias(f.name) for n, f in zip(names, schema.fields, strict=True)]
-    typed = rows.withColumn("t", tokens).select("file", F.col("value").alias("row"), F.col("t.bad").alias("bad"), F.struct(*values).alias("v"))
+    typed = _once(_once(rows, tokens, "t"), F.struct(*values), "v").select("file", F.col("value").alias("row"), F.col("t.bad").alias("bad"), "v")
     alone = len(names) == 1 and isinstance(schema.fields[0].dataType, T.StringType)  # a blank line is its one, empty text
     whole = reduce(lambda a, f: a & F.col(f"v.`{f.name}`").isNotNull(), schema.fields, F.lit(alone) | (F.length("row") > 0) & F.col("bad").isNull())
     return typed.select("file", "row", whole.alias("good"), "v")
@@ -72,11 +78,10 @@ def read_tokens(spark: SparkSession, path: str, schema: T.StructType, tokens: Ca
     rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
     if is_comment is not None:
         rows = rows.filter(~is_comment(F.col("value")))
-    split = rows.withColumn("t", tokens(F.col("value")))
-    for i, f in enumerate(schema.fields):
-        split = split.withColumn(f.name, F.try_element_at("t", F.lit(i + 1)).try_cast(f.dataType))
-    whole = reduce(lambda a, f: a & F.col(f.name).isNotNull(), schema.fields, F.size("t") >= len(schema.fields))
-    return split.filter(whole).select(*schema.names), split.filter(~whole).select("file", F.col("value").alias("row"))
+    values = F.struct(*(F.try_element_at("t", F.lit(i + 1)).try_cast(f.dataType).alias(f.name) for i, f in enumerate(schema.fields)))
+    split = _once(_once(rows, tokens(F.col("value")), "t"), values, "v")
+    whole = reduce(lambda a, f: a & F.col(f"v.`{f.name}`").isNotNull(), schema.fields, F.size("t") >= len(schema.fields))
+    return split.filter(whole).select("v.*"), split.filter(~whole).select("file", F.col("value").alias("row"))
 
 
 def read_tblout(spark: SparkSession, path: str, description: str = "first_word") -> tuple[DataFrame, DataFrame]:

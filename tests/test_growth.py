@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cladeflow import schemas
 from cladeflow.plans import scoring
+from cladeflow.sources import tables
 from cladeflow.streaming import predict
 
 CLASSES = "model_name string, class_name string, class_percent double, class_cat int"
@@ -38,3 +40,12 @@ def test_a_file_of_the_stream_is_written_once(spark, tmp_path):
     assert [len(list(d.glob("*.parquet"))) for d in (tmp_path / "out").glob("file_key=*")] == [1, 1]
     found = spark.read.parquet(str(tmp_path / "out"))
     assert found.count() == 400 and "file_parts" not in found.columns
+
+
+def test_tokens_are_split_once(spark, tmp_path):
+    """A line is split once, however many columns and conditions are made of its tokens."""
+    (tmp_path / "t").write_text("1|2.5|x\n2|y|z\n")
+    good, bad = tables.read_tokens(spark, str(tmp_path / "t"), schemas._table(a="l", b="d", c="s"), lambda v: F.split(v, r"\|"))
+    assert plan(good).count("split(value") == 1 and plan(bad).count("split(value") == 1
+    assert list(map(tuple, good.collect())) == [(1, 2.5, "x")] and [r.row for r in bad.collect()] == ["2|y|z"]
+    assert plan(tables.read_dsv(spark, str(tmp_path / "t"), schemas._table(a="l", b="s", c="s"), "|", False)).count("from_csv(") == 1
