@@ -6,9 +6,11 @@ select, drop, filter, withColumnRenamed and unionByName are used as they are.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from itertools import groupby, pairwise
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -177,18 +179,65 @@ def fixed_groups(df: DataFrame, keys: Names, f: Callable[[pd.DataFrame], pd.Data
     kinds = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     whole = T.StructType([*(df.schema[k] for k in keys), *kinds.fields])
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
         out = f(rows.drop(columns=list(keys)))
-        for i, (name, value) in enumerate(zip(keys, key, strict=True)):
-            out.insert(i, name, value)
+        for i, name in enumerate(keys):
+            out.insert(i, name, rows[name].to_numpy()[:1].repeat(len(out)))
         return out
 
-    return df.groupBy(*keys).applyInPandas(run, whole)
+    return _each_group(df, keys, run, whole)
 
 
 def grouped(df: DataFrame, keys: Names, f: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str) -> DataFrame:
     """Per group a frame to a frame; keys aren't put back."""
-    return df.groupBy(*keys).applyInPandas(f, schema)
+    return _each_group(df, keys, f, T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)
+
+
+def _each_group(df: DataFrame, keys: Names, f: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType) -> DataFrame:
+    """f on each group's rows. Groups come and go many to a batch, as one that is sent by itself costs far more than what is done with it.
+
+    Rows of a group stand together, and Spark marks where one begins. Numbers and truth values that are null come with a mark of their own, so that a group without nulls has the
+    types that it would have alone.
+    """
+    first, gaps = fresh("_first", df.columns), {}
+    for i, c in enumerate(df.schema.fields):
+        if isinstance(c.dataType, (T.IntegralType, T.BooleanType)):
+            gaps[c.name] = fresh(f"_null{i}", df.columns)
+    begins = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))) == 1
+    whole = [F.coalesce(F.col(f"`{c.name}`"), F.lit(0).cast(c.dataType)).alias(c.name) if c.name in gaps else F.col(f"`{c.name}`") for c in df.schema.fields]
+    marked = df.select("*", begins.alias(first)).select(*whole, first, *(F.col(f"`{c}`").isNull().alias(g) for c, g in gaps.items()))
+    columns, names, kinds = df.columns, schema.names, {c.name: c.dataType for c in df.schema.fields}
+
+    def one(own: pd.DataFrame, gone: dict[str, np.ndarray]) -> pd.DataFrame:
+        own.index = pd.RangeIndex(len(own))
+        for c, gap in gone.items():
+            if gap.any():
+                own[c] = own[c].astype(object if isinstance(kinds[c], T.BooleanType) else float).mask(gap, None)
+        out = f(own)
+        return out[names] if list(out.columns) != names and set(names) <= set(out.columns) else out
+
+    def batch(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        gone = {c: gap for c, g in gaps.items() if (gap := rows[g].to_numpy()).any()}
+        at = [*np.flatnonzero(rows[first].to_numpy()).tolist(), len(rows)]
+        rows = rows[columns]
+        made = [out for a, b in pairwise(at) if len(out := one(rows.iloc[a:b], {c: gap[a:b] for c, gap in gone.items()}))]
+        for _, alike in groupby(made, lambda out: tuple(out.dtypes)):  # frames of other types would change each other's
+            yield pd.concat(alike, ignore_index=True)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for rows in batches:
+            start = np.flatnonzero(rows[first].to_numpy())
+            if len(start):  # what comes before the last group's begin is whole
+                held.append(rows.iloc[: start[-1]])
+                yield from batch(pd.concat(held, ignore_index=True))
+                held = [rows.iloc[start[-1] :]]
+            else:
+                held.append(rows)
+        if held:
+            yield from batch(pd.concat(held, ignore_index=True))
+
+    return marked.mapInPandas(run, schema)
 
 
 def table_function(spark: SparkSession, name: str, f: Callable[[pd.DataFrame], pd.DataFrame], columns: Sequence[str], schema: str) -> None:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from cladeflow import schemas
-from cladeflow.plans import scoring
+from cladeflow.operators import verbs
+from cladeflow.plans import scoring, stages
 from cladeflow.sources import tables
 from cladeflow.streaming import predict
 
@@ -49,3 +51,33 @@ def test_tokens_are_split_once(spark, tmp_path):
     assert plan(good).count("split(value") == 1 and plan(bad).count("split(value") == 1
     assert list(map(tuple, good.collect())) == [(1, 2.5, "x")] and [r.row for r in bad.collect()] == ["2|y|z"]
     assert plan(tables.read_dsv(spark, str(tmp_path / "t"), schemas._table(a="l", b="s", c="s"), "|", False)).count("from_csv(") == 1
+
+
+def test_groups_come_many_to_a_batch(spark):
+    """Groups, also those that span batches, have the types that they would have alone; frames aren't sent one by one."""
+    big = 2**60 + 1
+    rows = [("a", big, True, 1), ("a", big + 2, None, 2), (None, None, True, 3), (None, 5, False, 4), ("c", 7, False, 5)] + [("hot", i, True, i) for i in range(10, 30)]
+    df = spark.createDataFrame(rows, "k string, x long, t boolean, o int")
+    told = lambda g: pd.DataFrame({"most": [int(g["x"].max())], "n": [len(g)], "kinds": [f"{g['x'].dtype} {g['t'].dtype} {g['o'].dtype} {g.index[-1]}"]})
+    kinds = "most long, n long, kinds string"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        made = verbs.fixed_groups(df, ["k"], told, kinds)
+        got = {r.k: tuple(r)[1:] for r in made.collect()}
+        bare = sorted(map(tuple, verbs.grouped(df, ["k"], told, kinds).collect()))
+        want = sorted(map(tuple, df.groupBy("k").applyInPandas(told, kinds).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert bare == want == sorted(got.values())
+    assert got["a"][0] == big + 2 and got["hot"][:2] == (29, 20) and got[None][1] == 2 and got["c"][0] == 7
+    assert "FlatMapGroupsInPandas" not in plan(made)
+    empty = verbs.fixed_groups(df, ["k", "o"], lambda g: g.iloc[:0][["x"]], "x long")
+    assert empty.columns == ["k", "o", "x"] and empty.count() == 0
+
+
+def test_content_is_dealt_packed(spark, monkeypatch):
+    """Digests are dealt out and kept as bytes, half as long as their digits."""
+    seen = []
+    monkeypatch.setattr(stages, "kept", lambda df: seen.append(dict(df.dtypes)) or df)
+    key = stages.content_key(spark.range(5))
+    assert seen[0]["d"] == "binary" and key.startswith("5-")
