@@ -18,6 +18,7 @@ from cladeflow.sources.files import Folder
 STAGES = ("genomes", "proteins", "search", "processed")
 LEAF = 4096  # entry digests that one digest is made of, about
 MANIFEST = "_manifest.json"
+SPREAD = 8  # tasks that write one share of a ledger's work
 
 
 class StageError(RuntimeError):
@@ -113,6 +114,24 @@ def remaining(chunks: DataFrame, done: DataFrame, key: str = "chunk_key") -> Dat
     return chunks.join(done.select(key).distinct(), key, "left_anti")
 
 
+@contextmanager
+def _dealt(rows: DataFrame, key: str, count: int) -> Iterator[list[DataFrame]]:
+    """The rows in `count` shares, by the hash of their key. They are worked out and written once, so that each share is read by itself
+    and not found again among all."""
+    if count < 2:
+        yield [rows][:count]
+        return
+    spark, path, share = rows.sparkSession, scratch_folder(rows.sparkSession), fresh("_share", rows.columns)
+    code = F.xxhash64(key)
+    shared = rows.withColumn(share, F.pmod(code, F.lit(count)).cast("int"))
+    shared.repartition(share, F.pmod(F.shiftright(code, 32), F.lit(SPREAD))).write.partitionBy(share).parquet(path)
+    folder = Folder(spark, path)
+    try:
+        yield [spark.read.schema(rows.schema).parquet(f"{path}/{share}={i}") for i in range(count) if folder.exists(f"{path}/{share}={i}")]
+    finally:
+        folder.remove(path)
+
+
 class Ledger:
     """Results of chunks in a folder, added in waves, with a record of the chunks that each wave finished.
 
@@ -150,10 +169,10 @@ class Ledger:
         todo = remaining(chunks, self.done(), self.key)
         n = todo.select(self.key).distinct().count()
         count, waves = -(-n // each), []
-        for i in range(count):
-            some = todo if count == 1 else todo.filter(F.pmod(F.xxhash64(self.key), F.lit(count)) == i)
-            waves.append(f"{self.path}/wave={uuid.uuid4().hex}")
-            work(some).select(self.key, *self.data.names, "note", "kind").write.partitionBy("kind").parquet(waves[-1])
+        with _dealt(todo, self.key, count) as some:
+            for rows in some:
+                waves.append(f"{self.path}/wave={uuid.uuid4().hex}")
+                work(rows).select(self.key, *self.data.names, "note", "kind").write.partitionBy("kind").parquet(waves[-1])
         failed = self._read(waves, "failed").select(self.key, "note").orderBy(self.key).limit(6).collect()
         if failed:
             more = " and more" if len(failed) > 5 else ""

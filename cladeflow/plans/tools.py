@@ -150,13 +150,18 @@ def pipe_tool(chunks: DataFrame, argv: Argv, parse: Callable[..., pd.DataFrame],
             out.insert(i, name, value)
         return out
 
-    return chunks.groupBy(*keys).applyInPandas(run, whole)
+    # Dealt to all cores: chunks are short and runs of a tool long, so tasks that bytes decide would be far too few.
+    return chunks.repartition(_tasks(chunks), *keys).groupBy(*keys).applyInPandas(run, whole)
+
+
+def _tasks(chunks: DataFrame) -> int:
+    """How many tasks run tools: some for each core, so that none waits long for the slowest."""
+    return 4 * chunks.sparkSession.sparkContext.defaultParallelism
 
 
 def run_on_chunks(chunks: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: T.StructType | str, workers: int | None = None, key: str = "chunk_id") -> DataFrame:
-    """A user's function over whole partitions of chunks; workers is the number of partitions."""
-    dealt = chunks.repartition(workers, key) if workers else chunks.repartition(key)
-    return dealt.mapInPandas(f, schema)
+    """A user's function over whole partitions of chunks; workers is the number of partitions, some for each core unless it is given."""
+    return chunks.repartition(workers or _tasks(chunks), key).mapInPandas(f, schema)
 
 
 def parse_fasta(text: str) -> pd.DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from cladeflow import schemas
 from cladeflow.operators import verbs
-from cladeflow.plans import scoring, stages
+from cladeflow.plans import scoring, stages, tools
 from cladeflow.sources import tables
+from cladeflow.sources.files import Folder
 from cladeflow.streaming import predict
 
 CLASSES = "model_name string, class_name string, class_percent double, class_cat int"
@@ -81,3 +82,36 @@ def test_content_is_dealt_packed(spark, monkeypatch):
     monkeypatch.setattr(stages, "kept", lambda df: seen.append(dict(df.dtypes)) or df)
     key = stages.content_key(spark.range(5))
     assert seen[0]["d"] == "binary" and key.startswith("5-")
+
+
+def test_tools_run_on_all_cores(spark):
+    """Chunks of few bytes aren't run one after the other by one task."""
+    rows = spark.range(64).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"), F.array(F.lit("AC")).alias("seq_lines"), (F.col("id") % 16).alias("chunk_id"))
+    back = tools.pipe_tool(rows, lambda source, out: ["cp", source, out], tools.parse_fasta, schemas.FASTA)
+    got = back.withColumn("task", F.spark_partition_id()).collect()
+    assert len(got) == 64 and len({r.task for r in got}) > 4
+    assert tools.run_on_chunks(rows, lambda batches: batches, rows.schema).rdd.getNumPartitions() > 4
+
+
+def test_waves_don_t_look_for_chunks_again(spark, tmp_path):
+    """Rows of chunks are worked out as often for many waves as for two, and shares are gone afterwards."""
+
+    def made(each: int) -> int:
+        seen = spark.sparkContext.accumulator(0)
+
+        def count(batches):
+            for b in batches:
+                seen.add(len(b))
+                yield b
+
+        rows = spark.range(40).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"), F.array(F.lit("AC")).alias("seq_lines"), (F.col("id") % 20).cast("string").alias("chunk_key"))
+        ledger = stages.Ledger(spark, f"{tmp_path}/{each}", schemas.FASTA)
+        run = lambda some: tools.pipe_tool(some, lambda source, out: ["cp", source, out], tools.parse_fasta, schemas.FASTA, ["chunk_key"], told=True)
+        back = ledger.run(rows.mapInPandas(count, rows.schema), run, each)
+        worked_out = seen.value
+        assert back.count() == 40 and len(ledger.waves()) > 1
+        return worked_out
+
+    before = set(Folder(spark, str(tmp_path)).names(stages.shared_folder(spark)))
+    assert made(10) == made(2)
+    assert not [n for n in set(Folder(spark, str(tmp_path)).names(stages.shared_folder(spark))) - before if n.startswith("scratch-")]
