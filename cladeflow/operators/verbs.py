@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.conversion import ArrowTableToRowsConversion
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
 from cladeflow.plans.stages import fresh, kept
 
@@ -243,27 +244,38 @@ def _each_group(df: DataFrame, keys: Names, f: Callable[[pd.DataFrame], pd.DataF
 def table_function(spark: SparkSession, name: str, f: Callable[[pd.DataFrame], pd.DataFrame], columns: Sequence[str], schema: str) -> None:
     """Make f, a frame to a frame, a function of tables in SQL: SELECT * FROM name(TABLE(t) PARTITION BY k ORDER BY o).
 
-    columns are those that f takes, in any order in t. f is called for each partition with its rows in the order asked for; a partition
+    columns are those that f takes, in any order in t; leave others out of t, as all are sent. f is called for each partition with its rows in the order asked for; a partition
     must fit one task. A call without PARTITION BY passes the whole table to one task.
     """
     names, kinds = list(columns), T.StructType.fromDDL(schema)
+    made = to_arrow_schema(kinds)
 
-    @F.udtf(returnType=kinds)
+    @F.arrow_udtf(returnType=kinds)
     class Of:
         def __init__(self):
-            self.rows = []
+            self.parts = []
 
-        def eval(self, row):
-            self.rows.append(tuple(row[c] for c in names))
+        def eval(self, rows):
+            self.parts.append(rows)  # a partition may span batches
 
         def terminate(self):
-            if self.rows:
-                out = pa.Table.from_pandas(f(pd.DataFrame(self.rows, columns=names))[kinds.names], to_arrow_schema(kinds), preserve_index=False)
-                yield from zip(*(c.to_pylist() for c in out.columns), strict=True)
+            if self.parts:
+                rows = self.parts[0] if len(self.parts) == 1 else pa.Table.from_batches(self.parts).combine_chunks().to_batches()[0]
+                out = f(_frame(rows, names))
+                yield pa.RecordBatch.from_arrays([pa.array(out[c.name].to_numpy(), c.type, from_pandas=True) for c in made], schema=made)
 
     spark.udtf.register(name, Of)
 
 
+def _frame(rows: pa.RecordBatch, names: Names) -> pd.DataFrame:
+    """A frame of the values that rows of a DataFrame have in Python; numbers without nulls are taken as they are."""
+    values = [rows.column(n) for n in names]
+    if all(v.null_count == 0 and (pa.types.is_integer(v.type) or pa.types.is_floating(v.type)) for v in values):
+        return pd.DataFrame({n: v.to_numpy() for n, v in zip(names, values, strict=True)})
+    some = pa.Table.from_arrays(values, names=list(names))
+    return pd.DataFrame(list(map(tuple, ArrowTableToRowsConversion.convert(some, from_arrow_schema(some.schema)))), columns=list(names))
+
+
 def split_groups(df: DataFrame, keys: Names, pos: Names) -> DataFrame:
     """A table of groups: keys, and the other columns of its rows as a list in the order of pos."""
     other = [c for c in _rest(df, keys) if c not in pos]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+from decimal import Decimal
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -115,3 +118,22 @@ def test_waves_don_t_look_for_chunks_again(spark, tmp_path):
     before = set(Folder(spark, str(tmp_path)).names(stages.shared_folder(spark)))
     assert made(10) == made(2)
     assert not [n for n in set(Folder(spark, str(tmp_path)).names(stages.shared_folder(spark))) - before if n.startswith("scratch-")]
+
+
+def test_table_functions_take_batches(spark):
+    """Rows of a table function's partitions don't go to Python and back one by one; partitions that span batches are whole, and values have the kinds that rows have."""
+    rows = [(i // 7, i, 2**60 + i, None if i % 5 == 0 else i, datetime.date(2020, 1, 1 + i % 9), datetime.datetime(2021, 2, 3, 4, i), Decimal("1.50"), [i]) for i in range(40)]
+    spark.createDataFrame(rows, "k int, o int, big long, gap int, day date, at timestamp, price decimal(9,2), all array<int>").createOrReplaceTempView("rows_of_kinds")
+    told = lambda g: pd.DataFrame({"n": [len(g)], "most": [int(g["big"].max())] if "big" in g else [0], "told": [" ".join(repr(g[c].iloc[0]) for c in g)]})
+    for name, columns in (("of_numbers", ["big", "o"]), ("of_kinds", ["o", "gap", "day", "at", "price", "all"])):
+        verbs.table_function(spark, name, told, columns, "n int, most long, told string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        numbers = spark.sql("SELECT * FROM of_numbers(TABLE(rows_of_kinds) PARTITION BY k ORDER BY o)")
+        kinds = {r.told for r in spark.sql("SELECT * FROM of_kinds(TABLE(rows_of_kinds) PARTITION BY k ORDER BY o DESC)").collect()}
+        assert "ArrowEvalPythonUDTF" in plan(numbers)
+        assert sorted((r.n, r.most - 2**60) for r in numbers.collect()) == [(5, 39), (7, 6), (7, 13), (7, 20), (7, 27), (7, 34)]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    last = pd.DataFrame([r[1:2] + r[3:] for r in rows[6::-1]], columns=list("abcdef"))
+    assert " ".join(repr(last[c].iloc[0]) for c in last) in kinds and len(kinds) == 6
