@@ -12,6 +12,7 @@ import zlib
 import numpy as np
 import pytest
 from conftest import oracle, same
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
@@ -634,3 +635,31 @@ def test_long_text_in_pieces(spark):
     got = {r.doc_id: r for r in dedup.substring_dedup(spark.createDataFrame([(1, text), (2, tail + " more"), (3, text + " x")], "doc_id long, text string")).collect()}
     assert [got[i].n_removed for i in (1, 2, 3)] == [0, 80, 500_080]
     assert got[3].n_units == 500_081
+
+
+def test_forest_is_fitted_on_every_labelled_row(spark):
+    """Ranges and threshold of more than 10 000 rows of a label are those of all of them; trees draw from all, and quantiles have no sample's error."""
+    r = np.random.default_rng(5)
+    x = np.r_[r.normal(0, 1, (21_000, 10)), r.normal(3, 1, (11_000, 10))]
+    x[:, 3], x[:50, 4] = np.floor(x[:, 3]), -0.0
+    y = np.r_[np.ones(21_000, int), np.zeros(11_000, int)]
+    rows = spark.createDataFrame([*zip(range(32_000), y.tolist(), x.tolist(), strict=True)], "id long, y int, x array<double>").repartition(5).localCheckpoint()
+    low, high = quality.quantiles(rows.filter("y = 1"), 21_000, (quality.BAND, 1 - quality.BAND))
+    assert np.array_equal([low, high], np.quantile(x[y == 1], [quality.BAND, 1 - quality.BAND], axis=0))
+    assert quality.quantiles(rows.filter("id = 7"), 1, (0.1, 0.9)).tolist() == [x[7].tolist()] * 2
+    drawn = quality.draws(rows, (21_000, 11_000))
+    place = {tuple(v): i for i, v in enumerate(x.tolist())}
+    at = np.array([[place[tuple(v)] for v in d.tolist()] for d in drawn])
+    assert at.shape == (quality.TREES, quality.TREE_ROWS) and all(len(set(d)) == len(d) for d in at.tolist()) and ((at >= 21_000).sum(1) == 15).all()
+    assert len(np.unique(at[:, :241])) > 10_000 and abs(at[:, :241].mean() - 10_500) < 250
+    forest = quality.IsolationForest.of(low, high, drawn)
+    assert quality.threshold_of_rows(rows, forest.scores, (21_000, 11_000)) == quality.threshold(forest.scores(x), y == 1)
+
+
+def test_a_forest_sees_all_labelled_documents(spark):
+    docs = spark.range(10_400).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b c "), F.repeat(F.lit("word "), (F.col("id") % 97).cast("int"))).alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    rows = quality.labelled_statistics(docs, labels, "doc_id", "text", "quality")
+    assert rows.count() == 10_400
+    forest, cut = quality.fit_forest(docs, labels)
+    assert cut == np.inf and np.array_equal([forest.low, forest.high], np.quantile(np.array([r.x for r in rows.collect()]), [quality.BAND, 1 - quality.BAND], axis=0))
