@@ -336,12 +336,12 @@ def top_n_per_group(df: DataFrame, keys: Names, by: Sequence[Column], n: int, po
     return df.withColumn(at, F.row_number().over(w)).filter(F.col(at) <= n).drop(at)
 
 
-def best_per_group(df: DataFrame, keys: Names, highest: str, pos: Names) -> DataFrame:
+def best_per_group(df: DataFrame, keys: Names, highest: str, pos: Names, columns: Names | None = None) -> DataFrame:
     """The one row of each group with the highest value, the first of equals in pos; an aggregate that combines before the shuffle.
 
-    A row whose value is null is the best only of a group without others.
+    A row whose value is null is the best only of a group without others. Only the keys and what columns names are kept, or all columns.
     """
-    rest, one = _rest(df, keys), fresh("_best", df.columns)
+    rest, one = _rest(df, keys) if columns is None else _rest(df.select(*columns), keys), fresh("_best", df.columns)
     best = F.min_by(F.struct(*rest), F.struct(F.col(highest).isNull(), -F.col(highest), *pos))
     return df.groupBy(*keys).agg(best.alias(one)).select(*keys, *(F.col(f"{one}.`{c}`").alias(c) for c in rest))
 

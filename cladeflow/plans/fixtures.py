@@ -26,7 +26,7 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
-    return lines.groupBy("l_orderkey", "l_linenumber").agg((F.max("l_quantity") / 1000).alias("k_base_size")).select(target_name().alias("protein_name"), "k_base_size")
+    return lines.groupBy(target_name().alias("protein_name")).agg((F.max("l_quantity") / 1000).alias("k_base_size"))
 
 
 def classes(spark: SparkSession, sf_dir: str) -> DataFrame:

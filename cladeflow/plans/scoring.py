@@ -40,7 +40,11 @@ def name_hits(hits: DataFrame, threshold: float = E_VALUE, virus: Callable[[Colu
 
 def best_hits(named: DataFrame, pos: Sequence[str], unit: Sequence[str] = ()) -> DataFrame:
     """The best model of each protein, the first in pos of equals. Scores that are null or NaN don't compete."""
-    return verbs.best_per_group(named.filter(F.col("sequence_score").isNotNull() & ~F.isnan("sequence_score")), [*unit, "virus_name", "target_name"], "sequence_score", pos)
+    return verbs.best_per_group(_competing(named), [*unit, "virus_name", "target_name"], "sequence_score", pos)
+
+
+def _competing(hits: DataFrame) -> DataFrame:
+    return hits.filter(F.col("sequence_score").isNotNull() & ~F.isnan("sequence_score"))
 
 
 def aggregate_hits(
@@ -51,9 +55,11 @@ def aggregate_hits(
 
     unit names columns of both tables that keep parts of the input apart (such as a chunk's key); without them
     a virus has one result, and protein names must be unique (see `duplicate_proteins`).
+
+    A protein's name tells its virus, so best hits are found, and joined with sizes, by protein alone: hits are dealt out once for both, without names of viruses.
     """
-    best = best_hits(name_hits(hits, threshold, virus, [*pos, *unit]), pos, unit)
-    sized = best.join(proteins.withColumnRenamed("protein_name", "target_name"), [*unit, "target_name"])
+    best = verbs.best_per_group(_competing(hits.filter(F.col("sequence_e_value") <= threshold)), [*unit, "target_name"], "sequence_score", pos, ["query_name", "sequence_score"])
+    sized = best.select(*unit, virus(F.col("target_name")).alias("virus_name"), "target_name", "query_name", "sequence_score").join(proteins.withColumnRenamed("protein_name", "target_name"), [*unit, "target_name"])
     score = F.sum(X.normalised_score(F.col("sequence_score"), F.col("k_base_size"))).alias("protein_hit_score")
     return sized.groupBy(*unit, "virus_name", F.col("query_name").alias("model_name")).agg(score)
 

@@ -240,6 +240,21 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What a write or count in it has dealt out goes from the disks as soon as it is done; else that stays until the driver happens to collect garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """The rows as they are now, written to the shared folder: for what several later steps read, or what must not be drawn anew."""
     shared_folder(df.sparkSession)

@@ -12,9 +12,9 @@ from pyspark.sql import types as T
 from cladeflow.sources.files import Folder
 
 
-def _csv(sep: str, header: bool) -> dict:
-    """Options under which values come out as they are; those that hold a separator or a quote stand in quotes, with quotes doubled."""
-    return {"sep": sep, "header": header, "comment": "\u0001", "quote": '"', "escape": '"', "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+def _csv(sep: str, header: bool, compression: str = "none") -> dict:
+    """Options under which values come out as they are; those that hold a separator or a quote stand in quotes, with quotes doubled. Gzip takes its fastest level."""
+    return {"compression": compression, "zlib.compress.level": "BEST_SPEED", "sep": sep, "header": header, "comment": "\u0001", "quote": '"', "escape": '"', "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def _one_line(df: DataFrame) -> DataFrame:
@@ -24,9 +24,12 @@ def _one_line(df: DataFrame) -> DataFrame:
     return df.select(*(check(c) if c in texts else F.col(f"`{c}`") for c in df.columns))
 
 
-def write_dsv(df: DataFrame, path: str, sep: str = "\t", header: bool = True) -> None:
-    """Delimited text that `tables.read_dsv` gives back as it was. Nulls are written as empty texts; a text with a line break fails the job."""
-    _one_line(df).write.options(**_csv(sep, header)).csv(path)
+def write_dsv(df: DataFrame, path: str, sep: str = "\t", header: bool = True, compression: str = "none") -> None:
+    """Delimited text that `tables.read_dsv` gives back as it was. Nulls are written as empty texts; a text with a line break fails the job.
+
+    Compressed files (such as "gzip") are read as plain ones are, each by one task.
+    """
+    _one_line(df).write.options(**_csv(sep, header, compression)).csv(path)
 
 
 def dsv_lines(df: DataFrame, sep: str = "\t") -> DataFrame:
@@ -43,16 +46,16 @@ def dsv_header(df: DataFrame, sep: str = "\t") -> str:
     return sep.join(df.columns)
 
 
-def write_levels(predictions: DataFrame, path: str, levels: Sequence[str]) -> None:
+def write_levels(predictions: DataFrame, path: str, levels: Sequence[str], compression: str = "none") -> None:
     """A folder <class_key>.tsv for each level, its header even where it has no rows; folders of those names are replaced.
 
-    One write deals all levels out, whatever their number, and its folders then get their names. Rows of other levels are left out.
+    One write deals all levels out, whatever their number, and its folders then get their names. Rows of other levels are left out. Compression is `write_dsv`'s.
     """
     folder, aside, number = Folder(predictions.sparkSession, path), f"{path}/_levels-{uuid.uuid4().hex}", "_level"
     while number in predictions.columns:
         number = f"_{number}"
     key = F.array_position(F.array(*(F.lit(k) for k in levels)).cast("array<string>"), F.col("class_key"))
-    _one_line(predictions).withColumn(number, key).filter(F.col(number) > 0).drop("class_key").write.partitionBy(number).options(**_csv("\t", True)).csv(aside)
+    _one_line(predictions).withColumn(number, key).filter(F.col(number) > 0).drop("class_key").write.partitionBy(number).options(**_csv("\t", True, compression)).csv(aside)
     for i, k in enumerate(levels, 1):
         made, named = f"{aside}/{number}={i}", f"{path}/{k}.tsv"
         folder.remove(named)

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import datetime
+import gzip
 from decimal import Decimal
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 from cladeflow import schemas
 from cladeflow.operators import verbs
-from cladeflow.plans import scoring, stages, tools
-from cladeflow.sources import tables
+from cladeflow.plans import catalog, scoring, stages, tools
+from cladeflow.sources import sinks, tables
 from cladeflow.sources.files import Folder
 from cladeflow.streaming import predict
 
@@ -137,3 +139,46 @@ def test_table_functions_take_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     last = pd.DataFrame([r[1:2] + r[3:] for r in rows[6::-1]], columns=list("abcdef"))
     assert " ".join(repr(last[c].iloc[0]) for c in last) in kinds and len(kinds) == 6
+
+
+def test_levels_take_little_disk(spark, sf, tmp_path, monkeypatch):
+    """Class, sample and prediction files of the round trip are compressed, and what a write of it dealt out is gone when the next one begins."""
+    work, shuffled, write = tmp_path / "work", [], sinks.write_levels
+    files = lambda: {f for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString() for f in Path(d).rglob("shuffle_*.data")}
+    monkeypatch.setattr(stages, "scratch_folder", lambda _: str(work))
+    monkeypatch.setattr(sinks, "write_levels", lambda *a: shuffled.extend([files(), write(*a), files()]))
+    before = files()
+    assert catalog.levels_roundtrip(spark, sf).count() > 0
+    assert len(shuffled) == 3 and not (shuffled[0] | shuffled[2]) - before
+    told = [f for f in work.rglob("part-*") if "aggregated" not in f.parts and "index" not in f.parts]
+    assert told and all(f.name.endswith(".gz") for f in told)
+    out = [f for f in told if "out" in f.parts]
+    assert sum(f.stat().st_size for f in out) * 2.5 < sum(len(gzip.decompress(f.read_bytes())) for f in out)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_compressed_text_comes_back(spark, tmp_path):
+    """Each compressed file has a header of its own, and a level without rows is read too."""
+    rows = [("a" if i % 3 else "b", f"v{i}", "c\t1", i / 7) for i in range(500)]
+    df = spark.createDataFrame(rows, "class_key string, virus_name string, class_name string, x double").repartition(3)
+    schema = schemas._table(virus_name="s", class_name="s", x="d")
+    sinks.write_levels(df, str(tmp_path / "out"), ["a", "b", "none"], "gzip")
+    sinks.write_dsv(df.drop("class_key"), str(tmp_path / "all"), compression="gzip")
+    assert len(list((tmp_path / "out/a.tsv").glob("*.gz"))) == 3
+    for name, want in (("out/a.tsv", [r[1:] for r in rows if r[0] == "a"]), ("out/b.tsv", [r[1:] for r in rows if r[0] == "b"]), ("out/none.tsv", []), ("all", [r[1:] for r in rows])):
+        assert sorted(map(tuple, tables.read_dsv(spark, str(tmp_path / name), schema).collect())) == sorted(want)
+
+
+def test_best_hits_are_dealt_by_protein(spark):
+    """Hits are dealt once for the best of a protein and for its size, and only what scores need travels; ties and units are as before."""
+    rows = [("u", "v_1", "a", 0.0, 10.0, 2), ("u", "v_1", "b", 0.0, 10.0, 1), ("w", "v_1", "c", 0.0, 4.0, 3), ("w", "x", "c", 0.0, 4.0, 4), ("w", "v_2", "c", 0.0, None, 5)]
+    h = spark.createDataFrame(rows, "unit string, target_name string, query_name string, sequence_e_value double, sequence_score double, pos int")
+    p = spark.createDataFrame([("u", "v_1", 2.0), ("w", "v_1", 4.0), ("w", "x", 1.0), ("w", "v_2", 1.0)], "unit string, protein_name string, k_base_size double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = scoring.aggregate_hits(h, p, ["pos", "unit"], unit=["unit"])
+        assert plan(made).count("Exchange hashpartitioning") == 3
+        assert sorted(map(tuple, made.collect()), key=str) == [("u", "v", "b", 5.0), ("w", "v", "c", 1.0), ("w", None, "c", 4.0)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert verbs.best_per_group(h, ["target_name"], "sequence_score", ["pos"], ["query_name"]).columns == ["target_name", "query_name"]
