@@ -166,5 +166,5 @@ def predict_membership(aggregated: DataFrame, classes: DataFrame, samples: DataF
     whole = best_first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ranked = class_scores(aggregated, classes, unit).select("*", F.sum("class_score").over(whole).alias("virus_hit_score"), F.row_number().over(best_first).alias("rank_in_virus"))
     ranked = ranked.withColumn("membership_ratio", X.membership_ratio(F.col("class_score"), F.col("virus_hit_score"))).withColumn("virus_hit_score", F.round("virus_hit_score", 6))
-    given = percentile_rank(ranked, samples, "virus_hit_score", level)
+    given = percentile_rank(ranked.drop("class_score"), samples, "virus_hit_score", level)  # what ranks over ranges keep
     return given.select(*virus, "class_name", "membership_ratio", "virus_hit_score", "confidence_score", "rank_in_virus")

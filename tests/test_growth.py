@@ -8,6 +8,7 @@ from decimal import Decimal
 from pathlib import Path
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from cladeflow import schemas
@@ -167,6 +168,9 @@ def test_compressed_text_comes_back(spark, tmp_path):
     assert len(list((tmp_path / "out/a.tsv").glob("*.gz"))) == 3
     for name, want in (("out/a.tsv", [r[1:] for r in rows if r[0] == "a"]), ("out/b.tsv", [r[1:] for r in rows if r[0] == "b"]), ("out/none.tsv", []), ("all", [r[1:] for r in rows])):
         assert sorted(map(tuple, tables.read_dsv(spark, str(tmp_path / name), schema).collect())) == sorted(want)
+    for broken in ("a\nb", "a\rb"):
+        with pytest.raises(Exception, match="can't hold"):
+            sinks.write_dsv(spark.createDataFrame([(broken,)], "t string"), str(tmp_path / f"broken{ord(broken[1])}"), compression="gzip")
 
 
 def test_best_hits_are_dealt_by_protein(spark):
@@ -182,3 +186,15 @@ def test_best_hits_are_dealt_by_protein(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert verbs.best_per_group(h, ["target_name"], "sequence_score", ["pos"], ["query_name"]).columns == ["target_name", "query_name"]
+
+
+def test_ranks_over_ranges_keep_what_is_returned(spark, monkeypatch):
+    """Predictions are kept without the scores that only ratios are made of."""
+    seen, keep, rank = [], scoring.kept, scoring.percentile_rank
+    monkeypatch.setattr(scoring, "kept", lambda df: seen.append(df.columns) or keep(df))
+    monkeypatch.setattr(scoring, "percentile_rank", lambda *a: rank(*a, small=1))
+    a = spark.createDataFrame([("v", "m", 4.0), ("w", "m", 8.0)], "virus_name string, model_name string, protein_hit_score double")
+    c, s = spark.createDataFrame([("m", "A", 25.0, 1), ("m", "B", 75.0, 1)], CLASSES), spark.createDataFrame([(1.0,), (4.0,), (9.0,)], "virus_hit_score double")
+    got = {(r.virus_name, r.class_name): (r.membership_ratio, r.virus_hit_score, r.confidence_score, r.rank_in_virus) for r in scoring.predict_membership(a, c, s).collect()}
+    assert got == {("v", "A"): (0.25, 4.0, 0.5, 2), ("v", "B"): (0.75, 4.0, 0.5, 1), ("w", "A"): (0.25, 8.0, 2 / 3, 2), ("w", "B"): (0.75, 8.0, 2 / 3, 1)}
+    assert sorted(seen[0]) == ["class_name", "membership_ratio", "rank_in_virus", "virus_hit_score", "virus_name"]
